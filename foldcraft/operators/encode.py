@@ -24,7 +24,7 @@ from typing import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_MAX_ROWS
+from ..session import BROADCAST_MAX_ROWS, cut_lineage
 from .folds import nested_folds
 
 EncFn = Callable[[Column, Column, Column, Column], Column]
@@ -171,6 +171,8 @@ def encode_per_fold(train: DataFrame, test: DataFrame, cols: Sequence[str], k: i
     'global' = mean over all train labels (I4).
     Output: (fold, id, part, encoded columns...).
     """
+    train = cut_lineage(train.select("id", label, "fold", *cols))
+    test = test.select("id", *cols)
     fit_rows = train if extra_fit is None else train.unionByName(
         extra_fit.select(*train.columns))
     st = label_stats(fit_rows, cols, ["fold"], label)
@@ -214,7 +216,12 @@ def encode_nested(train: DataFrame, test: DataFrame, cols: Sequence[str], k_oute
     (fixed prior), 'fit' = mean / variance of the actual fit set (sklearn's
     cross-fitting).  Output (outer, id, part, encoded...).
     """
-    nf = nested_folds(train, k_outer, k_inner, seed, label)
+    # The fold-assigned rows feed the aggregate, the label priors and the
+    # rows to encode: cut their lineage once (reliable checkpoint in the
+    # shared folder) instead of recomputing the fixture join per branch.
+    train = cut_lineage(train.select("id", label, "fold", *cols))
+    test = test.select("id", *cols)
+    nf = cut_lineage(nested_folds(train, k_outer, k_inner, seed, label))
     st = label_stats(nf, cols, ["ofold", "ifold"], label)
     inner_fit = exclude_each(st, ["col", "value", "ofold"], "ifold", range(k_inner))
     outer_full = (st.groupBy("col", "value", "ofold")

@@ -17,6 +17,7 @@ from ..oracle_sql import with_base
 from ..operators import encode as E
 from ..operators import folds as K
 from ..session import round6
+from ..functions import scalar as S
 from ..sources import tables as T
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -44,9 +45,19 @@ K_OUTER = 5
 K_INNER = 5
 
 
+NGRAM_BASE = ["pri", "seg", "region", "svc_return"]
+PAIR_BASE = ["pri_u", "seg", "nation", "region", "svc_return", "svc_open"]
+NGRAM_FEATS = [f for r, b in ((2, NGRAM_BASE), (3, NGRAM_BASE))
+               for f in S.ngram_features(b, "___") if f.name.count("___") == r - 1]
+PAIR_FEATS = [f for f in S.ngram_features(PAIR_BASE, "___") if f.name.count("___") == 1]
+NGRAM_TE_COLS = [f.name for f in NGRAM_FEATS]
+_EXTRA = list({f.name: f for f in NGRAM_FEATS + PAIR_FEATS}.values())
+PAIR_COLS = [f.name for f in PAIR_FEATS]
+
+
 def _te_frame(spark, sf):
-    a = T.accounts(spark, sf)
-    return a.withColumn("pri_u", T.unseen_category())
+    a = T.accounts(spark, sf).withColumn("pri_u", T.unseen_category())
+    return a.select("*", *[f.col().alias(f.name) for f in _EXTRA])
 
 
 def _train_folds(spark, sf, k=K_OUTER):
@@ -61,8 +72,9 @@ def sql_md5(seed_expr: str, id_expr: str = "id") -> str:
     return f"md5(concat_ws(':', cast({seed_expr} as varchar), cast({id_expr} as varchar)))"
 
 
-TE_BASE = """te_base as (select id, role, y, case when role = 'test' and id % 97 = 0 then 'ZZZ' else pri end as pri_u,
-  seg, nation, region, svc_return from accounts)"""
+TE_BASE = ("te_base as (select *, " + ", ".join(f'{f.sql} as "{f.name}"' for f in _EXTRA)
+           + " from (select id, role, y, case when role = 'test' and id % 97 = 0 then 'ZZZ' else pri end as pri_u,"
+           " pri, seg, nation, region, svc_return, svc_open, s_a from scored))")
 
 FOLDS_SQL = f"""folds as (select *, cast((row_number() over (partition by y order by {sql_md5("'42'")}) - 1) % 5 as int) as fold
   from te_base where role = 'train')"""
@@ -75,7 +87,7 @@ NESTED_SQL = f"""nested as (select o.ofold, f.*, cast((row_number() over (partit
 # ---------------------------------------------------------------- step 1
 
 @query("union_roles", with_base("""
-select cast(id as bigint) as id, role, cast(case when role = 'test' then null else y end as bigint) as y,
+select cast(id as bigint) as id, role, cast(case when role = 'test' then -1 else y end as bigint) as y,
   pri, cast(tenure as bigint) as tenure, round(monthly, 6) as monthly
 from accounts"""))
 def q_union_roles(spark, sf):
@@ -86,7 +98,8 @@ def q_union_roles(spark, sf):
     test = a.filter(F.col("role") == "test").drop("y")
     ref = a.filter(F.col("role") == "ref")
     u = train.unionByName(test, allowMissingColumns=True).unionByName(ref)
-    return u.select(L("id").alias("id"), "role", L("y").alias("y"), "pri",
+    # the unlabelled role carries no label: -1 marks it in the output
+    return u.select(L("id").alias("id"), "role", L(F.coalesce("y", F.lit(-1))).alias("y"), "pri",
                     L("tenure").alias("tenure"), R("monthly").alias("monthly"))
 
 
@@ -285,7 +298,8 @@ def q_te_global_prior(spark, sf):
                       *[R(f"te_{c}").alias(f"te_{c}") for c in TE_COLS])
 
 
-def _nested_sql(cols, stat_exprs: dict[str, str], defaults: dict[str, str], prior_scope="outer"):
+def _nested_sql(cols, stat_exprs: dict[str, str], defaults: dict[str, str], prior_scope="outer",
+                parts=False, fit_src="nested"):
     """Nested OOF oracle.  ``stat_exprs`` are SQL over n, s, p (prior), v
     (prior variance) of the fit set; ``defaults`` replace a missing match."""
     ctes = [TE_BASE, FOLDS_SQL, NESTED_SQL,
@@ -299,23 +313,27 @@ def _nested_sql(cols, stat_exprs: dict[str, str], defaults: dict[str, str], prio
                     "from labs l join labs o on o.ofold = l.ofold and o.ifold = -1)")
     else:
         ctes.append("pr as (select ofold, ifold, cast(s as double) / n as p, (cast(s as double) / n) * (1 - cast(s as double) / n) as v from labs)")
-    cl = ", ".join(f"r.{c}" for c in cols)
-    ctes.append("rows_ as (select ofold, ifold, id, 'fit' as part, " + ", ".join(cols) + " from nested "
-                "union all select fold, -1, id, 'valid', " + ", ".join(cols) + " from folds "
-                "union all select o.ofold, -1, t.id, 'test', " + cl.replace("r.", "t.") +
+    qc = [f'"{c}"' for c in cols]
+    cl = ", ".join(f"t.{c}" for c in qc)
+    ctes.append("rows_ as (select ofold, ifold, id, 'fit' as part, " + ", ".join(qc) + " from nested "
+                "union all select fold, -1, id, 'valid', " + ", ".join(qc) + " from folds "
+                "union all select o.ofold, -1, t.id, 'test', " + cl +
                 " from te_base t cross join (select range as ofold from range(5)) o where t.role = 'test')")
     sel, joins = [], []
     for i, c in enumerate(cols):
-        ctes.append(f"s{i} as (select fi.ofold, fi.ifold, x.{c} as v, count(*) as n, sum(x.y) as s from fi "
-                    f"join nested x on x.ofold = fi.ofold and x.ifold <> fi.ifold group by fi.ofold, fi.ifold, x.{c})")
-        joins.append(f"left join s{i} on s{i}.ofold = r.ofold and s{i}.ifold = r.ifold and s{i}.v = r.{c}")
+        ctes.append(f"s{i} as (select fi.ofold, fi.ifold, x.\"{c}\" as v, count(*) as n, sum(x.y) as s from fi "
+                    f"join nested x on x.ofold = fi.ofold and x.ifold <> fi.ifold group by fi.ofold, fi.ifold, x.\"{c}\")")
+        joins.append(f"left join s{i} on s{i}.ofold = r.ofold and s{i}.ifold = r.ifold and s{i}.v = r.\"{c}\"")
         for nm, ex in stat_exprs.items():
             e = (ex.replace("{n}", f"s{i}.n").replace("{s}", f"s{i}.s")
                  .replace("{p}", "pr.p").replace("{v}", "pr.v"))
             d = defaults[nm].replace("{p}", "pr.p")
-            sel.append(f"round(case when s{i}.n is null then {d} else {e} end, 6) as {nm.format(col=c)}")
+            v = f"case when s{i}.n is null then {d} else {e} end"
+            sel.append((f"{v}" if parts else f"round({v}, 6)") + f' as "{nm.format(col=c)}"')
     body = (f"select cast(r.ofold as bigint) as ofold, cast(r.id as bigint) as id, r.part, {', '.join(sel)}\n"
             "from rows_ r join pr on pr.ofold = r.ofold and pr.ifold = r.ifold\n" + "\n".join(joins))
+    if parts:
+        return ctes, body
     return with_base(body, ",\n".join(ctes))
 
 
@@ -350,14 +368,6 @@ def q_te_std_min_max(spark, sf):
                          "te1_{col}_{stat}", defaults={"std": 0.0, "min": 0.0, "max": 0.0})
 
 
-NGRAM_BASE = ["pri", "seg", "region", "svc_return"]
-
-
-def _ngram_frame_cols():
-    from itertools import combinations
-    return ["___".join(c) for c in combinations(NGRAM_BASE, 2)]
-
-
 @query("te_auto_smooth", _nested_sql(
     TE_COLS,
     {"te_auto_{col}": "case when {n} * {v} + (cast({s} as double) / {n}) * (1 - cast({s} as double) / {n}) = 0 then {p} "
@@ -370,3 +380,146 @@ def q_te_auto_smooth(spark, sf):
     (prior and variance of each fit set), full outer-train for val/test."""
     return _nested_query(spark, sf, TE_COLS, {"auto": E.auto_smoothed}, "te_auto_{col}",
                          prior_scope="fit")
+
+
+@query("te_ngram_mean", _nested_sql(NGRAM_TE_COLS, {"te_ng_{col}": "cast({s} as double) / {n}"},
+                                    {"te_ng_{col}": "0.5"}))
+def q_te_ngram_mean(spark, sf):
+    """Unsmoothed nested inner-fold mean of n-gram crosses; unseen -> 0.5."""
+    return _nested_query(spark, sf, NGRAM_TE_COLS, {"ng": E.raw_mean(0.5)}, "te_ng_{col}",
+                         defaults={"ng": 0.5})
+
+
+def _pairs_logit_sql():
+    ctes, body = _nested_sql(PAIR_COLS, {"te_{col}": "({s} + 20 * {p}) / ({n} + 20)"},
+                             {"te_{col}": "{p}"}, parts=True)
+    ctes = list(ctes) + [f"enc as ({body})"]
+    zs = []
+    for c in PAIR_COLS:
+        m = f'least(greatest("te_{c}", 1e-5), 1 - 1e-5)'
+        z = f"ln({m} / (1 - {m}))"
+        zs += [f'{z} as "z1_{c}"', f'power({z}, 2) as "z2_{c}"', f'power({z}, 3) as "z3_{c}"']
+    ctes.append("zz as (select ofold, id, part, " + ", ".join(zs) + " from enc)")
+    names = [f"z{p}_{c}" for c in PAIR_COLS for p in (1, 2, 3)]
+    st = ", ".join(f'avg("{n}") as "mu_{n}", stddev_pop("{n}") as "sd_{n}"' for n in names)
+    ctes.append(f"st as (select ofold, {st} from zz where part = 'fit' group by ofold)")
+    sel = ", ".join(f'round((zz."{n}" - st."mu_{n}") / case when st."sd_{n}" = 0 then 1 else st."sd_{n}" end, 6) as "{n}"'
+                    for n in names)
+    return with_base(f"select zz.ofold, zz.id, zz.part, {sel} from zz join st on st.ofold = zz.ofold",
+                     ",\n".join(ctes))
+
+
+@query("te_pairs_logit", _pairs_logit_sql())
+def q_te_pairs_logit(spark, sf):
+    """I8 (+E14, D12, D13): all 15 pairs of 6 categoricals, nested OOF
+    encoding with m=20, logit and its square / cube, then standardised with
+    mean / population std fitted on each outer fold's training rows."""
+    tr, te = _train_folds(spark, sf)
+    enc = E.encode_nested(tr, te, PAIR_COLS, K_OUTER, K_INNER, {"te": E.smoothed(20)}, SEED)
+    zcols = []
+    for c in PAIR_COLS:
+        z1, z2, z3 = E.logit_powers(F.col(f"te_{c}"))
+        zcols += [z1.alias(f"z1_{c}"), z2.alias(f"z2_{c}"), z3.alias(f"z3_{c}")]
+    z = enc.select("ofold", "id", "part", *zcols)
+    names = [f"z{p}_{c}" for c in PAIR_COLS for p in (1, 2, 3)]
+    st = (z.filter(F.col("part") == "fit").groupBy("ofold")
+          .agg(*[x for n in names for x in (F.avg(n).alias(f"mu_{n}"), F.stddev_pop(n).alias(f"sd_{n}"))]))
+    j = z.join(F.broadcast(st), "ofold")  # k_outer rows
+    return j.select(L("ofold").alias("ofold"), L("id").alias("id"), "part",
+                    *[R((F.col(n) - F.col(f"mu_{n}")) /
+                        F.when(F.col(f"sd_{n}") == 0, 1.0).otherwise(F.col(f"sd_{n}"))).alias(n)
+                      for n in names])
+
+
+PSEUDO_T = 0.7
+
+
+def _pseudo_fold_sql(cols, m):
+    """I9 oracle: per-fold fit over (train rows of other folds + every pseudo
+    row); pseudo rows are test rows with s_a > t or < 1-t, label [s_a > .5]."""
+    sql = _fold_fit_sql(cols, m)
+    aug = (f"aug as (select * from folds union all select * exclude (y, fold), cast(s_a > 0.5 as int) as y, -1 as fold "
+           f"from te_base where role = 'test' and (s_a > {PSEUDO_T} or s_a < 1 - {PSEUDO_T}))")
+    sql = sql.replace("fl as (select range as f from range(5))", aug + ",\nfl as (select range as f from range(5))")
+    return sql.replace("from folds x cross join fl", "from aug x cross join fl")
+
+
+@query("te_pseudo_augmented", None)
+def q_te_pseudo_augmented(spark, sf):
+    """Per-fold encoding fitted on the fold's training rows plus all
+    pseudo-labelled test rows (confident fixed score s_a, t=0.7)."""
+    a = T.with_scores(_te_frame(spark, sf))
+    tr = K.stratified_folds(a.filter(F.col("role") == "train"), k=K_OUTER, seed=SEED)
+    te = a.filter(F.col("role") == "test")
+    ps = K.pseudo_rows(te, "s_a", PSEUDO_T)
+    out = E.encode_per_fold(tr, te, TE_COLS, K_OUTER, {"te": E.smoothed(10)}, extra_fit=ps)
+    return out.select(L("fold").alias("fold"), L("id").alias("id"), "part",
+                      *[R(f"te_{c}").alias(f"te_{c}") for c in TE_COLS])
+
+
+# fixed values: TPC-H domain levels of the one-hot encoded columns
+ONE_HOT_LEVELS = {
+    "pri_u": ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"],
+    "seg": ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"],
+    "region": ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"],
+}
+
+
+@query("one_hot", with_base(
+    "select cast(id as bigint) as id, " + ", ".join(
+        f"cast(coalesce({c} = '{v}', false) as int) as \"{c}_{v}\"" for c, lv in ONE_HOT_LEVELS.items() for v in lv[1:])
+    + " from te_base", TE_BASE))
+def q_one_hot(spark, sf):
+    """One-hot of train levels with the first (sorted) level dropped;
+    unseen test values get all zeros."""
+    a = _te_frame(spark, sf)
+    out = E.one_hot(a.filter(F.col("role") == "train"), a, list(ONE_HOT_LEVELS))
+    keep = [c for c in out.columns if any(c.startswith(p + "_") for p in ONE_HOT_LEVELS)
+            and c not in a.columns]
+    return out.select(L("id").alias("id"), *keep)
+
+
+# ---------------------------------------------------------------- step 4
+
+def _group_query(group):
+    feats = S.GROUPS[group]
+
+    def fn(spark, sf):
+        a = T.accounts(spark, sf)
+        return a.select(L("id").alias("id"), *[S.spark_out(f) for f in feats])
+    fn.__doc__ = f"Row-wise feature group '{group}' (projection only)."
+    sql = with_base("select cast(id as bigint) as id, " + ", ".join(S.sql_out(f) for f in feats) + " from accounts")
+    REGISTRY[group] = (fn, sql)
+
+
+for _g in S.GROUPS:
+    _group_query(_g)
+
+
+def _feature_table(spark, sf, set_name="core", keep_original=True):
+    a = T.accounts(spark, sf)
+    orig = [L(c).alias(c) if c in ("tenure", "n_items") else (R(c).alias(c) if c in ("monthly", "total") else c)
+            for c in S.ORIGINALS] if keep_original else []
+    return a.select(L("id").alias("id"), "role", L("y").alias("y"), *orig,
+                    *[S.spark_out(f) for f in S.feature_set(set_name)])
+
+
+def _feature_table_sql(set_name="core", keep_original=True):
+    orig = ["pri", "seg", "nation", "region", "cast(tenure as bigint) as tenure", "round(monthly, 6) as monthly",
+            "round(total, 6) as total", "cast(n_items as bigint) as n_items"] if keep_original else []
+    cols = ["cast(id as bigint) as id", "role", "cast(y as bigint) as y", *orig,
+            *[S.sql_out(f) for f in S.feature_set(set_name)]]
+    return with_base("select " + ", ".join(cols) + " from accounts")
+
+
+@query("feature_table_core", _feature_table_sql("core", False))
+def q_feature_table_core(spark, sf):
+    """The 'core' feature set without the original columns."""
+    return _feature_table(spark, sf, "core", False)
+
+
+@query("feature_table_full", _feature_table_sql("full", True))
+def q_feature_table_full(spark, sf):
+    """The 'full' feature set with the originals kept: the wide
+    feature table written per role by the feature-table sink."""
+    return _feature_table(spark, sf, "full", True)

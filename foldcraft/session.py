@@ -87,5 +87,12 @@ def sized_broadcast(table: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
 
 def round6(c):
     """Every computed double leaves the engine rounded to 6 decimals so
-    results compare exactly with an independent SQL engine."""
-    return F.round(c.cast("double"), 6)
+    results compare exactly with an independent SQL engine.
+
+    Rounded as round(x * 1e6) / 1e6 (half away from zero on the scaled
+    binary value, sign of zero kept), the common C-library definition,
+    rather than Spark's decimal-string rounding, which differs on values
+    within one ulp of a tie."""
+    x = c.cast("double")
+    r = F.round(x * F.lit(1e6), 0) / F.lit(1e6)
+    return F.when(r == 0, x * F.lit(0.0)).otherwise(r)
