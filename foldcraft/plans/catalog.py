@@ -523,3 +523,371 @@ def q_feature_table_full(spark, sf):
     """The 'full' feature set with the originals kept: the wide
     feature table written per role by the feature-table sink."""
     return _feature_table(spark, sf, "full", True)
+
+
+# ---------------------------------------------------------------- step 5
+
+from ..operators import binning as H  # noqa: E402
+from ..operators import rank as G  # noqa: E402
+from ..operators import stats as ST  # noqa: E402
+
+FREQ_COLS = ["tenure", "n_items", "total"]
+
+
+@query("freq_encoding", with_base(
+    "select cast(id as bigint) as id, " + ", ".join(
+        f"round(count(*) over (partition by {c}) / count(*) over (), 6) as freq_{c}" for c in FREQ_COLS)
+    + " from accounts"))
+def q_freq_encoding(spark, sf):
+    """relative frequency of the exact value over train+test+reference."""
+    a = T.accounts(spark, sf)
+    out = ST.frequency_encoding(a, FREQ_COLS)
+    return out.select(L("id").alias("id"), *[R(f"freq_{c}").alias(f"freq_{c}") for c in FREQ_COLS])
+
+
+def _cnt_frame(spark, sf):
+    a = T.accounts(spark, sf)
+    return a.select("id", "pri", "nation", T.padded_category().alias("pri_pad"),
+                    F.concat("nation", "seg", "pri").alias("nsp"))
+
+
+CNT_COLS = ["pri", "nation", "pri_pad", "nsp"]
+CNT_SQL_BASE = ("cb as (select id, pri, nation, case when id % 37 = 0 then null else concat(' ', pri, ' ') end as pri_pad, "
+                "concat(nation, seg, pri) as nsp from accounts)")
+
+
+@query("category_counts", with_base(
+    "select cast(id as bigint) as id, " + ", ".join(
+        f"cast(count(*) over (partition by {c}) as bigint) as cnt_{c}, "
+        f"cast(count(*) over (partition by {c}) <= 50 as bigint) as rare_{c}" for c in CNT_COLS)
+    + " from cb", CNT_SQL_BASE))
+def q_category_counts(spark, sf):
+    """category count over all rows (nulls are a value) and rarity flag
+    (count <= 50), for raw, padded-with-nulls and crossed columns."""
+    out = ST.category_counts(_cnt_frame(spark, sf), CNT_COLS)
+    return out.select(L("id").alias("id"), *[x for c in CNT_COLS for x in (
+        L(f"cnt_{c}").alias(f"cnt_{c}"), L(f"rare_{c}").alias(f"rare_{c}"))])
+
+
+GS_PAIRS = [("pri", "tenure"), ("pri", "monthly"), ("seg", "total"), ("nation", "monthly"), ("total", "monthly")]
+
+
+def _gs_sql():
+    sel = []
+    for cat, num in GS_PAIRS:
+        m = f"avg({num}) over (partition by {cat})"
+        sd = f"coalesce(stddev_samp({num}) over (partition by {cat}), 0)"
+        sel += [f"round({m}, 6) as {cat}_{num}_mean", f"round({num} - {m}, 6) as {cat}_{num}_diff",
+                f"round(({num} - {m}) / ({sd} + 1e-6), 6) as {cat}_{num}_norm"]
+    return with_base("select cast(id as bigint) as id, " + ", ".join(sel) + " from accounts")
+
+
+@query("group_stats", _gs_sql())
+def q_group_stats(spark, sf):
+    """Group mean, difference and normalised difference (sample
+    std, single-row group -> std 0) for 5 (category, number) pairs."""
+    a = T.accounts(spark, sf)
+    out = ST.group_stats(a, GS_PAIRS)
+    names = [f"{c}_{n}_{s}" for c, n in GS_PAIRS for s in ("mean", "diff", "norm")]
+    return out.select(L("id").alias("id"), *[R(n).alias(n) for n in names])
+
+
+LRC_COLS = ["pri", "seg", "region", "svc_return"]
+
+
+@query("label_rate_compare", with_base(
+    "select coalesce(a.col, b.col) as col, coalesce(a.value, b.value) as value, "
+    "round(coalesce(a.r, 0), 6) as rate_train, round(coalesce(b.r, 0), 6) as rate_ref from "
+    "(" + " union all ".join(f"select '{c}' as col, {c} as value, avg(y) as r from accounts where role = 'train' group by {c}"
+                             for c in LRC_COLS) + ") a full join "
+    "(" + " union all ".join(f"select '{c}' as col, {c} as value, avg(y) as r from accounts where role = 'ref' group by {c}"
+                             for c in LRC_COLS) + ") b on a.col = b.col and a.value = b.value"))
+def q_label_rate_compare(spark, sf):
+    """label rate by category in train vs reference, aligned, missing 0."""
+    a = T.accounts(spark, sf)
+    out = ST.label_rate_compare(a.filter(F.col("role") == "train"), a.filter(F.col("role") == "ref"), LRC_COLS)
+    return out.select("col", "value", R("rate_a").alias("rate_train"), R("rate_b").alias("rate_ref"))
+
+
+CORR_COLS = ["tenure", "monthly", "total", "n_items"]
+
+
+@query("corr_matrix", with_base(" union all ".join(
+    f"select '{a}' as a, '{b}' as b, round(corr({a}, {b}), 6) as corr from accounts"
+    for i, a in enumerate(CORR_COLS) for b in CORR_COLS[i + 1:])))
+def q_corr_matrix(spark, sf):
+    """Pearson correlation of every pair of numeric columns."""
+    out = ST.correlation_pairs(T.accounts(spark, sf), CORR_COLS)
+    return out.select("a", "b", R("corr").alias("corr"))
+
+
+@query("histogram", with_base("""
+select role, cast(bin as bigint) as bin, cast(count(*) as bigint) as n,
+  round(count(*) / (max(n_by) * max(width)), 6) as density
+from (select role, least(floor((total - lo) / ((hi - lo) / 60)), 59) as bin, (hi - lo) / 60 as width,
+        count(*) over (partition by role) as n_by
+      from accounts, (select min(total) as lo, max(total) as hi from accounts) m) t
+group by role, bin"""))
+def q_histogram(spark, sf):
+    """60-bin equal-width histogram of the amount with density, per role."""
+    out = ST.histogram(T.accounts(spark, sf), "total", 60, "role")
+    return out.select("role", L("bin").alias("bin"), L("n").alias("n"), R("density").alias("density"))
+
+
+@query("box_summary", with_base(" union all ".join(
+    f"select cast(y as bigint) as y, '{c}' as col, round(min({c}), 6) as min, round(quantile_cont({c}, 0.25), 6) as q1, "
+    f"round(quantile_cont({c}, 0.5), 6) as median, round(quantile_cont({c}, 0.75), 6) as q3, "
+    f"round(max({c}), 6) as max from accounts group by y" for c in ["tenure", "monthly", "total"])))
+def q_box_summary(spark, sf):
+    """five-number summary per class."""
+    out = ST.five_numbers(T.accounts(spark, sf), ["tenure", "monthly", "total"], "y")
+    return out.select(L("y").alias("y"), "col", *[R(c).alias(c) for c in ("min", "q1", "median", "q3", "max")])
+
+
+@query("crosstab", with_base("""
+select pri, cast(sum(case when y = 0 then 1 else 0 end) as bigint) as n_0,
+  cast(sum(case when y = 1 then 1 else 0 end) as bigint) as n_1 from accounts group by pri"""))
+def q_crosstab(spark, sf):
+    """cross-tabulation of priority by label."""
+    out = ST.crosstab(T.accounts(spark, sf), "pri", "y", [0, 1])
+    return out.select("pri", L("n_0").alias("n_0"), L("n_1").alias("n_1"))
+
+
+# fixed values: bin edges of the fixture's month count and amounts
+TENURE_EDGES_H1 = [0, 6, 12, 24, 100]
+MONTHLY_EDGES_H1 = [0, 2500, 5000, 7500, 10000]
+TENURE_EDGES_H2 = [0, 1, 3, 6, 12, 24, 36, 48, 60, 72, 10000]
+TOTAL_EDGES_H2 = [0, 50000, 100000, 200000, 300000, 400000]
+
+
+def _label_sql(x, edges):
+    parts = [f"when {x} > {a} and {x} <= {b} then '({H._fmt(a)}, {H._fmt(b)}]'" for a, b in zip(edges[:-1], edges[1:])]
+    return "case " + " ".join(parts) + " else 'nan' end"
+
+
+def _code_sql(x, edges, lowest=True):
+    arr = "[" + ", ".join(f"{float(e)}" for e in edges) + "]::double[]"
+    lo, hi = float(edges[0]), float(edges[-1])
+    inside = f"({x} > {lo} and {x} <= {hi})" + (f" or {x} = {lo}" if lowest else "")
+    code = f"len(list_filter({arr}, lambda e: e < {x})) - 1"
+    if lowest:
+        code = f"case when {x} = {lo} then 0 else {code} end"
+    return f"case when {x} is not null and ({inside}) then {code} else -1 end"
+
+
+@query("fixed_bins", with_base(
+    f"select cast(id as bigint) as id, {_label_sql('tenure', TENURE_EDGES_H1)} as tenure_label, "
+    f"{_label_sql('monthly', MONTHLY_EDGES_H1)} as monthly_label, "
+    f"cast({_code_sql('tenure', TENURE_EDGES_H1, False)} as bigint) as tenure_code_open, "
+    f"cast({_code_sql('tenure', TENURE_EDGES_H2)} as bigint) as tenure_bin, "
+    f"cast({_code_sql('total', TOTAL_EDGES_H2)} as bigint) as total_bin from accounts"))
+def q_fixed_bins(spark, sf):
+    """H1 / H2: right-closed fixed-edge bins: interval labels with outside
+    -> 'nan', codes with / without the lowest edge, outside -> -1."""
+    a = T.accounts(spark, sf)
+    return a.select(
+        L("id").alias("id"),
+        H.interval_label(F.col("tenure"), TENURE_EDGES_H1).alias("tenure_label"),
+        H.interval_label(F.col("monthly"), MONTHLY_EDGES_H1).alias("monthly_label"),
+        L(H.right_closed_code(F.col("tenure"), TENURE_EDGES_H1, False)).alias("tenure_code_open"),
+        L(H.right_closed_code(F.col("tenure"), TENURE_EDGES_H2)).alias("tenure_bin"),
+        L(H.right_closed_code(F.col("total"), TOTAL_EDGES_H2)).alias("total_bin"))
+
+
+def _qedges_sql(c, q):
+    probs = "[" + ", ".join(repr(i / q) for i in range(q + 1)) + "]::double[]"
+    return f"(select list_sort(list_distinct(quantile_cont({c}, {probs}))) from accounts)"
+
+
+def _qcode_sql(c, q):
+    e = _qedges_sql(c, q)
+    return (f"case when {c} = {e}[1] then 0 when {c} > {e}[1] and {c} <= {e}[-1] "
+            f"then len(list_filter({e}, lambda v: v < {c})) - 1 else -1 end")
+
+
+@query("quantile_bins", with_base(
+    f"select cast(id as bigint) as id, cast({_qcode_sql('monthly', 40)} as bigint) as monthly_qbin, "
+    f"cast({_qcode_sql('total', 60)} as bigint) as total_qbin from accounts"))
+def q_quantile_bins(spark, sf):
+    """H3: quantile-edge bins fitted on the union (q=40 / q=60, linear
+    quantiles, duplicate edges dropped), then right-closed codes."""
+    a = T.accounts(spark, sf)
+    me = H.quantile_edges(a, "monthly", 40)
+    te = H.quantile_edges(a, "total", 60)
+    return a.select(L("id").alias("id"), L(H.right_closed_code(F.col("monthly"), me)).alias("monthly_qbin"),
+                    L(H.right_closed_code(F.col("total"), te)).alias("total_qbin"))
+
+
+def _kbins_sql(c, n):
+    probs = "[" + ", ".join(repr(i / n) for i in range(n + 1)) + "]::double[]"
+    full = f"(select list_sort(list_distinct(quantile_cont({c}, {probs}))) from accounts)"
+    e = f"list_slice({full}, 2, len({full}) - 1)"
+    return f"len(list_filter({e}, lambda v: v <= {c}))"
+
+
+@query("kbins_codes", with_base(
+    f"select cast(id as bigint) as id, cast({_kbins_sql('total', 25)} as bigint) as total_k25, "
+    f"cast({_kbins_sql('tenure', 200)} as bigint) as tenure_k200 from accounts"))
+def q_kbins_codes(spark, sf):
+    """H4: ordinal quantile discretiser (25 / 200 bins), left-closed, ends
+    clipped; fitted once on all rows and applied."""
+    a = T.accounts(spark, sf)
+    inner_t = H.quantile_edges(a, "total", 25)[1:-1]
+    inner_n = H.quantile_edges(a, "tenure", 200)[1:-1]
+    return a.select(L("id").alias("id"), L(H.left_closed_code(F.col("total"), inner_t)).alias("total_k25"),
+                    L(H.left_closed_code(F.col("tenure"), inner_n)).alias("tenure_k200"))
+
+
+# fixed values: signed deviation bands (edges and labels)
+DEV_EDGES = [float("-inf"), -500000, -100000, -10000, 0, 10000, 100000, 500000, float("inf")]
+DEV_LABELS = ["<=-500k", "-500k..-100k", "-100k..-10k", "-10k..0", "0..10k", "10k..100k", "100k..500k", ">500k"]
+
+
+def _bands_sql(x):
+    parts = []
+    for (a, b), lab in zip(zip(DEV_EDGES[:-1], DEV_EDGES[1:]), DEV_LABELS):
+        lo = "" if a == float("-inf") else f"{x} > {a}"
+        hi = "" if b == float("inf") else f"{x} <= {b}"
+        cond = " and ".join(p for p in (lo, hi) if p)
+        parts.append(f"when {cond} then '{lab}'")
+    return "case " + " ".join(parts) + " end"
+
+
+@query("deviation_bands", with_base(
+    f"select 'dev_band' as kind, {_bands_sql('(total - tenure * monthly)')} as bucket, cast(count(*) as bigint) as n, "
+    "round(avg(y), 6) as rate from accounts where role = 'train' group by 2 union all "
+    "select 'tenure_mod12', cast(((tenure % 12) + 12) % 12 as varchar), cast(count(*) as bigint), round(avg(y), 6) "
+    "from accounts where role = 'train' group by 2"))
+def q_deviation_bands(spark, sf):
+    """H5 + F8: label rate by signed deviation band and by month-of-year."""
+    a = T.accounts(spark, sf).filter(F.col("role") == "train")
+    dev = F.col("total") - F.col("tenure") * F.col("monthly")
+    b1 = a.groupBy(H.bands(dev, DEV_EDGES, DEV_LABELS).alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("y").alias("rate")).withColumn("kind", F.lit("dev_band"))
+    b2 = a.groupBy(F.pmod("tenure", F.lit(12)).cast("string").alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("y").alias("rate")).withColumn("kind", F.lit("tenure_mod12"))
+    u = b1.unionByName(b2)
+    return u.select("kind", "bucket", L("n").alias("n"), R("rate").alias("rate"))
+
+
+CODE_COLS = ["pri_pad", "seg", "nation", "svc_return"]
+
+
+@query("sorted_codes", with_base(
+    "select cast(id as bigint) as id, " + ", ".join(
+        f"cast(coalesce((select k from (select v, dense_rank() over (order by v) - 1 as k from "
+        f"(select distinct {c} as v from cb2 where {c} is not null)) d where d.v = cb2.{c}), -1) as bigint) as code_{c}"
+        for c in CODE_COLS) + " from cb2",
+    "cb2 as (select id, case when id % 37 = 0 then null else concat(' ', pri, ' ') end as pri_pad, seg, nation, "
+    "svc_return from accounts)"))
+def q_sorted_codes(spark, sf):
+    """G2r: category code = sorted position over all rows, null -> -1."""
+    a = T.accounts(spark, sf).withColumn("pri_pad", T.padded_category())
+    out = G.sorted_codes(a, a, CODE_COLS)
+    return out.select(L("id").alias("id"), *[L(f"code_{c}").alias(f"code_{c}") for c in CODE_COLS])
+
+
+FS_COLS = ["pri_u", "seg", "nation"]
+
+
+@query("first_seen_codes", with_base(
+    "select cast(b.id as bigint) as id, " + ", ".join(
+        f"cast(coalesce((select k from (select v, row_number() over (order by f, v) - 1 as k from "
+        f"(select {c} as v, min(id) as f from te_base where role = 'train' group by {c})) d where d.v = b.{c}), -1) "
+        f"as bigint) as fcode_{c}" for c in FS_COLS) + " from te_base b", TE_BASE))
+def q_first_seen_codes(spark, sf):
+    """G3r: first-appearance codes fitted on train (factorize), unseen -> -1."""
+    a = _te_frame(spark, sf)
+    out = G.first_seen_codes(a.filter(F.col("role") == "train"), a, FS_COLS)
+    return out.select(L("id").alias("id"), *[L(f"fcode_{c}").alias(f"fcode_{c}") for c in FS_COLS])
+
+
+@query("label_encode", with_base(
+    "select cast(id as bigint) as id, " + ", ".join(
+        f"cast((select k from (select v, dense_rank() over (order by v) - 1 as k from "
+        f"(select distinct {c} as v from accounts where role = 'train')) d where d.v = a.{c}) as bigint) as idx_{c}"
+        for c in ("pri", "seg")) + " from accounts a"))
+def q_label_encode(spark, sf):
+    """G4r: label encoding fitted on train (alphabetical), applied to all
+    rows; an unseen level raises (StringIndexer handleInvalid='error')."""
+    from pyspark.ml.feature import StringIndexer
+    a = T.accounts(spark, sf)
+    si = StringIndexer(inputCols=["pri", "seg"], outputCols=["idx_pri", "idx_seg"],
+                       stringOrderType="alphabetAsc", handleInvalid="error")
+    m = si.fit(a.filter(F.col("role") == "train"))
+    return m.transform(a).select(L("id").alias("id"), L("idx_pri").alias("idx_pri"), L("idx_seg").alias("idx_seg"))
+
+
+# ---------------------------------------------------------------- step 6
+
+RANK_COLS = ["tenure", "monthly", "total", "n_items"]
+
+
+@query("pct_rank", with_base(
+    "select cast(id as bigint) as id, " + ", ".join(
+        f"round((cast(rank() over (order by {c}) as double) - 1 + (cast(count(*) over (partition by {c}) as double) + 1) / 2)"
+        f" / count(*) over (), 6) as rank_{c}" for c in RANK_COLS) + " from accounts"))
+def q_pct_rank(spark, sf):
+    """G1r: average-tie percentile rank over train+test+reference."""
+    out = G.pct_rank(T.accounts(spark, sf), RANK_COLS)
+    return out.select(L("id").alias("id"), *[R(f"rank_{c}").alias(f"rank_{c}") for c in RANK_COLS])
+
+
+def _auc_sql_from(src: str, seg_cols: str = "score", label: str = "y", score: str = "s") -> str:
+    """Rank-sum (Mann-Whitney) form of AUC with average tie ranks."""
+    return (f"select {seg_cols}, round((sum(case when {label} = 1 then ra else 0 end) - sum({label}) * (sum({label}) + 1) / 2.0)"
+            f" / (sum({label}) * (count(*) - sum({label}))), 6) as auc, cast(sum({label}) as bigint) as n_pos, "
+            f"cast(count(*) - sum({label}) as bigint) as n_neg from (select {seg_cols}, {label}, "
+            f"cast(rank() over (partition by {seg_cols} order by {score}) as double) + "
+            f"(cast(count(*) over (partition by {seg_cols}, {score}) as double) - 1) / 2 as ra from {src}) r group by {seg_cols}")
+
+
+@query("auc_exact", with_base(_auc_sql_from(
+    "(select 's_a' as score, y_sig as y, s_a as s from scored union all select 's_b', y_sig, s_b from scored)")))
+def q_auc_exact(spark, sf):
+    """Exact ROC AUC with ties averaged, for two fixed scores."""
+    sc = T.scored(spark, sf)
+    long = sc.select(F.explode(F.array(
+        F.struct(F.lit("s_a").alias("score"), F.col("s_a").alias("s"), F.col("y_sig").alias("y")),
+        F.struct(F.lit("s_b").alias("score"), F.col("s_b").alias("s"), F.col("y_sig").alias("y")))).alias("r")
+    ).select("r.*")
+    out = G.auc(long, "s", "y", ["score"])
+    return out.select("score", R("auc").alias("auc"), L("n_pos").alias("n_pos"), L("n_neg").alias("n_neg"))
+
+
+SIG_FOLDS_SQL = (f"sf as (select *, cast((row_number() over (partition by y_sig order by {sql_md5(chr(39) + '42' + chr(39))}) - 1) % 5 "
+                 "as int) as fold from scored where role = 'train')")
+
+
+@query("auc_by_fold", with_base(
+    "select cast(fold as bigint) as fold, auc, round(avg(auc) over (), 6) as mean_auc, "
+    "round(stddev_pop(auc) over (), 6) as std_auc, min(auc) over () as min_auc, max(auc) over () as max_auc "
+    "from (select fold, (sum(case when y_sig = 1 then ra else 0 end) - sum(y_sig) * (sum(y_sig) + 1) / 2.0) "
+    "/ (sum(y_sig) * (count(*) - sum(y_sig))) as auc from (select fold, y_sig, cast(rank() over (partition by fold order by s_a) as double)"
+    " + (cast(count(*) over (partition by fold, s_a) as double) - 1) / 2 as ra from sf) r group by fold) x",
+    SIG_FOLDS_SQL).replace("select cast(fold as bigint) as fold, auc,", "select cast(fold as bigint) as fold, round(auc, 6) as auc,")
+    .replace("min(auc) over () as min_auc, max(auc) over () as max_auc", "round(min(auc) over (), 6) as min_auc, round(max(auc) over (), 6) as max_auc"))
+def q_auc_by_fold(spark, sf):
+    """AUC per validation fold, mean / population std / min / max."""
+    from pyspark.sql import Window
+    sc = T.scored(spark, sf).filter(F.col("role") == "train")
+    f = K.stratified_folds(sc, 5, SEED, label="y_sig")
+    a = G.auc(f, "s_a", "y_sig", ["fold"])
+    w = Window.partitionBy()  # 5-row table
+    return a.select(L("fold").alias("fold"), R("auc").alias("auc"), R(F.avg("auc").over(w)).alias("mean_auc"),
+                    R(F.stddev_pop("auc").over(w)).alias("std_auc"), R(F.min("auc").over(w)).alias("min_auc"),
+                    R(F.max("auc").over(w)).alias("max_auc"))
+
+
+@query("scan_scored", with_base(
+    "select cast(id as bigint) as id, role, cast(y as bigint) as y, pri, seg, nation, region, cast(tenure as bigint) as tenure, "
+    "round(monthly, 6) as monthly, round(total, 6) as total, cast(n_items as bigint) as n_items, "
+    + ", ".join(T.SERVICES) + ", cast(y_sig as bigint) as y_sig, round(s_a, 6) as s_a, round(s_b, 6) as s_b from scored"))
+def q_scan_scored(spark, sf):
+    """A1 / A3: the scanned, joined row table with its planted label and
+    fixed scores (the input every other query starts from)."""
+    s = T.scored(spark, sf)
+    return s.select(L("id").alias("id"), "role", L("y").alias("y"), "pri", "seg", "nation", "region",
+                    L("tenure").alias("tenure"), R("monthly").alias("monthly"), R("total").alias("total"),
+                    L("n_items").alias("n_items"), *T.SERVICES, L("y_sig").alias("y_sig"),
+                    R("s_a").alias("s_a"), R("s_b").alias("s_b"))

@@ -97,9 +97,23 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _hundredths(*terms: Column) -> Column:
+    """Exact decimal sum (in hundredths, integer arithmetic) as a double:
+    equals a SQL engine's DECIMAL result cast to DOUBLE, so ties between
+    equal scores survive exactly."""
+    total = terms[0]
+    for t in terms[1:]:
+        total = total + t
+    return total.cast("double") / F.lit(100.0)
+
+
+def _svc_return_100() -> Column:
+    return F.when(F.col("svc_return") == "Yes", 100).otherwise(0)
+
+
 def _logit_core() -> Column:
-    return (0.02 * (40 - F.col("tenure"))
-            + F.when(F.col("svc_return") == "Yes", 1.0).otherwise(0.0) - 0.6)
+    # 0.02 * (40 - tenure) + [svc_return = Yes] - 0.6
+    return _hundredths(2 * (40 - F.col("tenure")), _svc_return_100(), F.lit(-60))
 
 
 def with_scores(df: DataFrame) -> DataFrame:
@@ -111,16 +125,16 @@ def with_scores(df: DataFrame) -> DataFrame:
     """
     noise = ((F.col("id") * 7919 + 17) % 10007) / F.lit(10007.0)
     noise_b = ((F.col("id") * 104729 + 29) % 10007) / F.lit(10007.0)
-    sig = (0.02 * (40 - F.col("tenure"))
-           + F.when(F.col("svc_return") == "Yes", 1.0).otherwise(0.0)
-           + F.when(F.col("pri") == "1-URGENT", 0.8).otherwise(0.0)
-           + 3.0 * (noise - 0.5))
-    sig_a = 1.0 / (1.0 + F.exp(-_logit_core()))
+    # 0.02 * (40 - tenure) + [svc_return = Yes] + 0.8 * [urgent]
+    sig_fixed = _hundredths(2 * (40 - F.col("tenure")), _svc_return_100(),
+                            F.when(F.col("pri") == "1-URGENT", 80).otherwise(0))
+    sig = sig_fixed + F.lit(3.0) * (noise - F.lit(0.5))
+    e = F.exp(-_logit_core())
     return df.select(
         "*",
-        (sig > 0.6).cast("int").alias("y_sig"),
-        sig_a.cast("double").alias("s_a"),
-        (0.7 * sig_a + 0.3 * noise_b).cast("double").alias("s_b"),
+        (sig > F.lit(0.6)).cast("int").alias("y_sig"),
+        (F.lit(1.0) / (F.lit(1.0) + e)).alias("s_a"),
+        (F.lit(0.7) / (F.lit(1.0) + e) + F.lit(0.3) * noise_b).alias("s_b"),
     )
 
 
