@@ -891,3 +891,241 @@ def q_scan_scored(spark, sf):
                     L("tenure").alias("tenure"), R("monthly").alias("monthly"), R("total").alias("total"),
                     L("n_items").alias("n_items"), *T.SERVICES, L("y_sig").alias("y_sig"),
                     R("s_a").alias("s_a"), R("s_b").alias("s_b"))
+
+
+# ---------------------------------------------------------------- step 7
+
+from ..operators import reference as J  # noqa: E402
+
+REF_COLS = ["pri", "seg", "region", "svc_return", "tenure"]
+REF_PAIRS = [("pri", "seg"), ("pri", "region"), ("pri", "svc_return"), ("seg", "region"),
+             ("seg", "svc_return"), ("region", "svc_return")]
+NUM_REF = ["tenure", "monthly", "total"]
+
+
+def _ref_frames(spark, sf):
+    s = T.scored(spark, sf)
+    return s, s.filter(F.col("role") == "ref")
+
+
+def _orig_sql_cols(alias="a"):
+    single = [f"coalesce((select avg(y_sig) from scored r where r.role = 'ref' and r.{c} = {alias}.{c}), 0.5) as orig_{c}"
+              for c in REF_COLS]
+    pairs = [f"coalesce((select avg(y_sig) from scored r where r.role = 'ref' and r.{x} = {alias}.{x} and r.{y} = {alias}.{y}), 0.5)"
+             f" as orig_{x}_{y}" for x, y in REF_PAIRS]
+    return single, pairs
+
+
+def _orig_frame(spark, sf):
+    s, ref = _ref_frames(spark, sf)
+    out = J.ref_rate(s, ref, REF_COLS, "y_sig")
+    return J.ref_rate_pairs(out, ref, REF_PAIRS, "y_sig")
+
+
+_single, _pairs = _orig_sql_cols()
+
+
+@query("ref_rate", with_base(
+    "select cast(id as bigint) as id, " + ", ".join(f"round({e.rsplit(' as ', 1)[0]}, 6) as {e.rsplit(' as ', 1)[1]}"
+                                                    for e in _single) + " from scored a"))
+def q_ref_rate(spark, sf):
+    """Reference label rate per value of 4 categoricals and the month
+    count; unseen -> 0.5."""
+    s, ref = _ref_frames(spark, sf)
+    out = J.ref_rate(s, ref, REF_COLS, "y_sig")
+    return out.select(L("id").alias("id"), *[R(f"orig_{c}").alias(f"orig_{c}") for c in REF_COLS])
+
+
+@query("ref_rate_pairs", with_base(
+    "select cast(id as bigint) as id, " + ", ".join(f"round({e.rsplit(' as ', 1)[0]}, 6) as {e.rsplit(' as ', 1)[1]}"
+                                                    for e in _pairs) + " from scored a"))
+def q_ref_rate_pairs(spark, sf):
+    """Reference label rate per value pair (6 pairs of 4)."""
+    s, ref = _ref_frames(spark, sf)
+    out = J.ref_rate_pairs(s, ref, REF_PAIRS, "y_sig")
+    return out.select(L("id").alias("id"), *[R(f"orig_{a}_{b}").alias(f"orig_{a}_{b}") for a, b in REF_PAIRS])
+
+
+SUBSET_SQL = {"ch": "and r.y_sig = 1", "nc": "and r.y_sig = 0", "all": ""}
+
+
+def _pct_sql(k, c, alias="a"):
+    cond = SUBSET_SQL[k]
+    return (f"(select count(*) from scored r where r.role = 'ref' {cond} and r.{c} < {alias}.{c}) / "
+            f"(select count(*) from scored r where r.role = 'ref' {cond})")
+
+
+@query("ref_pct_rank", with_base(
+    "select cast(id as bigint) as id, " + ", ".join(
+        f"round({_pct_sql(k, c)}, 6) as pct_{k}_{c}" for c in NUM_REF for k in SUBSET_SQL) + " from scored a"))
+def q_ref_pct_rank(spark, sf):
+    """Searchsorted-left percentile of each amount inside the
+    reference churners / non-churners / all."""
+    s, ref = _ref_frames(spark, sf)
+    out = J.ref_pct(s, ref, NUM_REF, "y_sig")
+    return out.select(L("id").alias("id"), *[R(f"pct_{k}_{c}").alias(f"pct_{k}_{c}")
+                                             for c in NUM_REF for k in SUBSET_SQL])
+
+
+@query("ref_pct_gap", with_base(
+    "select cast(id as bigint) as id, " + ", ".join(
+        f"round({_pct_sql('ch', c)} - {_pct_sql('nc', c)}, 6) as pctgap_{c}" for c in NUM_REF) + " from scored a"))
+def q_ref_pct_gap(spark, sf):
+    """Churner percentile minus non-churner percentile."""
+    s, ref = _ref_frames(spark, sf)
+    out = J.ref_pct(s, ref, NUM_REF, "y_sig")
+    return out.select(L("id").alias("id"), *[R(F.col(f"pct_ch_{c}") - F.col(f"pct_nc_{c}")).alias(f"pctgap_{c}")
+                                             for c in NUM_REF])
+
+
+Z_COLS = ["tenure", "monthly", "total", "const1"]
+
+
+def _z_sql():
+    st = ", ".join(f"avg(case when y_sig = {v} then {c} end) as mu_{k}_{c}, "
+                   f"stddev_pop(case when y_sig = {v} then {c} end) as sd_{k}_{c}"
+                   for c in Z_COLS for k, v in (("ch", 1), ("nc", 0)))
+    sel = []
+    for c in Z_COLS:
+        z = {k: f"(case when sd_{k}_{c} = 0 then 0.0 else ({c} - mu_{k}_{c}) / sd_{k}_{c} end)" for k in ("ch", "nc")}
+        sel += [f"round({z['ch']}, 6) as z_ch_{c}", f"round({z['nc']}, 6) as z_nc_{c}",
+                f"round(abs({z['ch']}) - abs({z['nc']}), 6) as zgap_{c}"]
+    return with_base("select cast(id as bigint) as id, " + ", ".join(sel) + " from zb, st",
+                     "zb as (select *, 1.0::double as const1 from scored),\n"
+                     f"st as (select {st} from zb where role = 'ref')")
+
+
+@query("ref_zscore", _z_sql())
+def q_ref_zscore(spark, sf):
+    """Z-scores against the reference churner / non-churner subsets
+    (population std; std 0, e.g. a constant column, -> 0) and their gap."""
+    s, ref = _ref_frames(spark, sf)
+    s = s.withColumn("const1", F.lit(1.0))
+    out = J.ref_zscore(s, ref.withColumn("const1", F.lit(1.0)), Z_COLS, "y_sig")
+    names = [f"{p}_{c}" for c in Z_COLS for p in ("z_ch", "z_nc", "zgap")]
+    return out.select(L("id").alias("id"), *[R(n).alias(n) for n in names])
+
+
+QD_COLS = ["total", "tenure"]
+
+
+def _qd_sql():
+    st = ", ".join(f"quantile_cont(case when y_sig = {v} then {c} end, {q}) as q{int(q * 100)}_{k}_{c}"
+                   for c in QD_COLS for k, v in (("ch", 1), ("nc", 0)) for q in (0.25, 0.5, 0.75))
+    sel = []
+    for c in QD_COLS:
+        for q in (25, 50, 75):
+            ch, nc = f"abs({c} - q{q}_ch_{c})", f"abs({c} - q{q}_nc_{c})"
+            sel += [f"round({ch}, 6) as qd{q}_ch_{c}", f"round({nc}, 6) as qd{q}_nc_{c}",
+                    f"round({nc} - {ch}, 6) as qdgap{q}_{c}"]
+    return with_base("select cast(id as bigint) as id, " + ", ".join(sel) + " from scored, st",
+                     f"st as (select {st} from scored where role = 'ref')")
+
+
+@query("ref_quantile_dist", _qd_sql())
+def q_ref_quantile_dist(spark, sf):
+    """Distance to the reference subsets' quartiles and the gap nc - ch."""
+    s, ref = _ref_frames(spark, sf)
+    out = J.ref_quantile_dist(s, ref, QD_COLS, "y_sig")
+    names = [f"{p}{q}_{k}_{c}" if p == "qd" else f"qdgap{q}_{c}"
+             for c in QD_COLS for q in (25, 50, 75) for p, k in (("qd", "ch"), ("qd", "nc"), ("gap", None))]
+    names = [n for n in names]
+    return out.select(L("id").alias("id"), *[R(n).alias(n) for n in names])
+
+
+SEGS = ["seg", "region"]
+
+
+@query("ref_segment_pct_rank", with_base(
+    "select cast(id as bigint) as id, " + ", ".join(
+        f"round(coalesce((select count(*) from segref r where r.{g} = a.{g} and r.monthly < a.monthly) / "
+        f"nullif((select count(*) from segref r where r.{g} = a.{g}), 0), 0), 6) as segpct_{g}_monthly"
+        for g in SEGS) + " from segrows a",
+    "segrows as (select id, role, monthly, seg, case when id % 11 = 0 then 'REGION_X' else region end as region from scored),\n"
+    "segref as (select * from segrows where role = 'ref')"))
+def q_ref_segment_pct_rank(spark, sf):
+    """Percentile of the small amount among reference rows of the same
+    segment (segment, region); a segment absent from the reference -> 0."""
+    s, _ = _ref_frames(spark, sf)
+    s = s.withColumn("region", F.when(F.col("id") % 11 == 0, F.lit("REGION_X")).otherwise(F.col("region")))
+    ref = s.filter(F.col("role") == "ref")
+    out = s
+    for g in SEGS:
+        out = J.ref_segment_pct(out, ref, "monthly", g)
+    return out.select(L("id").alias("id"), *[R(f"segpct_{g}_monthly").alias(f"segpct_{g}_monthly") for g in SEGS])
+
+
+@query("ref_segment_resid", with_base(
+    "select cast(id as bigint) as id, " + ", ".join(
+        f"round(monthly - coalesce((select avg(monthly) from scored r where r.role = 'ref' and r.{g} = a.{g}), 0), 6)"
+        f" as resid_{g}_monthly" for g in ["seg", "nation"]) + " from scored a"))
+def q_ref_segment_resid(spark, sf):
+    """Residual of the small amount from its segment's reference mean."""
+    s, ref = _ref_frames(spark, sf)
+    out = s
+    for g in ["seg", "nation"]:
+        out = J.ref_segment_resid(out, ref, "monthly", g)
+    return out.select(L("id").alias("id"), *[R(f"resid_{g}_monthly").alias(f"resid_{g}_monthly")
+                                             for g in ["seg", "nation"]])
+
+
+# single-feature strength ------------------------------------------------------
+
+FEATURE_GROUPS = {
+    "single_rate": [f"orig_{c}" for c in REF_COLS],
+    "cross_rate": [f"orig_{a}_{b}" for a, b in REF_PAIRS],
+    "digit": ["tenure_mod12", "tenure_last_digit"],
+    "arithmetic": ["charges_deviation", "avg_monthly_charges"],
+}
+DIGIT_SQL = {"tenure_mod12": "cast(((tenure % 12) + 12) % 12 as double)",
+             "tenure_last_digit": "cast(cast(right(cast(tenure as varchar), 1) as int) as double)",
+             "charges_deviation": "(total - tenure * monthly)", "avg_monthly_charges": "total / (tenure + 1)"}
+
+
+def _strength_frame(spark, sf):
+    o = _orig_frame(spark, sf).filter(F.col("role") == "train")
+    o = o.withColumn("tenure_mod12", F.pmod("tenure", F.lit(12)).cast("double")).withColumn(
+        "tenure_last_digit", F.expr("right(cast(tenure as string), 1)").cast("int").cast("double")).withColumn(
+        "charges_deviation", F.col("total") - F.col("tenure") * F.col("monthly")).withColumn(
+        "avg_monthly_charges", F.col("total") / (F.col("tenure") + 1))
+    arr = F.array(*[F.struct(F.lit(g).alias("grp"), F.lit(f).alias("feature"), F.col(f).cast("double").alias("s"))
+                    for g, fs in FEATURE_GROUPS.items() for f in fs])
+    long = o.select("y_sig", F.explode(arr).alias("r")).select("r.*", F.col("y_sig").alias("y"))
+    a = G.auc(long, "s", "y", ["grp", "feature"])
+    return a.withColumn("auc_adj", F.greatest(F.col("auc"), 1 - F.col("auc")))
+
+
+def _strength_sql_src():
+    s1, p1 = _orig_sql_cols()
+    cols = ", ".join(s1 + p1 + [f"{v} as {k}" for k, v in DIGIT_SQL.items()])
+    feats = " union all ".join(f"select '{g}' as grp, '{f}' as feature, cast({f} as double) as s, y_sig as y from fx"
+                               for g, fs in FEATURE_GROUPS.items() for f in fs)
+    return [f"fx as (select y_sig, {cols} from scored a where role = 'train')", f"lg as ({feats})"]
+
+
+def _auc_named_sql():
+    return ("select grp, feature, (sum(case when y = 1 then ra else 0 end) - sum(y) * (sum(y) + 1) / 2.0) / "
+            "(sum(y) * (count(*) - sum(y))) as auc from (select grp, feature, y, cast(rank() over (partition by grp, feature "
+            "order by s) as double) + (cast(count(*) over (partition by grp, feature, s) as double) - 1) / 2 as ra from lg) r "
+            "group by grp, feature")
+
+
+@query("single_feature_auc", with_base(
+    "select grp, feature, round(auc, 6) as auc, round(greatest(auc, 1 - auc), 6) as auc_adj from au",
+    ",\n".join(_strength_sql_src() + [f"au as ({_auc_named_sql()})"])))
+def q_single_feature_auc(spark, sf):
+    """AUC of every single feature (reference rates, digits, arithmetic)
+    on the train rows, max(a, 1 - a); one AUC job grouped by feature."""
+    a = _strength_frame(spark, sf)
+    return a.select("grp", "feature", R("auc").alias("auc"), R("auc_adj").alias("auc_adj"))
+
+
+@query("feature_group_strength", with_base(
+    "select grp, arg_max(feature, greatest(auc, 1 - auc)) as best_feature, round(max(greatest(auc, 1 - auc)), 6) as best_auc "
+    "from au group by grp", ",\n".join(_strength_sql_src() + [f"au as ({_auc_named_sql()})"])))
+def q_feature_group_strength(spark, sf):
+    """Best single-feature AUC per feature group."""
+    a = _strength_frame(spark, sf)
+    g = a.groupBy("grp").agg(F.max_by("feature", "auc_adj").alias("best_feature"),
+                             F.max("auc_adj").alias("best_auc"))
+    return g.select("grp", "best_feature", R("best_auc").alias("best_auc"))
