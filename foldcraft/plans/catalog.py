@@ -1272,3 +1272,219 @@ def q_blend_grid(spark, sf):
         "s", "y", ["m"]).agg(F.max("auc").alias("best_single"))
     j = g.crossJoin(F.broadcast(single))  # one row
     return j.select(R("w").alias("w"), R("auc").alias("auc"), R(R("auc") - R("best_single")).alias("gain"))
+
+
+COARSE = [round(0.05 * i, 2) for i in range(21)]
+
+
+@query("blend_refine", with_base(
+    "select round(w, 6) as w, auc from fine",
+    TRAIN_SCORED + ",\n" + f"coarse as ({_auc_sql_from(_grid_sql(COARSE), 'w')}),\n"
+    "best as (select arg_max(w, auc) as w0 from (select w, auc, row_number() over (order by auc desc, w) as r from coarse) where r = 1),\n"
+    "fw as (select distinct round(b.w0 + (range - 5) * 0.01, 2) as w from best b, range(11) "
+    "where b.w0 + (range - 5) * 0.01 between -1e-9 and 1 + 1e-9),\n"
+    "fine as (select w, (sum(case when y = 1 then ra else 0 end) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))) as auc0 "
+    "from (select f.w, t.y, cast(rank() over (partition by f.w order by cast(f.w as double) * t.s_a + (1.0 - cast(f.w as double)) * t.s_b) as double) "
+    "+ (cast(count(*) over (partition by f.w, cast(f.w as double) * t.s_a + (1.0 - cast(f.w as double)) * t.s_b) as double) - 1) / 2 as ra "
+    "from ts t, fw f) r group by w)").replace("select round(w, 6) as w, auc from fine", "select round(w, 6) as w, round(auc0, 6) as auc from fine"))
+def q_blend_refine(spark, sf):
+    """M3: bounded search for the blend weight: a coarse grid on [0, 1]
+    (step .05), then a refined grid (step .01) around the best coarse
+    weight; each grid is one AUC job."""
+    t = _train_scored(spark, sf).persist()
+    coarse = N.weight_grid_auc(t, "s_a", "s_b", "y", COARSE)
+    w0 = coarse.select("w", F.round("auc", 6).alias("a")).orderBy(F.desc("a"), "w").first()["w"]  # one scalar
+    fine = sorted({round(w0 + (i - 5) * 0.01, 2) for i in range(11) if -1e-9 <= w0 + (i - 5) * 0.01 <= 1 + 1e-9})
+    g = N.weight_grid_auc(t, "s_a", "s_b", "y", fine)
+    return g.select(R("w").alias("w"), R("auc").alias("auc"))
+
+
+def _fold_scores(df):
+    """Deterministic per-(seed, fold) test scores standing in for the
+    models of a 3-seed x 5-fold run."""
+    sf_ = df.crossJoin(F.broadcast(df.sparkSession.createDataFrame(
+        [(s, f) for s in (11, 42, 99) for f in range(5)], ["seed", "fold"])))  # 15 rows
+    noise = ((F.col("id") * 7919 + F.col("seed") * 31 + F.col("fold") * 17) % 1009) / F.lit(1009.0)
+    return sf_.withColumn("p", F.lit(0.9) * F.col("s_a") + F.lit(0.1) * noise)
+
+
+@query("fold_average", with_base(
+    "select cast(id as bigint) as id, round(avg(p_seed), 6) as score from (select id, seed, avg(p) as p_seed from "
+    "(select id, seed, fold, 0.9 * s_a + 0.1 * (((id * 7919 + seed * 31 + fold * 17) % 1009) / 1009.0) as p from scored, "
+    "(select unnest([11, 42, 99]) as seed), (select range as fold from range(5)) where role = 'test') x group by id, seed) y group by id"))
+def q_fold_average(spark, sf):
+    """Test scores averaged over the 5 fold models, then over 3 seeds."""
+    t = T.scored(spark, sf).filter(F.col("role") == "test").select("id", "s_a")
+    p = _fold_scores(t)
+    per_seed = p.groupBy("id", "seed").agg(F.avg("p").alias("p_seed"))
+    return per_seed.groupBy("id").agg(R(F.avg("p_seed")).alias("score")).select(L("id").alias("id"), "score")
+
+
+@query("model_corr", with_base(
+    "select round(c, 6) as corr, case when c > 0.9 then 'high' when c < 0.7 then 'low' else 'moderate' end as verdict "
+    "from (select corr(s_a, s_b) as c from ts)", TRAIN_SCORED))
+def q_model_corr(spark, sf):
+    """Correlation of two models' scores with verdict bands."""
+    c = _train_scored(spark, sf).agg(F.corr("s_a", "s_b").alias("c"))
+    return c.select(R("c").alias("corr"), F.when(F.col("c") > 0.9, "high").when(F.col("c") < 0.7, "low")
+                    .otherwise("moderate").alias("verdict"))
+
+
+@query("error_overlap", with_base(
+    "select cast(sum(case when ra and rb then 1 else 0 end) as bigint) as both_right, "
+    "cast(sum(case when not ra and not rb then 1 else 0 end) as bigint) as both_wrong, "
+    "cast(sum(case when ra and not rb then 1 else 0 end) as bigint) as only_a, "
+    "cast(sum(case when not ra and rb then 1 else 0 end) as bigint) as only_b, "
+    "round(avg(cast(ra as double)), 6) as acc_a, round(avg(cast(rb as double)), 6) as acc_b, "
+    "round(avg(cast(ra <> rb as double)), 6) as complementarity "
+    "from (select cast(s_a > 0.5 as int) = y as ra, cast(s_b > 0.5 as int) = y as rb from ts)", TRAIN_SCORED))
+def q_error_overlap(spark, sf):
+    """Both right / both wrong / only A / only B at .5, accuracies and
+    complementarity."""
+    o = N.error_overlap(_train_scored(spark, sf), "s_a", "s_b", "y")
+    return o.select(*[L(c).alias(c) for c in ("both_right", "both_wrong", "only_a", "only_b")],
+                    *[R(c).alias(c) for c in ("acc_a", "acc_b", "complementarity")])
+
+
+@query("calibration", with_base(
+    "select m, cast(bin as bigint) as bin, round(avg(p), 6) as mean_pred, round(avg(y), 6) as pos_share, "
+    "cast(count(*) as bigint) as n from (select m, p, y, greatest(ceil(p * 20) - 1, 0) as bin from "
+    "(select 's_a' as m, s_a as p, y from ts union all select 's_b', s_b, y from ts)) group by m, bin", TRAIN_SCORED))
+def q_calibration(spark, sf):
+    """20-bin calibration curve for two scores, empty bins dropped."""
+    t = _train_scored(spark, sf)
+    out = None
+    for m in ("s_a", "s_b"):
+        c = N.calibration(t.select(F.col(m).alias("p"), "y"), "p", "y").withColumn("m", F.lit(m))
+        out = c if out is None else out.unionByName(c)
+    return out.select("m", L("bin").alias("bin"), R("mean_pred").alias("mean_pred"), R("pos_share").alias("pos_share"),
+                      L("n").alias("n"))
+
+
+@query("score_summary", with_base(
+    "select m, cls, round(min(p), 6) as min, round(max(p), 6) as max, round(avg(p), 6) as mean, round(stddev_pop(p), 6) as std, "
+    "round(avg(cast(p > 0.5 as double)), 6) as share_gt_05 from (select m, p, 'all' as cls from u union all "
+    "select m, p, cast(y as varchar) from u) group by m, cls",
+    TRAIN_SCORED + ",\nu as (select 's_a' as m, s_a as p, y from ts union all select 's_b', s_b, y from ts)"))
+def q_score_summary(spark, sf):
+    """Prediction distribution overall and by true class."""
+    t = _train_scored(spark, sf)
+    u = t.select(F.explode(F.array(F.struct(F.lit("s_a").alias("m"), F.col("s_a").alias("p"), F.col("y").alias("y")),
+                                   F.struct(F.lit("s_b").alias("m"), F.col("s_b").alias("p"), F.col("y").alias("y"))))
+                 .alias("r")).select("r.*")
+    u2 = u.select("m", "p", F.explode(F.array(F.lit("all"), F.col("y").cast("string"))).alias("cls"))
+    s = N.score_summary(u2, "p", ["m", "cls"])
+    return s.select("m", "cls", *[R(c).alias(c) for c in ("min", "max", "mean", "std", "share_gt_05")])
+
+
+@query("log_loss", with_base(
+    "select m, round(avg(-(y * ln(least(greatest(p, 1e-15), 1 - 1e-15)) + (1 - y) * ln(1 - least(greatest(p, 1e-15), 1 - 1e-15)))), 6) "
+    "as log_loss from (select 's_a' as m, s_a as p, y from ts union all select 's_b', s_b, y from ts) group by m", TRAIN_SCORED))
+def q_log_loss(spark, sf):
+    """Log-loss of two scores."""
+    t = _train_scored(spark, sf)
+    out = None
+    for m in ("s_a", "s_b"):
+        c = N.log_loss(t.select(F.col(m).alias("p"), "y"), "p", "y").withColumn("m", F.lit(m))
+        out = c if out is None else out.unionByName(c)
+    return out.select("m", R("log_loss").alias("log_loss"))
+
+
+SMOOTHINGS = [1, 3, 5, 10]
+
+
+@query("smoothing_sweep", with_base(
+    "select cast(m as bigint) as m, cast(f as bigint) as fold, col, value, round((s + m * p) / (n + m), 6) as enc from ("
+    + " union all ".join(
+        f"select fl.f, '{c}' as col, x.{c} as value, sum(case when x.fold <> fl.f then 1 else 0 end) as n, "
+        f"sum(case when x.fold <> fl.f then x.y else 0 end) as s from folds x cross join fl group by fl.f, x.{c}"
+        for c in TE_COLS) + ") st join lab on lab.f = st.f cross join (select unnest([" + ", ".join(map(str, SMOOTHINGS))
+    + "]) as m) mm",
+    TE_BASE + ",\n" + FOLDS_SQL + ",\nfl as (select range as f from range(5)),\n"
+    "lab as (select fl.f as lf, sum(case when x.fold <> fl.f then x.y else 0 end) * 1.0e0 / "
+    "sum(case when x.fold <> fl.f then 1 else 0 end) as p from folds x cross join fl group by fl.f)").replace(
+    "join lab on lab.f = st.f", "join lab on lab.lf = st.f"))
+def q_smoothing_sweep(spark, sf):
+    """Per-fold encodings for every smoothing m in {1, 3, 5, 10} from
+    one (col, value, fold) aggregate, exploded over m."""
+    tr, _ = _train_folds(spark, sf)
+    st = E.label_stats(tr, TE_COLS, ["fold"])
+    fit = E.exclude_each(st, ["col", "value"], "fold", range(K_OUTER))
+    lab = tr.groupBy("fold").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("y").cast("double").alias("s"))
+    lab = lab.withColumn("col", F.lit("_")).withColumn("value", F.lit("_"))
+    pr = E.exclude_each(lab, ["col", "value"], "fold", range(K_OUTER)).select(
+        "fold", (F.col("s") / F.col("n")).alias("p"))
+    ms = F.explode(F.array(*[F.lit(float(m)) for m in SMOOTHINGS])).alias("m")
+    x = fit.join(F.broadcast(pr), "fold").select("*", ms)
+    return x.select(L("m").alias("m"), L("fold").alias("fold"), "col", "value",
+                    R((F.col("s") + F.col("m") * F.col("p")) / (F.col("n") + F.col("m"))).alias("enc"))
+
+
+THRESHOLDS = [0.6, 0.65, 0.7, 0.75, 0.8]
+
+
+@query("threshold_sweep", with_base(
+    "select round(t, 6) as threshold, cast(sum(case when s_a > t or s_a < 1 - t then 1 else 0 end) as bigint) as n_pseudo, "
+    "round(avg(case when s_a > t or s_a < 1 - t then 1.0 else 0.0 end), 6) as pct_pseudo, "
+    "round(sum(case when (s_a > t or s_a < 1 - t) and cast(s_a > 0.5 as int) = y_sig then 1 else 0 end) * 1.0e0 / "
+    "nullif(sum(case when s_a > t or s_a < 1 - t then 1 else 0 end), 0), 6) as agree_rate "
+    "from scored, (select unnest(" + "[" + ", ".join(f"{t!r}" for t in THRESHOLDS) + "]::double[]) as t) "
+    "where role = 'test' group by t"))
+def q_threshold_sweep(spark, sf):
+    """Pseudo-label count, share and label agreement for several
+    confidence thresholds in one conditional-aggregation pass."""
+    te = T.scored(spark, sf).filter(F.col("role") == "test")
+    tt = spark.createDataFrame([(float(t),) for t in THRESHOLDS], ["t"])
+    x = te.crossJoin(F.broadcast(tt))  # 5 rows
+    conf = (F.col("s_a") > F.col("t")) | (F.col("s_a") < 1 - F.col("t"))
+    agree = conf & ((F.col("s_a") > 0.5).cast("int") == F.col("y_sig"))
+    g = x.groupBy("t").agg(F.sum(conf.cast("int")).alias("n"), F.avg(conf.cast("double")).alias("pct"),
+                           F.sum(agree.cast("int")).alias("k"))
+    return g.select(R("t").alias("threshold"), L("n").alias("n_pseudo"), R("pct").alias("pct_pseudo"),
+                    R(F.try_divide(F.col("k").cast("double"), F.col("n"))).alias("agree_rate"))
+
+
+@query("topk_report", with_base(
+    "select feature, auc_adj, cast(rk as bigint) as rank, cast(feature like '%pri%' as bigint) as is_named from ("
+    "select feature, round(greatest(auc, 1 - auc), 6) as auc_adj, row_number() over (order by round(greatest(auc, 1 - auc), 6) desc, feature) as rk "
+    "from au) where rk <= 5", ",\n".join(_strength_sql_src() + [f"au as ({_auc_named_sql()})"])))
+def q_topk_report(spark, sf):
+    """Top-5 features by single-feature AUC with their rank
+    and a flag for names containing a substring (sort + limit on the small
+    per-feature table)."""
+    from pyspark.sql import Window
+    a = _strength_frame(spark, sf).select("feature", R("auc_adj").alias("auc_adj"))
+    w = Window.orderBy(F.desc("auc_adj"), "feature")  # one row per feature
+    r = a.select("feature", "auc_adj", F.row_number().over(w).alias("rank")).filter(F.col("rank") <= 5)
+    return r.select("feature", "auc_adj", L("rank").alias("rank"), L(F.col("feature").contains("pri")).alias("is_named"))
+
+
+# ---------------------------------------------------------------- step 11
+
+@query("missing_report", with_base(
+    "select col, cast(n_missing as bigint) as n_missing, cast(max(n_missing) over () as bigint) as max_missing from ("
+    "select 'amt' as col, count(*) - count(try_cast(case when id % 50 = 0 then ' ' else cast(monthly as varchar) end as double)) as n_missing from accounts "
+    "union all select 'pri_pad', count(*) - count(case when id % 37 = 0 then null else pri end) from accounts "
+    "union all select 'monthly', count(*) - count(monthly) from accounts)"))
+def q_missing_report(spark, sf):
+    """Null count per column (raw values, before any fill) and the max."""
+    from pyspark.sql import Window
+    a = T.accounts(spark, sf).select(T.text_amount().try_cast("double").alias("amt"),
+                                     T.padded_category().alias("pri_pad"), "monthly")
+    cols = ["amt", "pri_pad", "monthly"]
+    row = a.agg(*[(F.count(F.lit(1)) - F.count(c)).alias(c) for c in cols])
+    long = row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("n_missing"))
+                                          for c in cols])).alias("r")).select("r.*")
+    w = Window.partitionBy()  # 3-row table
+    return long.select("col", L("n_missing").alias("n_missing"), L(F.max("n_missing").over(w)).alias("max_missing"))
+
+
+@query("class_balance", with_base(
+    "select role, cast(y as bigint) as y, cast(count(*) as bigint) as n, "
+    "round(count(*) / sum(count(*)) over (partition by role), 6) as share from accounts group by role, y"))
+def q_class_balance(spark, sf):
+    """label counts and shares per role."""
+    from pyspark.sql import Window
+    g = T.accounts(spark, sf).groupBy("role", "y").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("role")  # 6-row table
+    return g.select("role", L("y").alias("y"), L("n").alias("n"), R(F.col("n") / F.sum("n").over(w)).alias("share"))
