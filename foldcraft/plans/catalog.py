@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..oracle_sql import with_base
 from ..operators import encode as E
 from ..operators import folds as K
-from ..session import round6
+from ..session import cut_lineage, round6
 from ..functions import scalar as S
 from ..sources import tables as T
 
@@ -438,13 +438,13 @@ def _pseudo_fold_sql(cols, m):
     """I9 oracle: per-fold fit over (train rows of other folds + every pseudo
     row); pseudo rows are test rows with s_a > t or < 1-t, label [s_a > .5]."""
     sql = _fold_fit_sql(cols, m)
-    aug = (f"aug as (select * from folds union all select * exclude (y, fold), cast(s_a > 0.5 as int) as y, -1 as fold "
+    aug = (f"aug as (select * from folds union all by name select * replace (cast(s_a > 0.5 as int) as y), -1 as fold "
            f"from te_base where role = 'test' and (s_a > {PSEUDO_T} or s_a < 1 - {PSEUDO_T}))")
     sql = sql.replace("fl as (select range as f from range(5))", aug + ",\nfl as (select range as f from range(5))")
     return sql.replace("from folds x cross join fl", "from aug x cross join fl")
 
 
-@query("te_pseudo_augmented", None)
+@query("te_pseudo_augmented", _pseudo_fold_sql(TE_COLS, 10))
 def q_te_pseudo_augmented(spark, sf):
     """Per-fold encoding fitted on the fold's training rows plus all
     pseudo-labelled test rows (confident fixed score s_a, t=0.7)."""
@@ -1488,3 +1488,107 @@ def q_class_balance(spark, sf):
     g = T.accounts(spark, sf).groupBy("role", "y").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("role")  # 6-row table
     return g.select("role", L("y").alias("y"), L("n").alias("n"), R(F.col("n") / F.sum("n").over(w)).alias("share"))
+
+
+# ---------------------------------------------------------------- step 9 (rows-only: fitted models)
+
+from . import train as TR  # noqa: E402
+
+MODEL_FEATURES = ["tenure", "monthly", "total", "n_items", "svc_yes_count", "is_urgent", "ISYES_svc_return",
+                  "charges_deviation", "tenure_mod12"]
+
+
+def _model_frame(spark, sf):
+    s = T.scored(spark, sf)
+    feats = {f.name: f for g in S.GROUPS.values() for f in g}
+    cols = [feats[n].col().cast("double").alias(n) for n in MODEL_FEATURES if n in feats]
+    base = [F.col(n).cast("double").alias(n) for n in MODEL_FEATURES if n not in feats]
+    x = s.select("id", "role", F.col("y_sig").alias("y"), *base, *cols)
+    tr = K.stratified_folds(x.filter(F.col("role") == "train"), 3, SEED)
+    return tr, x.filter(F.col("role") == "test")
+
+
+@query("gbt_oof")
+def q_gbt_oof(spark, sf):
+    """Boosted trees out of fold (3 folds, 10
+    trees, early stopping on the held-out fold), OOF scores for train rows
+    and fold-averaged test scores."""
+    tr, te = _model_frame(spark, sf)
+    scored, _ = TR.oof_scores(tr, te, MODEL_FEATURES, "y", lambda: TR.gbt("y", 10, 4, validation_col="_is_val"),
+                              range(3), early_stop=True)
+    return TR.assemble_oof(scored)
+
+
+@query("gbt_fold_report")
+def q_gbt_fold_report(spark, sf):
+    """Per-fold model size (trees kept after early stopping) and
+    validation AUC of the boosted-tree OOF run."""
+    tr, te = _model_frame(spark, sf)
+    _, rep = TR.oof_scores(tr, te, MODEL_FEATURES, "y", lambda: TR.gbt("y", 10, 4, validation_col="_is_val"),
+                           range(3), early_stop=True)
+    return rep
+
+
+@query("logreg_oof")
+def q_logreg_oof(spark, sf):
+    """Standardised logistic regression with balanced class
+    weights, out of fold."""
+    tr, te = _model_frame(spark, sf)
+    cnt = tr.groupBy("y").agg(F.count(F.lit(1)).alias("n_c"))
+    n = cnt.agg(F.sum("n_c").alias("n"))
+    w = cnt.crossJoin(n).select("y", (F.col("n") / (2.0 * F.col("n_c"))).alias("w"))  # 2 rows
+    tr = tr.join(F.broadcast(w), "y")
+    scored, _ = TR.oof_scores(tr, te, MODEL_FEATURES, "y", lambda: TR.logreg("y", "w", 50, 0.01), range(3),
+                              scale=True, weight_col="w")
+    return TR.assemble_oof(scored)
+
+
+@query("rebalanced_gbt")
+def q_rebalanced_gbt(spark, sf):
+    """L6 + K6: one boosted-tree model per rebalanced set, test scores
+    averaged over the five sets."""
+    tr, te = _model_frame(spark, sf)
+    sets = K.rebalanced_sets(tr, 5, PER_OTHER_PART, SEED).select("set_id", "id")
+    asm = TR.VectorAssembler(inputCols=MODEL_FEATURES, outputCol="features", handleInvalid="keep")
+    rows = cut_lineage(asm.transform(sets.join(tr, "id")))
+    test = cut_lineage(asm.transform(te))
+    out = None
+    for i in range(1, 6):
+        m = TR.gbt("y", 5, 4, seed=SEED + i).fit(rows.filter(F.col("set_id") == i))
+        p = TR._prob(m.transform(test)).select("id", F.lit(i).alias("set_id"), "score")
+        out = p if out is None else out.unionByName(p)
+    return out.groupBy("id").agg(F.avg("score").alias("score"))
+
+
+@query("pseudo_gbt")
+def q_pseudo_gbt(spark, sf):
+    """K8: per fold, a second fit with confident test rows as pseudo
+    labels; the pseudo round is kept only when the fold's AUC rises."""
+    tr, te = _model_frame(spark, sf)
+    asm = TR.VectorAssembler(inputCols=MODEL_FEATURES, outputCol="features", handleInvalid="keep")
+    tr_v, te_v = cut_lineage(asm.transform(tr)), cut_lineage(asm.transform(te))
+    rows = []
+    for f in range(2):
+        fit, val = tr_v.filter(F.col("fold") != f), tr_v.filter(F.col("fold") == f)
+        m1 = TR.gbt("y", 8, 4).fit(fit)
+        a1 = G.auc(TR._prob(m1.transform(val)), "score", "y").first()["auc"]
+        p = TR._prob(m1.transform(te_v))
+        ps = p.filter((F.col("score") > 0.7) | (F.col("score") < 0.3)).withColumn(
+            "y", (F.col("score") > 0.5).cast("int")).withColumn("fold", F.lit(-1)).select(*fit.columns)
+        a2 = None
+        if ps.limit(1).count() > 0:
+            m2 = TR.gbt("y", 8, 4).fit(fit.unionByName(ps))
+            a2 = G.auc(TR._prob(m2.transform(val)), "score", "y").first()["auc"]
+        rows.append((f, float(a1), None if a2 is None else float(a2), bool(a2 is not None and a2 > a1)))
+    return spark.createDataFrame(rows, "fold int, auc_round1 double, auc_round2 double, keep_pseudo boolean")
+
+
+@query("feature_importance")
+def q_feature_importance(spark, sf):
+    """Gain importances sorted, with rank and a name flag."""
+    from pyspark.sql import Window
+    tr, _ = _model_frame(spark, sf)
+    imp = TR.importances(tr, MODEL_FEATURES, "y", TR.gbt("y", 10, 4))
+    w = Window.orderBy(F.desc("importance"), "feature")  # one row per feature
+    return imp.select("feature", "importance", F.row_number().over(w).alias("rank"),
+                      F.col("feature").contains("svc").cast("int").alias("is_named"))
