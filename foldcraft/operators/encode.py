@@ -120,26 +120,26 @@ def _apply(rows: DataFrame, table: DataFrame, cols: Sequence[str], keys: Sequenc
            outputs: dict[str, EncFn], prefix_fmt: str, defaults: dict[str, Column]) -> DataFrame:
     """Left-join every encoded column's fit table onto the rows.
 
-    ``table`` is (keys..., col, value, n, s, prior, pvar); its size is
-    counted once: broadcast below the bound, shuffled join above it.
+    ``table`` is (keys..., col, value, n, s, prior, pvar).  The encodings
+    are materialised once (they feed one join per column) and counted:
+    broadcast below the bound, shuffled join above it.
     """
-    from pyspark import StorageLevel
     enc = table.select(*keys, "col", "value",
                        *[fn(F.col("n"), F.col("s"), F.col("prior"), F.col("pvar")).alias(name)
                          for name, fn in outputs.items()])
-    enc = enc.persist(StorageLevel.MEMORY_AND_DISK)
+    enc = cut_lineage(enc, "encodings")
     small = enc.count() <= BROADCAST_MAX_ROWS
-    out = rows
+    vkey = {c: f"_v{i}" for i, c in enumerate(cols)}
+    out = rows.select("*", *[F.col(c).cast("string").alias(vkey[c]) for c in cols])
+    names = {}
     for c in cols:
-        t = enc.filter(F.col("col") == c).drop("col").withColumnRenamed("value", "_v")
-        t = t.select(*keys, "_v", *[F.col(nm).alias(prefix_fmt.format(col=c, stat=nm))
-                                      for nm in outputs])
-        t = F.broadcast(t) if small else t
-        out = out.withColumn("_v", F.col(c).cast("string")).join(t, on=[*keys, "_v"], how="left").drop("_v")
+        t = enc.filter(F.col("col") == c).select(
+            *keys, F.col("value").alias(vkey[c]),
+            *[F.col(nm).alias(f"_e_{vkey[c]}_{nm}") for nm in outputs])
+        out = out.join(F.broadcast(t) if small else t, on=[*keys, vkey[c]], how="left")
         for nm in outputs:
-            o = prefix_fmt.format(col=c, stat=nm)
-            out = out.withColumn(o, F.coalesce(F.col(o), defaults[nm]))
-    return out
+            names[prefix_fmt.format(col=c, stat=nm)] = F.coalesce(F.col(f"_e_{vkey[c]}_{nm}"), defaults[nm])
+    return out.select(*rows.columns, *[e.alias(n) for n, e in names.items()])
 
 
 # -------------------------------------------------------------- operators
@@ -171,7 +171,7 @@ def encode_per_fold(train: DataFrame, test: DataFrame, cols: Sequence[str], k: i
     'global' = mean over all train labels (I4).
     Output: (fold, id, part, encoded columns...).
     """
-    train = cut_lineage(train.select("id", label, "fold", *cols))
+    train = cut_lineage(train.select("id", label, "fold", *cols), "folds")
     test = test.select("id", *cols)
     fit_rows = train if extra_fit is None else train.unionByName(
         extra_fit.select(*train.columns))
@@ -219,9 +219,13 @@ def encode_nested(train: DataFrame, test: DataFrame, cols: Sequence[str], k_oute
     # The fold-assigned rows feed the aggregate, the label priors and the
     # rows to encode: cut their lineage once (reliable checkpoint in the
     # shared folder) instead of recomputing the fixture join per branch.
-    train = cut_lineage(train.select("id", label, "fold", *cols))
+    # Outer-train rows get inner folds, the outer fold's own rows are its
+    # validation part: one exploded frame, materialised once (it feeds the
+    # aggregate, the label priors and the rows to encode).
+    train = train.select("id", label, "fold", *cols)
     test = test.select("id", *cols)
-    nf = cut_lineage(nested_folds(train, k_outer, k_inner, seed, label))
+    allrows = cut_lineage(nested_folds(train, k_outer, k_inner, seed, label, keep_own=True), "nested")
+    nf = allrows.filter(F.col("ifold") >= 0)
     st = label_stats(nf, cols, ["ofold", "ifold"], label)
     inner_fit = exclude_each(st, ["col", "value", "ofold"], "ifold", range(k_inner))
     outer_full = (st.groupBy("col", "value", "ofold")
@@ -246,8 +250,7 @@ def encode_nested(train: DataFrame, test: DataFrame, cols: Sequence[str], k_oute
     table = table.join(F.broadcast(pr), ["ofold", "ifold"])  # k_outer*(k_inner+1) rows
 
     fit_rows = nf.withColumn("part", F.lit("fit"))
-    valid = (train.withColumn("ofold", F.col("fold")).withColumn("ifold", F.lit(-1))
-             .withColumn("part", F.lit("valid")))
+    valid = allrows.filter(F.col("ifold") < 0).withColumn("part", F.lit("valid"))
     outers = train.sparkSession.createDataFrame([(i,) for i in range(k_outer)], ["ofold"])
     te = (test.crossJoin(F.broadcast(outers)).withColumn("ifold", F.lit(-1))
           .withColumn("part", F.lit("test")))

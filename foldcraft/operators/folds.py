@@ -43,19 +43,24 @@ def multi_seed_folds(df: DataFrame, seeds: Sequence[int] = (11, 42, 99), k: int
 
 def nested_folds(df: DataFrame, k_outer: int = 5, k_inner: int = 5, seed: int = 42,
                  label: str = "y", id_col: str = "id", fold: str = "fold",
-                 inner_seed_offset: bool = True) -> DataFrame:
+                 inner_seed_offset: bool = True, keep_own: bool = False) -> DataFrame:
     """K2: for every outer fold f, the rows of its training part (fold != f)
     get an inner fold numbered *within that part* with seed ``seed + f``.
 
-    Output: one row per (outer, row of outer-train) with ``outer`` and
-    ``inner``; ``df`` must carry ``fold``.
+    Output: one row per (outer, row of outer-train) with ``ofold`` and
+    ``ifold``; ``df`` must carry ``fold``.  ``keep_own`` also keeps each
+    row's copy for its own outer fold (the validation part) with ifold -1.
     """
-    ex = (df.withColumn("ofold", F.explode(F.array(*[F.lit(i) for i in range(k_outer)])))
-          .filter(F.col("ofold") != F.col(fold)))
+    ex = df.withColumn("ofold", F.explode(F.array(*[F.lit(i) for i in range(k_outer)])))
     s = (F.col("ofold") + F.lit(seed)) if inner_seed_offset else F.lit(seed)
-    r = row_number_by_hash(ex, seeded_key(s, id_col), ["ofold", label],
+    inner = ex.filter(F.col("ofold") != F.col(fold))
+    r = row_number_by_hash(inner, seeded_key(s, id_col), ["ofold", label],
                            out="_rn", tiebreak=id_col)
-    return r.withColumn("ifold", (F.col("_rn") % k_inner).cast("int")).drop("_rn", "_rn_n")
+    r = r.withColumn("ifold", (F.col("_rn") % k_inner).cast("int")).drop("_rn", "_rn_n")
+    if keep_own:
+        own = ex.filter(F.col("ofold") == F.col(fold)).withColumn("ifold", F.lit(-1))
+        r = r.unionByName(own)
+    return r
 
 
 def stratified_holdout(df: DataFrame, frac: float = 0.2, seed: int = 42, label: str = "y",
