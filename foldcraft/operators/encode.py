@@ -206,7 +206,8 @@ def encode_per_fold(train: DataFrame, test: DataFrame, cols: Sequence[str], k: i
 def encode_nested(train: DataFrame, test: DataFrame, cols: Sequence[str], k_outer: int,
                   k_inner: int, outputs: dict[str, EncFn], seed: int = 42,
                   prior_scope: str = "outer", prefix_fmt: str = "te_{col}",
-                  label: str = "y", defaults: dict[str, float] | None = None) -> DataFrame:
+                  label: str = "y", defaults: dict[str, float] | None = None,
+                  nested: DataFrame | None = None) -> DataFrame:
     """Nested out-of-fold encoding.
 
     Outer-train rows (fold != outer) are encoded from the other inner folds
@@ -214,7 +215,9 @@ def encode_nested(train: DataFrame, test: DataFrame, cols: Sequence[str], k_oute
     rows are encoded from the whole outer-train set.  ``train`` must carry
     ``fold``.  ``prior_scope``: 'outer' = outer-train mean for every fit set
     (fixed prior), 'fit' = mean / variance of the actual fit set (sklearn's
-    cross-fitting).  Output (outer, id, part, encoded...).
+    cross-fitting).  ``nested``: precomputed ``nested_folds(...,
+    keep_own=True)`` rows (folds held fixed).  Output (ofold, id, part,
+    encoded...).
     """
     # The fold-assigned rows feed the aggregate, the label priors and the
     # rows to encode: cut their lineage once (reliable checkpoint in the
@@ -224,7 +227,9 @@ def encode_nested(train: DataFrame, test: DataFrame, cols: Sequence[str], k_oute
     # aggregate, the label priors and the rows to encode).
     train = train.select("id", label, "fold", *cols)
     test = test.select("id", *cols)
-    allrows = cut_lineage(nested_folds(train, k_outer, k_inner, seed, label, keep_own=True), "nested")
+    if nested is None:
+        nested = nested_folds(train, k_outer, k_inner, seed, label, keep_own=True)
+    allrows = cut_lineage(nested.select("id", label, "fold", *cols, "ofold", "ifold"), "nested")
     nf = allrows.filter(F.col("ifold") >= 0)
     st = label_stats(nf, cols, ["ofold", "ifold"], label)
     inner_fit = exclude_each(st, ["col", "value", "ofold"], "ifold", range(k_inner))
