@@ -151,11 +151,12 @@ def encode_full(fit: DataFrame, rows: DataFrame, cols: Sequence[str],
     values get the prior (or ``unseen``)."""
     st = label_stats(fit, cols, [], label).withColumn("_one", F.lit(1))
     pr = prior_table(fit.withColumn("_one", F.lit(1)), ["_one"], label)
-    table = st.join(F.broadcast(pr), "_one")
-    p_row = pr.select("prior").first()[0]  # one scalar (fit-set mean)
-    dflt = F.lit(float(unseen if unseen is not None else p_row))
-    return _apply(rows.withColumn("_one", F.lit(1)), table, cols, ["_one"], outputs,
-                  prefix_fmt, {k: dflt for k in outputs}).drop("_one")
+    table = st.join(F.broadcast(pr), "_one")  # one-row side
+    r = rows.withColumn("_one", F.lit(1)).join(
+        F.broadcast(pr.select("_one", F.col("prior").alias("_prior"))), "_one")
+    dflt = F.lit(float(unseen)) if unseen is not None else F.col("_prior")
+    return _apply(r, table, cols, ["_one"], outputs, prefix_fmt,
+                  {k: dflt for k in outputs}).drop("_one", "_prior")
 
 
 def encode_per_fold(train: DataFrame, test: DataFrame, cols: Sequence[str], k: int,

@@ -26,14 +26,22 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 256
+# Buckets of the value-ordered kernels: only the small offsets table grows
+# with it (segments x buckets rows), while the rows per window partition
+# shrink; many buckets share a task, so small data pays little for them.
+DEFAULT_BUCKETS = 1024
+# hex digits of the hash-ordered kernels: 16**3 = 4096 buckets per segment
+# keeps a window partition near a million rows at ~4e9 rows per segment.
+DEFAULT_HEX_DIGITS = 3
 
 
 def quantile_boundaries(df: DataFrame, col: str, n_buckets: int = DEFAULT_BUCKETS,
-                        rel_err: float = 1e-3) -> list[float]:
+                        rel_err: float | None = None) -> list[float]:
     """Strictly increasing literal cut points that split ``col`` evenly."""
     if n_buckets <= 1:
         return []
+    if rel_err is None:
+        rel_err = 1.0 / (4 * n_buckets)
     probs = [i / n_buckets for i in range(1, n_buckets)]
     qs = df.select(F.col(col).cast("double").alias(col)).approxQuantile(col, probs, rel_err)
     out: list[float] = []
@@ -60,7 +68,7 @@ def with_value_bucket(df: DataFrame, col: str, boundaries: Sequence[float],
     return res.withColumn(out, F.col(out).cast("int")).drop(tmp)
 
 
-def hash_bucket(key: Column, hex_digits: int = 2) -> Column:
+def hash_bucket(key: Column, hex_digits: int = DEFAULT_HEX_DIGITS) -> Column:
     """Bucket of an md5 hex key: its first ``hex_digits`` hex digits."""
     return F.conv(F.substring(key, 1, hex_digits), 16, 10).cast("int")
 
@@ -110,7 +118,7 @@ def running_counts(hist: DataFrame, value: str, counts: Sequence[str],
 
 
 def row_number_by_hash(df: DataFrame, key: Column, segments: Sequence[str] = (),
-                       out: str = "rn", hex_digits: int = 2,
+                       out: str = "rn", hex_digits: int = DEFAULT_HEX_DIGITS,
                        tiebreak: str | None = None) -> DataFrame:
     """0-based row number ordered by an md5 hex ``key`` inside ``segments``,
     plus ``<out>_n`` = segment size.  Equals

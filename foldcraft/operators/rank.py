@@ -125,14 +125,17 @@ def sorted_codes(fit: DataFrame, rows: DataFrame, cols: Sequence[str],
 def first_seen_codes(fit: DataFrame, rows: DataFrame, cols: Sequence[str], order_col: str = "id",
                      out_fmt: str = "fcode_{col}") -> DataFrame:
     """G3r: ``factorize`` order: categories numbered by first appearance
-    (smallest ``order_col``) in ``fit``; unseen -> -1."""
-    from pyspark.sql import Window
+    (smallest ``order_col``) in ``fit``; unseen -> -1.  The code is the
+    number of categories seen earlier: a running count over the
+    (col, first appearance) table, so even a numeric-as-category column
+    with many values is numbered without a one-task window."""
     arr = F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("value")) for c in cols])
     d = (fit.select(order_col, F.explode(arr).alias("kv")).select(order_col, "kv.col", "kv.value")
          .filter(F.col("value").isNotNull())
-         .groupBy("col", "value").agg(F.min(order_col).alias("first")))
-    w = Window.partitionBy("col").orderBy("first", "value")
-    codes = d.select("col", "value", (F.row_number().over(w) - 1).alias("code"))
+         .groupBy("col", "value").agg(F.min(order_col).cast("double").alias("first"))
+         .withColumn("one", F.lit(1)))
+    codes = running_counts(d, "first", ["one"], ["col"]).select(
+        "col", "value", F.col("one_before").alias("code"))
     out = rows
     for c in cols:
         t = codes.filter(F.col("col") == c).select(F.col("value").alias("_v"),

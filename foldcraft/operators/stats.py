@@ -24,8 +24,11 @@ def frequency_encoding(df: DataFrame, cols: Sequence[str], out_fmt: str = "freq_
     """relative frequency of each exact numeric value over all rows of
     ``df``; unseen -> 0."""
     long = unpivot_numeric(df, cols, [])
-    n = df.count()  # one scalar
-    tab = long.groupBy("col", "value").agg((F.count(F.lit(1)) / F.lit(float(n))).alias("f"))
+    cnt = long.groupBy("col", "value").agg(F.count(F.lit(1)).alias("c"))
+    # n per column from the (col, value) table itself (no extra pass over
+    # the rows); |cols| rows, broadcast
+    n = cnt.groupBy("col").agg(F.sum("c").alias("n"))
+    tab = cnt.join(F.broadcast(n), "col").select("col", "value", (F.col("c") / F.col("n")).alias("f"))
     return lookup_back(df, tab, cols, {"f": out_fmt}, default=F.lit(0.0))
 
 
