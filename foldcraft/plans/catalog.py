@@ -132,10 +132,12 @@ def q_coerce_fill(spark, sf):
 select cast(id as bigint) as id,
   coalesce(trim(case when id % 37 = 0 then null else concat(' ', pri, ' ') end), 'missing') as pri_clean,
   cast(coalesce(case trim(case when id % 41 = 0 then null when y = 1 then ' Yes ' else 'No ' end)
-    when 'Yes' then 1 when 'No' then 0 end, 0) as bigint) as label
+    when 'Yes' then 1 when 'No' then 0 end, 0) as bigint) as label,
+  cast(tenure as varchar) as cat_tenure
 from accounts"""))
 def q_clean_category(spark, sf):
-    """C4 category clean (trim, null -> 'missing'); C5 tolerant Yes/No label."""
+    """C4 category clean (trim, null -> 'missing'); C5 tolerant Yes/No
+    label; C7 number -> string category."""
     a = T.accounts(spark, sf)
     txt = F.when(F.col("id") % 41 == 0, F.lit(None).cast("string")).when(
         F.col("y") == 1, F.lit(" Yes ")).otherwise(F.lit("No "))
@@ -143,7 +145,8 @@ def q_clean_category(spark, sf):
     return a.select(
         L("id").alias("id"),
         F.coalesce(F.trim(T.padded_category()), F.lit("missing")).alias("pri_clean"),
-        L(F.coalesce(F.when(lab == "Yes", 1).when(lab == "No", 0), F.lit(0))).alias("label"))
+        L(F.coalesce(F.when(lab == "Yes", 1).when(lab == "No", 0), F.lit(0))).alias("label"),
+        F.col("tenure").cast("string").alias("cat_tenure"))  # C7: integer -> category text
 
 
 # fixed values: ordinal codes of the fixture's priority and segment columns
@@ -1592,3 +1595,111 @@ def q_feature_importance(spark, sf):
     w = Window.orderBy(F.desc("importance"), "feature")  # one row per feature
     return imp.select("feature", "importance", F.row_number().over(w).alias("rank"),
                       F.col("feature").contains("svc").cast("int").alias("is_named"))
+
+
+# ---------------------------------------------------------------- step 11: sources / sinks round trips
+
+from ..session import scratch_path  # noqa: E402
+from ..sources import sinks as SK  # noqa: E402
+from pyspark.sql import types as PT  # noqa: E402
+
+CSV_SCHEMA = PT.StructType([
+    PT.StructField("id", PT.LongType()), PT.StructField("role", PT.StringType()),
+    PT.StructField("pri", PT.StringType()), PT.StructField("tenure", PT.IntegerType()),
+    PT.StructField("monthly", PT.DoubleType()), PT.StructField("amount_text", PT.StringType())])
+
+
+@query("csv_roundtrip", with_base(
+    "select cast(id as bigint) as id, role, pri, cast(tenure as bigint) as tenure, round(monthly, 6) as monthly, "
+    "round(try_cast(case when id % 50 = 0 then ' ' else cast(monthly as varchar) end as double), 6) as amount "
+    "from accounts"))
+def q_csv_roundtrip(spark, sf):
+    """A1 + C1: CSV with header written to the shared folder and scanned
+    back with a declared schema (no inference); blank text -> null."""
+    a = T.accounts(spark, sf).select("id", "role", "pri", "tenure", "monthly", T.text_amount().alias("amount_text"))
+    path = scratch_path(spark, "csv")
+    a.write.mode("overwrite").option("header", True).csv(path)
+    b = T.read_csv_table(spark, path, CSV_SCHEMA)
+    return b.select(L("id").alias("id"), "role", "pri", L("tenure").alias("tenure"), R("monthly").alias("monthly"),
+                    R(F.col("amount_text").try_cast("double")).alias("amount"))
+
+
+@query("feature_sink_roundtrip", _feature_table_sql("core", False).replace(
+    " from accounts", " from accounts where role = 'train'"))
+def q_feature_sink_roundtrip(spark, sf):
+    """A2 / A3: feature table written partitioned by role, the train role
+    read back (partition pruning) with id and label."""
+    ft = _feature_table(spark, sf, "core", False)
+    path = SK.write_feature_table(ft, scratch_path(spark, "features"))
+    return SK.read_feature_table(spark, path, "train").select(*ft.columns)
+
+
+@query("prediction_sink_roundtrip", REGISTRY["fold_average"][1].replace(
+    "round(avg(p_seed), 6) as score", "round(avg(p_seed), 6) as Churn"))
+def q_prediction_sink_roundtrip(spark, sf):
+    """A4 / A5: keyed prediction table (id, Churn) written and re-read."""
+    p = REGISTRY["fold_average"][0](spark, sf)
+    path = SK.write_predictions(p, scratch_path(spark, "predictions"))
+    return spark.read.parquet(path)
+
+
+@query("conditional_update", with_base(
+    "select cast(id as bigint) as id, round(s_a * (case when tenure > 60 then 0.5 else 1.0 end) "
+    "* (case when svc_return = 'No' then 0.5 else 1.0 end), 6) as p from scored where role = 'test'"))
+def q_conditional_update(spark, sf):
+    """Two masked in-place halvings of a prediction, as a product of
+    when/otherwise factors."""
+    s = T.scored(spark, sf).filter(F.col("role") == "test")
+    f1 = F.when(F.col("tenure") > 60, 0.5).otherwise(1.0)
+    f2 = F.when(F.col("svc_return") == "No", 0.5).otherwise(1.0)
+    return s.select(L("id").alias("id"), R(F.col("s_a") * f1 * f2).alias("p"))
+
+
+def _numeric_feats():
+    return [f for f in S.feature_set("full") if f.kind != "string"]
+
+
+@query("feature_table_numeric", with_base(
+    "select cast(id as bigint) as id, cast(tenure as bigint) as tenure, round(monthly, 6) as monthly, "
+    "round(total, 6) as total, cast(n_items as bigint) as n_items, " + ", ".join(S.sql_out(f) for f in _numeric_feats()) + " from accounts"))
+def q_feature_table_numeric(spark, sf):
+    """Model matrix: the full feature table with id / label / role
+    and every leftover string column dropped by schema."""
+    from pyspark.sql.types import StringType
+    ft = _feature_table(spark, sf, "full", True)
+    strings = [f.name for f in ft.schema.fields if isinstance(f.dataType, StringType)]
+    return ft.drop(*strings, "y")
+
+
+GS_COLS = ["tenure", "monthly", "total", "n_items"]
+
+
+@query("global_stats", with_base(" union all ".join(
+    f"select '{c}' as col, round(avg({c}), 6) as mean, round(stddev_samp({c}), 6) as std, round(min({c}), 6) as min, "
+    f"round(max({c}), 6) as max, cast(count(distinct {c}) as bigint) as nunique from accounts" for c in GS_COLS)))
+def q_global_stats(spark, sf):
+    """global scalar statistics per column in one pass."""
+    from . import catalog as _c  # noqa: F401
+    long = G.unpivot_numeric(T.accounts(spark, sf), GS_COLS, [])
+    g = long.groupBy("col").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+                                F.min("value").alias("min"), F.max("value").alias("max"),
+                                F.countDistinct("value").alias("nunique"))
+    return g.select("col", *[R(c).alias(c) for c in ("mean", "std", "min", "max")], L("nunique").alias("nunique"))
+
+
+@query("gbt_variants")
+def q_gbt_variants(spark, sf):
+    """L3 / L4: regularised (depth 1, min 3 rows per node), pruned (depth 4,
+    minimum gain .5), deep (depth 8) and class-weighted boosted trees on
+    one fold; validation AUC per variant."""
+    tr, _ = _model_frame(spark, sf)
+    asm = TR.VectorAssembler(inputCols=MODEL_FEATURES, outputCol="features", handleInvalid="keep")
+    x = cut_lineage(asm.transform(tr.withColumn("w", F.when(F.col("y") == 1, SCALE_POS).otherwise(1.0))))
+    fit, val = x.filter(F.col("fold") != 0), x.filter(F.col("fold") == 0)
+    variants = {"shallow": TR.gbt("y", 5, 1, min_instances=3), "pruned": TR.gbt("y", 5, 4, min_info_gain=0.5),
+                "deep": TR.gbt("y", 5, 8), "weighted": TR.gbt("y", 5, 4, weight_col="w")}
+    rows = []
+    for name, est in variants.items():
+        m = est.fit(fit)
+        rows.append((name, float(G.auc(TR._prob(m.transform(val)), "score", "y").first()["auc"])))
+    return spark.createDataFrame(rows, "variant string, val_auc double")
