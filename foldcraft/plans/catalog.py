@@ -36,7 +36,10 @@ def L(c):  # bigint output
 
 
 def R(c):  # rounded double output
-    return round6(F.col(c) if isinstance(c, str) else c)
+    if isinstance(c, str):  # one parsed expression instead of a chain of column calls
+        return F.expr(f"CASE WHEN round(CAST(`{c}` AS DOUBLE) * 1000000.0D, 0) / 1000000.0D = 0 THEN CAST(`{c}` AS DOUBLE) * 0.0D "
+                      f"ELSE round(CAST(`{c}` AS DOUBLE) * 1000000.0D, 0) / 1000000.0D END")
+    return round6(c)
 
 
 TE_COLS = ["pri_u", "seg", "nation", "region", "svc_return"]
@@ -55,13 +58,15 @@ _EXTRA = list({f.name: f for f in NGRAM_FEATS + PAIR_FEATS}.values())
 PAIR_COLS = [f.name for f in PAIR_FEATS]
 
 
-def _te_frame(spark, sf):
-    a = T.accounts(spark, sf).withColumn("pri_u", T.unseen_category())
+def _te_frame(spark, sf, crosses: bool = False):
+    a = T.accounts_once(spark, sf).withColumn("pri_u", T.unseen_category())
+    if not crosses:
+        return a
     return a.select("*", *[f.col().alias(f.name) for f in _EXTRA])
 
 
-def _train_folds(spark, sf, k=K_OUTER):
-    a = _te_frame(spark, sf)
+def _train_folds(spark, sf, k=K_OUTER, crosses: bool = False):
+    a = _te_frame(spark, sf, crosses)
     tr = a.filter(F.col("role") == "train")
     return K.stratified_folds(tr, k=k, seed=SEED), a.filter(F.col("role") == "test")
 
@@ -341,7 +346,7 @@ def _nested_sql(cols, stat_exprs: dict[str, str], defaults: dict[str, str], prio
 
 
 def _nested_query(spark, sf, cols, outputs, prefix_fmt, defaults=None, prior_scope="outer"):
-    tr, te = _train_folds(spark, sf)
+    tr, te = _train_folds(spark, sf, crosses=any("___" in c for c in cols))
     out = E.encode_nested(tr, te, cols, K_OUTER, K_INNER, outputs, SEED,
                           prior_scope=prior_scope, prefix_fmt=prefix_fmt, defaults=defaults)
     names = [prefix_fmt.format(col=c, stat=nm) for c in cols for nm in outputs]
@@ -417,7 +422,7 @@ def q_te_pairs_logit(spark, sf):
     """I8 (+E14, D12, D13): all 15 pairs of 6 categoricals, nested OOF
     encoding with m=20, logit and its square / cube, then standardised with
     mean / population std fitted on each outer fold's training rows."""
-    tr, te = _train_folds(spark, sf)
+    tr, te = _train_folds(spark, sf, crosses=True)
     enc = E.encode_nested(tr, te, PAIR_COLS, K_OUTER, K_INNER, {"te": E.smoothed(20)}, SEED)
     zcols = []
     for c in PAIR_COLS:
@@ -849,7 +854,7 @@ def _auc_sql_from(src: str, seg_cols: str = "score", label: str = "y", score: st
     "(select 's_a' as score, y_sig as y, s_a as s from scored union all select 's_b', y_sig, s_b from scored)")))
 def q_auc_exact(spark, sf):
     """Exact ROC AUC with ties averaged, for two fixed scores."""
-    sc = T.scored(spark, sf)
+    sc = T.accounts_once(spark, sf, scores=True)
     long = sc.select(F.explode(F.array(
         F.struct(F.lit("s_a").alias("score"), F.col("s_a").alias("s"), F.col("y_sig").alias("y")),
         F.struct(F.lit("s_b").alias("score"), F.col("s_b").alias("s"), F.col("y_sig").alias("y")))).alias("r")
@@ -873,7 +878,7 @@ SIG_FOLDS_SQL = (f"sf as (select *, cast((row_number() over (partition by y_sig
 def q_auc_by_fold(spark, sf):
     """AUC per validation fold, mean / population std / min / max."""
     from pyspark.sql import Window
-    sc = T.scored(spark, sf).filter(F.col("role") == "train")
+    sc = T.accounts_once(spark, sf, scores=True).filter(F.col("role") == "train")
     f = K.stratified_folds(sc, 5, SEED, label="y_sig")
     a = G.auc(f, "s_a", "y_sig", ["fold"])
     w = Window.partitionBy()  # 5-row table
@@ -907,7 +912,7 @@ NUM_REF = ["tenure", "monthly", "total"]
 
 
 def _ref_frames(spark, sf):
-    s = T.scored(spark, sf)
+    s = T.accounts_once(spark, sf, scores=True)
     return s, s.filter(F.col("role") == "ref")
 
 
@@ -1223,7 +1228,7 @@ TRAIN_SCORED = "ts as (select id, y_sig as y, s_a, s_b from scored where role =
 
 
 def _train_scored(spark, sf):
-    return T.scored(spark, sf).filter(F.col("role") == "train").select(
+    return T.accounts_once(spark, sf, scores=True).filter(F.col("role") == "train").select(
         "id", F.col("y_sig").alias("y"), "s_a", "s_b")
 
 
