@@ -1708,3 +1708,88 @@ def q_gbt_variants(spark, sf):
         m = est.fit(fit)
         rows.append((name, float(G.auc(TR._prob(m.transform(val)), "score", "y").first()["auc"])))
     return spark.createDataFrame(rows, "variant string, val_auc double")
+
+
+# ---------------------------------------------------------------- O3: cartesian parameter sweep
+
+SWEEP_M = [1, 3, 5, 10, 20]
+SWEEP_SETS = {"core": ["pri_u", "seg"], "full": TE_COLS}
+
+
+def _sweep_sql():
+    sig = ("te_sig as (select id, role, y_sig as y, case when role = 'test' and id % 97 = 0 then 'ZZZ' else pri end "
+           "as pri_u, seg, nation, region, svc_return, tenure from scored)")
+    folds = FOLDS_SQL.replace("folds as", "folds_s as").replace("from te_base", "from te_sig")
+    ctes = [sig, folds, "fl as (select range as f from range(5))",
+            "lab as (select fl.f as lf, sum(case when x.fold <> fl.f then x.y else 0 end) * 1.0e0 / "
+            "sum(case when x.fold <> fl.f then 1 else 0 end) as p from folds_s x cross join fl group by fl.f)",
+            "mm as (select unnest([" + ", ".join(map(str, SWEEP_M)) + "]) as m)"]
+    sel = []
+    for i, c in enumerate(TE_COLS):
+        ctes.append(f"s{i} as (select fl.f, x.{c} as v, sum(case when x.fold <> fl.f then 1 else 0 end) as n, "
+                    f"sum(case when x.fold <> fl.f then x.y else 0 end) as s from folds_s x cross join fl group by fl.f, x.{c})")
+        sel.append(f"coalesce((s{i}.s + mm.m * lab.p) / (s{i}.n + mm.m), lab.p) as te_{c}")
+    joins = " ".join(f"left join s{i} on s{i}.f = r.fold and s{i}.v = r.{c}" for i, c in enumerate(TE_COLS))
+    ctes.append(f"enc as (select mm.m, r.id, r.y, r.tenure, {', '.join(sel)} from folds_s r cross join mm "
+                f"join lab on lab.lf = r.fold {joins})")
+    parts = []
+    for name, cols in SWEEP_SETS.items():
+        for keep in (0, 1):
+            terms = [f"te_{c}" for c in cols] + (["(1 - tenure / 100.0)"] if keep else [])
+            parts.append(f"select m, {keep} as keep_original, '{name}' as feature_set, y, "
+                         f"({' + '.join(terms)}) / {len(terms)}.0 as s from enc")
+    ctes.append("cfg as (" + " union all ".join(parts) + ")")
+    body = ("select cast(m as bigint) as m, cast(keep_original as bigint) as keep_original, feature_set, "
+            "round((sum(case when y = 1 then ra else 0 end) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))), 6) "
+            "as oof_auc from (select m, keep_original, feature_set, y, cast(rank() over (partition by m, keep_original, "
+            "feature_set order by s) as double) + (cast(count(*) over (partition by m, keep_original, feature_set, s) as double)"
+            " - 1) / 2 as ra from cfg) r group by m, keep_original, feature_set")
+    return with_base(body, ",\n".join(ctes))
+
+
+@query("param_sweep", _sweep_sql())
+def q_param_sweep(spark, sf):
+    """O3: smoothing x keep_original x feature_set (20 configurations) in one
+    job: per-fold encodings for every smoothing from one aggregate, the
+    validation rows scored by each configuration (mean of its encoded
+    columns, plus the scaled month count when originals are kept), and
+    OOF AUC grouped by configuration."""
+    a = T.accounts_once(spark, sf, scores=True).withColumn("pri_u", T.unseen_category())
+    tr = K.stratified_folds(a.filter(F.col("role") == "train").withColumn("y", F.col("y_sig")), 5, SEED)
+    tr = cut_lineage(tr.select("id", "y", "fold", "tenure", *TE_COLS), "sweep_rows")
+    st = E.label_stats(tr, TE_COLS, ["fold"])
+    fit = E.exclude_each(st, ["col", "value"], "fold", range(5))
+    lab = tr.groupBy("fold").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("y").cast("double").alias("s"))
+    lab = lab.withColumn("col", F.lit("_")).withColumn("value", F.lit("_"))
+    pr = E.exclude_each(lab, ["col", "value"], "fold", range(5)).select("fold", (F.col("s") / F.col("n")).alias("p"))
+    ms = spark.createDataFrame([(float(m),) for m in SWEEP_M], ["m"])
+    enc = (fit.join(F.broadcast(pr), "fold").crossJoin(F.broadcast(ms))  # k and |m| rows
+           .select("m", "fold", "col", "value", ((F.col("s") + F.col("m") * F.col("p")) / (F.col("n") + F.col("m"))).alias("e")))
+    enc = cut_lineage(enc, "sweep_enc")
+    rows = tr.crossJoin(F.broadcast(ms)).join(F.broadcast(pr), "fold")
+    for c in TE_COLS:
+        t = enc.filter(F.col("col") == c).select("m", "fold", F.col("value").alias(f"_v_{c}"), F.col("e").alias(f"te_{c}"))
+        rows = rows.withColumn(f"_v_{c}", F.col(c).cast("string")).join(t, ["m", "fold", f"_v_{c}"], "left")
+        rows = rows.withColumn(f"te_{c}", F.coalesce(F.col(f"te_{c}"), F.col("p")))
+    cfgs = []
+    for name, cols in SWEEP_SETS.items():
+        for keep in (0, 1):
+            terms = [F.col(f"te_{c}") for c in cols] + ([1 - F.col("tenure") / 100.0] if keep else [])
+            s = terms[0]
+            for t_ in terms[1:]:
+                s = s + t_
+            cfgs.append(F.struct(F.lit(keep).alias("keep_original"), F.lit(name).alias("feature_set"),
+                                 (s / float(len(terms))).alias("s")))
+    long = rows.select("m", "y", F.explode(F.array(*cfgs)).alias("c")).select("m", "y", "c.*")
+    out = G.auc(long, "s", "y", ["m", "keep_original", "feature_set"])
+    return out.select(L("m").alias("m"), L("keep_original").alias("keep_original"), "feature_set",
+                      R("auc").alias("oof_auc"))
+
+
+@query("report_sink_roundtrip", REGISTRY["feature_group_strength"][1])
+def q_report_sink_roundtrip(spark, sf):
+    """A small report table (best feature per group) written as one CSV
+    file with header and read back with its schema."""
+    rep = REGISTRY["feature_group_strength"][0](spark, sf)
+    path = SK.write_report(rep, scratch_path(spark, "report"))
+    return spark.read.schema(rep.schema).option("header", True).csv(path)
