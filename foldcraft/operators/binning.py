@@ -52,12 +52,14 @@ def _fmt(v) -> str:
 
 def quantile_edges(df: DataFrame, col: str, q: int) -> list[float]:
     """H3: ``qcut`` edges (linear-interpolated quantiles 0, 1/q, ..., 1),
-    duplicates dropped.  One aggregate; q+1 numbers to the driver."""
+    duplicates dropped.  Exact quantiles from the distributed histogram
+    kernel (no group gathered in one task); q+1 numbers to the driver."""
+    from .rank import exact_quantiles
     probs = [i / q for i in range(q + 1)]
-    row = df.agg(F.percentile(F.col(col).cast("double"), F.array(*[F.lit(p) for p in probs]))
-                 .alias("e")).first()
+    rows = exact_quantiles(df, col, probs).collect()
+    vals = [r["q"] for r in sorted(rows, key=lambda r: r["p"])]
     out: list[float] = []
-    for v in row["e"] or []:
+    for v in vals:
         if v is not None and (not out or v > out[-1]):
             out.append(float(v))
     return out

@@ -167,3 +167,38 @@ def auc(df: DataFrame, score: str, label: str, segments: Sequence[str] = (),
         F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     return agg.select(*segs, (F.col("_num") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"),
                       "n_pos", "n_neg")
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
+                    segments: Sequence[str] = ()) -> DataFrame:
+    """Linear-interpolated quantiles (numpy 'linear', SQL
+    ``quantile_cont``) per segment without gathering a group's values in
+    one task.
+
+    Rows -> (segments, value) histogram (partial aggregation) -> bucketed
+    running counts give every distinct value the 0-based positions it
+    covers -> for each probability p only the values at positions
+    floor(p(n-1)) and ceil(p(n-1)) survive a narrow filter -> one small
+    aggregate interpolates lo + (hi - lo) * frac.
+    Output (segments..., p, q)."""
+    segs = list(segments)
+    hist = (df.filter(F.col(value).isNotNull())
+            .select(*segs, F.col(value).cast("double").alias("_x"))
+            .withColumn("_x", F.when(F.col("_x") == 0, F.lit(0.0)).otherwise(F.col("_x")))
+            .groupBy(*segs, "_x").agg(F.count(F.lit(1)).alias("_c")))
+    rc = running_counts(hist, "_x", ["_c"], segs)
+    spark = df.sparkSession
+    pt = spark.createDataFrame([(float(p),) for p in probs], ["p"])
+    x = rc.crossJoin(F.broadcast(pt))  # |probs| rows: fixed by the caller
+    pos = F.col("p") * (F.col("_c_total") - 1)
+    lo, hi = F.floor(pos), F.ceil(pos)
+    first, last = F.col("_c_before"), F.col("_c_before") + F.col("_c") - 1
+    cover_lo = (first <= lo) & (lo <= last)
+    cover_hi = (first <= hi) & (hi <= last)
+    x = x.filter(cover_lo | cover_hi).select(
+        *segs, "p", pos.alias("_pos"),
+        F.when(cover_lo, F.col("_x")).alias("_vlo"), F.when(cover_hi, F.col("_x")).alias("_vhi"))
+    g = x.groupBy(*segs, "p").agg(F.max("_vlo").alias("_lo"), F.max("_vhi").alias("_hi"),
+                                  F.max("_pos").alias("_pos"))
+    q = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_pos") - F.floor(F.col("_pos")))
+    return g.select(*segs, "p", q.alias("q"))

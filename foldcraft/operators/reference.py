@@ -70,14 +70,15 @@ def ref_zscore(rows: DataFrame, ref: DataFrame, cols: Sequence[str], label: str)
 
 def ref_quantile_dist(rows: DataFrame, ref: DataFrame, cols: Sequence[str], label: str,
                       qs: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
-    """|x - q| for the subset quartiles (linear) and the gap nc - ch."""
-    aggs = []
-    for c in cols:
-        for k, cond in (("ch", F.col(label) == 1), ("nc", F.col(label) == 0)):
-            v = F.when(cond, F.col(c).cast("double"))
-            for q in qs:
-                aggs.append(F.percentile(v, F.lit(q)).alias(f"_q{int(q * 100)}_{k}_{c}"))
-    st = ref.agg(*aggs)
+    """|x - q| for the subset quartiles (linear) and the gap nc - ch.
+    Quantiles per (subset, column) from the histogram kernel."""
+    from .rank import exact_quantiles, unpivot_numeric
+    long = unpivot_numeric(ref.withColumn("_k", F.when(F.col(label) == 1, "ch").when(F.col(label) == 0, "nc")),
+                           cols, ["_k"]).filter(F.col("_k").isNotNull())
+    qt = exact_quantiles(long, "value", list(qs), ["_k", "col"])
+    # one row: |subsets| x |cols| x |qs| values pivoted with literal names
+    st = qt.agg(*[F.max(F.when((F.col("_k") == k) & (F.col("col") == c) & (F.col("p") == q), F.col("q")))
+                  .alias(f"_q{int(q * 100)}_{k}_{c}") for c in cols for k in ("ch", "nc") for q in qs])
     j = rows.crossJoin(F.broadcast(st))  # one-row side
     out = []
     for c in cols:

@@ -102,14 +102,18 @@ def histogram(df: DataFrame, col: str, bins: int, by: str) -> DataFrame:
 
 
 def five_numbers(df: DataFrame, cols: Sequence[str], by: str) -> DataFrame:
-    """min, quartiles (linear), max per class, per column."""
+    """min, quartiles (linear), max per class, per column.  A class
+    is a huge group: quantiles come from the histogram kernel, not from
+    an exact-percentile aggregate that buffers a group's values."""
+    from .rank import exact_quantiles
     long = unpivot_numeric(df, cols, [by])
-    return long.groupBy(by, "col").agg(
-        F.min("value").alias("min"),
-        F.percentile("value", F.lit(0.25)).alias("q1"),
-        F.percentile("value", F.lit(0.5)).alias("median"),
-        F.percentile("value", F.lit(0.75)).alias("q3"),
-        F.max("value").alias("max"))
+    mm = long.groupBy(by, "col").agg(F.min("value").alias("min"), F.max("value").alias("max"))
+    q = exact_quantiles(long, "value", [0.25, 0.5, 0.75], [by, "col"])
+    qw = q.groupBy(by, "col").agg(
+        F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q1"),
+        F.max(F.when(F.col("p") == 0.5, F.col("q"))).alias("median"),
+        F.max(F.when(F.col("p") == 0.75, F.col("q"))).alias("q3"))
+    return mm.join(qw, [by, "col"])  # both one row per (class, column)
 
 
 def crosstab(df: DataFrame, row: str, col: str, levels: Sequence) -> DataFrame:

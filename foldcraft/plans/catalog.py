@@ -122,8 +122,8 @@ def q_coerce_fill(spark, sf):
     value, three fills (0, median, product), missing count."""
     a = T.accounts(spark, sf)
     t = a.select("id", "tenure", "n_items", T.text_amount().try_cast("double").alias("amt"))
-    stats = t.agg(F.median("amt").alias("med"),
-                  (F.count(F.lit(1)) - F.count("amt")).alias("n_missing"))
+    med = G.exact_quantiles(t, "amt", [0.5]).select(F.col("q").alias("med"))  # one row
+    stats = t.agg((F.count(F.lit(1)) - F.count("amt")).alias("n_missing")).crossJoin(med)
     j = t.crossJoin(F.broadcast(stats))  # one-row side
     return j.select(
         L("id").alias("id"), L(F.col("amt").isNull()).alias("miss_amt"),
