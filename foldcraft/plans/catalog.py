@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..oracle_sql import with_base
 from ..operators import encode as E
 from ..operators import folds as K
-from ..session import cut_lineage, round6
+from ..session import cut_lineage, round6, round6_sql
 from ..functions import scalar as S
 from ..sources import tables as T
 
@@ -37,8 +37,7 @@ def L(c):  # bigint output
 
 def R(c):  # rounded double output
     if isinstance(c, str):  # one parsed expression instead of a chain of column calls
-        return F.expr(f"CASE WHEN round(CAST(`{c}` AS DOUBLE) * 1000000.0D, 0) / 1000000.0D = 0 THEN CAST(`{c}` AS DOUBLE) * 0.0D "
-                      f"ELSE round(CAST(`{c}` AS DOUBLE) * 1000000.0D, 0) / 1000000.0D END")
+        return F.expr(round6_sql(f"CAST(`{c}` AS DOUBLE)"))
     return round6(c)
 
 
@@ -428,7 +427,9 @@ def q_te_pairs_logit(spark, sf):
     for c in PAIR_COLS:
         z1, z2, z3 = E.logit_powers(F.col(f"te_{c}"))
         zcols += [z1.alias(f"z1_{c}"), z2.alias(f"z2_{c}"), z3.alias(f"z3_{c}")]
-    z = enc.select("ofold", "id", "part", *zcols)
+    # z feeds the fit-row statistics and the final projection: materialise
+    # it once instead of running the 15-join chain twice
+    z = cut_lineage(enc.select("ofold", "id", "part", *zcols), "pairs_z")
     names = [f"z{p}_{c}" for c in PAIR_COLS for p in (1, 2, 3)]
     st = (z.filter(F.col("part") == "fit").groupBy("ofold")
           .agg(*[x for n in names for x in (F.avg(n).alias(f"mu_{n}"), F.stddev_pop(n).alias(f"sd_{n}"))]))

@@ -92,14 +92,30 @@ def sized_broadcast(table: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     return F.broadcast(table) if n <= max_rows else table
 
 
+ROUND6_SQL = (
+    "CASE WHEN abs({x} * 1000000.0D) < 1.0E15D THEN "
+    "(CASE WHEN ({x} * 1000000.0D) >= 0 THEN floor({x} * 1000000.0D + 0.5D) "
+    "ELSE -floor(-({x} * 1000000.0D) + 0.5D) END) / 1000000.0D "
+    "ELSE round({x}, 6) END")
+
+
+def round6_sql(x: str) -> str:
+    """SQL text of :func:`round6` for a (quoted) column expression."""
+    r = ROUND6_SQL.format(x=x)
+    return f"CASE WHEN ({r}) = 0 THEN {x} * 0.0D ELSE ({r}) END"
+
+
 def round6(c):
     """Every computed double leaves the engine rounded to 6 decimals so
     results compare exactly with an independent SQL engine.
 
-    Rounded as round(x * 1e6) / 1e6 (half away from zero on the scaled
-    binary value, sign of zero kept), the common C-library definition,
-    rather than Spark's decimal-string rounding, which differs on values
-    within one ulp of a tie."""
+    round(x * 1e6) / 1e6 with halves away from zero on the scaled binary
+    value and the sign of zero kept (the common C-library definition), in
+    plain double arithmetic: ``floor(v + 0.5)`` runs inside generated code,
+    where Spark's own ``round`` builds a BigDecimal per value.  Magnitudes
+    >= 1e9 (outside the fast path's exact range) use ``round``."""
     x = c.cast("double")
-    r = F.round(x * F.lit(1e6), 0) / F.lit(1e6)
+    v = x * F.lit(1e6)
+    fast = F.when(v >= 0, F.floor(v + F.lit(0.5))).otherwise(-F.floor(-v + F.lit(0.5))) / F.lit(1e6)
+    r = F.when(F.abs(v) < F.lit(1e15), fast).otherwise(F.round(x, 6))
     return F.when(r == 0, x * F.lit(0.0)).otherwise(r)
