@@ -121,3 +121,32 @@ def crosstab(df: DataFrame, row: str, col: str, levels: Sequence) -> DataFrame:
     extra pass to discover them), missing cells 0."""
     p = df.groupBy(row).pivot(col, list(levels)).count()
     return p.select(row, *[F.coalesce(F.col(str(v)), F.lit(0)).alias(f"n_{v}") for v in levels])
+
+
+# Aggregate columns per job: avg + stddev_pop keep 5 buffer fields per
+# column, so 15 columns stay under spark.sql.codegen.maxFields (100) and
+# the partial aggregate runs in whole-stage generated code.
+STANDARDIZE_CHUNK = 15
+
+
+def standardize(df: DataFrame, names: Sequence[str], by: str, fit: "F.Column") -> DataFrame:
+    """(x - mean) / population std per ``by`` group, both fitted on
+    the rows where ``fit`` holds (std 0 -> divide by 1).
+
+    ``by`` must be a small fixed key (the outer fold number): the fitted
+    statistics are one row per group, so the statistics table is
+    broadcast.  Columns are aggregated in chunks of ``STANDARDIZE_CHUNK``
+    so every partial aggregate stays inside generated code; the chunk
+    tables (one row per group each) are joined on ``by``."""
+    names = list(names)
+    rows = df.filter(fit)
+    st = None
+    for i in range(0, len(names), STANDARDIZE_CHUNK):
+        chunk = names[i:i + STANDARDIZE_CHUNK]
+        part = rows.groupBy(by).agg(*[x for n in chunk for x in (
+            F.avg(n).alias(f"_mu_{n}"), F.stddev_pop(n).alias(f"_sd_{n}"))])
+        st = part if st is None else st.join(part, by)
+    keep = [c for c in df.columns if c not in names]
+    j = df.join(F.broadcast(st), by, "left")  # one row per group of a fixed small key
+    sd = {n: F.when(F.col(f"_sd_{n}") == 0, F.lit(1.0)).otherwise(F.col(f"_sd_{n}")) for n in names}
+    return j.select(*keep, *[((F.col(n) - F.col(f"_mu_{n}")) / sd[n]).alias(n) for n in names])

@@ -431,13 +431,9 @@ def q_te_pairs_logit(spark, sf):
     # it once instead of running the 15-join chain twice
     z = cut_lineage(enc.select("ofold", "id", "part", *zcols), "pairs_z")
     names = [f"z{p}_{c}" for c in PAIR_COLS for p in (1, 2, 3)]
-    st = (z.filter(F.col("part") == "fit").groupBy("ofold")
-          .agg(*[x for n in names for x in (F.avg(n).alias(f"mu_{n}"), F.stddev_pop(n).alias(f"sd_{n}"))]))
-    j = z.join(F.broadcast(st), "ofold")  # k_outer rows
-    return j.select(L("ofold").alias("ofold"), L("id").alias("id"), "part",
-                    *[R((F.col(n) - F.col(f"mu_{n}")) /
-                        F.when(F.col(f"sd_{n}") == 0, 1.0).otherwise(F.col(f"sd_{n}"))).alias(n)
-                      for n in names])
+    std = ST.standardize(z, names, "ofold", F.col("part") == "fit")
+    # rounding reads the standardised columns by name, so each is computed once
+    return std.select(L("ofold").alias("ofold"), L("id").alias("id"), "part", *[R(n).alias(n) for n in names])
 
 
 PSEUDO_T = 0.7

@@ -33,6 +33,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
+        .config("spark.sql.codegen.hugeMethodLimit", str(JIT_METHOD_LIMIT))
     )
     spark = builder.config("spark.ui.showConsoleProgress", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -40,6 +41,21 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
+# HotSpot does not JIT-compile methods above 8000 bytes of bytecode; a
+# whole-stage generated method that large (wide feature tables, dozens of
+# rounded outputs) would run interpreted, 5-10x slower.  At this limit Spark
+# falls back to per-operator generated code, split into small methods.
+JIT_METHOD_LIMIT = 8000
+_HUGE_METHOD_KEY = "spark.sql.codegen.hugeMethodLimit"
+
+
+def tune_codegen(spark: SparkSession) -> None:
+    """Lower the whole-stage method limit to the JIT limit unless the
+    session already sets its own value (runtime SQL option, per session)."""
+    if spark.conf.get(_HUGE_METHOD_KEY, "65535") == "65535":
+        spark.conf.set(_HUGE_METHOD_KEY, str(JIT_METHOD_LIMIT))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
@@ -92,17 +108,19 @@ def sized_broadcast(table: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     return F.broadcast(table) if n <= max_rows else table
 
 
+# |v| below 2^52: v has a fractional part to round; at or above it v is
+# already an integer and rounds to itself; if v overflows, x is returned
 ROUND6_SQL = (
-    "CASE WHEN abs({x} * 1000000.0D) < 1.0E15D THEN "
-    "(CASE WHEN ({x} * 1000000.0D) >= 0 THEN floor({x} * 1000000.0D + 0.5D) "
-    "ELSE -floor(-({x} * 1000000.0D) + 0.5D) END) / 1000000.0D "
-    "ELSE round({x}, 6) END")
+    "CASE WHEN abs({x} * 1000000.0D) < 4.5E15D THEN signum({x} * 1000000.0D) * "
+    "(CAST(floor(abs({x} * 1000000.0D)) AS DOUBLE) + CASE WHEN abs({x} * 1000000.0D) "
+    "- floor(abs({x} * 1000000.0D)) >= 0.5D THEN 1.0D ELSE 0.0D END) / 1000000.0D "
+    "WHEN abs({x} * 1000000.0D) = CAST('Infinity' AS DOUBLE) THEN {x} "
+    "ELSE {x} * 1000000.0D / 1000000.0D END")
 
 
 def round6_sql(x: str) -> str:
     """SQL text of :func:`round6` for a (quoted) column expression."""
-    r = ROUND6_SQL.format(x=x)
-    return f"CASE WHEN ({r}) = 0 THEN {x} * 0.0D ELSE ({r}) END"
+    return ROUND6_SQL.format(x=x)
 
 
 def round6(c):
@@ -111,11 +129,16 @@ def round6(c):
 
     round(x * 1e6) / 1e6 with halves away from zero on the scaled binary
     value and the sign of zero kept (the common C-library definition), in
-    plain double arithmetic: ``floor(v + 0.5)`` runs inside generated code,
-    where Spark's own ``round`` builds a BigDecimal per value.  Magnitudes
-    >= 1e9 (outside the fast path's exact range) use ``round``."""
+    plain double arithmetic that stays inside generated code (Spark's own
+    ``round`` builds a BigDecimal per value): with v = x * 1e6 and
+    a = |v|, round(v) = signum(v) * (floor(a) + [a - floor(a) >= .5]);
+    a - floor(a) is exact, so ties are decided exactly, and signum keeps
+    the sign of a zero result.  NaN and infinities pass through, and so
+    does x when x * 1e6 overflows."""
     x = c.cast("double")
     v = x * F.lit(1e6)
-    fast = F.when(v >= 0, F.floor(v + F.lit(0.5))).otherwise(-F.floor(-v + F.lit(0.5))) / F.lit(1e6)
-    r = F.when(F.abs(v) < F.lit(1e15), fast).otherwise(F.round(x, 6))
-    return F.when(r == 0, x * F.lit(0.0)).otherwise(r)
+    a = F.abs(v)
+    fl = F.floor(a).cast("double")
+    r = F.signum(v) * (fl + F.when(a - fl >= F.lit(0.5), F.lit(1.0)).otherwise(F.lit(0.0)))
+    return (F.when(a < F.lit(4.5e15), r / F.lit(1e6))
+            .when(a == F.lit(float("inf")), x).otherwise(v / F.lit(1e6)))
