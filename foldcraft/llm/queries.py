@@ -3,8 +3,11 @@ or None)."""
 
 from __future__ import annotations
 
-from . import mixing
+from . import line_dedup, mixing, quality_rules, substring_dedup
 
 QUERIES = {
+    "op1_substring_dedup": (substring_dedup.op1_substring_dedup, substring_dedup.OP1_SQL),
+    "op2_line_dedup": (line_dedup.op2_line_dedup, line_dedup.OP2_SQL),
     "op6_mixing": (mixing.op6_mixing, mixing.OP6_SQL),
+    "op8_quality_rules": (quality_rules.op8_quality_rules, None),
 }
