@@ -37,7 +37,7 @@ from .common import SPACES, documents, has_word, text_key, text_of, words_of
 BUCKETS = 1 << 16
 ALPHA = 0.5
 #: mean log-likelihood ratio from which a document is kept
-THRESHOLD = -0.25
+THRESHOLD = -1.0
 MIN_WORDS = 50
 MAX_REPEAT_PCT = 50
 SYMBOLS = "#*$%&|<>"
