@@ -126,7 +126,7 @@ class Codec:
             self._load("CREATE OR REPLACE TEMP TABLE words AS SELECT * FROM given",
                        pa.table({"w": pa.array(range(len(part)), pa.int32()),
                                  "hex": pa.array([x.encode().hex() for x in part])}))
-            got = self.db.execute(ENCODE_SQL).to_arrow_table().combine_chunks()
+            got = self.db.sql(ENCODE_SQL).to_arrow_table().combine_chunks()
             ids = got.column("ids").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int64()))
             flat, ends = ids.flatten().to_numpy().astype("<u4"), ids.offsets.to_numpy() - ids.offsets[0].as_py()
             for i, w in enumerate(got.column("w").to_pylist()):

@@ -150,6 +150,23 @@ def mix_report(docs: DataFrame, **params) -> DataFrame:
         "doc_id", "size", "source_size", "target", (F.col("size") * own).cast("long").alias("taken"))
 
 
+def mixed_documents(docs: DataFrame, **params) -> DataFrame:
+    """The mix itself: ``docs`` (any columns, among them doc_id, text and
+    source) with each row as often as the mix takes it, in no order."""
+    taken = mix(docs, **params)[2].groupBy("doc_id", "source", "size").agg(
+        F.count(F.lit(1)).alias("copies")).select(*[F.col(c).alias(f"_t_{c}") for c in ("doc_id", "source", "size", "copies")])
+    d = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"),
+                    F.size(words_of(text_of(docs["text"]))).cast("long").alias("_size"))
+    # equal rows share the copies: row j of r takes the copies j, j + r, ...
+    equal = Window.partitionBy("_row.doc_id", "_row.source", "_size")
+    d = d.select("_row", "_size", (F.row_number().over(equal.orderBy(F.lit(1))) - 1).alias("_j"),
+                 F.count(F.lit(1)).over(equal).alias("_rows"))
+    j = d.join(taken, F.col("_row.doc_id").eqNullSafe(F.col("_t_doc_id"))
+               & F.col("_row.source").eqNullSafe(F.col("_t_source")) & (F.col("_size") == F.col("_t_size")))
+    own = F.floor((F.col("_t_copies") + F.col("_rows") - 1 - F.col("_j")) / F.col("_rows"))
+    return j.select("_row", F.explode(F.array_repeat(F.lit(0), own.cast("int")))).select("_row.*")
+
+
 def op6_mixing(spark, sf_dir):
     """op6: every document's share in the mix."""
     return mix_report(documents(spark, sf_dir))
