@@ -77,8 +77,8 @@ DIGITS = [
     Feature("tenure_years", lambda: F.floor(c("tenure") / 12), "floor(tenure / 12)", "long"),
     Feature("tenure_is_multiple_12", lambda: _flag(F.pmod(c("tenure"), F.lit(12)) == 0),
             f"cast({_pmod_sql('tenure', 12)} = 0 as bigint)", "long"),
-    Feature("tenure_first_digit", lambda: F.substring(c("tenure").cast("string"), 1, 1).cast("int"),
-            "cast(substr(cast(tenure as varchar), 1, 1) as int)", "long"),
+    Feature("tenure_first_digit", lambda: F.substring(F.abs(c("tenure")).cast("string"), 1, 1).cast("int"),
+            "cast(substr(cast(abs(tenure) as varchar), 1, 1) as int)", "long"),
     Feature("tenure_last_digit", lambda: F.expr("right(cast(tenure as string), 1)").cast("int"),
             "cast(right(cast(tenure as varchar), 1) as int)", "long"),
     Feature("mc_fractional", lambda: c("monthly") - F.floor(c("monthly")), "monthly - floor(monthly)"),

@@ -2,8 +2,8 @@
 quantile edges fitted on the data, ordinal quantile discretiser, signed
 deviation bands.
 
-Edges are a handful of numbers: quantile edges are computed with the exact
-``percentile`` aggregate (linear interpolation, one pass, partial
+Edges are a handful of numbers: quantile edges are exact, from the distributed
+histogram kernel (linear interpolation, one pass, partial
 aggregation) and brought to the driver as literals, so the binning itself
 is a projection with no shuffle.
 """

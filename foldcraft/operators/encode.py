@@ -24,7 +24,7 @@ from typing import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_MAX_ROWS, cut_lineage
+from ..session import cut_lineage
 from .folds import nested_folds
 
 EncFn = Callable[[Column, Column, Column, Column], Column]
@@ -103,7 +103,11 @@ def exclude_each(stats: DataFrame, keys: Sequence[str], fold: str,
     tot = stats.groupBy(*keys).agg(F.sum("n").alias("tn"), F.sum("s").alias("ts"))
     fl = stats.sparkSession.createDataFrame([(int(f),) for f in folds], [fold])
     grid = tot.crossJoin(F.broadcast(fl))  # k-row side, fixed size
-    j = grid.join(stats, on=[*keys, fold], how="left")
+    own = stats.select(*[F.col(c).alias(f"_x_{c}") for c in [*keys, fold]], "n", "s")
+    on = F.col(fold) == F.col(f"_x_{fold}")
+    for c in keys:  # a null category has an own fold to leave out, too
+        on = on & F.col(c).eqNullSafe(F.col(f"_x_{c}"))
+    j = grid.join(own, on, "left")
     return j.select(*keys, fold,
                     (F.col("tn") - F.coalesce(F.col("n"), F.lit(0.0))).alias("n"),
                     (F.col("ts") - F.coalesce(F.col("s"), F.lit(0.0))).alias("s"))
@@ -121,14 +125,13 @@ def _apply(rows: DataFrame, table: DataFrame, cols: Sequence[str], keys: Sequenc
     """Left-join every encoded column's fit table onto the rows.
 
     ``table`` is (keys..., col, value, n, s, prior, pvar).  The encodings
-    are materialised once (they feed one join per column) and counted:
-    broadcast below the bound, shuffled join above it.
+    are materialised once (they feed one join per column); each join's
+    strategy follows from the size of its column's part at run time.
     """
     enc = table.select(*keys, "col", "value",
                        *[fn(F.col("n"), F.col("s"), F.col("prior"), F.col("pvar")).alias(name)
                          for name, fn in outputs.items()])
     enc = cut_lineage(enc, "encodings")
-    small = enc.count() <= BROADCAST_MAX_ROWS
     vkey = {c: f"_v{i}" for i, c in enumerate(cols)}
     out = rows.select("*", *[F.col(c).cast("string").alias(vkey[c]) for c in cols])
     names = {}
@@ -136,7 +139,7 @@ def _apply(rows: DataFrame, table: DataFrame, cols: Sequence[str], keys: Sequenc
         t = enc.filter(F.col("col") == c).select(
             *keys, F.col("value").alias(vkey[c]),
             *[F.col(nm).alias(f"_e_{vkey[c]}_{nm}") for nm in outputs])
-        out = out.join(F.broadcast(t) if small else t, on=[*keys, vkey[c]], how="left")
+        out = out.join(t, on=[*keys, vkey[c]], how="left")
         for nm in outputs:
             names[prefix_fmt.format(col=c, stat=nm)] = F.coalesce(F.col(f"_e_{vkey[c]}_{nm}"), defaults[nm])
     return out.select(*rows.columns, *[e.alias(n) for n, e in names.items()])

@@ -28,7 +28,7 @@ def stratified_folds(df: DataFrame, k: int = 5, seed: int = 42, label: str = "y"
                      segments: Sequence[str] = ()) -> DataFrame:
     """K1: fold = (row number inside label by seeded hash) mod k."""
     r = row_number_by_hash(df, seeded_key(seed, id_col), [*segments, label],
-                           out="_rn", tiebreak=id_col)
+                           out="_rn", tiebreak=id_col, required=label)
     return r.withColumn(out, (F.col("_rn") % k).cast("int")).drop("_rn", "_rn_n")
 
 
@@ -37,7 +37,7 @@ def multi_seed_folds(df: DataFrame, seeds: Sequence[int] = (11, 42, 99), k: int
     """K4: one fold column per seed, as rows (seed, id, fold)."""
     ex = df.withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
     r = row_number_by_hash(ex, seeded_key(F.col("seed"), id_col), ["seed", label],
-                           out="_rn", tiebreak=id_col)
+                           out="_rn", tiebreak=id_col, required=label)
     return r.withColumn("fold", (F.col("_rn") % k).cast("int")).drop("_rn", "_rn_n")
 
 
@@ -55,7 +55,7 @@ def nested_folds(df: DataFrame, k_outer: int = 5, k_inner: int = 5, seed: int =
     s = (F.col("ofold") + F.lit(seed)) if inner_seed_offset else F.lit(seed)
     inner = ex.filter(F.col("ofold") != F.col(fold))
     r = row_number_by_hash(inner, seeded_key(s, id_col), ["ofold", label],
-                           out="_rn", tiebreak=id_col)
+                           out="_rn", tiebreak=id_col, required=label)
     r = r.withColumn("ifold", (F.col("_rn") % k_inner).cast("int")).drop("_rn", "_rn_n")
     if keep_own:
         own = ex.filter(F.col("ofold") == F.col(fold)).withColumn("ifold", F.lit(-1))
@@ -67,7 +67,8 @@ def stratified_holdout(df: DataFrame, frac: float = 0.2, seed: int = 42, label:
                        id_col: str = "id") -> DataFrame:
     """K3 (stratified): the first ceil(frac * n_class) rows of each class in
     seeded-hash order are validation."""
-    r = row_number_by_hash(df, seeded_key(seed, id_col), [label], out="_rn", tiebreak=id_col)
+    r = row_number_by_hash(df, seeded_key(seed, id_col), [label], out="_rn", tiebreak=id_col,
+                           required=label)
     return r.withColumn("is_valid", (F.col("_rn") < F.ceil(F.col("_rn_n") * frac))
                         .cast("int")).drop("_rn", "_rn_n")
 
@@ -104,6 +105,8 @@ def rebalanced_sets(df: DataFrame, parts: int = 5, per_other_part: int = 20000,
     """
     counts = df.groupBy(label).count()
     # majority label: a 2-row aggregate
+    counts = counts.withColumn("count", F.when(F.col(label).isNotNull(), F.col("count")).otherwise(
+        F.raise_error(F.concat(F.col("count").cast("string"), F.lit(f" rows have no {label}")))))
     maj = counts.orderBy(F.desc("count"), F.asc(label)).limit(1).select(
         F.col(label).alias("_maj"))
     d = df.crossJoin(F.broadcast(maj))  # one-row side

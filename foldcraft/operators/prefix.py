@@ -20,22 +20,30 @@ executor or an AQE re-plan yields the same buckets.
 
 from __future__ import annotations
 
+import math
 from typing import Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Buckets of the value-ordered kernels: only the small offsets table grows
-# with it (segments x buckets rows), while the rows per window partition
-# shrink; many buckets share a task, so small data pays little for them.
-DEFAULT_BUCKETS = 1024
+from ..session import cut_lineage
+
+# Limits to the buckets of the value-ordered kernels; their number is the
+# square root of the rows, which keeps both the rows per window partition and
+# the offsets table (segments x buckets rows) small.
+MIN_BUCKETS, MAX_BUCKETS = 16, 8192
 # hex digits of the hash-ordered kernels: 16**3 = 4096 buckets per segment
 # keeps a window partition near a million rows at ~4e9 rows per segment.
 DEFAULT_HEX_DIGITS = 3
 
 
-def quantile_boundaries(df: DataFrame, col: str, n_buckets: int = DEFAULT_BUCKETS,
+def bucket_count(n_rows: int) -> int:
+    """Buckets for a stored table of ``n_rows`` rows."""
+    return max(MIN_BUCKETS, min(MAX_BUCKETS, math.isqrt(n_rows)))
+
+
+def quantile_boundaries(df: DataFrame, col: str, n_buckets: int = 1024,
                         rel_err: float | None = None) -> list[float]:
     """Strictly increasing literal cut points that split ``col`` evenly."""
     if n_buckets <= 1:
@@ -93,23 +101,36 @@ def _offsets(bucketed: DataFrame, segments: list[str], count_cols: dict[str, Col
     return agg.select(*segments, bucket, *cols)
 
 
+def _with_offsets(bucketed: DataFrame, offs: DataFrame, segments: list[str]) -> DataFrame:
+    """Joins the offsets back, a null segment meeting its own; its size
+    decides how."""
+    o = offs.select(*[F.col(c).alias(f"_o_{c}") for c in [*segments, "_bkt"]],
+                    *[c for c in offs.columns if c not in (*segments, "_bkt")])
+    on = F.col("_bkt") == F.col("_o__bkt")
+    for c in segments:
+        on = on & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+    return bucketed.join(o, on).drop(*[f"_o_{c}" for c in [*segments, "_bkt"]])
+
+
 def running_counts(hist: DataFrame, value: str, counts: Sequence[str],
-                   segments: Sequence[str] = (), n_buckets: int = DEFAULT_BUCKETS,
+                   segments: Sequence[str] = (), n_buckets: int | None = None,
                    boundaries: Sequence[float] | None = None) -> DataFrame:
     """For a histogram with one row per (segments, value), add for every
     count column ``c``: ``c_before`` (sum over strictly smaller values in the
-    segment) and ``c_total`` (segment total)."""
+    segment) and ``c_total`` (segment total).  Without given boundaries the
+    histogram is stored first: they are taken from it, and the rows are not
+    read again."""
     segments = list(segments)
     if boundaries is None:
-        boundaries = quantile_boundaries(hist, value, n_buckets)
+        hist = cut_lineage(hist, "histogram")
+        boundaries = quantile_boundaries(hist, value, n_buckets or bucket_count(hist.count()))
     b = with_value_bucket(hist, value, boundaries)
     offs = _offsets(b, segments, {c: F.sum(c) for c in counts}, "_bkt")
     w = (Window.partitionBy(*segments, "_bkt").orderBy(value)
          .rowsBetween(Window.unboundedPreceding, -1))
     local = b.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"_loc_{c}")
                             for c in counts])
-    # offsets: |segments| x |buckets| rows, bounded by construction
-    j = local.join(F.broadcast(offs), on=[*segments, "_bkt"])
+    j = _with_offsets(local, offs, segments)
     out = j.select(*hist.columns,
                    *[(F.col(f"_loc_{c}") + F.col(f"_off_{c}")).alias(f"{c}_before")
                      for c in counts],
@@ -119,23 +140,28 @@ def running_counts(hist: DataFrame, value: str, counts: Sequence[str],
 
 def row_number_by_hash(df: DataFrame, key: Column, segments: Sequence[str] = (),
                        out: str = "rn", hex_digits: int = DEFAULT_HEX_DIGITS,
-                       tiebreak: str | None = None) -> DataFrame:
+                       tiebreak: str | None = None, required: str | None = None) -> DataFrame:
     """0-based row number ordered by an md5 hex ``key`` inside ``segments``,
     plus ``<out>_n`` = segment size.  Equals
-    ``row_number() over (partition by segments order by key) - 1``."""
+    ``row_number() over (partition by segments order by key) - 1``; nulls of
+    a segment column form a segment, or are an error that gives their number
+    if the column is ``required``."""
     segments = list(segments)
     b = df.withColumn("_key", key).withColumn("_bkt", hash_bucket(F.col("_key"), hex_digits))
     offs = _offsets(b, segments, {"r": F.count(F.lit(1))}, "_bkt")
+    if required:  # the check reads the counts that are there anyway
+        offs = offs.withColumn("_off_r", F.when(F.col(required).isNotNull(), F.col("_off_r")).otherwise(
+            F.raise_error(F.concat(F.col("_tot_r").cast("string"), F.lit(f" rows have no {required}")))))
     order = [F.col("_key")] + ([F.col(tiebreak)] if tiebreak else [])
     w = Window.partitionBy(*segments, "_bkt").orderBy(*order)
-    j = b.join(F.broadcast(offs), on=[*segments, "_bkt"])
+    j = _with_offsets(b, offs, segments)
     return j.select(*df.columns,
                     (F.row_number().over(w) - 1 + F.col("_off_r")).cast("long").alias(out),
                     F.col("_tot_r").cast("long").alias(f"{out}_n"))
 
 
 def row_number_by_value(df: DataFrame, order_col: str, segments: Sequence[str] = (),
-                        out: str = "rn", n_buckets: int = DEFAULT_BUCKETS,
+                        out: str = "rn", n_buckets: int = 1024,
                         tiebreak: str | None = None) -> DataFrame:
     """0-based row number ordered by a numeric column inside ``segments``
     (ties broken by ``tiebreak``), plus ``<out>_n`` = segment size."""
@@ -145,7 +171,7 @@ def row_number_by_value(df: DataFrame, order_col: str, segments: Sequence[str] =
     offs = _offsets(b, segments, {"r": F.count(F.lit(1))}, "_bkt")
     order = [F.col(order_col)] + ([F.col(tiebreak)] if tiebreak else [])
     w = Window.partitionBy(*segments, "_bkt").orderBy(*order)
-    j = b.join(F.broadcast(offs), on=[*segments, "_bkt"])
+    j = _with_offsets(b, offs, segments)
     return j.select(*df.columns,
                     (F.row_number().over(w) - 1 + F.col("_off_r")).cast("long").alias(out),
                     F.col("_tot_r").cast("long").alias(f"{out}_n"))

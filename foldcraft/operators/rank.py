@@ -19,11 +19,16 @@ from .prefix import running_counts
 
 def unpivot_numeric(df: DataFrame, cols: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """(keep..., col, value double): numbers keyed by value, not text.
-    NaN and -0.0 are normalised so equal numbers share one key."""
+    -0.0 is read as 0 and NaN as null, so equal numbers share one key."""
     arr = F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("value"))
                     for c in cols])
     long = df.select(*keep, F.explode(arr).alias("_kv")).select(*keep, "_kv.col", "_kv.value")
-    return long.withColumn("value", F.when(F.col("value") == 0, F.lit(0.0)).otherwise(F.col("value")))
+    return long.withColumn("value", number_key(F.col("value")))
+
+
+def number_key(v: Column) -> Column:
+    """A number as a key: one zero, NaN as null."""
+    return F.when(v == 0, F.lit(0.0)).when(~F.isnan(v), v)
 
 
 def lookup_back(rows: DataFrame, table: DataFrame, cols: Sequence[str], stats: dict[str, str],
@@ -35,8 +40,7 @@ def lookup_back(rows: DataFrame, table: DataFrame, cols: Sequence[str], stats: d
         t = table.filter(F.col("col") == c).select(
             *keys, F.col("value").alias("_v"),
             *[F.col(src).alias(fmt.format(col=c)) for src, fmt in stats.items()])
-        v = F.col(c).cast("double")
-        out = out.withColumn("_v", F.when(v == 0, F.lit(0.0)).otherwise(v)).join(
+        out = out.withColumn("_v", number_key(F.col(c).cast("double"))).join(
             t, on=[*keys, "_v"], how="left").drop("_v")
         if default is not None:
             for fmt in stats.values():
@@ -90,8 +94,7 @@ def reference_rank(rows: DataFrame, ref: DataFrame, cols: Sequence[str],
         t = rc.filter(F.col("col") == c).select(
             *seg, F.col("value").alias("_v"),
             *[F.col(f"_p_{k}").alias(out_fmt.format(subset=k, col=c)) for k in subsets])
-        v = F.col(c).cast("double")
-        out = out.withColumn("_v", F.when(v == 0, F.lit(0.0)).otherwise(v)).join(
+        out = out.withColumn("_v", number_key(F.col(c).cast("double"))).join(
             t, on=[*seg, "_v"], how="left").drop("_v")
         if absent is not None:
             for k in subsets:
@@ -132,7 +135,7 @@ def first_seen_codes(fit: DataFrame, rows: DataFrame, cols: Sequence[str], order
     arr = F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("value")) for c in cols])
     d = (fit.select(order_col, F.explode(arr).alias("kv")).select(order_col, "kv.col", "kv.value")
          .filter(F.col("value").isNotNull())
-         .groupBy("col", "value").agg(F.min(order_col).cast("double").alias("first"))
+         .groupBy("col", "value").agg(F.min(order_col).alias("first"))
          .withColumn("one", F.lit(1)))
     codes = running_counts(d, "first", ["one"], ["col"]).select(
         "col", "value", F.col("one_before").alias("code"))

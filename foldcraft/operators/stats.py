@@ -21,9 +21,9 @@ from .rank import lookup_back, unpivot_numeric
 
 
 def frequency_encoding(df: DataFrame, cols: Sequence[str], out_fmt: str = "freq_{col}") -> DataFrame:
-    """relative frequency of each exact numeric value over all rows of
-    ``df``; unseen -> 0."""
-    long = unpivot_numeric(df, cols, [])
+    """relative frequency of each exact numeric value among the rows of
+    ``df`` that have one; null or unseen -> 0."""
+    long = unpivot_numeric(df, cols, []).filter(F.col("value").isNotNull())
     cnt = long.groupBy("col", "value").agg(F.count(F.lit(1)).alias("c"))
     # n per column from the (col, value) table itself (no extra pass over
     # the rows); |cols| rows, broadcast
