@@ -1,8 +1,6 @@
 """Session construction and small plan helpers shared by every operator.
 
-Nothing here moves row-sized data to the driver: the only driver-side
-values are counts of already-aggregated tables (to decide whether a side
-may be broadcast) and the checkpoint directory read from the session.
+Nothing here moves row-sized data to the driver.
 """
 
 from __future__ import annotations
@@ -13,12 +11,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Upper bound (rows) for a lookup table that may be shipped to every
-# executor.  Encoding / histogram tables are aggregates whose size is known
-# only after they are computed, so callers count them first (cheap: they are
-# aggregates) and fall back to a shuffled join above this bound.
-BROADCAST_MAX_ROWS = 2_000_000
-
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
                   app: str = "foldcraft") -> SparkSession:
@@ -46,14 +38,6 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 # rounded outputs) would run interpreted, 5-10x slower.  At this limit Spark
 # falls back to per-operator generated code, split into small methods.
 JIT_METHOD_LIMIT = 8000
-_HUGE_METHOD_KEY = "spark.sql.codegen.hugeMethodLimit"
-
-
-def tune_codegen(spark: SparkSession) -> None:
-    """Lower the whole-stage method limit to the JIT limit unless the
-    session already sets its own value (runtime SQL option, per session)."""
-    if spark.conf.get(_HUGE_METHOD_KEY, "65535") == "65535":
-        spark.conf.set(_HUGE_METHOD_KEY, str(JIT_METHOD_LIMIT))
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -66,6 +50,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         d = "/tmp/foldcraft-checkpoints"
         spark.conf.set("spark.checkpoint.dir", d)
     if sc.getCheckpointDir() is None:
@@ -89,23 +75,27 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh table path under the shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    path = os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    _SCRATCH.append(path)
+    return path
 
 
-def sized_broadcast(table: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast-hint ``table`` only when its row count is proven small.
+_SCRATCH: list[str] = []
 
-    ``table`` must be an aggregate (encoding map, histogram, offsets); it
-    is persisted so the count and the join share one computation.  Above
-    the bound the plain DataFrame is returned and Spark shuffles.  Where a
-    table is used once, callers skip this and let AQE's runtime size check
-    (``spark.sql.adaptive.autoBroadcastJoinThreshold``) pick the strategy.
-    """
-    from pyspark import StorageLevel
-    table = table.persist(StorageLevel.MEMORY_AND_DISK)
-    n = table.count()
-    return F.broadcast(table) if n <= max_rows else table
+
+def release_scratch(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the tables that this process has stored, from number ``since``
+    on (see :func:`scratch_mark`).  For the end of a query's life: results
+    that still read them must have been written or collected."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while len(_SCRATCH) > since:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def scratch_mark() -> int:
+    """How many tables are stored now."""
+    return len(_SCRATCH)
 
 
 # |v| below 2^52: v has a fractional part to round; at or above it v is

@@ -97,16 +97,18 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def accounts_once(spark: SparkSession, sf_dir: str, scores: bool = False) -> DataFrame:
-    """``accounts`` (optionally with scores) materialised once as parquet in
-    the shared checkpoint folder, for plans that read it in several jobs
-    (train and test sides, quantile boundaries, fitted tables): the
-    lineitem aggregation and the joins then run once, not once per job."""
+def accounts_once(spark: SparkSession, sf_dir: str, scores: bool = False,
+                  columns: list[str] | None = None) -> DataFrame:
+    """``accounts`` (optionally with scores; of these ``columns``, if given)
+    materialised once as parquet in the shared checkpoint folder, for plans
+    that read it in several jobs (train and test sides, quantile boundaries,
+    fitted tables): the lineitem aggregation and the joins then run once, not
+    once per job."""
     from ..session import cut_lineage
     df = accounts(spark, sf_dir)
     if scores:
         df = with_scores(df)
-    return cut_lineage(df, "accounts")
+    return cut_lineage(df.select(*columns) if columns else df, "accounts")
 
 
 def _hundredths(*terms: Column) -> Column:

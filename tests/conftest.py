@@ -14,6 +14,8 @@ def spark():
     from foldcraft.session import build_session
     s = build_session(master="local[4]", shuffle_partitions=8, app="foldcraft-tests")
     yield s
+    from foldcraft.session import release_scratch
+    release_scratch(s)
     s.stop()
 
 
