@@ -8,6 +8,7 @@ and integers cast to BIGINT in both the Spark and the SQL result.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -169,7 +170,7 @@ select cast(id as bigint) as id,
 from accounts"""))
 def q_ordinal_map(spark, sf):
     """Ordinal code from a literal map, default 0 (unseen included)."""
-    a = _te_frame(spark, sf)
+    a = T.accounts(spark, sf).withColumn("pri_u", T.unseen_category())
 
     def code(c, mp):
         e = None
@@ -477,7 +478,8 @@ ONE_HOT_LEVELS = {
 def q_one_hot(spark, sf):
     """One-hot of train levels with the first (sorted) level dropped;
     unseen test values get all zeros."""
-    a = _te_frame(spark, sf)
+    cols = dict.fromkeys(["id", "role", "pri", *(c for c in ONE_HOT_LEVELS if c != "pri_u")])
+    a = T.accounts_once(spark, sf, columns=list(cols)).withColumn("pri_u", T.unseen_category())
     out = E.one_hot(a.filter(F.col("role") == "train"), a, list(ONE_HOT_LEVELS))
     keep = [c for c in out.columns if any(c.startswith(p + "_") for p in ONE_HOT_LEVELS)
             and c not in a.columns]
@@ -536,16 +538,18 @@ from ..operators import binning as H  # noqa: E402
 from ..operators import rank as G  # noqa: E402
 from ..operators import stats as ST  # noqa: E402
 
-FREQ_COLS = ["tenure", "n_items", "total"]
+FREQ_COLS = ["tenure", "n_items", "total", "tenure_gap"]
 
 
 @query("freq_encoding", with_base(
     "select cast(id as bigint) as id, " + ", ".join(
-        f"round(count(*) over (partition by {c}) / count(*) over (), 6) as freq_{c}" for c in FREQ_COLS)
-    + " from accounts"))
+        f"round(case when {c} is null then 0.0e0 else count({c}) over (partition by {c}) / count({c}) over () end, 6) "
+        f"as freq_{c}" for c in FREQ_COLS)
+    + " from (select *, case when id % 41 = 0 then null else tenure end as tenure_gap from accounts) g"))
 def q_freq_encoding(spark, sf):
-    """relative frequency of the exact value over train+test+reference."""
-    a = T.accounts(spark, sf)
+    """relative frequency of the exact value over train+test+reference;
+    tenure_gap has nulls, which do not count."""
+    a = T.accounts(spark, sf).withColumn("tenure_gap", F.when(F.col("id") % 41 != 0, F.col("tenure")))
     out = ST.frequency_encoding(a, FREQ_COLS)
     return out.select(L("id").alias("id"), *[R(f"freq_{c}").alias(f"freq_{c}") for c in FREQ_COLS])
 
@@ -851,7 +855,7 @@ def _auc_sql_from(src: str, seg_cols: str = "score", label: str = "y", score: st
     "(select 's_a' as score, y_sig as y, s_a as s from scored union all select 's_b', y_sig, s_b from scored)")))
 def q_auc_exact(spark, sf):
     """Exact ROC AUC with ties averaged, for two fixed scores."""
-    sc = T.accounts_once(spark, sf, scores=True)
+    sc = T.accounts_once(spark, sf, scores=True, columns=["s_a", "s_b", "y_sig"])
     long = sc.select(F.explode(F.array(
         F.struct(F.lit("s_a").alias("score"), F.col("s_a").alias("s"), F.col("y_sig").alias("y")),
         F.struct(F.lit("s_b").alias("score"), F.col("s_b").alias("s"), F.col("y_sig").alias("y")))).alias("r")
@@ -875,7 +879,7 @@ SIG_FOLDS_SQL = (f"sf as (select *, cast((row_number() over (partition by y_sig
 def q_auc_by_fold(spark, sf):
     """AUC per validation fold, mean / population std / min / max."""
     from pyspark.sql import Window
-    sc = T.accounts_once(spark, sf, scores=True).filter(F.col("role") == "train")
+    sc = T.accounts_once(spark, sf, scores=True, columns=["id", "role", "s_a", "y_sig"]).filter(F.col("role") == "train")
     f = K.stratified_folds(sc, 5, SEED, label="y_sig")
     a = G.auc(f, "s_a", "y_sig", ["fold"])
     w = Window.partitionBy()  # 5-row table
@@ -1225,8 +1229,8 @@ TRAIN_SCORED = "ts as (select id, y_sig as y, s_a, s_b from scored where role =
 
 
 def _train_scored(spark, sf):
-    return T.accounts_once(spark, sf, scores=True).filter(F.col("role") == "train").select(
-        "id", F.col("y_sig").alias("y"), "s_a", "s_b")
+    return T.accounts_once(spark, sf, scores=True, columns=["id", "role", "y_sig", "s_a", "s_b"]).filter(
+        F.col("role") == "train").select("id", F.col("y_sig").alias("y"), "s_a", "s_b")
 
 
 NOISE_C = "(((id * 31337 + 7) % 10007) / 10007.0)"
@@ -1499,6 +1503,7 @@ def q_class_balance(spark, sf):
 
 from . import train as TR  # noqa: E402
 
+MODEL_FOLDS = 3
 MODEL_FEATURES = ["tenure", "monthly", "total", "n_items", "svc_yes_count", "is_urgent", "ISYES_svc_return",
                   "charges_deviation", "tenure_mod12"]
 
@@ -1509,7 +1514,7 @@ def _model_frame(spark, sf):
     cols = [feats[n].col().cast("double").alias(n) for n in MODEL_FEATURES if n in feats]
     base = [F.col(n).cast("double").alias(n) for n in MODEL_FEATURES if n not in feats]
     x = s.select("id", "role", F.col("y_sig").alias("y"), *base, *cols)
-    tr = K.stratified_folds(x.filter(F.col("role") == "train"), 3, SEED)
+    tr = K.stratified_folds(x.filter(F.col("role") == "train"), MODEL_FOLDS, SEED)
     return tr, x.filter(F.col("role") == "test")
 
 
@@ -1520,7 +1525,7 @@ def q_gbt_oof(spark, sf):
     and fold-averaged test scores."""
     tr, te = _model_frame(spark, sf)
     scored, _ = TR.oof_scores(tr, te, MODEL_FEATURES, "y", lambda: TR.gbt("y", 10, 4, validation_col="_is_val"),
-                              range(3), early_stop=True)
+                              range(MODEL_FOLDS), early_stop=True)
     return TR.assemble_oof(scored)
 
 
@@ -1530,7 +1535,7 @@ def q_gbt_fold_report(spark, sf):
     validation AUC of the boosted-tree OOF run."""
     tr, te = _model_frame(spark, sf)
     _, rep = TR.oof_scores(tr, te, MODEL_FEATURES, "y", lambda: TR.gbt("y", 10, 4, validation_col="_is_val"),
-                           range(3), early_stop=True)
+                           range(MODEL_FOLDS), early_stop=True)
     return rep
 
 
@@ -1539,15 +1544,60 @@ def q_logreg_oof(spark, sf):
     """Standardised logistic regression with balanced class
     weights, out of fold."""
     tr, te = _model_frame(spark, sf)
-    cnt = tr.groupBy("y").agg(F.count(F.lit(1)).alias("n_c"))
-    n = cnt.agg(F.sum("n_c").alias("n"))
-    w = cnt.crossJoin(n).select("y", (F.col("n") / (2.0 * F.col("n_c"))).alias("w"))  # 2 rows
-    tr = tr.join(F.broadcast(w), "y")
-    scored, _ = TR.oof_scores(tr, te, MODEL_FEATURES, "y", lambda: TR.logreg("y", "w", 50, 0.01), range(3),
-                              scale=True, weight_col="w")
+    scored, _ = TR.oof_scores(tr, te, MODEL_FEATURES, "y", lambda n: TR.logreg("y", "w", c=1.0, n_fit=n),
+                              range(MODEL_FOLDS), scale=True, balanced="w")
     return TR.assemble_oof(scored)
 
 
+def _encoded_frame(spark, sf):
+    """Fold encodings joined to the plain features: what a model per fold
+    fits on and scores."""
+    s = T.scored(spark, sf).select("id", "role", F.col("y_sig").alias("y"), *TE_MODEL_COLS,
+                                   *[F.col(c).cast("double").alias(c) for c in TE_PLAIN])
+    tr = cut_lineage(K.stratified_folds(s.filter(F.col("role") == "train"), MODEL_FOLDS, SEED), "model-train")
+    te = s.filter(F.col("role") == "test")
+    enc = E.encode_per_fold(tr.select("id", "y", "fold", *TE_MODEL_COLS), te, TE_MODEL_COLS, MODEL_FOLDS,
+                            {"te": E.smoothed(20)})
+    plain = tr.select("id", "y", *TE_PLAIN).unionByName(te.select("id", F.lit(None).cast("int").alias("y"), *TE_PLAIN))
+    return cut_lineage(enc.drop("y").join(plain, "id"), "model-encodings")
+
+
+TE_MODEL_COLS = ["pri", "seg", "nation", "svc_return", "svc_keep"]
+TE_PLAIN = ["n_items", "monthly"]
+TE_FEATURES = [f"te_{c}" for c in TE_MODEL_COLS] + TE_PLAIN
+
+
+@query("te_models_oof")
+def q_te_models_oof(spark, sf):
+    """I2 + L1 / L2 / L5 / A7 / A5: per fold, encodings fitted on the other
+    folds feed a boosted-tree and a logistic model, which score the fold and
+    the test rows; one stored encoding table serves both models.  Columns
+    gbt, logreg and their mean, blend."""
+    rows = _encoded_frame(spark, sf)
+    g = TR.assemble_oof(TR.encoded_scores(rows, TE_FEATURES, "y", lambda: TR.gbt("y", 10, 4), range(MODEL_FOLDS)))
+    lr = TR.assemble_oof(TR.encoded_scores(rows, TE_FEATURES, "y", lambda n: TR.logreg("y", "w", c=1.0, n_fit=n),
+                                           range(MODEL_FOLDS), scale=True, balanced="w"))
+    return g.withColumnRenamed("score", "gbt").join(lr.withColumnRenamed("score", "logreg"), ["id", "part"]).withColumn(
+        "blend", (F.col("gbt") + F.col("logreg")) / 2)
+
+
+@query("oof_assembly", with_base(
+    "select cast(id as bigint) as id, 'oof' as part, round(s_a + fold / 100.0, 6) as score from folds "
+    "union all select cast(id as bigint), 'test', round(s_a + 0.02, 6) from te_base where role = 'test'",
+    TE_BASE + ",\n" + FOLDS_SQL))
+def q_oof_assembly(spark, sf):
+    """Out-of-fold scores and fold-averaged test scores, assembled
+    from fixed per-fold scores."""
+    a = T.with_scores(_te_frame(spark, sf))
+    tr = K.stratified_folds(a.filter(F.col("role") == "train"), 5, SEED)
+    te = a.filter(F.col("role") == "test").crossJoin(
+        spark.createDataFrame([(i,) for i in range(5)], "fold int"))  # five rows
+    s = tr.select("id", F.lit("oof").alias("part"), "fold", (F.col("s_a") + F.col("fold") / 100.0).alias("score"))
+    s = s.unionByName(te.select("id", F.lit("test").alias("part"), "fold", (F.col("s_a") + F.col("fold") / 100.0).alias("score")))
+    o = TR.assemble_oof(s)
+    return o.select(L("id").alias("id"), "part", R("score").alias("score"))
+
+
 @query("rebalanced_gbt")
 def q_rebalanced_gbt(spark, sf):
     """L6 + K6: one boosted-tree model per rebalanced set, test scores
@@ -1568,12 +1618,13 @@ def q_rebalanced_gbt(spark, sf):
 @query("pseudo_gbt")
 def q_pseudo_gbt(spark, sf):
     """K8: per fold, a second fit with confident test rows as pseudo
-    labels; the pseudo round is kept only when the fold's AUC rises."""
+    labels; the pseudo round is kept only when the fold's AUC rises, and the
+    kept model scores the fold: validation AUC of the scores kept."""
     tr, te = _model_frame(spark, sf)
     asm = TR.VectorAssembler(inputCols=MODEL_FEATURES, outputCol="features", handleInvalid="keep")
     tr_v, te_v = cut_lineage(asm.transform(tr)), cut_lineage(asm.transform(te))
     rows = []
-    for f in range(2):
+    for f in range(MODEL_FOLDS):
         fit, val = tr_v.filter(F.col("fold") != f), tr_v.filter(F.col("fold") == f)
         m1 = TR.gbt("y", 8, 4).fit(fit)
         a1 = G.auc(TR._prob(m1.transform(val)), "score", "y").first()["auc"]
@@ -1584,8 +1635,9 @@ def q_pseudo_gbt(spark, sf):
         if ps.limit(1).count() > 0:
             m2 = TR.gbt("y", 8, 4).fit(fit.unionByName(ps))
             a2 = G.auc(TR._prob(m2.transform(val)), "score", "y").first()["auc"]
-        rows.append((f, float(a1), None if a2 is None else float(a2), bool(a2 is not None and a2 > a1)))
-    return spark.createDataFrame(rows, "fold int, auc_round1 double, auc_round2 double, keep_pseudo boolean")
+        keep = bool(a2 is not None and a2 > a1)
+        rows.append((f, float(a1), None if a2 is None else float(a2), keep, float(a2 if keep else a1)))
+    return spark.createDataFrame(rows, "fold int, auc_round1 double, auc_round2 double, keep_pseudo boolean, auc_kept double")
 
 
 @query("feature_importance")
@@ -1692,19 +1744,24 @@ def q_global_stats(spark, sf):
 @query("gbt_variants")
 def q_gbt_variants(spark, sf):
     """L3 / L4: regularised (depth 1, min 3 rows per node), pruned (depth 4,
-    minimum gain .5), deep (depth 8) and class-weighted boosted trees on
-    one fold; validation AUC per variant."""
+    minimum gain .5), deep (depth 8) and class-weighted boosted trees,
+    out of fold; validation AUC per variant and fold."""
     tr, _ = _model_frame(spark, sf)
     asm = TR.VectorAssembler(inputCols=MODEL_FEATURES, outputCol="features", handleInvalid="keep")
     x = cut_lineage(asm.transform(tr.withColumn("w", F.when(F.col("y") == 1, SCALE_POS).otherwise(1.0))))
-    fit, val = x.filter(F.col("fold") != 0), x.filter(F.col("fold") == 0)
     variants = {"shallow": TR.gbt("y", 5, 1, min_instances=3), "pruned": TR.gbt("y", 5, 4, min_info_gain=0.5),
                 "deep": TR.gbt("y", 5, 8), "weighted": TR.gbt("y", 5, 4, weight_col="w")}
     rows = []
     for name, est in variants.items():
-        m = est.fit(fit)
-        rows.append((name, float(G.auc(TR._prob(m.transform(val)), "score", "y").first()["auc"])))
-    return spark.createDataFrame(rows, "variant string, val_auc double")
+        scored = None
+        for f in range(MODEL_FOLDS):
+            p = TR._prob(est.fit(x.filter(F.col("fold") != f)).transform(x.filter(F.col("fold") == f))).select(
+                F.lit(name).alias("variant"), "fold", "score", "y")
+            scored = p if scored is None else scored.unionByName(p)
+        rows.append(scored)
+    every = cut_lineage(reduce(DataFrame.unionByName, rows), "variants")
+    return G.auc(every, "score", "y", ["variant", "fold"]).select("variant", L("fold").alias("fold"),
+                                                                  F.col("auc").alias("val_auc"))
 
 
 # ---------------------------------------------------------------- O3: cartesian parameter sweep

@@ -42,18 +42,48 @@ def _prob(df: DataFrame, out: str = "score") -> DataFrame:
     return df.withColumn(out, vector_to_array(F.col("probability"))[1])
 
 
+def _stages(features: Sequence[str], scale: bool) -> list:
+    """Feature vector; D13 / L5: standardised with the fit rows' statistics."""
+    asm = VectorAssembler(inputCols=list(features), outputCol="raw" if scale else "features",
+                          handleInvalid="keep")
+    return [asm] + ([StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)] if scale else [])
+
+
+def _fit(fit_rows: DataFrame, stages: list, make_estimator, label: str, balanced: str | None):
+    """Fits one model.  ``make_estimator`` gets the number of fit rows if a
+    weight column ``balanced`` is asked for: n / (2 n_class) of these rows."""
+    if not balanced:
+        return Pipeline(stages=stages + [make_estimator()]).fit(fit_rows)
+    n = {r[label]: r["count"] for r in fit_rows.groupBy(label).count().collect()}  # two classes
+    total = sum(n.values())
+    w = F.when(F.col(label) == 1, total / (2.0 * n.get(1, total))).otherwise(total / (2.0 * n.get(0, total)))
+    return Pipeline(stages=stages + [make_estimator(total)]).fit(fit_rows.withColumn(balanced, w))
+
+
+def encoded_scores(rows: DataFrame, features: Sequence[str], label: str, make_estimator, folds: Sequence[int],
+                   scale: bool = False, balanced: str | None = None) -> DataFrame:
+    """Per fold, fits on the rows of part 'fit' and scores those of 'valid'
+    and 'test'.  ``rows`` come encoded per fold (operators.encode): a row is
+    there once per fold, with that fold's encodings.  Returns (id, part, fold,
+    score, label)."""
+    scored = None
+    for f in folds:
+        own = rows.filter(F.col("fold") == f)
+        model = _fit(own.filter(F.col("part") == "fit"), _stages(features, scale), make_estimator, label, balanced)
+        p = _prob(model.transform(own.filter(F.col("part") != "fit"))).select(
+            "id", F.when(F.col("part") == "valid", "oof").otherwise("test").alias("part"), "fold", "score", label)
+        scored = p if scored is None else scored.unionByName(p)
+    return cut_lineage(scored, "scores")
+
+
 def oof_scores(train: DataFrame, test: DataFrame, features: Sequence[str], label: str,
                make_estimator, folds: Sequence[int], early_stop: bool = False,
-               scale: bool = False, weight_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+               scale: bool = False, balanced: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Fit one model per fold on the other folds, score the fold's rows and
     the test rows.  Returns (scored rows: id, part, fold, score; per-fold
     report: fold, n_trees / iterations, val_auc)."""
-    asm = VectorAssembler(inputCols=list(features), outputCol="raw" if scale else "features",
-                          handleInvalid="keep")
-    stages = [asm]
-    if scale:  # D13 / L5: standardise with statistics of the fit rows only
-        stages.append(StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True))
-    keep = ["id", label, "fold", *features] + ([weight_col] if weight_col else [])
+    stages = _stages(features, scale)
+    keep = ["id", label, "fold", *features]
     train = cut_lineage(train.select(*keep))
     test = cut_lineage(test.select("id", *features))
     scored, report = None, []
@@ -62,7 +92,7 @@ def oof_scores(train: DataFrame, test: DataFrame, features: Sequence[str], label
             fit_rows = train.withColumn("_is_val", F.col("fold") == f)
         else:
             fit_rows = train.filter(F.col("fold") != f)
-        model = Pipeline(stages=stages + [make_estimator()]).fit(fit_rows)
+        model = _fit(fit_rows, stages, make_estimator, label, balanced)
         val = _prob(model.transform(train.filter(F.col("fold") == f))).select(
             "id", F.lit("oof").alias("part"), F.lit(f).alias("fold"), "score", label)
         tst = _prob(model.transform(test)).select(
@@ -71,7 +101,7 @@ def oof_scores(train: DataFrame, test: DataFrame, features: Sequence[str], label
         scored = part if scored is None else scored.unionByName(part)
         last = model.stages[-1]
         size = getattr(last, "getNumTrees", None)
-        report.append((int(f), int(size) if size is not None else int(getattr(last, "numFeatures", 0))))
+        report.append((int(f), int(size) if size is not None else int(last.summary.totalIterations)))
     scored = cut_lineage(scored)
     aucs = auc(scored.filter(F.col("part") == "oof"), "score", label, ["fold"])
     rep = train.sparkSession.createDataFrame(report, ["fold", "model_size"]).join(aucs, "fold")
@@ -86,10 +116,11 @@ def assemble_oof(scored: DataFrame) -> DataFrame:
     return oof.unionByName(tst)
 
 
-def logreg(label: str = "y", weight_col: str | None = None, max_iter: int = 100, reg: float = 1.0) -> LogisticRegression:
-    """Logistic regression (C=1 -> regParam = 1 / (C * n) is left to the
-    caller; default is MLlib's L2 with the given strength)."""
-    lr = LogisticRegression(labelCol=label, featuresCol="features", maxIter=max_iter, regParam=reg)
+def logreg(label: str = "y", weight_col: str | None = None, max_iter: int = 100, c: float = 1.0,
+           n_fit: int = 1) -> LogisticRegression:
+    """Logistic regression with inverse strength ``c`` over ``n_fit``
+    rows: the loss is a mean here, so regParam = 1 / (c * n_fit)."""
+    lr = LogisticRegression(labelCol=label, featuresCol="features", maxIter=max_iter, regParam=1.0 / (c * n_fit))
     if weight_col:
         lr = lr.setWeightCol(weight_col)
     return lr
