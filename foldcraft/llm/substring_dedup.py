@@ -243,7 +243,7 @@ def cut_words(window: int):
     """Texts without the words of the windows in ``starts``."""
     def run(batches):
         for b in batches:
-            ids, texts, starts = (b.column(c) for c in ("doc_id", "text", "starts"))
+            ids, texts, starts = (b.column(c) for c in ("did", "text", "starts"))
             kept, total, gone = [], [], []
             for i in range(b.num_rows):
                 words = texts[i].as_py().encode().split()
@@ -259,7 +259,7 @@ def cut_words(window: int):
                 kept.append(b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())],
-                names=["doc_id", "n_words", "n_removed", "kept"])
+                names=["did", "n_words", "n_removed", "kept"])
     return run
 
 
@@ -270,8 +270,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     d = docs.select("doc_id", text_of(F.col("text")).alias("text"))
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # one number
     parts = max(64, size // (6 * PART))
-    d = d.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), text_key(F.col("text")).alias("tkey"), "text")
-    source = d.select("did", "tkey", "text")
+    d = d.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), text_key(F.col("text")).alias("tkey"), "text")
 
     def per_document(table, column):
         return table.groupBy("g_doc", "g_key").agg(F.flatten(F.collect_list(column)).alias(column))
@@ -279,14 +278,16 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def with_marks(marks):
         return d.join(marks, (F.col("did") == F.col("g_doc")) & (F.col("tkey") == F.col("g_key")), "left")
 
-    repeated = (source.mapInArrow(send_representatives(window, parts), EXCHANGE).groupBy("part")
+    repeated = (d.mapInArrow(send_representatives(window, parts), EXCHANGE).groupBy("part")
                 .applyInArrow(repeated_representatives, "g_doc bigint, g_key bigint, hashes array<bigint>"))
-    # a shuffled join at every size, so that both joins read one shuffle of the texts
+    # a shuffled join at every size; as both joins want the same columns of d,
+    # the texts are shuffled once
     candidates = with_marks(per_document(repeated, "hashes").hint("merge")).select("did", "tkey", "text", "hashes")
     later = (candidates.mapInArrow(send_candidates(window, parts), EXCHANGE).groupBy("part")
              .applyInArrow(later_windows, "g_doc bigint, g_key bigint, starts array<int>"))
-    marked = with_marks(per_document(later, "starts").hint("merge")).select("doc_id", "text", "starts")
-    return marked.mapInArrow(cut_words(window), "doc_id bigint, n_words bigint, n_removed bigint, kept string")
+    marked = with_marks(per_document(later, "starts").hint("merge")).select("did", "text", "starts")
+    out = marked.mapInArrow(cut_words(window), "did bigint, n_words bigint, n_removed bigint, kept string")
+    return out.select(F.when(F.col("did") != NO_ID, F.col("did")).alias("doc_id"), "n_words", "n_removed", "kept")
 
 
 def op1_substring_dedup(spark, sf_dir):
