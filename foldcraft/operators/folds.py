@@ -95,10 +95,11 @@ def near_equal_parts(df: DataFrame, parts: int = 5, order_col: str = "id",
     return r.withColumn("part", (part + 1).cast("int")).drop("_rn", "_rn_n")
 
 
-def rebalanced_sets(df: DataFrame, parts: int = 5, per_other_part: int = 20000,
+def rebalanced_sets(df: DataFrame, parts: int = 5, per_other_part: float = 20000,
                     seed: int = 42, label: str = "y", id_col: str = "id") -> DataFrame:
-    """K6: set i = majority part i + ``per_other_part`` rows sampled (seeded
-    hash order) from every other majority part + all minority rows.
+    """K6: set i = majority part i + ``per_other_part`` rows (below 1: that
+    share of the rows) sampled (seeded hash order) from every other majority
+    part + all minority rows.
 
     The sample is an exact top-n per (set, part) computed with the bucketed
     row number, not a window over a whole part.  Output (set_id, id, part).
@@ -120,7 +121,8 @@ def rebalanced_sets(df: DataFrame, parts: int = 5, per_other_part: int = 20000,
     key = seeded_key(F.concat_ws(":", F.lit(str(seed)), F.col("set_id").cast("string"),
                                  F.col("part").cast("string")), id_col)
     ranked = row_number_by_hash(other, key, ["set_id", "part"], out="_rn", tiebreak=id_col)
-    sampled = ranked.filter(F.col("_rn") < per_other_part).drop("_rn", "_rn_n")
+    wanted = F.lit(per_other_part) if per_other_part >= 1 else F.ceil(F.col("_rn_n") * F.lit(float(per_other_part)))
+    sampled = ranked.filter(F.col("_rn") < wanted).drop("_rn", "_rn_n")
     pos = minor.withColumn("set_id", sets).withColumn("part", F.lit(0))
     cols = ["set_id", id_col, "part"]
     return own.select(*cols).unionByName(sampled.select(*cols)).unionByName(pos.select(*cols))

@@ -97,7 +97,7 @@ def histogram(df: DataFrame, col: str, bins: int, by: str) -> DataFrame:
     b = F.least(F.floor((F.col(col) - F.col("_lo")) / width), F.lit(bins - 1)).cast("int")
     h = j.groupBy(by, b.alias("bin"), width.alias("width")).agg(F.count(F.lit(1)).alias("n"))
     tot = df.groupBy(by).agg(F.count(F.lit(1)).alias("n_by"))
-    return h.join(F.broadcast(tot), by).select(  # one row per population
+    return h.join(tot, by).select(
         by, "bin", "n", (F.col("n") / (F.col("n_by") * F.col("width"))).alias("density"))
 
 
@@ -147,6 +147,6 @@ def standardize(df: DataFrame, names: Sequence[str], by: str, fit: "F.Column") -
             F.avg(n).alias(f"_mu_{n}"), F.stddev_pop(n).alias(f"_sd_{n}"))])
         st = part if st is None else st.join(part, by)
     keep = [c for c in df.columns if c not in names]
-    j = df.join(F.broadcast(st), by, "left")  # one row per group of a fixed small key
+    j = df.join(st, by, "left")
     sd = {n: F.when(F.col(f"_sd_{n}") == 0, F.lit(1.0)).otherwise(F.col(f"_sd_{n}")) for n in names}
     return j.select(*keep, *[((F.col(n) - F.col(f"_mu_{n}")) / sd[n]).alias(n) for n in names])

@@ -116,7 +116,7 @@ select cast(id as bigint) as id, cast(amt is null as bigint) as miss_amt,
   round(coalesce(amt, (select median(amt) from t)), 6) as amt_median,
   round(coalesce(amt, cast(tenure * n_items as double)), 6) as amt_product,
   cast((select count(*) - count(amt) from t) as bigint) as n_missing
-from t""".replace("\n, t as", "", 0)))
+from t"""))
 def q_coerce_fill(spark, sf):
     """Text -> number (bad text -> null), missing flag on the raw
     value, three fills (0, median, product), missing count."""
@@ -437,15 +437,28 @@ def q_te_pairs_logit(spark, sf):
     return std.select(L("ofold").alias("ofold"), L("id").alias("id"), "part", *[R(n).alias(n) for n in names])
 
 
-PSEUDO_T = 0.7
+PSEUDO_T = 0.95
+
+
+def steep_sql(s: str) -> str:
+    """A steeper fixed score, s^8 / (s^8 + (1 - s)^8): the stand-in is flat
+    (.20 to .77), so that it never is confident.  The same multiplications in
+    both engines."""
+    def p8(x):
+        p4 = f"(({x} * {x}) * ({x} * {x}))"
+        return f"({p4} * {p4})"
+    return f"({p8(s)} / ({p8(s)} + {p8(f'(1.0e0 - {s})')}))"
+
+
+SP_SQL = steep_sql("s_a")
 
 
 def _pseudo_fold_sql(cols, m):
     """I9 oracle: per-fold fit over (train rows of other folds + every pseudo
-    row); pseudo rows are test rows with s_a > t or < 1-t, label [s_a > .5]."""
+    row); pseudo rows are test rows with score p > t or < 1-t, label [p > .5]."""
     sql = _fold_fit_sql(cols, m)
-    aug = (f"aug as (select * from folds union all by name select * replace (cast(s_a > 0.5 as int) as y), -1 as fold "
-           f"from te_base where role = 'test' and (s_a > {PSEUDO_T} or s_a < 1 - {PSEUDO_T}))")
+    aug = (f"aug as (select * from folds union all by name select * replace (cast({SP_SQL} > 0.5 as int) as y), -1 as fold "
+           f"from te_base where role = 'test' and ({SP_SQL} > {PSEUDO_T} or {SP_SQL} < 1 - {PSEUDO_T}))")
     sql = sql.replace("fl as (select range as f from range(5))", aug + ",\nfl as (select range as f from range(5))")
     return sql.replace("from folds x cross join fl", "from aug x cross join fl")
 
@@ -453,11 +466,11 @@ def _pseudo_fold_sql(cols, m):
 @query("te_pseudo_augmented", _pseudo_fold_sql(TE_COLS, 10))
 def q_te_pseudo_augmented(spark, sf):
     """Per-fold encoding fitted on the fold's training rows plus all
-    pseudo-labelled test rows (confident fixed score s_a, t=0.7)."""
-    a = T.with_scores(_te_frame(spark, sf))
+    pseudo-labelled test rows (confident fixed score, t = .95)."""
+    a = T.with_scores(_te_frame(spark, sf)).withColumn("s_p", F.expr(SP_SQL))
     tr = K.stratified_folds(a.filter(F.col("role") == "train"), k=K_OUTER, seed=SEED)
     te = a.filter(F.col("role") == "test")
-    ps = K.pseudo_rows(te, "s_a", PSEUDO_T)
+    ps = K.pseudo_rows(te, "s_p", PSEUDO_T)
     out = E.encode_per_fold(tr, te, TE_COLS, K_OUTER, {"te": E.smoothed(10)}, extra_fit=ps)
     return out.select(L("fold").alias("fold"), L("id").alias("id"), "part",
                       *[R(f"te_{c}").alias(f"te_{c}") for c in TE_COLS])
@@ -643,6 +656,19 @@ def q_histogram(spark, sf):
     return out.select("role", L("bin").alias("bin"), L("n").alias("n"), R("density").alias("density"))
 
 
+@query("score_histogram", with_base("""
+select cast(y_sig as bigint) as y, cast(bin as bigint) as bin, cast(count(*) as bigint) as n,
+  round(count(*) / (max(n_by) * max(width)), 6) as density
+from (select y_sig, least(floor((s_b - lo) / ((hi - lo) / 80)), 79) as bin, (hi - lo) / 80 as width,
+        count(*) over (partition by y_sig) as n_by
+      from scored, (select min(s_b) as lo, max(s_b) as hi from scored) m) t
+group by y_sig, bin"""))
+def q_score_histogram(spark, sf):
+    """80-bin histogram of a score by class."""
+    out = ST.histogram(T.accounts_once(spark, sf, scores=True, columns=["s_b", "y_sig"]), "s_b", 80, "y_sig")
+    return out.select(L("y_sig").alias("y"), L("bin").alias("bin"), L("n").alias("n"), R("density").alias("density"))
+
+
 @query("box_summary", with_base(" union all ".join(
     f"select cast(y as bigint) as y, '{c}' as col, round(min({c}), 6) as min, round(quantile_cont({c}, 0.25), 6) as q1, "
     f"round(quantile_cont({c}, 0.5), 6) as median, round(quantile_cont({c}, 0.75), 6) as q3, "
@@ -1038,7 +1064,6 @@ def q_ref_quantile_dist(spark, sf):
     out = J.ref_quantile_dist(s, ref, QD_COLS, "y_sig")
     names = [f"{p}{q}_{k}_{c}" if p == "qd" else f"qdgap{q}_{c}"
              for c in QD_COLS for q in (25, 50, 75) for p, k in (("qd", "ch"), ("qd", "nc"), ("gap", None))]
-    names = [n for n in names]
     return out.select(L("id").alias("id"), *[R(n).alias(n) for n in names])
 
 
@@ -1153,7 +1178,9 @@ def q_multi_seed_folds(spark, sf):
     return f.select(L("seed").alias("seed"), L("id").alias("id"), L("fold").alias("fold"))
 
 
-PER_OTHER_PART = 300
+#: share of every other majority part that a set samples: 20,000 of about
+#: 92,000 rows in the reference
+PER_OTHER_SHARE = 0.2175
 
 
 @query("rebalanced_sets", with_base(f"""
@@ -1162,33 +1189,33 @@ select cast(set_id as bigint) as set_id, cast(id as bigint) as id, cast(part as
   union all
   select set_id, id, part from (
     select s.set_id, m.id, m.part, row_number() over (partition by s.set_id, m.part order by
-      md5(concat_ws(':', '42', cast(s.set_id as varchar), cast(m.part as varchar), cast(m.id as varchar)))) - 1 as rn
-    from maj m join sets s on m.part <> s.set_id) o where rn < {PER_OTHER_PART}
+      md5(concat_ws(':', '42', cast(s.set_id as varchar), cast(m.part as varchar), cast(m.id as varchar)))) - 1 as rn,
+      count(*) over (partition by s.set_id, m.part) as n
+    from maj m join sets s on m.part <> s.set_id) o where rn < ceil(n * {PER_OTHER_SHARE}::double)
   union all
   select s.set_id, a.id, 0 from accounts a, sets s where a.role = 'train' and a.y <> (select y from mj)) u""",
     "mj as (select y from accounts where role = 'train' group by y order by count(*) desc, y limit 1),\n"
     "maj as (select id, ntile(5) over (order by id) as part from accounts where role = 'train' and y = (select y from mj)),\n"
     "sets as (select range as set_id from range(1, 6))"))
 def q_rebalanced_sets(spark, sf):
-    """K6: five rebalanced training sets: majority part i + 300 hash-sampled
-    rows of every other part + all minority rows (reference: 20,000 of
-    ~92,000-row parts; 300 of ~1,400-row parts keeps that share at sf0.01)."""
+    """K6: five rebalanced training sets: majority part i + a hash-sampled
+    share of every other part + all minority rows."""
     a = T.accounts(spark, sf).filter(F.col("role") == "train")
-    r = K.rebalanced_sets(a, 5, PER_OTHER_PART, SEED)
+    r = K.rebalanced_sets(a, 5, PER_OTHER_SHARE, SEED)
     return r.select(L("set_id").alias("set_id"), L("id").alias("id"), L("part").alias("part"))
 
 
 @query("pseudo_augment", with_base(
     "select cast(id as bigint) as id, role, cast(y as bigint) as y, cast(fold as bigint) as fold from ("
-    "select id, role, y, fold from folds union all select id, 'pseudo', cast(s_a > 0.5 as int), -1 from te_base "
-    f"where role = 'test' and (s_a > {PSEUDO_T} or s_a < 1 - {PSEUDO_T}))", TE_BASE + ",\n" + FOLDS_SQL))
+    f"select id, role, y, fold from folds union all select id, 'pseudo', cast({SP_SQL} > 0.5 as int), -1 from te_base "
+    f"where role = 'test' and ({SP_SQL} > {PSEUDO_T} or {SP_SQL} < 1 - {PSEUDO_T}))", TE_BASE + ",\n" + FOLDS_SQL))
 def q_pseudo_augment(spark, sf):
     """Training rows plus confident test rows as pseudo labels
     (fold -1: in every fold's training part, never validated); skipped
     when no row qualifies."""
-    a = T.with_scores(_te_frame(spark, sf))
+    a = T.with_scores(_te_frame(spark, sf)).withColumn("s_p", F.expr(SP_SQL))
     tr = K.stratified_folds(a.filter(F.col("role") == "train"), 5, SEED)
-    ps = K.pseudo_rows(a.filter(F.col("role") == "test"), "s_a", PSEUDO_T)
+    ps = K.pseudo_rows(a.filter(F.col("role") == "test"), "s_p", PSEUDO_T)
     cols = ["id", "role", "y", "fold"]
     out = tr.select(*cols)
     if ps.limit(1).count() > 0:  # the reference stops when no test row is confident
@@ -1300,7 +1327,7 @@ def q_blend_refine(spark, sf):
     """M3: bounded search for the blend weight: a coarse grid on [0, 1]
     (step .05), then a refined grid (step .01) around the best coarse
     weight; each grid is one AUC job."""
-    t = _train_scored(spark, sf).persist()
+    t = _train_scored(spark, sf)
     coarse = N.weight_grid_auc(t, "s_a", "s_b", "y", COARSE)
     w0 = coarse.select("w", F.round("auc", 6).alias("a")).orderBy(F.desc("a"), "w").first()["w"]  # one scalar
     fine = sorted({round(w0 + (i - 5) * 0.01, 2) for i in range(11) if -1e-9 <= w0 + (i - 5) * 0.01 <= 1 + 1e-9})
@@ -1429,24 +1456,24 @@ def q_smoothing_sweep(spark, sf):
                     R((F.col("s") + F.col("m") * F.col("p")) / (F.col("n") + F.col("m"))).alias("enc"))
 
 
-THRESHOLDS = [0.6, 0.65, 0.7, 0.75, 0.8]
+THRESHOLDS = [0.90, 0.92, 0.95, 0.97, 0.99, 0.995, 0.998]
 
 
 @query("threshold_sweep", with_base(
-    "select round(t, 6) as threshold, cast(sum(case when s_a > t or s_a < 1 - t then 1 else 0 end) as bigint) as n_pseudo, "
-    "round(avg(case when s_a > t or s_a < 1 - t then 1.0 else 0.0 end), 6) as pct_pseudo, "
-    "round(sum(case when (s_a > t or s_a < 1 - t) and cast(s_a > 0.5 as int) = y_sig then 1 else 0 end) * 1.0e0 / "
-    "nullif(sum(case when s_a > t or s_a < 1 - t then 1 else 0 end), 0), 6) as agree_rate "
-    "from scored, (select unnest(" + "[" + ", ".join(f"{t!r}" for t in THRESHOLDS) + "]::double[]) as t) "
-    "where role = 'test' group by t"))
+    "select round(t, 6) as threshold, cast(sum(case when s_p > t or s_p < 1 - t then 1 else 0 end) as bigint) as n_pseudo, "
+    "round(avg(case when s_p > t or s_p < 1 - t then 1.0 else 0.0 end), 6) as pct_pseudo, "
+    "round(sum(case when (s_p > t or s_p < 1 - t) and cast(s_p > 0.5 as int) = y_sig then 1 else 0 end) * 1.0e0 / "
+    "nullif(sum(case when s_p > t or s_p < 1 - t then 1 else 0 end), 0), 6) as agree_rate "
+    f"from (select *, {SP_SQL} as s_p from scored) p, (select unnest([" + ", ".join(f"{t!r}" for t in THRESHOLDS)
+    + "]::double[]) as t) where role = 'test' group by t"))
 def q_threshold_sweep(spark, sf):
     """Pseudo-label count, share and label agreement for several
     confidence thresholds in one conditional-aggregation pass."""
-    te = T.scored(spark, sf).filter(F.col("role") == "test")
+    te = T.scored(spark, sf).filter(F.col("role") == "test").select("y_sig", F.expr(SP_SQL).alias("s_p"))
     tt = spark.createDataFrame([(float(t),) for t in THRESHOLDS], ["t"])
-    x = te.crossJoin(F.broadcast(tt))  # 5 rows
-    conf = (F.col("s_a") > F.col("t")) | (F.col("s_a") < 1 - F.col("t"))
-    agree = conf & ((F.col("s_a") > 0.5).cast("int") == F.col("y_sig"))
+    x = te.crossJoin(F.broadcast(tt))  # 7 rows
+    conf = (F.col("s_p") > F.col("t")) | (F.col("s_p") < 1 - F.col("t"))
+    agree = conf & ((F.col("s_p") > 0.5).cast("int") == F.col("y_sig"))
     g = x.groupBy("t").agg(F.sum(conf.cast("int")).alias("n"), F.avg(conf.cast("double")).alias("pct"),
                            F.sum(agree.cast("int")).alias("k"))
     return g.select(R("t").alias("threshold"), L("n").alias("n_pseudo"), R("pct").alias("pct_pseudo"),
@@ -1603,7 +1630,7 @@ def q_rebalanced_gbt(spark, sf):
     """L6 + K6: one boosted-tree model per rebalanced set, test scores
     averaged over the five sets."""
     tr, te = _model_frame(spark, sf)
-    sets = K.rebalanced_sets(tr, 5, PER_OTHER_PART, SEED).select("set_id", "id")
+    sets = K.rebalanced_sets(tr, 5, PER_OTHER_SHARE, SEED).select("set_id", "id")
     asm = TR.VectorAssembler(inputCols=MODEL_FEATURES, outputCol="features", handleInvalid="keep")
     rows = cut_lineage(asm.transform(sets.join(tr, "id")))
     test = cut_lineage(asm.transform(te))
@@ -1623,13 +1650,13 @@ def q_pseudo_gbt(spark, sf):
     tr, te = _model_frame(spark, sf)
     asm = TR.VectorAssembler(inputCols=MODEL_FEATURES, outputCol="features", handleInvalid="keep")
     tr_v, te_v = cut_lineage(asm.transform(tr)), cut_lineage(asm.transform(te))
-    rows = []
+    rows, t = [], 0.9
     for f in range(MODEL_FOLDS):
         fit, val = tr_v.filter(F.col("fold") != f), tr_v.filter(F.col("fold") == f)
         m1 = TR.gbt("y", 8, 4).fit(fit)
         a1 = G.auc(TR._prob(m1.transform(val)), "score", "y").first()["auc"]
         p = TR._prob(m1.transform(te_v))
-        ps = p.filter((F.col("score") > 0.7) | (F.col("score") < 0.3)).withColumn(
+        ps = p.filter((F.col("score") > t) | (F.col("score") < 1 - t)).withColumn(
             "y", (F.col("score") > 0.5).cast("int")).withColumn("fold", F.lit(-1)).select(*fit.columns)
         a2 = None
         if ps.limit(1).count() > 0:
@@ -1733,7 +1760,6 @@ GS_COLS = ["tenure", "monthly", "total", "n_items"]
     f"round(max({c}), 6) as max, cast(count(distinct {c}) as bigint) as nunique from accounts" for c in GS_COLS)))
 def q_global_stats(spark, sf):
     """global scalar statistics per column in one pass."""
-    from . import catalog as _c  # noqa: F401
     long = G.unpivot_numeric(T.accounts(spark, sf), GS_COLS, [])
     g = long.groupBy("col").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
                                 F.min("value").alias("min"), F.max("value").alias("max"),

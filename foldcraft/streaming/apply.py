@@ -38,7 +38,7 @@ def apply_encodings(stream: DataFrame, table: DataFrame, cols: Sequence[str],
     out = stream.crossJoin(F.broadcast(prior))
     for c in cols:
         t = table.filter(F.col("col") == c).select(F.col("value").alias(f"_v_{c}"), F.col("enc").alias(f"_e_{c}"))
-        out = out.join(F.broadcast(t), out[c].cast("string") == t[f"_v_{c}"], "left")
+        out = out.join(t, out[c].cast("string") == t[f"_v_{c}"], "left")
     return out.select(*stream.columns, *[F.coalesce(F.col(f"_e_{c}"), F.col("_prior")).alias(f"{prefix}{c}")
                                          for c in cols])
 
