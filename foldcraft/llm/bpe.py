@@ -18,7 +18,8 @@ pairs for these.
 Distribution.  Both directions work row by row and shuffle nothing.  The rank
 file is read once by the driver and travels as a broadcast variable (its size
 is that of the vocabulary, under 1 MB for 50,000 tokens); each Python worker
-builds the merge table once.  A query holds at most PIECES pieces or IDS ids.
+builds the merge table once.  What a query holds is bounded by PIECES, STEPS
+and IDS.
 
 Defined results: null text is read as empty and has no ids; null ids decode
 to empty; ids outside the vocabulary are an error, as no text has them;
@@ -29,22 +30,28 @@ table gives an empty result.
 from __future__ import annotations
 
 import base64
-import hashlib
 import heapq
 import struct
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, text_of
 
 LONG = 256
-PIECES = 20_000
-IDS = 1_000_000
-REMEMBERED = 400_000
+#: of one encoding query: pieces, and the sum of their squared lengths, which
+#: bounds the recursion's rows
+PIECES, STEPS = 40_000, 4_000_000
+#: ids of one decoding query
+IDS = 300_000
+#: characters and rows that are encoded at a time
+CHARS, ROWS = 4 << 20, 2000
+#: pieces that are remembered, twice: those of the time before stay until as
+#: many new ones have come
+REMEMBERED = 150_000
 
 MERGES_SQL = """
 CREATE TABLE merges AS
@@ -63,16 +70,15 @@ WITH RECURSIVE bytes AS (
 step(w, pos, tok, live) AS (
   SELECT b.w, b.spot, CAST(v.id AS BIGINT), true FROM bytes b JOIN vocab v ON v.hex = substr(b.hex, b.spot, 2)
   UNION ALL
-  (WITH ahead AS (
-     SELECT w, pos, tok, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS nxt FROM step WHERE live),
-   ranked AS (
-     SELECT a.w, a.pos, a.tok, m.merged,
-       min(m.merged * 65536 + a.pos) OVER (PARTITION BY a.w) % 65536 AS spot
-     FROM ahead a LEFT JOIN merges m ON m.l = a.tok AND m.r = a.nxt),
-   after AS (
-     SELECT w, pos, CASE WHEN pos = spot THEN merged ELSE tok END AS tok, spot,
-       lag(pos) OVER (PARTITION BY w ORDER BY pos) AS prev FROM ranked)
-   SELECT w, pos, tok, spot IS NOT NULL FROM after WHERE prev IS NULL OR spot IS NULL OR prev <> spot))
+  (WITH ahead AS MATERIALIZED (
+     SELECT w, pos, tok, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS nxt,
+       lag(pos) OVER (PARTITION BY w ORDER BY pos) AS prev FROM step WHERE live),
+   best AS (
+     SELECT a.w, min(m.merged * 65536 + a.pos) AS pair
+     FROM ahead a JOIN merges m ON m.l = a.tok AND m.r = a.nxt GROUP BY a.w)
+   SELECT a.w, a.pos, CASE WHEN a.pos = b.pair % 65536 THEN b.pair // 65536 ELSE a.tok END, b.pair IS NOT NULL
+   FROM ahead a LEFT JOIN best b ON b.w = a.w
+   WHERE b.pair IS NULL OR a.prev IS NULL OR a.prev <> b.pair % 65536))
 SELECT w, list(tok ORDER BY pos) AS ids FROM step WHERE NOT live GROUP BY w
 """
 
@@ -97,12 +103,13 @@ class Codec:
         self.ranks = read_ranks(rank_file)
         self.pieces = regex.compile(pattern)
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.merges = False
         self.db = duckdb.connect(":memory:", config={
-            "threads": 1, "memory_limit": "400MB", "temp_directory": "", "preserve_insertion_order": False})
+            "threads": 1, "memory_limit": "300MB", "temp_directory": "", "preserve_insertion_order": False})
         vocab = pa.table({"id": pa.array(self.ranks.values(), pa.int32()),
                           "hex": pa.array([t.hex() for t in self.ranks], pa.string())})
         self._load("CREATE TABLE vocab AS SELECT * FROM given", vocab)
-        self.db.execute(MERGES_SQL)
 
     def _load(self, sql: str, table: pa.Table):
         self.db.register("given", table)
@@ -111,7 +118,8 @@ class Codec:
 
     def learn(self, pieces: set[str]) -> None:
         """Encodes pieces that are not known yet."""
-        todo = []
+        todo: list[str] = []
+        steps = 0
         for piece in pieces:
             data = piece.encode()
             if (rank := self.ranks.get(data)) is not None:
@@ -121,27 +129,37 @@ class Codec:
                 self.known[piece] = struct.pack(f"<{len(ids)}I", *ids)
             else:
                 todo.append(piece)
-        for at in range(0, len(todo), PIECES):
-            part = todo[at:at + PIECES]
-            self._load("CREATE OR REPLACE TEMP TABLE words AS SELECT * FROM given",
-                       pa.table({"w": pa.array(range(len(part)), pa.int32()),
-                                 "hex": pa.array([x.encode().hex() for x in part])}))
-            got = self.db.sql(ENCODE_SQL).to_arrow_table().combine_chunks()
-            ids = got.column("ids").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int64()))
-            flat, ends = ids.flatten().to_numpy().astype("<u4"), ids.offsets.to_numpy() - ids.offsets[0].as_py()
-            for i, w in enumerate(got.column("w").to_pylist()):
-                self.known[part[w]] = flat[ends[i]:ends[i + 1]].tobytes()
+                steps += len(data) ** 2
+                if len(todo) == PIECES or steps >= STEPS:
+                    self._learn_by_query(todo)
+                    todo, steps = [], 0
+        if todo:
+            self._learn_by_query(todo)
+
+    def _learn_by_query(self, part: list[str]) -> None:
+        if not self.merges:
+            self.db.execute(MERGES_SQL)
+            self.merges = True
+        self._load("CREATE OR REPLACE TEMP TABLE words AS SELECT * FROM given",
+                   pa.table({"w": pa.array(range(len(part)), pa.int32()),
+                             "hex": pa.array([x.encode().hex() for x in part])}))
+        got = self.db.sql(ENCODE_SQL).to_arrow_table().combine_chunks()
+        ids = got.column("ids").combine_chunks()
+        flat, ends = ids.flatten().to_numpy().astype("<u4"), ids.offsets.to_numpy() - ids.offsets[0].as_py()
+        for i, w in enumerate(got.column("w").to_pylist()):
+            self.known[part[w]] = flat[ends[i]:ends[i + 1]].tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text, as little-endian unsigned 32-bit integers."""
         cut = [self.pieces.findall(x) for x in texts]
-        every = set().union(*cut)
-        new = every - self.known.keys()
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = every
-        self.learn(new)
-        return [b"".join([self.known[x] for x in pieces]) for pieces in cut]
+        if len(self.known) > REMEMBERED:
+            self.before, self.known = self.known, {}
+        every = set().union(*cut) - self.known.keys()
+        again = every & self.before.keys()
+        self.known.update((x, self.before[x]) for x in again)
+        self.learn(every - again)
+        known = self.known
+        return [b"".join([known[x] for x in pieces]) for pieces in cut]
 
     def decode(self, docs: list[np.ndarray]) -> list[bytes]:
         """Bytes of every array of ids."""
@@ -207,26 +225,38 @@ def _rank_broadcast(spark, rank_path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def _with(batch: pa.RecordBatch, replaced: str, column: pa.Array, name: str) -> pa.RecordBatch:
-    keep = [c for c in batch.schema.names if c != replaced]
-    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), column], names=[*keep, name])
+def _slices(batch: pa.RecordBatch, column: str):
+    """Slices of a batch with about CHARS characters of the column."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+    at = 0
+    while at < batch.num_rows:
+        end, size = at, 0
+        while end < batch.num_rows and end - at < ROWS and (end == at or size + lengths[end] <= CHARS):
+            size += lengths[end]
+            end += 1
+        yield batch.slice(at, end - at)
+        at = end
 
 
-def encode(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with the column ``text`` replaced by the array ``ids``."""
+def encode(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", ids: str = "ids",
+           packed: str = "ids_le") -> DataFrame:
+    """``docs`` with the column ``text`` replaced by the array ``ids`` and the
+    binary ``packed``, the same as little-endian unsigned 32-bit integers."""
     ranks = _rank_broadcast(docs.sparkSession, rank_path)
 
     def run(batches):
         codec = _codec(ranks, pattern)
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
+            for part in _slices(b, text):
                 data = codec.encode([x or "" for x in part.column(text).to_pylist()])
                 ends = np.cumsum([0] + [len(x) // 4 for x in data])
                 flat = pa.array(np.frombuffer(b"".join(data), np.int32))
-                yield _with(part, text, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), ids)
+                keep = [c for c in part.schema.names if c != text]
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat),
+                     pa.array(data, pa.binary())], names=[*keep, ids, packed])
 
-    schema = docs.drop(text).withColumn(ids, F.array(F.lit(0))).schema
+    schema = docs.drop(text).withColumns({ids: F.array(F.lit(0)), packed: F.lit(b"")}).schema
     return docs.mapInArrow(run, schema)
 
 
@@ -242,16 +272,14 @@ def decode(rows: DataFrame, rank_path: str, pattern: str, ids: str = "ids", data
                 column = part.column(ids)
                 arrays = [column[i].values.to_numpy() if column[i].is_valid else np.zeros(0, np.int32)
                           for i in range(part.num_rows)]
-                yield _with(part, ids, pa.array(codec.decode(arrays), pa.binary()), data)
+                keep = [c for c in part.schema.names if c != ids]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(codec.decode(arrays), pa.binary())],
+                                                 names=[*keep, data])
 
     schema = rows.drop(ids).withColumn(data, F.lit(b"")).schema
     return rows.mapInArrow(run, schema)
 
 
-def _ids_digest(ids: pd.Series) -> pd.Series:
-    return ids.map(lambda x: hashlib.sha256(np.asarray(x).astype("<u4").tobytes()).hexdigest())
-
-
 def op5_bpe(spark, sf_dir):
     """op5: token count and digests of the ids and of the decoded bytes."""
     import public_tokenizers
@@ -259,7 +287,6 @@ def op5_bpe(spark, sf_dir):
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     d = documents(spark, sf_dir).select("doc_id", text_of(F.col("text")).alias("text"))
     d = encode(d, path, pattern)
-    ids_digest = F.pandas_udf(_ids_digest, "string")
-    d = d.withColumns({"n_tokens": F.size("ids").cast("long"), "ids_sha256": ids_digest("ids")})
+    d = d.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("ids_le", 256).alias("ids_sha256"))
     d = decode(d, path, pattern)
     return d.select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))

@@ -94,7 +94,7 @@ def brute_secrets(t):
 
 @pytest.fixture(scope="module")
 def scanner():
-    return secret_scan.Scanner()
+    return secret_scan.compiled(secret_scan.RULES)
 
 
 def test_secrets_like_regular_expressions(scanner):
@@ -145,7 +145,9 @@ def test_bpe_like_the_library(spark):
         "".join(r.choice("abcdeé \n") for _ in range(3000)), "".join(r.choice("etaoin") for _ in range(2000)), "it's we'LL\r\n "])]
     d = frame(spark, rows, extra=False).select("doc_id", "text")
     e = bpe.encode(d, path, pattern)
-    got = sorted([(x.doc_id, tuple(x.ids)) for x in e.collect()], key=key)
+    got = e.collect()
+    assert all(bytes(x.ids_le) == np.array(x.ids, "<u4").tobytes() for x in got)
+    got = sorted([(x.doc_id, tuple(x.ids)) for x in got], key=key)
     assert got == sorted([(i, tuple(library.encode_ordinary(t or ""))) for i, t in rows], key=key)
     back = sorted([(x.doc_id, bytes(x.bytes)) for x in bpe.decode(e, path, pattern).collect()], key=key)
     assert back == sorted([(i, (t or "").encode()) for i, t in rows], key=key)
