@@ -60,7 +60,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     d = docs.select("doc_id", "source", text_of(F.col("text")).alias("text"))
     d = bpe.encode(d.withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256)), path, pattern)
-    d = bpe.decode(d.withColumn("kept_ids", F.col("ids")), path, pattern)
+    d = bpe.decode(d.drop("ids_le").withColumn("kept_ids", F.col("ids")), path, pattern)
     return d.select("doc_id", "source", F.size("kept_ids").cast("long").alias("n_tokens"), F.col("kept_ids").alias("ids"),
                     (F.sha2("bytes", 256) == F.col("text_sha256")).alias("round_trip"))
 
