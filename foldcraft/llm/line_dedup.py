@@ -57,7 +57,7 @@ def line_table(docs: DataFrame) -> DataFrame:
                        F.xxhash64("line").alias("lid"))
 
 
-def _start(d: DataFrame | None = None):
+def _start():
     return F.struct(F.col("doc_id"), F.col("s"))
 
 

@@ -304,13 +304,18 @@ class Scanner:
         return [{"kind": self.rules[r].kind, "start": a, "end": b} for a, r, b in found]
 
 
+@lru_cache(4)
+def compiled(rules: tuple[Rule, ...]) -> Scanner:
+    return Scanner(rules)
+
+
 SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, spans) of rows (doc_id, text); spans is an array of (kind,
     start, end), ordered by start and then as the rules are."""
-    shipped = docs.sparkSession.sparkContext.broadcast(Scanner(rules))
+    shipped = docs.sparkSession.sparkContext.broadcast(compiled(rules))
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of(F.col("text")).alias("text"))
 
     def run(batches):
