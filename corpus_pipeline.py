@@ -37,7 +37,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    d = line_dedup.delete_later_copies(docs.select(*COLUMNS))
+    # stored before it is filtered: a filter would be pushed into the text's
+    # making, and split every text anew for each of its lines
+    d = cut_lineage(line_dedup.delete_later_copies(docs.select(*COLUMNS)), "line-dedup")
     emptied = (F.col("line_dedup.n_removed") > 0) & ~has_word(text_of(F.col("text")))
     return d.filter(~emptied).withColumn("n_chars", F.when(
         F.col("line_dedup.n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
@@ -60,8 +62,8 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     d = docs.select("doc_id", "source", text_of(F.col("text")).alias("text"))
     d = bpe.encode(d.withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256)), path, pattern)
-    d = bpe.decode(d.drop("ids_le").withColumn("kept_ids", F.col("ids")), path, pattern)
-    return d.select("doc_id", "source", F.size("kept_ids").cast("long").alias("n_tokens"), F.col("kept_ids").alias("ids"),
+    d = bpe.decode(d.drop("ids_le"), path, pattern, keep_ids=True)
+    return d.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
                     (F.sha2("bytes", 256) == F.col("text_sha256")).alias("round_trip"))
 
 
