@@ -46,7 +46,7 @@ LONG = 256
 #: bounds the recursion's rows
 PIECES, STEPS = 40_000, 4_000_000
 #: ids of one decoding query
-IDS = 300_000
+IDS = 150_000
 #: characters and rows that are encoded at a time
 CHARS, ROWS = 4 << 20, 2000
 #: pieces that are remembered, twice: those of the time before stay until as
@@ -260,8 +260,10 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", id
     return docs.mapInArrow(run, schema)
 
 
-def decode(rows: DataFrame, rank_path: str, pattern: str, ids: str = "ids", data: str = "bytes") -> DataFrame:
-    """``rows`` with the column ``ids`` replaced by the binary ``data``."""
+def decode(rows: DataFrame, rank_path: str, pattern: str, ids: str = "ids", data: str = "bytes",
+           keep_ids: bool = False) -> DataFrame:
+    """``rows`` with the column ``ids`` replaced by the binary ``data``, or
+    followed by it."""
     ranks = _rank_broadcast(rows.sparkSession, rank_path)
 
     def run(batches):
@@ -272,11 +274,11 @@ def decode(rows: DataFrame, rank_path: str, pattern: str, ids: str = "ids", data
                 column = part.column(ids)
                 arrays = [column[i].values.to_numpy() if column[i].is_valid else np.zeros(0, np.int32)
                           for i in range(part.num_rows)]
-                keep = [c for c in part.schema.names if c != ids]
+                keep = [c for c in part.schema.names if keep_ids or c != ids]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(codec.decode(arrays), pa.binary())],
                                                  names=[*keep, data])
 
-    schema = rows.drop(ids).withColumn(data, F.lit(b"")).schema
+    schema = (rows if keep_ids else rows.drop(ids)).withColumn(data, F.lit(b"")).schema
     return rows.mapInArrow(run, schema)
 
 

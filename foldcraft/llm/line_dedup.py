@@ -125,7 +125,8 @@ def later_copies(lines: DataFrame, min_lines: int = MIN_LINES, min_words: int =
 def delete_later_copies(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` (any columns, among them doc_id and text) with later copies
     cut out of ``text``, and the new struct column ``line_dedup`` (n_lines,
-    n_removed, longest)."""
+    n_removed, longest).  Store the result before filtering on its new
+    columns: a filter pushed down would compute them per line."""
     if min_lines < 1 or min_lines & (min_lines - 1):
         raise ValueError("min_lines must be a power of two")
     lines = cut_lineage(line_table(docs), "lines")
