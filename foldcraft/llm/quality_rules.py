@@ -5,10 +5,10 @@ trusted documents (those labelled good), one on the whole corpus.  A
 document's score is the mean over its n-grams of log(p_trusted / p_raw); it
 is kept if the score reaches a fixed threshold and no base rule failed.
 
-N-grams are character n-grams at word borders, two per word: the word's last
-three characters, and its last two characters with the next word's first
-two.  They are hashed into halves of ``BUCKETS`` buckets, so both counts and
-the table of ratios have a fixed size whatever the corpus.
+N-grams are character n-grams at word borders, one per word: its last three
+characters with the next word's first two.  They are hashed into ``BUCKETS``
+buckets, so both counts and the table of ratios have a fixed size whatever the
+corpus.
 
 Distribution.  Texts are joined to the labels once, by doc_id (a shuffle of
 the texts: labels grow with the corpus); counting aggregates map-side into at
@@ -44,18 +44,18 @@ SYMBOLS = "#*$%&|<>"
 
 
 def grams(words: Column, buckets: int = BUCKETS) -> Column:
-    """Buckets of the n-grams of an array of words, two per word (the last
-    word's second n-gram has nothing after it)."""
-    half = buckets // 2
+    """Buckets (a power of two of them) of the n-grams of an array of words;
+    nothing follows the last word."""
+    nexts = F.slice(words, 2, F.greatest(F.size(words), F.lit(1)))
+    return F.zip_with(words, nexts, lambda a, b: F.xxhash64(F.substring(a, -3, 3), F.substring(b, 1, 2))
+                      .bitwiseAND(F.lit(buckets - 1)).cast("int"))
 
-    def bucket(*parts):
-        return F.pmod(F.xxhash64(*parts), F.lit(half)).cast("int")
 
-    ends = F.transform(words, lambda w: bucket(F.right(w, F.lit(3))))
-    nexts = F.slice(words, 2, F.greatest(F.size(words), F.lit(1)))
-    borders = F.zip_with(words, nexts, lambda a, b: bucket(
-        F.right(a, F.lit(2)), F.left(F.coalesce(b, F.lit("")), F.lit(2))) + half)
-    return F.concat(ends, borders)
+def _exploded(d: DataFrame, buckets: int, *keep: str) -> DataFrame:
+    """A row (keep..., g) per n-gram of the words ws, or one with null.  Words,
+    n-grams and rows are made in steps of their own, and explode_outer adds no
+    filter, so each is computed once."""
+    return d.select(*keep, grams(F.col("ws"), buckets).alias("gs")).select(*keep, F.explode_outer("gs").alias("g"))
 
 
 def base_rules(docs: DataFrame) -> DataFrame:
@@ -65,10 +65,12 @@ def base_rules(docs: DataFrame) -> DataFrame:
     d = d.select("doc_id", "t", text_key(F.col("t")).alias("tkey"), words_of(F.col("t")).alias("ws"),
                  F.filter(F.split("t", "\n"), has_word).alias("ls"))
     n = F.size("ws")
-    # 3-word windows as (hash, place), equal ones side by side after sorting
-    windows = F.when(n >= 3, F.sort_array(F.transform(
-        F.sequence(F.lit(0), n - 3), lambda i: F.struct(
-            F.xxhash64(F.get("ws", i), F.get("ws", i + 1), F.get("ws", i + 2)).alias("h"), i.alias("i")))))
+    hashes = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(
+        F.get("ws", i), F.get("ws", i + 1), F.get("ws", i + 2))))
+    d = d.select("doc_id", "tkey", "t", "ls", "ws", hashes.alias("hs"))
+    # where a window repeats: (hash, place) of all, equal ones side by side
+    windows = F.when(F.size(F.array_distinct("hs")) < F.size("hs"), F.sort_array(F.transform(
+        "hs", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
     d = d.select("doc_id", "tkey", "t", "ls", "ws", windows.alias("win"))
     again = F.filter("win", lambda x, i: (F.get("win", i - 1)["h"].eqNullSafe(x["h"]))
                      | (F.get("win", i + 1)["h"].eqNullSafe(x["h"])))
@@ -89,33 +91,33 @@ def base_rules(docs: DataFrame) -> DataFrame:
 def ratio_table(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, alpha: float = ALPHA) -> DataFrame:
     """(g, llr), a row per bucket seen in ``docs``: log ratio of the bucket's
     share among the trusted documents (doc_ids in ``trusted``) and among all,
-    both smoothed by ``alpha`` per bucket."""
+    both smoothed by ``alpha`` per bucket; in whole millionths, so that sums
+    do not depend on the order of addition."""
     good = trusted.select(F.col("doc_id").alias("_good")).distinct()
     # both sides are shuffled at every size: the labels grow with the corpus
     d = docs.select("doc_id", text_of(F.col("text")).alias("t")).join(
         good.hint("merge"), F.col("doc_id") == F.col("_good"), "left")
-    g = d.select(F.col("_good").isNotNull().cast("long").alias("good"),
-                 F.explode(grams(words_of(F.col("t")), buckets)).alias("g"))
+    d = d.select(F.col("_good").isNotNull().cast("long").alias("good"), words_of(F.col("t")).alias("ws"))
+    g = _exploded(d, buckets, "good").filter("g is not null")
     counts = cut_lineage(g.groupBy("g").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("good")),
                          "gram-counts")
     n_raw, n_good = counts.agg(F.sum("raw"), F.sum("good")).first()  # two numbers
     if not n_good:
-        return counts.select("g", F.lit(0.0).alias("llr"))
+        return counts.select("g", F.lit(0).cast("long").alias("llr"))
     shift = math.log(n_raw + alpha * buckets) - math.log(n_good + alpha * buckets)
-    return counts.select("g", (F.log(F.col("good") + alpha) - F.log(F.col("raw") + alpha) + shift).alias("llr"))
+    ratio = F.log(F.col("good") + alpha) - F.log(F.col("raw") + alpha) + shift
+    return counts.select("g", F.round(ratio * 1e6).cast("long").alias("llr"))
 
 
 def score_documents(docs: DataFrame, ratios: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(doc_id, tkey, llr): mean log ratio of every document with a word."""
     d = docs.select("doc_id", text_of(F.col("text")).alias("t")).select(
-        "doc_id", text_key(F.col("t")).alias("tkey"),
-        F.explode(grams(words_of(F.col("t")), buckets)).alias("g"))
+        "doc_id", text_key(F.col("t")).alias("tkey"), words_of(F.col("t")).alias("ws"))
+    d = _exploded(d, buckets, "doc_id", "tkey")
     r = ratios.select(F.col("g").alias("r_g"), "llr")
     # BUCKETS rows at most
     scored = d.join(F.broadcast(r), F.col("g") == F.col("r_g"))
-    # whole millionths: the sum does not depend on the order of addition
-    return scored.groupBy("doc_id", "tkey").agg(
-        (F.sum(F.round(F.col("llr") * 1e6).cast("long")) / F.count(F.lit(1)) / F.lit(1e6)).alias("llr"))
+    return scored.groupBy("doc_id", "tkey").agg((F.sum("llr") / F.count(F.lit(1)) / F.lit(1e6)).alias("llr"))
 
 
 def judge_documents(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD,
