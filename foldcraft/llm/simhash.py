@@ -185,7 +185,8 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray
 
 def links_of_block(fp: np.ndarray, group: np.ndarray, max_bits: int, side: np.ndarray | None = None):
     """Forest edges (fp, fp) of the links inside the groups; rows come sorted
-    by group.  With ``side``, only pairs of different sides are compared."""
+    by group.  With ``side``, rows of side 0 meet all rows of their group, and
+    those of side 1 or 2 not the rows of their own side."""
     new = np.append(True, group[1:] != group[:-1])
     starts = np.flatnonzero(new)
     sizes = np.diff(np.append(starts, len(fp)))
@@ -199,7 +200,8 @@ def links_of_block(fp: np.ndarray, group: np.ndarray, max_bits: int, side: np.nd
         if not len(same):
             break
         if side is not None:
-            same = same[side[rows[same]] != side[rows[same + d]]]
+            one, two = side[rows[same]], side[rows[same + d]]
+            same = same[(one != two) | (one == 0)]
         near = same[np.bitwise_count(f[same] ^ f[same + d]) <= max_bits]
         found_a.append(rows[near])
         found_b.append(rows[near + d])
@@ -212,7 +214,8 @@ def links_of_block(fp: np.ndarray, group: np.ndarray, max_bits: int, side: np.nd
         f = fp[at:at + n]
         near = np.bitwise_count(f[:, None] ^ f[None, :]) <= max_bits
         if side is not None:
-            near &= side[at:at + n, None] != side[None, at:at + n]
+            own = side[at:at + n]
+            near &= (own[:, None] != own[None, :]) | (own[:, None] == 0)
             np.fill_diagonal(near, True)
         label = np.arange(n, dtype=np.int32)
         while True:

@@ -222,6 +222,49 @@ def test_wide_groups_as_matrices():
         assert n - parts(n, edges) - (n - distinct) <= len(set(comp)) <= distinct
 
 
+def chunk_of(fp, chunks):
+    """As near_links deals fingerprints of a big bucket (Spark's xxhash64 of a long)."""
+    h = xxhash.xxh64_intdigest(fp.to_bytes(8, "little"), 42)
+    return (h - (1 << 64) if h >> 63 else h) % chunks
+
+
+def test_pairs_inside_a_chunk_of_a_big_bucket(spark):
+    """Isolated pairs at 3 or 4 bits of the first segment, which meet in one
+    bucket alone; it has several chunks, and both of a pair are in the same."""
+    r, n = random.Random(7), 1100
+    chunks = -(-2 * n // simhash.BLOCK)
+    fps = np.zeros(0, np.uint64)
+    while len(fps) < 2 * n:
+        # at most two bits from the zero codeword: one key for segments 1 and 2
+        a = r.getrandbits(22) | sum(1 << b for b in r.sample(range(22, 43), 2) + r.sample(range(43, 64), 2))
+        b = a
+        for bit in r.sample(range(22), r.choice([3, 4])):
+            b ^= 1 << bit
+        pair = np.array([a, b], np.uint64)
+        keys = simhash.segment_keys(pair, 0)
+        if chunk_of(a, chunks) == chunk_of(b, chunks) and not set(keys[0]) & set(keys[1]) and (
+                np.bitwise_count(fps[:, None] ^ pair) > 4).all():
+            fps = np.concatenate((fps, pair))
+    bucket, _ = simhash.buckets(fps)
+    assert (np.unique(bucket, return_counts=True)[1] > simhash.BLOCK).sum() == 1
+    signed = fps.view(np.int64).tolist()
+    edges = simhash.near_links(spark.createDataFrame([(x,) for x in signed], "fp bigint")).collect()
+    assert {(e.hi, e.lo) for e in edges} == {(max(p), min(p)) for p in zip(signed[::2], signed[1::2])}
+
+
+@pytest.mark.parametrize("n", [20, 100])
+def test_sides_are_decided_per_group(n):
+    """A group of side 0 beside one of sides 1 and 2 keeps its links."""
+    fps = np.array([x << 8 for x in range(n)] + [x << 40 for x in range(n)], np.uint64)
+    group, side = np.repeat([1, 2], n), np.concatenate((np.zeros(n, np.int8), np.arange(n, dtype=np.int8) % 2 + 1))
+
+    def links(rows, sides):
+        return set(zip(*(x.tolist() for x in simhash.links_of_block(fps[rows], group[rows], 4, sides))))
+    alone = links(slice(0, n), None)
+    assert alone and alone <= links(slice(0, 2 * n), side)
+    assert links(slice(n, n + 1), side[n:n + 1]) == set()
+
+
 def test_golay_keys_meet():
     """Words that differ in at most two bits share a key."""
     rng = np.random.default_rng(4)
