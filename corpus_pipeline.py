@@ -8,9 +8,9 @@ last return the columns of documents.
 1. quality_classifier: documents that the trained classifier rejects go.
 2. line_dedup: later copies of line runs are cut from the texts; a document
    whose every word was in later copies goes.
-3. simhash_near_dedup: of each group of linked documents the one with the
-   smallest doc_id stays, once.  A row without doc_id cannot be named as a
-   group's document and stays.
+3. simhash_near_dedup: of each group of linked documents one row stays, the
+   first by (doc_id, nulls last; hash of the text); of rows that share both,
+   the first by (lang, source, n_chars).
 4. mixing: sources are brought to their target weights; a document that the
    mix takes twice is there twice.
 5. bpe: token ids of every text, and whether they decode to it.
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldcraft.llm import bpe, line_dedup, mixing, quality_model, simhash
-from foldcraft.llm.common import documents, has_word, text_of
+from foldcraft.llm.common import documents, has_word, text_key, text_of
 from foldcraft.session import cut_lineage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -46,10 +46,17 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash.near_duplicates(docs)
-    stay = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("stays")).distinct()
-    named = docs.select(*COLUMNS).join(stay.hint("merge"), F.col("doc_id") == F.col("stays"), "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.select(*COLUMNS).filter("doc_id is null"))
+    # a row is named by doc_id and text, without nulls: its group's, and its own
+    name = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "tkey")
+    stay = simhash.near_duplicates(docs).groupBy("root").agg(F.min(name).alias("s")).select("s.*")
+    stay = stay.toDF("s_no_id", "s_id", "s_tkey")
+    d = docs.select(*COLUMNS, text_key(text_of(F.col("text"))).alias("tkey"))
+    d = d.select("doc_id", name.alias("name"), F.struct("lang", "source", "n_chars", "text").alias("row"))
+    d = d.select("doc_id", "name.*", "row").join(stay.hint("merge"), (F.col("no_id") == F.col("s_no_id")) & (
+        F.col("id") == F.col("s_id")) & (F.col("tkey") == F.col("s_tkey")), "left_semi")
+    # rows that share a name, in the join's own partitions
+    one = d.groupBy("no_id", "id", "tkey").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"))
+    return one.select("doc_id", "row.*").select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import documents, text_of
+from .common import documents, text_key, text_of
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -87,15 +87,17 @@ def _fingerprints(shingle: int):
         for b in batches:
             text = b.column("text")
             fp = np.fromiter((fingerprint(text[i].as_py().encode(), shingle) for i in range(b.num_rows)), U, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tkey"), pa.array(fp.view(np.int64))],
+                                             names=["doc_id", "tkey", "fp"])
     return run
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of rows (doc_id, text); fp is the unsigned fingerprint's
-    bits in a long."""
+    """(doc_id, tkey, fp) of rows (doc_id, text); tkey is the text's hash, fp
+    the unsigned fingerprint's bits in a long."""
     d = docs.select("doc_id", text_of(F.col("text")).alias("text"))
-    return d.mapInArrow(_fingerprints(shingle), d.select("doc_id", F.lit(0).cast("long").alias("fp")).schema)
+    d = d.select("doc_id", text_key(F.col("text")).alias("tkey"), "text")
+    return d.mapInArrow(_fingerprints(shingle), d.select("doc_id", "tkey", F.lit(0).cast("long").alias("fp")).schema)
 
 
 # keys ----------------------------------------------------------------------
@@ -329,8 +331,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, fp, component_id) of every row of ``docs``; component_id is
-    the smallest doc_id that can be reached over links."""
+    """(doc_id, tkey, fp, root, component_id) of every row of ``docs``; root is
+    the component's smallest fingerprint, component_id the smallest doc_id that
+    can be reached over links (null if no row there has one, and not
+    the component's alone where rows share a doc_id)."""
     fps = cut_lineage(fingerprints(docs, shingle), "simhash-fingerprints")
     vertices = cut_lineage(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-vertices")
     roots = components(near_links(vertices, max_bits))
@@ -338,8 +342,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
         "fp", "first", F.coalesce("root", "fp").alias("root"))
     v = cut_lineage(v, "simhash-roots")
     ids = cut_lineage(v.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-ids")
-    v = cut_lineage(v.join(ids, "root").select(F.col("fp").alias("v_fp"), "component_id"), "simhash-components")
-    return fps.join(v, F.col("fp") == F.col("v_fp")).select("doc_id", "fp", "component_id")
+    v = cut_lineage(v.join(ids, "root").select(F.col("fp").alias("v_fp"), "root", "component_id"), "simhash-components")
+    return fps.join(v, F.col("fp") == F.col("v_fp")).select("doc_id", "tkey", "fp", "root", "component_id")
 
 
 def op10_simhash(spark, sf_dir):

@@ -406,3 +406,22 @@ def test_pipeline_on_awkward_rows(spark):
                 out.write.parquet(path)
                 docs = spark.read.parquet(path)
         assert (out.count() > 0) == bool(rows)
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    """Rows that share a doc_id, or have none, are told apart by their text."""
+    import corpus_pipeline as p
+
+    from .test_dedup import brute_components, brute_fingerprint
+
+    rows = awkward() + [(300, "only text of its kind " * 20), (300, "another one, not like it " * 20), (-9, "another one, not like it " * 20),
+                        (None, "found nowhere else " * 20), (None, "found nowhere else " * 20)]
+    groups = brute_components(range(len(rows)), [brute_fingerprint(t) for _, t in rows], 4)
+    best = {}
+    for g, (doc, text) in zip(groups, rows):
+        name = (doc is None, doc or 0, signed_hash(text or ""))
+        best[g] = min(best.get(g, (name, (doc, text))), (name, (doc, text)), key=lambda x: x[0])
+    got = p.simhash_near_dedup(spark, frame(spark, rows), SMALL)
+    assert got.columns == list(p.COLUMNS)
+    assert sorted([(r.doc_id, r.text or "") for r in got.collect()], key=key) == sorted(
+        [(d, t or "") for _, (d, t) in best.values()], key=key)
