@@ -5,10 +5,11 @@ trusted documents (those labelled good), one on the whole corpus.  A
 document's score is the mean over its n-grams of log(p_trusted / p_raw); it
 is kept if the score reaches a fixed threshold and no base rule failed.
 
-N-grams are character n-grams at word borders, one per word: its last three
-characters with the next word's first two.  They are hashed into ``BUCKETS``
-buckets, so both counts and the table of ratios have a fixed size whatever the
-corpus.
+N-grams are character n-grams at word borders, two per word in the query: the
+word's last three characters, and its last two with the next word's first two,
+each kind in a half of ``BUCKETS`` buckets.  Without ``ends`` there is one per
+word, its last three characters with the next word's first two.  Hashing gives
+both counts and the table of ratios a fixed size whatever the corpus.
 
 Distribution.  Texts are joined to the labels once, by doc_id (a shuffle of
 the texts: labels grow with the corpus); counting aggregates map-side into at
@@ -43,19 +44,27 @@ MAX_REPEAT_PCT = 50
 SYMBOLS = "#*$%&|<>"
 
 
-def grams(words: Column, buckets: int = BUCKETS) -> Column:
+def grams(words: Column, buckets: int = BUCKETS, ends: bool = False) -> Column:
     """Buckets (a power of two of them) of the n-grams of an array of words;
-    nothing follows the last word."""
+    nothing follows the last word.  With ``ends``, the words' endings by
+    themselves and the shorter borders, two per word."""
     nexts = F.slice(words, 2, F.greatest(F.size(words), F.lit(1)))
-    return F.zip_with(words, nexts, lambda a, b: F.xxhash64(F.substring(a, -3, 3), F.substring(b, 1, 2))
-                      .bitwiseAND(F.lit(buckets - 1)).cast("int"))
 
+    def bucket(n, *parts):
+        return F.xxhash64(*parts).bitwiseAND(F.lit(n - 1)).cast("int")
 
-def _exploded(d: DataFrame, buckets: int, *keep: str) -> DataFrame:
+    if not ends:
+        return F.zip_with(words, nexts, lambda a, b: bucket(buckets, F.substring(a, -3, 3), F.substring(b, 1, 2)))
+    half = buckets // 2
+    return F.concat(F.transform(words, lambda a: bucket(half, F.substring(a, -3, 3))), F.zip_with(
+        words, nexts, lambda a, b: bucket(half, F.substring(a, -2, 2), F.substring(b, 1, 2)) + half))
+
+
+def _exploded(d: DataFrame, buckets: int, ends: bool, *keep: str) -> DataFrame:
     """A row (keep..., g) per n-gram of the words ws, or one with null.  Words,
     n-grams and rows are made in steps of their own, and explode_outer adds no
     filter, so each is computed once."""
-    return d.select(*keep, grams(F.col("ws"), buckets).alias("gs")).select(*keep, F.explode_outer("gs").alias("g"))
+    return d.select(*keep, grams(F.col("ws"), buckets, ends).alias("gs")).select(*keep, F.explode_outer("gs").alias("g"))
 
 
 def base_rules(docs: DataFrame) -> DataFrame:
@@ -88,7 +97,8 @@ def base_rules(docs: DataFrame) -> DataFrame:
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
-def ratio_table(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, alpha: float = ALPHA) -> DataFrame:
+def ratio_table(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, alpha: float = ALPHA,
+                ends: bool = False) -> DataFrame:
     """(g, llr), a row per bucket seen in ``docs``: log ratio of the bucket's
     share among the trusted documents (doc_ids in ``trusted``) and among all,
     both smoothed by ``alpha`` per bucket; in whole millionths, so that sums
@@ -98,7 +108,7 @@ def ratio_table(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, alp
     d = docs.select("doc_id", text_of(F.col("text")).alias("t")).join(
         good.hint("merge"), F.col("doc_id") == F.col("_good"), "left")
     d = d.select(F.col("_good").isNotNull().cast("long").alias("good"), words_of(F.col("t")).alias("ws"))
-    g = _exploded(d, buckets, "good").filter("g is not null")
+    g = _exploded(d, buckets, ends, "good").filter("g is not null")
     counts = cut_lineage(g.groupBy("g").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("good")),
                          "gram-counts")
     n_raw, n_good = counts.agg(F.sum("raw"), F.sum("good")).first()  # two numbers
@@ -109,11 +119,11 @@ def ratio_table(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, alp
     return counts.select("g", F.round(ratio * 1e6).cast("long").alias("llr"))
 
 
-def score_documents(docs: DataFrame, ratios: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def score_documents(docs: DataFrame, ratios: DataFrame, buckets: int = BUCKETS, ends: bool = False) -> DataFrame:
     """(doc_id, tkey, llr): mean log ratio of every document with a word."""
     d = docs.select("doc_id", text_of(F.col("text")).alias("t")).select(
         "doc_id", text_key(F.col("t")).alias("tkey"), words_of(F.col("t")).alias("ws"))
-    d = _exploded(d, buckets, "doc_id", "tkey")
+    d = _exploded(d, buckets, ends, "doc_id", "tkey")
     r = ratios.select(F.col("g").alias("r_g"), "llr")
     # BUCKETS rows at most
     scored = d.join(F.broadcast(r), F.col("g") == F.col("r_g"))
@@ -121,10 +131,11 @@ def score_documents(docs: DataFrame, ratios: DataFrame, buckets: int = BUCKETS)
 
 
 def judge_documents(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD,
-                    min_words: int = MIN_WORDS, max_repeat_pct: int = MAX_REPEAT_PCT) -> DataFrame:
+                    min_words: int = MIN_WORDS, max_repeat_pct: int = MAX_REPEAT_PCT,
+                    ends: bool = False) -> DataFrame:
     """Base figures, llr and verdict of every row of ``docs``."""
     base = cut_lineage(base_rules(docs), "quality-base")
-    scores = score_documents(docs, ratio_table(docs, trusted)).select(
+    scores = score_documents(docs, ratio_table(docs, trusted, ends=ends), ends=ends).select(
         F.col("doc_id").alias("s_doc"), F.col("tkey").alias("s_key"), "llr")
     d = base.join(scores, F.col("doc_id").eqNullSafe(F.col("s_doc")) & (F.col("tkey") == F.col("s_key")), "left")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
@@ -139,7 +150,7 @@ def trusted_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_rules(spark, sf_dir):
     """op8: the rules' figures and verdict of every document."""
-    return judge_documents(documents(spark, sf_dir), trusted_labels(spark, sf_dir)).drop("llr")
+    return judge_documents(documents(spark, sf_dir), trusted_labels(spark, sf_dir), ends=True).drop("llr")
 
 
 #: the part that SQL can express: all but the hashed ratio

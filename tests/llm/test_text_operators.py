@@ -306,6 +306,34 @@ def test_rules_like_sql_and_brute_force(spark):
     assert np.allclose([x[8] for x in got], [x[8] for x in expected], atol=2e-6)
 
 
+def test_two_ngrams_a_word_are_scored(spark):
+    """The query's form: endings by themselves, and borders, in halves of the buckets."""
+    half = quality_rules.BUCKETS // 2
+
+    def two(text):
+        w = words(text)
+        return [signed_hash(a[-3:]) % half for a in w] + [
+            half + (signed_hash(a[-2:], b[:2]) if b is not None else signed_hash(a[-2:])) % half
+            for a, b in zip(w, w[1:] + [None] * bool(w))]
+
+    rows, trusted = awkward(6), {0, 4, 7, 9, 100}
+    got = quality_rules.judge_documents(frame(spark, rows), spark.createDataFrame([(i,) for i in trusted], "doc_id bigint"), ends=True)
+    raw, good = (Counter(g for i, t in rows if keep(i) for g in two(t)) for keep in (lambda i: True, trusted.__contains__))
+    a, b = quality_rules.ALPHA, quality_rules.BUCKETS
+    shift = math.log(sum(raw.values()) + a * b) - math.log(sum(good.values()) + a * b)
+    expected = [(i, sum(math.log((good[g] + a) / (raw[g] + a)) + shift for g in two(t)) / max(1, len(two(t)))) for i, t in rows]
+    got, expected = sorted([(r.doc_id, r.llr) for r in got.collect()], key=key), sorted(expected, key=key)
+    assert [x for x, _ in got] == [x for x, _ in expected]
+    assert np.allclose([x for _, x in got], [x for _, x in expected], atol=2e-6)
+
+
+def test_query_scores_two_ngrams_a_word(spark, monkeypatch):
+    seen, grams = [], quality_rules.grams
+    monkeypatch.setattr(quality_rules, "grams", lambda w, n, ends=False: seen.append(ends) or grams(w, n, ends))
+    quality_rules.op8_quality_rules(spark, SMALL)
+    assert seen and all(seen)
+
+
 def test_rules_on_the_tables(spark, duck):
     got = quality_rules.op8_quality_rules(spark, SMALL).toPandas().sort_values("doc_id").reset_index(drop=True)
     want = duck.execute(quality_rules.RULES_SQL).fetchdf().sort_values("doc_id").reset_index(drop=True)
