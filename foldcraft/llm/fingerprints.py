@@ -7,13 +7,17 @@ inserted or deleted by adding or subtracting its vector:
 
 * LANES lanes of 64 bits: the paragraph's BLAKE2b hash, summed modulo 2^64.
   They decide equality.
-* SIGNS lanes of 16 bits: one hash bit read as +1 or -1, for each piece of
-  PIECE characters of the paragraph, summed modulo 2^16.  The squared
-  difference of two such sums is, on the mean, the number of pieces in which
-  the texts differ, which gives the likeness.
+* SIGNS signed lanes of 64 bits: one hash bit read as +1 or -1, for each piece
+  of PIECE characters of the paragraph, summed.  No text has pieces enough to
+  wrap a sum.  The squared difference of two such sums is, on the mean, the
+  number of pieces in which the texts differ, which gives the likeness.
+
+Written out, a fingerprint is the LANES in 16 hex digits each and the last 16
+bits of the sign lanes in 4 each; if a sign lane needs more than 16 bits, the
+first 48 bits of all of them follow, in 12 each.
 
 Likeness of two fingerprints is 1 - |a - b|^2 / (|a|^2 + |b|^2) over the sign
-lanes, read as signed numbers, cut to 0..1: 1 for equal ones, near 0 for texts
+lanes, cut to 0..1: 1 for equal ones, near 0 for texts
 without common pieces.
 
 Neighbours.  An edited text takes its end from the next document in
@@ -66,7 +70,7 @@ class Fingerprint:
     @classmethod
     def of(cls, paragraphs: list[str]) -> "Fingerprint":
         if not paragraphs:
-            return cls(np.zeros(LANES, U), np.zeros(SIGNS, np.uint16))
+            return cls(np.zeros(LANES, U), np.zeros(SIGNS, np.int64))
         wide = b"".join([hashlib.blake2b(p.encode(), digest_size=8 * LANES).digest() for p in paragraphs])
         bits = b"".join([xxhash.xxh3_128_digest(p[i:i + PIECE].encode())
                          for p in paragraphs for i in range(0, max(1, len(p)), PIECE)])
@@ -75,7 +79,7 @@ class Fingerprint:
         for at in range(0, len(rows), 1 << 14):
             ones += np.unpackbits(rows[at:at + (1 << 14)], axis=1).sum(0, dtype=np.int64)
         return cls(np.frombuffer(wide, "<u8").reshape(-1, LANES).sum(0, dtype=U),
-                   (2 * ones - len(rows)).astype(np.uint16))
+                   2 * ones - len(rows))
 
     def __add__(self, other: "Fingerprint") -> "Fingerprint":
         return Fingerprint(self.lanes + other.lanes, self.signs + other.signs)
@@ -84,13 +88,16 @@ class Fingerprint:
         return Fingerprint(self.lanes - other.lanes, self.signs - other.signs)
 
     def __str__(self) -> str:
-        return self.lanes.astype(">u8").tobytes().hex() + self.signs.astype(">u2").tobytes().hex()
+        out = self.lanes.astype(">u8").tobytes().hex() + self.signs.astype(">u2").tobytes().hex()
+        if np.array_equal(self.signs.astype(np.int16), self.signs):
+            return out
+        return out + self.signs.astype(">i8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes().hex()
 
     def likeness(self, other: "Fingerprint") -> float:
         if np.array_equal(self.lanes, other.lanes) and np.array_equal(self.signs, other.signs):
             return 1.0
-        a, b = self.signs.view(np.int16).astype(float), other.signs.view(np.int16).astype(float)
-        d = (self.signs - other.signs).view(np.int16).astype(float)
+        a, b = self.signs.astype(float), other.signs.astype(float)
+        d = (self.signs - other.signs).astype(float)
         both = float(a @ a + b @ b)
         return min(1.0, max(0.0, 1.0 - float(d @ d) / both)) if both else 0.0
 

@@ -368,6 +368,17 @@ def test_likeness_follows_the_common_share():
         assert abs(of(lines[:200]).likeness(of(lines[200 - k:400 - k])) - share) < 0.2
 
 
+@pytest.mark.parametrize("n", [40_000, 65_536, 70_000])
+def test_likeness_of_many_equal_lines(n):
+    of = fingerprints.Fingerprint.of
+    many, r = of(["same"] * n), random.Random(4)
+    other = of([str(r.random()) for _ in range(100)])
+    assert many.likeness(of(["same"] * (n - 1000))) > 0.99 and many.likeness(many + other) > 0.99
+    assert many.likeness(of([])) == 0 and abs(many.likeness(of(["same"] * (n // 2))) - 0.8) < 0.01
+    assert str(many) != str(of(["same"] * (n + 65_536))) and str(many + other - other) == str(many)
+    assert (many.signs == of(["same"]).signs * n).all() and int(str(many)[-12:], 16) == many.signs[-1] >> 16 & (1 << 48) - 1
+
+
 @pytest.mark.parametrize("ranges", [64, 1])
 def test_fingerprint_rows_like_brute_force(spark, monkeypatch, ranges):
     monkeypatch.setattr(fingerprints, "MIN_RANGES", ranges)
