@@ -6,9 +6,11 @@ caller (whatever their names) never meet the operator's own names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 #: the white space that separates words: [\x20\x09-\x0D]
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -34,3 +36,22 @@ def has_word(text: Column) -> Column:
 def text_key(text: Column) -> Column:
     """Tells rows that share a doc_id apart; rows repeated whole share it."""
     return F.xxhash64(text)
+
+
+def numbered(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """``rows``, a stored table, with ``pos``, the place of a row in its group
+    from 0 on in the given order (nulls first), and ``n``, the group's size.
+
+    The rows are cut into ranges of (group, order), so that a big group is
+    many tasks, and numbered inside them; a range's offset in its group comes
+    from the table of counts, at most one row more per group than ranges."""
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = cut_lineage(rows.repartitionByRange(ranges, group, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = d.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("_c"))
+    every = Window.partitionBy(group)
+    before = every.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col(group).alias("_o_group"), F.col("_range").alias("_o_range"), F.coalesce(
+        F.sum("_c").over(before), F.lit(0)).alias("_off"), F.sum("_c").over(every).alias("n"))
+    place = F.row_number().over(Window.partitionBy(group, "_range").orderBy(*order)) - 1
+    d = d.withColumn("_place", place).join(offsets, (F.col(group) == F.col("_o_group")) & (F.col("_range") == F.col("_o_range")))
+    return d.select(*rows.columns, (F.col("_off") + F.col("_place")).alias("pos"), "n")

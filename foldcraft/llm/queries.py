@@ -3,7 +3,7 @@ or None)."""
 
 from __future__ import annotations
 
-from . import (bpe, fingerprints, line_dedup, mixing, quality_model, quality_rules, secret_scan,
+from . import (bpe, fingerprints, line_dedup, merkle, mixing, quality_model, quality_rules, secret_scan,
                simhash, substring_dedup, warc)
 
 QUERIES = {
@@ -17,4 +17,5 @@ QUERIES = {
     "op8_quality_rules": (quality_rules.op8_quality_rules, None),
     "op9_fingerprints": (fingerprints.op9_fingerprints, None),
     "op10_simhash": (simhash.op10_simhash, None),
+    "op11_merkle": (merkle.op11_merkle, merkle.OP11_SQL),
 }
