@@ -1,11 +1,15 @@
 """Helpers shared by the corpus operators.
 
-Every operator first selects the columns it needs, so extra columns of the
-caller (whatever their names) never meet the operator's own names.
+Operators select the columns they need, so extra columns of the caller never
+meet their own names.  Those that return the caller's columns and add some
+replace a column of an added name, and say so.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,3 +59,32 @@ def numbered(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     place = F.row_number().over(Window.partitionBy(group, "_range").orderBy(*order)) - 1
     d = d.withColumn("_place", place).join(offsets, (F.col(group) == F.col("_o_group")) & (F.col("_range") == F.col("_o_range")))
     return d.select(*rows.columns, (F.col("_off") + F.col("_place")).alias("pos"), "n")
+
+
+def slices(batch: pa.RecordBatch, column: str, chars: int, rows: int):
+    """Slices of a batch with about ``chars`` bytes of the text column, or
+    one row of more, and at most ``rows`` rows."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+    at = 0
+    while at < batch.num_rows:
+        end, size = at, 0
+        while end < batch.num_rows and end - at < rows and (end == at or size + lengths[end] <= chars):
+            size += lengths[end]
+            end += 1
+        yield batch.slice(at, end - at)
+        at = end
+
+
+class Numbers(dict):
+    """word -> its number, in the order of arrival."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def spread(h: np.ndarray) -> np.ndarray:
+    """Mixes unsigned 64-bit hashes, so that every bit depends on all."""
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))

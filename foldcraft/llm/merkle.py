@@ -46,7 +46,7 @@ from .common import documents, numbered
 
 FAN = 8
 #: places of one window partition, a multiple of FAN
-BLOCK = FAN ** 4
+BLOCK = FAN ** 3
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

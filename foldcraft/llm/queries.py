@@ -3,7 +3,7 @@ or None)."""
 
 from __future__ import annotations
 
-from . import (bpe, fingerprints, line_dedup, merkle, mixing, quality_model, quality_rules, secret_scan,
+from . import (bpe, fingerprints, line_dedup, merkle, mixing, ngram_model, quality_model, quality_rules, secret_scan,
                simhash, substring_dedup, warc)
 
 QUERIES = {
@@ -18,4 +18,5 @@ QUERIES = {
     "op9_fingerprints": (fingerprints.op9_fingerprints, None),
     "op10_simhash": (simhash.op10_simhash, None),
     "op11_merkle": (merkle.op11_merkle, merkle.OP11_SQL),
+    "op12_ngram_model": (ngram_model.op12_ngram_model, None),
 }
