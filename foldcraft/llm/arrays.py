@@ -22,7 +22,7 @@ def store_arrays(folder: str, arrays: dict[str, np.ndarray], compress: bool = Fa
     Uncompressed files are mapped by readers without a copy."""
     files, base = pafs.FileSystem.from_uri(folder)
     files.create_dir(base, recursive=True)
-    name = f"{uuid.uuid4().hex}.arrow"
+    name = f"{uuid.uuid4().int >> 65:016x}.arrow"  # 63 random bits
     columns = {k: pa.LargeListArray.from_arrays(pa.array([0, len(v)], pa.int64()), pa.array(v)) for k, v in arrays.items()}
     batch = pa.RecordBatch.from_pydict(columns)
     options = pa.ipc.IpcWriteOptions(compression="zstd" if compress else None)

@@ -3,8 +3,8 @@ or None)."""
 
 from __future__ import annotations
 
-from . import (bpe, fingerprints, line_dedup, merkle, mixing, ngram_model, quality_model, quality_rules, secret_scan,
-               simhash, substring_dedup, warc)
+from . import (bpe, fingerprints, line_dedup, merkle, mixing, ngram_model, phrase_mining, quality_model,
+               quality_rules, secret_scan, simhash, substring_dedup, warc)
 
 QUERIES = {
     "op1_substring_dedup": (substring_dedup.op1_substring_dedup, substring_dedup.OP1_SQL),
@@ -19,4 +19,5 @@ QUERIES = {
     "op10_simhash": (simhash.op10_simhash, None),
     "op11_merkle": (merkle.op11_merkle, merkle.OP11_SQL),
     "op12_ngram_model": (ngram_model.op12_ngram_model, None),
+    "op13_phrases": (phrase_mining.op13_phrases, phrase_mining.OP13_SQL),
 }

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foldcraft.llm import arrays, merkle, ngram_model
+from foldcraft.llm import arrays, merkle, ngram_model, phrase_mining
 
 from .helpers import awkward, frame
 
@@ -145,7 +146,6 @@ class BruteModel:
 
     @staticmethod
     def cut(text):
-        import re
         return re.findall(r"[^\x20\x09-\x0D]+", lowered(text or ""))
 
     @staticmethod
@@ -225,3 +225,88 @@ def test_model_of_nothing(spark):
     model, answers = ngram_model.fit(ngram_model.word_batches(d))
     got = ngram_model.scores(answers, model).collect()
     assert sorted([(r.doc_id or 0, r.n_tokens, r.n_known, r.base_score, r.score) for r in got]) == [(0, 1, 0, 0, 0), (1, 3, 0, 0, 0)]
+
+
+# phrases -------------------------------------------------------------------
+
+@pytest.mark.parametrize("bits", [1, 2, 5, 15, 16, 17, 21, 22, 31, 33, 40, 42])
+@pytest.mark.parametrize("words", [2, 3])
+def test_packing_is_invertible(bits, words):
+    r = random.Random(bits)
+    rows = list({tuple(r.randrange(1 << bits) for _ in range(words)) for _ in range(500)})
+    ids = [np.array(x, np.uint64) for x in zip(*rows)]
+    packing = phrase_mining.Packing(bits, words)
+    high, low = packing.join(ids)
+    assert len(set(zip(high.tolist(), low.tolist()))) == len(rows)
+    assert high.max() < 1 << packing.high and low.max() < 1 << packing.low
+    assert list(zip(*[x.tolist() for x in packing.split(high, low)])) == rows
+
+
+@pytest.mark.parametrize("bits,words", [(3, 2), (9, 3), (21, 3), (30, 3), (42, 3)])
+def test_filters_lose_nothing(bits, words):
+    r = random.Random(bits)
+    packing = phrase_mining.Packing(bits, words)
+    shards, want = [], Counter()
+    for _ in range(3):
+        rows = [tuple(min(int(r.paretovariate(0.5)), (1 << bits) - 1) for _ in range(words)) for _ in range(2000)]
+        want.update(rows)
+        shards.append(phrase_mining.CountingQuotientFilter.of(packing, [np.array(x, np.uint64) for x in zip(*rows)]))
+    for prefix in (0, 1, 3):
+        got, by_range = Counter(), defaultdict(list)
+        for f in shards:
+            assert (np.diff(f.high.astype(np.int64)) >= 0).all()
+            for at, part in f.ranges(prefix):
+                by_range[at].append(part.to_bytes(prefix))
+        for at, blobs in by_range.items():
+            f = phrase_mining.CountingQuotientFilter.merged(
+                [phrase_mining.CountingQuotientFilter.from_bytes(packing, b, at, prefix) for b in blobs])
+            for *ids, n in zip(*[x.tolist() for x in packing.split(f.high, f.low)], f.counts.tolist()):
+                got[tuple(ids)] += n
+        assert got == want
+
+
+def brute_phrases(rows, least, top, cover):
+    """rows (lang, text)"""
+    f, n = defaultdict(Counter), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\n\x0b\x0c\r]", lowered(text or "")):
+            w = [x for x in re.split("[ \t]+", piece) if x]
+            n[lang] += len(w)
+            for k in (1, 2, 3):
+                f[lang].update(tuple(w[i:i + k]) for i in range(len(w) - k + 1))
+    for lang, every in f.items():
+        found, cand = [], {p: a for p, a in every.items() if len(p) > 1 and a >= least}
+        for p, a in cand.items():
+            if any(len(q) > len(p) and p in (q[:2], q[1:]) and 100 * b >= cover * a for q, b in cand.items()):
+                continue
+            s, k = min((1000000 * a * a // (every[p[:k]] * every[p[k:]]), k) for k in range(1, len(p)))
+            found.append((-s, -a, " ".join(p).encode(), every[p[:k]], every[p[k:]]))
+        for rank, (s, a, p, left, right) in enumerate(sorted(found)[:top], 1):
+            yield (lang, rank, p.decode(), -a, left, right, n[lang], -s)
+
+
+@pytest.mark.parametrize("chars,shard,top", [(1 << 20, 2_000_000, 2000), (1500, 40, 7)])
+def test_phrases_like_brute_force(spark, monkeypatch, chars, shard, top):
+    monkeypatch.setattr(phrase_mining, "CHARS", chars)
+    monkeypatch.setattr(phrase_mining, "SHARD", shard)
+    r = random.Random(2)
+    langs = ["en", None, "und", "é", ""]
+    rows = [(r.choice(langs), t) for _, t in awkward(5)] + [("en", "New york, new York! a b c; A b\tc a b. \x00 \x00 b")] * 9
+    d = spark.createDataFrame(rows, "lang string, text string").withColumns({c: F.lit("x") for c in ("n", "id", "batch", "word", "phrase")})
+    got = sorted(map(tuple, phrase_mining.collocations(d, min_count=4, top=top).collect()))
+    assert got == sorted(brute_phrases(rows, 4, top, 50)) and any(" " in x[2].replace(" ", "", 1) for x in got)
+
+
+def test_scores_are_exact_beyond_64_bits(spark):
+    a, x, y = 10 ** 12 + 7, 10 ** 13 + 3, 10 ** 12 + 9
+    d = spark.createDataFrame([(a, x, y), (3, 3, 3), (10, 7 * 10 ** 14, 9 * 10 ** 14)], "a bigint, l bigint, r bigint")
+    got = [r[0] for r in d.select(phrase_mining._score(F.col("a"), F.col("l"), F.col("r"))).collect()]
+    assert got == [1000000 * a * a // (x * y), 1000000, 0]
+
+
+def test_phrases_of_nothing(spark):
+    d = spark.createDataFrame([], "lang string, text string")
+    assert phrase_mining.collocations(d).collect() == []
+    d = spark.createDataFrame([("en", None), (None, ""), ("en", "only a few words")], "lang string, text string")
+    assert phrase_mining.collocations(d).collect() == []
