@@ -15,6 +15,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .prefix import with_value_bucket
+
 
 def _arr(edges: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(e)) for e in edges])
@@ -65,12 +67,23 @@ def quantile_edges(df: DataFrame, col: str, q: int) -> list[float]:
     return out
 
 
-def left_closed_code(x: Column, inner_edges: Sequence[float]) -> Column:
+def with_left_closed_code(df: DataFrame, col: str, inner_edges: Sequence[float], out: str) -> DataFrame:
     """H4: ordinal discretiser with ends clipped: code = number of inner
-    edges <= x (values below the first edge -> 0, above the last -> n-1)."""
-    xs = x.cast("double")
-    return F.when(xs.isNull(), F.lit(None)).otherwise(
-        F.size(F.filter(_arr(inner_edges), lambda e: e <= xs))).cast("int")
+    edges <= x (values below the first edge -> 0, above the last -> n-1), null
+    stays null.  Binary search, so thousands of edges cost little more than
+    ten."""
+    d = with_value_bucket(df, col, inner_edges, "_code")
+    return d.withColumn(out, F.when(F.col(col).isNotNull(), F.col("_code"))).drop("_code")
+
+
+def with_right_closed_code(df: DataFrame, col: str, edges: Sequence[float], out: str) -> DataFrame:
+    """H2 with the lowest edge included, for many edges: the edges >= x are
+    the negated edges <= -x, counted by binary search."""
+    d = with_value_bucket(df.withColumn("_minus", -F.col(col).cast("double")), "_minus", [-e for e in reversed(edges)], "_above")
+    x = F.col(col).cast("double")
+    code = F.when(x == float(edges[0]), 0).otherwise(len(edges) - F.col("_above") - 1)
+    inside = (x >= float(edges[0])) & (x <= float(edges[-1]))
+    return d.withColumn(out, F.when(inside, code).otherwise(-1).cast("int")).drop("_minus", "_above")
 
 
 def bands(x: Column, edges: Sequence[float], labels: Sequence[str]) -> Column:

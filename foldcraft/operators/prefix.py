@@ -112,6 +112,46 @@ def _with_offsets(bucketed: DataFrame, offs: DataFrame, segments: list[str]) ->
     return bucketed.join(o, on).drop(*[f"_o_{c}" for c in [*segments, "_bkt"]])
 
 
+def values_at_quantiles(hist: DataFrame, value: str, count: str, probs: Sequence[float],
+                        segments: Sequence[str] = ()) -> DataFrame:
+    """For a stored histogram with one row per (segments, value): rows
+    (segments, p, pos, lo, hi) with pos = p (n - 1) and the values at the
+    positions floor(pos) and ceil(pos) of the sorted rows.
+
+    The offsets table says which bucket holds a position; only those buckets
+    are read again, so thousands of probabilities cost no more than the rows
+    of the buckets they hit."""
+    segs = list(segments)
+    b = with_value_bucket(hist, value, quantile_boundaries(hist, value, bucket_count(hist.count())))
+    offs = cut_lineage(_offsets(b, segs, {"c": F.sum(count)}, "_bkt"), "offsets")
+    points = hist.sparkSession.createDataFrame([(float(p),) for p in probs], ["p"])
+    pos = F.col("p") * (F.col("_tot_c") - 1)
+    wanted = offs.select(*segs, "_tot_c").distinct().crossJoin(F.broadcast(points)).select(  # |probs| rows
+        *segs, "p", pos.alias("pos"), F.explode(F.array(
+            F.struct(F.lit("lo").alias("end"), F.floor(pos).alias("at")),
+            F.struct(F.lit("hi").alias("end"), F.ceil(pos).alias("at")))).alias("x")).select(*segs, "p", "pos", "x.end", "x.at")
+    # the bucket of a position is the last one that begins at or before it
+    begins = offs.select(*segs, F.col("_off_c").alias("at"), F.struct("_bkt", "_off_c").alias("b"), F.lit(0).alias("ask"))
+    marks = begins.unionByName(wanted.select(*segs, "at").distinct().withColumn("ask", F.lit(1)), allowMissingColumns=True)
+    w = Window.partitionBy(*segs).orderBy("at", "ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hits = marks.select(*segs, "at", "ask", F.last("b", ignorenulls=True).over(w).alias("b")).filter("ask = 1").select(
+        *segs, "at", "b.*")
+    hits = cut_lineage(hits, "positions")  # at most 2 |probs| rows per segment
+    read = _with_offsets(b, hits.select(*segs, "_bkt", "_off_c").distinct(), segs)
+    before = Window.partitionBy(*segs, "_bkt").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    read = read.select(*segs, "_bkt", value, F.col(count).alias("_c"), (
+        F.col("_off_c") + F.coalesce(F.sum(count).over(before), F.lit(0))).alias("_from"))
+    found = _with_offsets(read, hits.select(*segs, "_bkt", "at"), segs).filter(
+        (F.col("at") >= F.col("_from")) & (F.col("at") < F.col("_from") + F.col("_c")))
+    found = found.select(*[F.col(c).alias(f"_f_{c}") for c in segs], F.col("at").alias("_f_at"), F.col(value).alias("_v"))
+    on = F.col("at") == F.col("_f_at")
+    for c in segs:
+        on = on & F.col(c).eqNullSafe(F.col(f"_f_{c}"))
+    ends = wanted.join(found, on)
+    return ends.groupBy(*segs, "p").agg(F.max("pos").alias("pos"), *[
+        F.max(F.when(F.col("end") == e, F.col("_v"))).alias(e) for e in ("lo", "hi")])
+
+
 def running_counts(hist: DataFrame, value: str, counts: Sequence[str],
                    segments: Sequence[str] = (), n_buckets: int | None = None,
                    boundaries: Sequence[float] | None = None) -> DataFrame:

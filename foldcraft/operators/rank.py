@@ -14,7 +14,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .prefix import running_counts
+from ..session import cut_lineage
+from .prefix import running_counts, values_at_quantiles
 
 
 def unpivot_numeric(df: DataFrame, cols: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -154,13 +155,12 @@ def auc(df: DataFrame, score: str, label: str, segments: Sequence[str] = (),
     sum_s pos_s * (neg_<s + neg_s / 2) / (P * N).
 
     Rows -> (segment, score) histogram of positives / negatives -> bucketed
-    running count of negatives -> one aggregate.  Output (segments..., auc,
-    n_pos, n_neg)."""
+    running count of negatives -> one aggregate; rows without a score (null or
+    NaN) are left out.  Output (segments..., auc, n_pos, n_neg)."""
     segs = list(segments)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    hist = (df.filter(F.col(score).isNotNull())
-            .select(*segs, F.col(score).cast("double").alias("_s"), F.col(label).alias("_y"), w.alias("_w"))
-            .withColumn("_s", F.when(F.col("_s") == 0, F.lit(0.0)).otherwise(F.col("_s")))
+    hist = (df.select(*segs, number_key(F.col(score).cast("double")).alias("_s"), F.col(label).alias("_y"), w.alias("_w"))
+            .filter(F.col("_s").isNotNull())
             .groupBy(*segs, "_s")
             .agg(F.sum(F.when(F.col("_y") == 1, F.col("_w")).otherwise(0.0)).alias("pos"),
                  F.sum(F.when(F.col("_y") == 1, 0.0).otherwise(F.col("_w"))).alias("neg")))
@@ -176,32 +176,15 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                     segments: Sequence[str] = ()) -> DataFrame:
     """Linear-interpolated quantiles (numpy 'linear', SQL
     ``quantile_cont``) per segment without gathering a group's values in
-    one task.
+    one task; null and NaN are left out.
 
-    Rows -> (segments, value) histogram (partial aggregation) -> bucketed
-    running counts give every distinct value the 0-based positions it
-    covers -> for each probability p only the values at positions
-    floor(p(n-1)) and ceil(p(n-1)) survive a narrow filter -> one small
-    aggregate interpolates lo + (hi - lo) * frac.
+    Rows -> (segments, value) histogram (partial aggregation) -> values at
+    the positions floor(p(n-1)) and ceil(p(n-1)), read from the buckets that
+    hold such a position -> lo + (hi - lo) * frac.
     Output (segments..., p, q)."""
     segs = list(segments)
-    hist = (df.filter(F.col(value).isNotNull())
-            .select(*segs, F.col(value).cast("double").alias("_x"))
-            .withColumn("_x", F.when(F.col("_x") == 0, F.lit(0.0)).otherwise(F.col("_x")))
+    hist = (df.select(*segs, number_key(F.col(value).cast("double")).alias("_x")).filter(F.col("_x").isNotNull())
             .groupBy(*segs, "_x").agg(F.count(F.lit(1)).alias("_c")))
-    rc = running_counts(hist, "_x", ["_c"], segs)
-    spark = df.sparkSession
-    pt = spark.createDataFrame([(float(p),) for p in probs], ["p"])
-    x = rc.crossJoin(F.broadcast(pt))  # |probs| rows: fixed by the caller
-    pos = F.col("p") * (F.col("_c_total") - 1)
-    lo, hi = F.floor(pos), F.ceil(pos)
-    first, last = F.col("_c_before"), F.col("_c_before") + F.col("_c") - 1
-    cover_lo = (first <= lo) & (lo <= last)
-    cover_hi = (first <= hi) & (hi <= last)
-    x = x.filter(cover_lo | cover_hi).select(
-        *segs, "p", pos.alias("_pos"),
-        F.when(cover_lo, F.col("_x")).alias("_vlo"), F.when(cover_hi, F.col("_x")).alias("_vhi"))
-    g = x.groupBy(*segs, "p").agg(F.max("_vlo").alias("_lo"), F.max("_vhi").alias("_hi"),
-                                  F.max("_pos").alias("_pos"))
-    q = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_pos") - F.floor(F.col("_pos")))
-    return g.select(*segs, "p", q.alias("q"))
+    found = values_at_quantiles(cut_lineage(hist, "histogram"), "_x", "_c", probs, segs)
+    q = F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("pos") - F.floor(F.col("pos")))
+    return found.select(*segs, "p", q.alias("q"))

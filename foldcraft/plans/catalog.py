@@ -746,11 +746,10 @@ def _qcode_sql(c, q):
 def q_quantile_bins(spark, sf):
     """H3: quantile-edge bins fitted on the union (q=40 / q=60, linear
     quantiles, duplicate edges dropped), then right-closed codes."""
-    a = T.accounts(spark, sf)
-    me = H.quantile_edges(a, "monthly", 40)
-    te = H.quantile_edges(a, "total", 60)
-    return a.select(L("id").alias("id"), L(H.right_closed_code(F.col("monthly"), me)).alias("monthly_qbin"),
-                    L(H.right_closed_code(F.col("total"), te)).alias("total_qbin"))
+    a = T.accounts_once(spark, sf, columns=["id", "monthly", "total"])
+    d = H.with_right_closed_code(a, "monthly", H.quantile_edges(a, "monthly", 40), "monthly_qbin")
+    d = H.with_right_closed_code(d, "total", H.quantile_edges(a, "total", 60), "total_qbin")
+    return d.select(*[L(c).alias(c) for c in ("id", "monthly_qbin", "total_qbin")])
 
 
 def _kbins_sql(c, n):
@@ -760,17 +759,23 @@ def _kbins_sql(c, n):
     return f"len(list_filter({e}, lambda v: v <= {c}))"
 
 
-@query("kbins_codes", with_base(
-    f"select cast(id as bigint) as id, cast({_kbins_sql('total', 25)} as bigint) as total_k25, "
-    f"cast({_kbins_sql('tenure', 200)} as bigint) as tenure_k200 from accounts"))
+#: fixed values: the reference's bins on the amount, the small amount and the
+#: month count, and the two that were here before
+KBINS = {"total_k4000": ("total", 4000), "monthly_k200": ("monthly", 200), "tenure_k25": ("tenure", 25),
+         "total_k25": ("total", 25), "tenure_k200": ("tenure", 200)}
+
+
+@query("kbins_codes", with_base("select cast(id as bigint) as id, " + ", ".join(
+    f"cast({_kbins_sql(c, n)} as bigint) as {name}" for name, (c, n) in KBINS.items()) + " from accounts"))
 def q_kbins_codes(spark, sf):
-    """H4: ordinal quantile discretiser (25 / 200 bins), left-closed, ends
-    clipped; fitted once on all rows and applied."""
-    a = T.accounts(spark, sf)
-    inner_t = H.quantile_edges(a, "total", 25)[1:-1]
-    inner_n = H.quantile_edges(a, "tenure", 200)[1:-1]
-    return a.select(L("id").alias("id"), L(H.left_closed_code(F.col("total"), inner_t)).alias("total_k25"),
-                    L(H.left_closed_code(F.col("tenure"), inner_n)).alias("tenure_k200"))
+    """H4: ordinal quantile discretiser (4000 bins of the amount, 200 of the
+    small amount, 25 of the month count), left-closed, ends clipped; fitted
+    once on all rows and applied by binary search."""
+    a = T.accounts_once(spark, sf, columns=["id", "total", "monthly", "tenure"])
+    d = a
+    for name, (c, n) in KBINS.items():
+        d = H.with_left_closed_code(d, c, H.quantile_edges(a, c, n)[1:-1], name)
+    return d.select(L("id").alias("id"), *[L(c).alias(c) for c in KBINS])
 
 
 # fixed values: signed deviation bands (edges and labels)
