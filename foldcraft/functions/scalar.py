@@ -95,8 +95,10 @@ DIGITS = [
     Feature("tc_is_multiple_100", lambda: _flag(F.pmod(F.floor(c("total")), F.lit(100)) == 0),
             f"cast({_pmod_sql('floor(total)', 100)} = 0 as bigint)", "long"),
     Feature("tc_first_digit",
-            lambda: F.substring(F.floor(c("total")).cast("long").cast("string"), 1, 1).cast("int"),
-            "cast(substr(cast(cast(floor(total) as bigint) as varchar), 1, 1) as int)", "long"),
+            lambda: F.substring(F.floor(F.abs(c("total"))).cast("long").cast("string"), 1, 1).cast("int"),
+            "cast(substr(cast(cast(floor(abs(total)) as bigint) as varchar), 1, 1) as int)", "long"),
+    Feature("tc_dev_from_round100", lambda: F.abs(c("total") - _bround0(c("total") / 100) * 100),
+            "abs(total - round_even(total / 100, 0) * 100)"),
     Feature("tc_thousands_digit", lambda: F.floor(F.pmod(c("total") / 1000, F.lit(10.0))).cast("int"),
             f"cast(floor({_pmod_sql('total / 1000', '10.0')}) as int)", "long"),
 ]
@@ -151,6 +153,10 @@ RISK_FLAGS = [
             "long"),
     Feature("risk_new_urgent", lambda: _flag((c("tenure") <= 12) & (c("pri") == "1-URGENT")),
             "cast(tenure <= 12 and pri = '1-URGENT' as bigint)", "long"),
+    Feature("risk_no_accept", lambda: _flag((c("svc_accept") == "No") & (c("n_items") > 0)),
+            "cast(svc_accept = 'No' and n_items > 0 as bigint)", "long"),
+    Feature("automobile_no_tax", lambda: _flag((c("seg") == "AUTOMOBILE") & (c("svc_tax") == "No")),
+            "cast(seg = 'AUTOMOBILE' and svc_tax = 'No' as bigint)", "long"),
     Feature("tenure_new", lambda: _flag(c("tenure") <= 12), "cast(tenure <= 12 as bigint)", "long"),
     Feature("tenure_long", lambda: _flag(c("tenure") > 36), "cast(tenure > 36 as bigint)", "long"),
     Feature("is_new_customer", lambda: _flag(c("tenure") <= 6), "cast(tenure <= 6 as bigint)", "long"),
@@ -166,6 +172,12 @@ def _dev():
 
 DEV_SQL = "(total - tenure * monthly)"
 
+def _months():
+    return F.try_divide(c("total"), c("monthly") + 0.01)
+
+
+MONTHS_SQL = "(total / nullif(monthly + 0.01, 0))"
+
 CHARGE_RATIOS = [
     Feature("charges_deviation", _dev, DEV_SQL),
     Feature("abs_charges_dev", lambda: F.abs(_dev()), f"abs({DEV_SQL})"),
@@ -176,13 +188,21 @@ CHARGE_RATIOS = [
             "monthly / nullif(total + 1, 0)"),
     Feature("total_to_monthly_ratio", lambda: F.try_divide(c("total"), c("monthly") + 1),
             "total / nullif(monthly + 1, 0)"),
-    Feature("avg_monthly_charges", lambda: c("total") / (c("tenure") + 1), "total / (tenure + 1)"),
+    Feature("avg_monthly_charges", lambda: F.try_divide(c("total"), c("tenure") + 1), "total / nullif(tenure + 1, 0)"),
     Feature("charges_per_service", lambda: c("monthly") / (_yes_count() + 1), f"monthly / (({YES_COUNT_SQL}) + 1)"),
     Feature("total_per_item", lambda: c("total") / (c("n_items") + 0.01), "total / (n_items + 0.01)"),
     Feature("monthly_per_item", lambda: F.try_divide(c("monthly"), c("n_items") + 1e-3),
             "monthly / nullif(n_items + 1e-3, 0)"),
     Feature("tenure_x_total", lambda: c("tenure") * c("total"), "tenure * total"),
-    Feature("charge_intensity", lambda: c("monthly") / (c("total") + 1e-6), "monthly / (total + 1e-6)"),
+    Feature("charge_intensity", lambda: F.try_divide(c("monthly"), c("total") + 1e-6), "monthly / nullif(total + 1e-6, 0)"),
+    Feature("actual_months", _months, MONTHS_SQL),
+    Feature("months_diff", lambda: _months() - c("tenure"), f"{MONTHS_SQL} - tenure"),
+    Feature("charge_stability", lambda: F.try_divide(F.abs(_dev()), c("total") + 1), f"abs({DEV_SQL}) / nullif(total + 1, 0)"),
+    # halved for each of two household flags
+    Feature("per_capita_charge", lambda: c("monthly") / F.when(c("svc_keep") == "Yes", 2).otherwise(1)
+            / F.when(c("svc_bulk") == "Yes", 2).otherwise(1),
+            "monthly / (case when svc_keep = 'Yes' then 2 else 1 end) / (case when svc_bulk = 'Yes' then 2 else 1 end)"),
+    Feature("per_cost", lambda: c("monthly") / (_yes_count() + 1e-3), f"monthly / (({YES_COUNT_SQL}) + 1e-3)"),
 ]
 
 # fixed values: ordinal codes used by the interaction features
@@ -198,7 +218,24 @@ def _pri_code():
 
 PRI_CODE_SQL = "(case " + " ".join(f"when pri = '{k}' then {v}" for k, v in PRI_CODE.items()) + " else 0 end)"
 
+# fixed values: ordinal codes of the segment
+SEG_CODE = {"AUTOMOBILE": 1, "BUILDING": 2, "FURNITURE": 3}
+
+
+def _seg_code():
+    e = F
+    for k, v in SEG_CODE.items():
+        e = e.when(c("seg") == k, v)
+    return e.otherwise(0)
+
+
+SEG_CODE_SQL = "(case " + " ".join(f"when seg = '{k}' then {v}" for k, v in SEG_CODE.items()) + " else 0 end)"
+_RISK = next(f for f in RISK_FLAGS if f.name == "risk_count")
+
 INTERACTIONS = [
+    Feature("seg_tenure", lambda: (_seg_code() * c("tenure")).cast("double"), f"cast({SEG_CODE_SQL} * tenure as double)"),
+    Feature("seg_monthly", lambda: _seg_code() * c("monthly"), f"{SEG_CODE_SQL} * monthly"),
+    Feature("risk_tenure", lambda: (_RISK.col() * c("tenure")).cast("double"), f"cast(({_RISK.sql}) * tenure as double)"),
     Feature("pri_tenure", lambda: (_pri_code() * c("tenure")).cast("double"), f"cast({PRI_CODE_SQL} * tenure as double)"),
     Feature("pri_monthly", lambda: _pri_code() * c("monthly"), f"{PRI_CODE_SQL} * monthly"),
     Feature("service_tenure", lambda: (_yes_count() * c("tenure")).cast("double"),

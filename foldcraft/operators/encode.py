@@ -8,9 +8,9 @@ Plan shape (all variants):
   so a hot category collapses before the exchange;
 * "every fold but f" is a subtraction from the totals, never a re-scan;
   all folds' fit tables come from that single aggregate;
-* the fit tables are small (categories x folds); they are applied to the
-  rows with one left join per encoded column, broadcast when the table's
-  counted size allows, shuffled otherwise.
+* the fit tables are (categories x folds); they are applied to the rows with
+  one left join per encoded column, whose strategy follows from the stored
+  table's size at run time.
 
 Encodings are functions of (n, s, prior, prior variance), so a 0/1 label's
 std / min / max need no second pass.

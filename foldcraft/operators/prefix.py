@@ -70,9 +70,11 @@ def with_value_bucket(df: DataFrame, col: str, boundaries: Sequence[float],
     if not boundaries:
         return df.withColumn(out, F.lit(0))
     tmp = f"{out}_v"
-    b = Bucketizer(splits=[float("-inf")] + list(boundaries) + [float("inf")],
+    # its search tells -0.0 from 0.0
+    b = Bucketizer(splits=[float("-inf")] + [x + 0.0 for x in boundaries] + [float("inf")],
                    inputCol=tmp, outputCol=out, handleInvalid="keep")
-    res = b.transform(df.withColumn(tmp, F.col(col).cast("double")))
+    x = F.col(col).cast("double")
+    res = b.transform(df.withColumn(tmp, F.when(x == 0, F.lit(0.0)).otherwise(x)))
     return res.withColumn(out, F.col(out).cast("int")).drop(tmp)
 
 

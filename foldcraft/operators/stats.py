@@ -147,6 +147,6 @@ def standardize(df: DataFrame, names: Sequence[str], by: str, fit: "F.Column") -
             F.avg(n).alias(f"_mu_{n}"), F.stddev_pop(n).alias(f"_sd_{n}"))])
         st = part if st is None else st.join(part, by)
     keep = [c for c in df.columns if c not in names]
-    j = df.join(st, by, "left")
+    j = df.join(F.broadcast(st), by, "left")  # one row per group
     sd = {n: F.when(F.col(f"_sd_{n}") == 0, F.lit(1.0)).otherwise(F.col(f"_sd_{n}")) for n in names}
     return j.select(*keep, *[((F.col(n) - F.col(f"_mu_{n}")) / sd[n]).alias(n) for n in names])

@@ -58,8 +58,13 @@ _EXTRA = list({f.name: f for f in NGRAM_FEATS + PAIR_FEATS}.values())
 PAIR_COLS = [f.name for f in PAIR_FEATS]
 
 
-def _te_frame(spark, sf, crosses: bool = False):
-    a = T.accounts_once(spark, sf).withColumn("pri_u", T.unseen_category())
+def _te_frame(spark, sf, crosses: bool = False, more: tuple = ()):
+    """id, role, y and the encoded columns, stored; ``crosses`` adds the
+    n-grams' columns and the n-grams, ``more`` further columns."""
+    wide = ["svc_open"] if crosses else []
+    a = T.accounts_once(spark, sf, columns=list(dict.fromkeys(
+        ["id", "role", "y", "pri", *[c for c in TE_COLS if c != "pri_u"], *wide, *more])))
+    a = a.withColumn("pri_u", T.unseen_category())
     if not crosses:
         return a
     return a.select("*", *[f.col().alias(f.name) for f in _EXTRA])
@@ -138,7 +143,7 @@ select cast(id as bigint) as id,
   coalesce(trim(case when id % 37 = 0 then null else concat(' ', pri, ' ') end), 'missing') as pri_clean,
   cast(coalesce(case trim(case when id % 41 = 0 then null when y = 1 then ' Yes ' else 'No ' end)
     when 'Yes' then 1 when 'No' then 0 end, 0) as bigint) as label,
-  cast(tenure as varchar) as cat_tenure
+  cast(tenure as varchar) as cat_tenure, cast(cast(total as decimal(18, 2)) as varchar) as cat_total
 from accounts"""))
 def q_clean_category(spark, sf):
     """C4 category clean (trim, null -> 'missing'); C5 tolerant Yes/No
@@ -151,7 +156,9 @@ def q_clean_category(spark, sf):
         L("id").alias("id"),
         F.coalesce(F.trim(T.padded_category()), F.lit("missing")).alias("pri_clean"),
         L(F.coalesce(F.when(lab == "Yes", 1).when(lab == "No", 0), F.lit(0))).alias("label"),
-        F.col("tenure").cast("string").alias("cat_tenure"))  # C7: integer -> category text
+        F.col("tenure").cast("string").alias("cat_tenure"),  # C7: integer -> category text
+        # An amount by its decimal digits, as the text of a double differs between engines
+        F.col("total").cast("decimal(18, 2)").cast("string").alias("cat_total"))
 
 
 # fixed values: ordinal codes of the fixture's priority and segment columns
@@ -467,7 +474,7 @@ def _pseudo_fold_sql(cols, m):
 def q_te_pseudo_augmented(spark, sf):
     """Per-fold encoding fitted on the fold's training rows plus all
     pseudo-labelled test rows (confident fixed score, t = .95)."""
-    a = T.with_scores(_te_frame(spark, sf)).withColumn("s_p", F.expr(SP_SQL))
+    a = T.with_scores(_te_frame(spark, sf, more=("tenure",))).withColumn("s_p", F.expr(SP_SQL))
     tr = K.stratified_folds(a.filter(F.col("role") == "train"), k=K_OUTER, seed=SEED)
     te = a.filter(F.col("role") == "test")
     ps = K.pseudo_rows(te, "s_p", PSEUDO_T)
@@ -943,8 +950,11 @@ REF_PAIRS = [("pri", "seg"), ("pri", "region"), ("pri", "svc_return"), ("seg", "
 NUM_REF = ["tenure", "monthly", "total"]
 
 
+REF_READ = ["id", "role", "y_sig", "pri", "seg", "nation", "region", "svc_return", "tenure", "monthly", "total"]
+
+
 def _ref_frames(spark, sf):
-    s = T.accounts_once(spark, sf, scores=True)
+    s = T.accounts_once(spark, sf, scores=True, columns=REF_READ)
     return s, s.filter(F.col("role") == "ref")
 
 
@@ -1118,7 +1128,7 @@ FEATURE_GROUPS = {
 }
 DIGIT_SQL = {"tenure_mod12": "cast(((tenure % 12) + 12) % 12 as double)",
              "tenure_last_digit": "cast(cast(right(cast(tenure as varchar), 1) as int) as double)",
-             "charges_deviation": "(total - tenure * monthly)", "avg_monthly_charges": "total / (tenure + 1)"}
+             "charges_deviation": "(total - tenure * monthly)", "avg_monthly_charges": "total / nullif(tenure + 1, 0)"}
 
 
 def _strength_frame(spark, sf):
@@ -1126,7 +1136,7 @@ def _strength_frame(spark, sf):
     o = o.withColumn("tenure_mod12", F.pmod("tenure", F.lit(12)).cast("double")).withColumn(
         "tenure_last_digit", F.expr("right(cast(tenure as string), 1)").cast("int").cast("double")).withColumn(
         "charges_deviation", F.col("total") - F.col("tenure") * F.col("monthly")).withColumn(
-        "avg_monthly_charges", F.col("total") / (F.col("tenure") + 1))
+        "avg_monthly_charges", F.try_divide(F.col("total"), F.col("tenure") + 1))
     arr = F.array(*[F.struct(F.lit(g).alias("grp"), F.lit(f).alias("feature"), F.col(f).cast("double").alias("s"))
                     for g, fs in FEATURE_GROUPS.items() for f in fs])
     long = o.select("y_sig", F.explode(arr).alias("r")).select("r.*", F.col("y_sig").alias("y"))
@@ -1218,7 +1228,7 @@ def q_pseudo_augment(spark, sf):
     """Training rows plus confident test rows as pseudo labels
     (fold -1: in every fold's training part, never validated); skipped
     when no row qualifies."""
-    a = T.with_scores(_te_frame(spark, sf)).withColumn("s_p", F.expr(SP_SQL))
+    a = T.with_scores(_te_frame(spark, sf, more=("tenure",))).withColumn("s_p", F.expr(SP_SQL))
     tr = K.stratified_folds(a.filter(F.col("role") == "train"), 5, SEED)
     ps = K.pseudo_rows(a.filter(F.col("role") == "test"), "s_p", PSEUDO_T)
     cols = ["id", "role", "y", "fold"]
@@ -1620,7 +1630,7 @@ def q_te_models_oof(spark, sf):
 def q_oof_assembly(spark, sf):
     """Out-of-fold scores and fold-averaged test scores, assembled
     from fixed per-fold scores."""
-    a = T.with_scores(_te_frame(spark, sf))
+    a = T.with_scores(_te_frame(spark, sf, more=("tenure",)))
     tr = K.stratified_folds(a.filter(F.col("role") == "train"), 5, SEED)
     te = a.filter(F.col("role") == "test").crossJoin(
         spark.createDataFrame([(i,) for i in range(5)], "fold int"))  # five rows
@@ -1839,7 +1849,8 @@ def q_param_sweep(spark, sf):
     validation rows scored by each configuration (mean of its encoded
     columns, plus the scaled month count when originals are kept), and
     OOF AUC grouped by configuration."""
-    a = T.accounts_once(spark, sf, scores=True).withColumn("pri_u", T.unseen_category())
+    a = T.accounts_once(spark, sf, scores=True, columns=["id", "role", "pri", "tenure", "y_sig", *[
+        c for c in TE_COLS if c != "pri_u"]]).withColumn("pri_u", T.unseen_category())
     tr = K.stratified_folds(a.filter(F.col("role") == "train").withColumn("y", F.col("y_sig")), 5, SEED)
     tr = cut_lineage(tr.select("id", "y", "fold", "tenure", *TE_COLS), "sweep_rows")
     st = E.label_stats(tr, TE_COLS, ["fold"])

@@ -26,8 +26,14 @@ def read_feature_table(spark: SparkSession, path: str, role: str) -> DataFrame:
 
 
 def write_predictions(df: DataFrame, path: str, score: str = "score", name: str = "Churn") -> str:
-    """A4 / A5: keyed prediction or OOF table (id, score columns)."""
-    df.select("id", F.col(score).alias(name)).write.mode("overwrite").parquet(path)
+    """A4 / A5: keyed prediction or OOF table (id, score)."""
+    return write_scores(df, path, {score: name})
+
+
+def write_scores(df: DataFrame, path: str, scores: dict[str, str]) -> str:
+    """A5: keyed table of several models' scores: (id, the new names of the
+    columns of ``scores``)."""
+    df.select("id", *[F.col(c).alias(name) for c, name in scores.items()]).write.mode("overwrite").parquet(path)
     return path
 
 

@@ -61,3 +61,56 @@ def test_label_stats_std_min_max(spark):
 def test_weight_grid_values():
     from foldcraft.plans.catalog import GRID
     assert GRID == [0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75]
+
+
+def test_features_on_rows_the_schema_allows(spark):
+    """Negative totals, a month count of -1, denominators of zero: no feature raises."""
+    from foldcraft.functions import scalar as S
+    row = {c: "No" for c in S.SERVICES} | {"pri": "1-URGENT", "seg": "AUTOMOBILE", "nation": "N", "region": "R", "n_items": 0}
+    rows = [row | dict(tenure=t, monthly=m, total=x) for t, m, x in (
+        (-1, 5.0, -1234.5), (0, -1.0, -1.0), (3, -0.01, -1e-6), (3, 0.0, 0.0), (None, None, None))]
+    d = spark.createDataFrame(rows, ", ".join(f"{k} string" for k in (*S.SERVICES, "pri", "seg", "nation", "region"))
+                              + ", n_items bigint, tenure int, monthly double, total double")
+    got = d.select(*[S.spark_out(f) for f in S.feature_set("full")]).collect()
+    assert [r.tc_first_digit for r in got] == [1, 1, 0, 0, None]
+    assert got[0].avg_monthly_charges is None and got[2].charge_intensity is None and got[2].actual_months is None
+    assert [r.charge_stability for r in got[:2]] == [round(1229.5 / -1233.5, 6), None]
+    assert [r.tc_dev_from_round100 for r in got[:2]] == [34.5, 1.0]
+
+
+def test_nan_is_no_score(spark):
+    df = spark.createDataFrame([(0.1, 0), (0.9, 1), (float("nan"), 0), (None, 1)], "s double, y int")
+    assert G.auc(df, "s", "y").first()[:] == (1.0, 1.0, 1.0)
+    q = G.exact_quantiles(df, "s", [0.0, 0.5, 1.0]).orderBy("p").collect()
+    assert [round(r.q, 9) for r in q] == [0.1, 0.5, 0.9]
+
+
+def test_many_quantiles_like_numpy(spark):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    rows = [(s, float(v)) for s, n in (("a", 500), ("b", 3), (None, 40)) for v in rng.integers(-20, 20, n) / 4]
+    probs = [i / 137 for i in range(138)]
+    df = spark.createDataFrame(rows, "s string, x double")
+    got = {(r.s, r.p): r.q for r in G.exact_quantiles(df, "x", probs, ["s"]).collect()}
+    assert len(got) == 3 * 138
+    for s in ("a", "b", None):
+        want = np.quantile([v for t, v in rows if t == s], probs)
+        assert np.allclose([got[s, p] for p in probs], want, atol=1e-12)
+    assert G.exact_quantiles(df.limit(0), "x", probs, ["s"]).collect() == []
+
+
+def test_codes_by_binary_search(spark):
+    edges = [-3.0, -0.5, 0.0, 2.25, 7.0]
+    values = [-4.0, -3.0, -2.0, -0.5, -0.0, 0.0, 1.0, 2.25, 2.26, 7.0, 7.1, None]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    d = H.with_left_closed_code(H.with_right_closed_code(df, "x", edges, "r"), "x", edges[1:-1], "l")
+    got = d.select("x", "r", "l", H.right_closed_code(F.col("x"), edges).alias("want")).collect()
+    assert [r.r for r in got] == [r.want for r in got]
+    assert [r.l for r in got] == [None if v is None else sum(e <= v for e in edges[1:-1]) for v in values]
+
+
+def test_sink_of_several_scores(spark, tmp_path):
+    from foldcraft.sources import sinks as SK
+    df = spark.createDataFrame([(1, 0.1, 0.2, 0.15, "x")], "id bigint, a double, b double, m double, other string")
+    SK.write_scores(df, str(tmp_path / "oof"), {"a": "xgb", "b": "lgb", "m": "blend"})
+    assert spark.read.parquet(str(tmp_path / "oof")).collect()[0].asDict() == {"id": 1, "xgb": 0.1, "lgb": 0.2, "blend": 0.15}
