@@ -64,10 +64,10 @@ def nested_folds(df: DataFrame, k_outer: int = 5, k_inner: int = 5, seed: int =
 
 
 def stratified_holdout(df: DataFrame, frac: float = 0.2, seed: int = 42, label: str = "y",
-                       id_col: str = "id") -> DataFrame:
-    """K3 (stratified): the first ceil(frac * n_class) rows of each class in
-    seeded-hash order are validation."""
-    r = row_number_by_hash(df, seeded_key(seed, id_col), [label], out="_rn", tiebreak=id_col,
+                       id_col: str = "id", segments: Sequence[str] = ()) -> DataFrame:
+    """K3 (stratified): the first ceil(frac * n_class) rows of each class (of
+    each segment) in seeded-hash order are validation."""
+    r = row_number_by_hash(df, seeded_key(seed, id_col), [*segments, label], out="_rn", tiebreak=id_col,
                            required=label)
     return r.withColumn("is_valid", (F.col("_rn") < F.ceil(F.col("_rn_n") * frac))
                         .cast("int")).drop("_rn", "_rn_n")

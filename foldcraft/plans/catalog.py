@@ -1640,46 +1640,212 @@ def q_oof_assembly(spark, sf):
     return o.select(L("id").alias("id"), "part", R("score").alias("score"))
 
 
+#: stopping on AUC: boosting rounds, and rounds without a new best
+ROUNDS, PATIENCE = 12, 4
+CAT_FEATURES = ["pri", "seg", "nation", "svc_return", "svc_late"]
+CAT_NUMBERS = ["tenure", "monthly", "total", "n_items"]
+
+
+@query("best_iteration", with_base(f"""
+select cast(fold as bigint) as fold, cast(best_iteration as bigint) as best_iteration, round(best_auc, 6) as best_auc,
+  cast(stop as bigint) as stopped_at, round(last_auc, 6) as last_auc from (
+  select fold, stop, arg_max(iteration, (auc, -iteration)) as best_iteration, max(auc) as best_auc,
+    max(case when iteration = stop then auc end) as last_auc
+  from (select *, coalesce(min(case when iteration - top_at >= 2 then iteration end) over (partition by fold),
+          max(iteration) over (partition by fold)) as stop
+        from (select *, (select min(b.iteration) from au b where b.fold = a.fold and b.iteration <= a.iteration
+                and b.auc = (select max(c.auc) from au c where c.fold = a.fold and c.iteration <= a.iteration)) as top_at from au a) x) y
+  where iteration <= stop group by fold, stop) z""",
+    SIG_FOLDS_SQL + ",\nmarg as (select fold, y_sig, i as iteration, list_sum(margins[:i]) as m from (select fold, y_sig, ["
+    + ", ".join(f"((s_a - 0.5) / {j} + (((id * {7919 + 31 * j}) % 1009) / 1009.0 - 0.5) * {0.03 * j * j!r})::double" for j in range(1, 9))
+    + "] as margins from sf) x, range(1, 9) r(i)),\n"
+    "au as (select fold, iteration, (sum(case when y_sig = 1 then ra else 0 end) - sum(y_sig) * (sum(y_sig) + 1) / 2.0) "
+    "/ (sum(y_sig) * (count(*) - sum(y_sig))) as auc from (select fold, iteration, y_sig, cast(rank() over (partition by fold, iteration "
+    "order by m) as double) + (cast(count(*) over (partition by fold, iteration, m) as double) - 1) / 2 as ra from marg) r group by fold, iteration)"))
+def q_best_iteration(spark, sf):
+    """Best iteration by validation AUC with stopping after two rounds
+    without a new best, per fold, from fixed margins of eight rounds that
+    first gain and then lose."""
+    sc = T.accounts_once(spark, sf, scores=True, columns=["id", "role", "s_a", "y_sig"]).filter(F.col("role") == "train")
+    f = K.stratified_folds(sc, 5, SEED, label="y_sig")
+    noise = [(F.col("id") * (7919 + 31 * j)) % 1009 / F.lit(1009.0) - 0.5 for j in range(1, 9)]
+    each = [(F.col("s_a") - 0.5) / j + noise[j - 1] * (0.03 * j * j) for j in range(1, 9)]
+    sums = [reduce(lambda a, b: a + b, each[:j]) for j in range(1, 9)]
+    best = TR.best_iterations(TR.staged_auc(f.select("fold", "y_sig", F.array(*sums).alias("margins")), "y_sig", ["fold"]), ["fold"], 2)
+    return best.select(*[L(c).alias(c) for c in ("fold", "best_iteration", "stopped_at")], R("best_auc").alias("best_auc"),
+                       R("last_auc").alias("last_auc"))
+
+
+def _stopped_on_encodings(rows, rounds: int = ROUNDS, depth: int = 3, step: float = 0.3):
+    """The encoded rows of every fold, boosted with stopping on the fold's AUC."""
+    parts = {f: (rows.filter((F.col("fold") == f) & (F.col("part") == "fit")),
+                 rows.filter((F.col("fold") == f) & (F.col("part") != "fit")).drop("fold")) for f in range(MODEL_FOLDS)}
+    return TR.stopped_scores(parts, TR._stages(TE_FEATURES, False), lambda: TR.gbt("y", rounds, depth, step), "y", PATIENCE)
+
+
+@query("gbt_stopped_oof")
+def q_gbt_stopped_oof(spark, sf):
+    """Boosted trees on each fold's encodings, cut at the
+    iteration of best validation AUC; OOF scores and averaged test scores."""
+    scores, _ = _stopped_on_encodings(_encoded_frame(spark, sf))
+    return TR.assemble_oof(scores.withColumn("part", F.when(F.col("part") == "valid", "oof").otherwise("test")))
+
+
+@query("gbt_best_iteration")
+def q_gbt_best_iteration(spark, sf):
+    """Best iteration and AUC per fold of the run above, and of a
+    longer one with smaller steps (L2's long training)."""
+    out, rows = None, _encoded_frame(spark, sf)
+    for name, run in (("standard", {}), ("long", {"rounds": 2 * ROUNDS, "step": 0.1})):
+        d = _stopped_on_encodings(rows, **run)[1].withColumn("training", F.lit(name))
+        out = d if out is None else out.unionByName(d)
+    return out.select("training", *[L(c).alias(c) for c in ("fold", "best_iteration", "stopped_at")], "best_auc", "last_auc")
+
+
+def _rebalanced_models(spark, sf):
+    """(scores, report) of one model per rebalanced set: categories unencoded,
+    a fifth of each set held out, stopping on its AUC."""
+    s = T.accounts_once(spark, sf, scores=True, columns=["id", "role", "y_sig", *CAT_FEATURES, *CAT_NUMBERS])
+    s = s.withColumn("y", F.col("y_sig")).drop("y_sig")
+    tr, te = s.filter(F.col("role") == "train"), s.filter(F.col("role") == "test")
+    sets = K.rebalanced_sets(tr.select("id", "y"), 5, PER_OTHER_SHARE, SEED).select("set_id", "id")
+    rows = K.stratified_holdout(sets.join(tr, "id"), 0.2, SEED, segments=["set_id"])
+    rows = cut_lineage(rows.withColumn("part", F.when(F.col("is_valid") == 1, "valid").otherwise("fit")).drop("is_valid"), "sets")
+    te = te.withColumn("part", F.lit("test"))
+    keep = ["id", "part", "y", *CAT_FEATURES, *CAT_NUMBERS]
+    parts = {i: (rows.filter((F.col("set_id") == i) & (F.col("part") == "fit")),
+                 rows.filter((F.col("set_id") == i) & (F.col("part") == "valid")).select(*keep).unionByName(te.select(*keep)))
+             for i in range(1, 6)}
+    return TR.stopped_scores(parts, TR.categorical_stages(CAT_FEATURES, CAT_NUMBERS), lambda: TR.gbt("y", 10, 4, 0.3), "y",
+                             PATIENCE, segment="set_id")
+
+
 @query("rebalanced_gbt")
 def q_rebalanced_gbt(spark, sf):
-    """L6 + K6: one boosted-tree model per rebalanced set, test scores
-    averaged over the five sets."""
+    """L6 + K6: one boosted-tree model with native categories per rebalanced
+    set, stopped on the AUC of the set's held-out part, test scores averaged
+    over the five sets."""
+    scores, _ = _rebalanced_models(spark, sf)
+    return scores.filter(F.col("part") == "test").groupBy("id").agg(F.avg("score").alias("score"))
+
+
+@query("rebalanced_report")
+def q_rebalanced_report(spark, sf):
+    """L6 + L7: best iteration and held-out AUC of each rebalanced set's model."""
+    _, report = _rebalanced_models(spark, sf)
+    return report.select(*[L(c).alias(c) for c in ("set_id", "best_iteration", "stopped_at")], "best_auc", "last_auc")
+
+
+PSEUDO_GBT_T = 0.9
+
+
+def _pseudo_rounds(spark, sf):
+    """Both rounds of every fold.  Returns (stored scores (round, fold, id,
+    part, score, y), decisions (fold, auc_round1, auc_round2, keep_pseudo,
+    auc_kept)): round 2 is kept if its AUC on the fold is higher."""
     tr, te = _model_frame(spark, sf)
-    sets = K.rebalanced_sets(tr, 5, PER_OTHER_SHARE, SEED).select("set_id", "id")
     asm = TR.VectorAssembler(inputCols=MODEL_FEATURES, outputCol="features", handleInvalid="keep")
-    rows = cut_lineage(asm.transform(sets.join(tr, "id")))
-    test = cut_lineage(asm.transform(te))
-    out = None
-    for i in range(1, 6):
-        m = TR.gbt("y", 5, 4, seed=SEED + i).fit(rows.filter(F.col("set_id") == i))
-        p = TR._prob(m.transform(test)).select("id", F.lit(i).alias("set_id"), "score")
-        out = p if out is None else out.unionByName(p)
-    return out.groupBy("id").agg(F.avg("score").alias("score"))
+    tr_v, te_v = cut_lineage(asm.transform(tr)), cut_lineage(asm.transform(te))
+
+    def both(f: int) -> DataFrame:
+        fit, val = tr_v.filter(F.col("fold") != f), tr_v.filter(F.col("fold") == f)
+
+        def score(model, n):
+            every = val.select("id", "y", "features", F.lit("oof").alias("part")).unionByName(
+                te_v.select("id", F.lit(None).cast("int").alias("y"), "features", F.lit("test").alias("part")))
+            return cut_lineage(TR._prob(model.transform(every)).select(
+                F.lit(n).alias("round"), F.lit(f).alias("fold"), "id", "part", "score", "y"), "round")
+
+        first = score(TR.gbt("y", 8, 4).fit(fit), 1)
+        sure = first.filter((F.col("part") == "test") & ((F.col("score") > PSEUDO_GBT_T) | (F.col("score") < 1 - PSEUDO_GBT_T)))
+        if sure.isEmpty():
+            return first
+        pseudo = te_v.select("id", "features").join(sure.select("id", (F.col("score") > 0.5).cast("int").alias("y")), "id")
+        more = fit.select("features", "y").unionByName(pseudo.select("features", "y"))
+        return first.unionByName(score(TR.gbt("y", 8, 4).fit(more), 2))
+
+    scores = reduce(DataFrame.unionByName, TR.in_parallel([lambda f=f: both(f) for f in range(MODEL_FOLDS)], 2))
+    aucs = G.auc(scores.filter(F.col("part") == "oof"), "score", "y", ["fold", "round"])
+    by = aucs.groupBy("fold").agg(*[F.max(F.when(F.col("round") == r, F.col("auc"))).alias(f"auc_round{r}") for r in (1, 2)])
+    keep = F.coalesce(F.col("auc_round2") > F.col("auc_round1"), F.lit(False))
+    by = by.select(F.col("fold").cast("int").alias("fold"), "auc_round1", "auc_round2", keep.alias("keep_pseudo"),
+                   F.when(keep, F.col("auc_round2")).otherwise(F.col("auc_round1")).alias("auc_kept"))
+    return scores, cut_lineage(by, "decisions")
 
 
 @query("pseudo_gbt")
 def q_pseudo_gbt(spark, sf):
     """K8: per fold, a second fit with confident test rows as pseudo
-    labels; the pseudo round is kept only when the fold's AUC rises, and the
-    kept model scores the fold: validation AUC of the scores kept."""
+    labels; the pseudo round is kept only when the fold's AUC rises:
+    validation AUC of both rounds and of the scores kept."""
+    return _pseudo_rounds(spark, sf)[1]
+
+
+@query("pseudo_gbt_scores")
+def q_pseudo_gbt_scores(spark, sf):
+    """K8: OOF scores and averaged test scores of the rounds kept; the
+    decisions are joined to both rounds' stored scores."""
+    scores, by = _pseudo_rounds(spark, sf)
+    kept = by.select(F.col("fold").alias("d_fold"), F.when(F.col("keep_pseudo"), 2).otherwise(1).alias("d_round"))
+    kept = scores.join(F.broadcast(kept), (F.col("fold") == F.col("d_fold")) & (F.col("round") == F.col("d_round")))  # a row per fold
+    return TR.assemble_oof(kept)
+
+
+REFIT_THRESHOLDS = [0.90, 0.92, 0.95, 0.97, 0.99]
+
+
+def _threshold_refits(spark, sf):
+    """Per threshold (0: no pseudo rows) the OOF scores of refitted models.
+    Pseudo sets are nested, so a test row has one band, the number of
+    thresholds that it passes, and every threshold's fit set is a filter."""
     tr, te = _model_frame(spark, sf)
     asm = TR.VectorAssembler(inputCols=MODEL_FEATURES, outputCol="features", handleInvalid="keep")
-    tr_v, te_v = cut_lineage(asm.transform(tr)), cut_lineage(asm.transform(te))
-    rows, t = [], 0.9
-    for f in range(MODEL_FOLDS):
-        fit, val = tr_v.filter(F.col("fold") != f), tr_v.filter(F.col("fold") == f)
-        m1 = TR.gbt("y", 8, 4).fit(fit)
-        a1 = G.auc(TR._prob(m1.transform(val)), "score", "y").first()["auc"]
-        p = TR._prob(m1.transform(te_v))
-        ps = p.filter((F.col("score") > t) | (F.col("score") < 1 - t)).withColumn(
-            "y", (F.col("score") > 0.5).cast("int")).withColumn("fold", F.lit(-1)).select(*fit.columns)
-        a2 = None
-        if ps.limit(1).count() > 0:
-            m2 = TR.gbt("y", 8, 4).fit(fit.unionByName(ps))
-            a2 = G.auc(TR._prob(m2.transform(val)), "score", "y").first()["auc"]
-        keep = bool(a2 is not None and a2 > a1)
-        rows.append((f, float(a1), None if a2 is None else float(a2), keep, float(a2 if keep else a1)))
-    return spark.createDataFrame(rows, "fold int, auc_round1 double, auc_round2 double, keep_pseudo boolean, auc_kept double")
+    tr_v = cut_lineage(asm.transform(tr).select("id", "y", "fold", "features"), "refit-train")
+    te_v = cut_lineage(asm.transform(te).select("id", "features"), "refit-test")
+
+    def model(fit):
+        return TR.gbt("y", 6, 4, 0.3).fit(fit.select("y", "features"))
+
+    def oof(m, f):
+        return TR._prob(m.transform(tr_v.filter(F.col("fold") == f))).select("id", "y", "score")
+
+    def first(f):
+        m = model(tr_v.filter(F.col("fold") != f))
+        cut_lineage(oof(m, f), "refit-base").write.mode("overwrite").parquet(f"{path}/band=0/fold={f}")
+        return cut_lineage(TR._prob(m.transform(te_v)).select("id", "score"), "refit-test-scores")
+
+    path = scratch_path(spark, "refits")
+    tests = reduce(DataFrame.unionByName, TR.in_parallel([lambda f=f: first(f) for f in range(MODEL_FOLDS)], 3))
+    mean = tests.groupBy("id").agg(F.avg("score").alias("score"))
+    band = sum(((F.col("score") > t) | (F.col("score") < 1 - t)).cast("int") for t in REFIT_THRESHOLDS)
+    pseudo = cut_lineage(te_v.join(mean, "id").select("id", "features", (F.col("score") > 0.5).cast("int").alias("y"),
+                                                      band.alias("band")), "refit-pseudo")
+    n = {r["band"]: r["count"] for r in pseudo.groupBy("band").count().collect()}  # a row per band
+    total = sum(n.values())
+    size = {j: sum(v for b, v in n.items() if b >= j) for j in range(1, len(REFIT_THRESHOLDS) + 1)}
+
+    def again(j, f):
+        return oof(model(tr_v.filter(F.col("fold") != f).select("y", "features").unionByName(
+            pseudo.filter(F.col("band") >= j).select("y", "features"))), f)
+
+    jobs = {(j, f): (lambda j=j, f=f: again(j, f)) for j in size if size[j] for f in range(MODEL_FOLDS)}
+    scores = TR.scored_by(jobs, ("band", "fold"), path, spark, 4)
+    return scores, size, total
+
+
+@query("threshold_refits")
+def q_threshold_refits(spark, sf):
+    """Pseudo-label threshold sweep with refits: count and share of
+    pseudo rows, OOF AUC, and its gain over the fit without any; a threshold
+    that no row passes has no AUC."""
+    scores, size, total = _threshold_refits(spark, sf)
+    aucs = G.auc(scores, "score", "y", ["band"]).select("band", "auc")
+    sweep = spark.createDataFrame([(j, t, size[j], size[j] / total if total else None) for j, t in enumerate(REFIT_THRESHOLDS, 1)],
+                                  "j int, threshold double, n_pseudo long, pct_pseudo double")
+    base = aucs.filter("band = 0").select(F.col("auc").alias("base_auc"))  # one row
+    d = sweep.join(aucs, F.col("j") == F.col("band"), "left").crossJoin(F.broadcast(base))
+    return d.select("threshold", "n_pseudo", "pct_pseudo", F.col("auc").alias("oof_auc"), "base_auc",
+                    (F.col("auc") - F.col("base_auc")).alias("improvement"))
 
 
 @query("feature_importance")
@@ -1882,6 +2048,34 @@ def q_param_sweep(spark, sf):
                       R("auc").alias("oof_auc"))
 
 
+@query("param_sweep_fits")
+def q_param_sweep_fits(spark, sf):
+    """O3: the 20 configurations (smoothing x keep originals x feature set)
+    with a boosted model fitted for each and fold: every fold's encodings for
+    all smoothings are one stored table, whose columns a configuration picks;
+    the fits run four at a time.  OOF AUC per configuration."""
+    s = T.accounts_once(spark, sf, scores=True, columns=["id", "role", "pri", "tenure", "monthly", "y_sig", *[
+        c for c in TE_COLS if c != "pri_u"]]).withColumn("pri_u", T.unseen_category()).withColumn("y", F.col("y_sig"))
+    tr = cut_lineage(K.stratified_folds(s.filter(F.col("role") == "train"), MODEL_FOLDS, SEED), "sweep-train")
+    enc = E.encode_per_fold(tr, tr.limit(0), TE_COLS, MODEL_FOLDS, {f"m{m}": E.smoothed(m) for m in SWEEP_M},
+                            prefix_fmt="te_{stat}_{col}")
+    plain = ["tenure", "monthly"]
+    rows = cut_lineage(enc.drop("y").join(tr.select("id", "y", *plain), "id"), "sweep-encodings")
+
+    def one(m, keep, name, f):
+        features = [f"te_m{m}_{c}" for c in SWEEP_SETS[name]] + plain * keep
+        own = rows.filter(F.col("fold") == f)
+        model = TR._fit(own.filter(F.col("part") == "fit").select("y", *features), TR._stages(features, False),
+                        lambda: TR.gbt("y", 4, 3, 0.3), "y", None)
+        return TR._prob(model.transform(own.filter(F.col("part") == "valid"))).select("id", "y", "score")
+
+    jobs = {(m, keep, name, f): (lambda k=(m, keep, name, f): one(*k))
+            for m in SWEEP_M for keep in (0, 1) for name in SWEEP_SETS for f in range(MODEL_FOLDS)}
+    scores = TR.scored_by(jobs, ("m", "keep_original", "feature_set", "fold"), scratch_path(spark, "sweep"), spark, 4)
+    return G.auc(scores, "score", "y", ["m", "keep_original", "feature_set"]).select(
+        L("m").alias("m"), L("keep_original").alias("keep_original"), "feature_set", F.col("auc").alias("oof_auc"))
+
+
 @query("report_sink_roundtrip", REGISTRY["feature_group_strength"][1])
 def q_report_sink_roundtrip(spark, sf):
     """A small report table (best feature per group) written as one CSV

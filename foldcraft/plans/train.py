@@ -7,17 +7,28 @@ The driver loop is only over folds (k fits); every fit, every scoring and
 every AUC is a distributed job, and OOF assembly is a union of the
 per-fold scored validation rows keyed by id (L8), test scores averaged by
 one grouped aggregate (L9).
+
+Best iteration.  A boosted model's margin after i trees is the sum of its first
+i trees' leaf values, so one pass that notes every row's leaf per tree gives the
+margins of all iterations (``staged_margins``).  Exploded by iteration they are
+one grouped exact AUC; the best iteration follows from that table of folds x
+iterations rows, and the truncated model's scores are already there: choosing
+costs no second fit and no second scoring.
 """
 
 from __future__ import annotations
 
-from typing import Sequence
+import json
+import re
+from multiprocessing.pool import ThreadPool
+from typing import Callable, Sequence
 
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
+from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.rank import auc
@@ -134,3 +145,126 @@ def importances(train: DataFrame, features: Sequence[str], label: str, est: GBTC
     imp = model.featureImportances.toArray().tolist()
     return train.sparkSession.createDataFrame(list(zip(features, [float(v) for v in imp])),
                                               ["feature", "importance"])
+
+
+# ------------------------------------------------------------ best iteration
+
+def leaf_values(model: GBTClassificationModel) -> list[list[float]]:
+    """Per tree, its weight times the predictions of its leaves, left to right
+    (the order of leaf indices); of the size of the model."""
+    trees = re.split(r"Tree \d+ \(weight ([-+\d.Ee]+)\):", model.toDebugString)[1:]
+    return [[float(w) * float(v) for v in re.findall(r"Predict: (\S+)", text)] for w, text in zip(trees[::2], trees[1::2])]
+
+
+def staged_margins(model: GBTClassificationModel, rows: DataFrame, out: str = "margins") -> DataFrame:
+    """``rows`` (with the features' vector) and the array of the margins after
+    1, 2, ... trees."""
+    m = model.copy()
+    for unused in ("prediction", "probability", "rawPrediction"):
+        m.set(m.getParam(f"{unused}Col"), "")
+    leaves = vector_to_array(F.col("_leaf"))
+    values = F.from_json(F.lit(json.dumps(leaf_values(model))), "array<array<double>>")
+    each = F.transform(leaves, lambda leaf, i: F.get(F.get(values, i), leaf.cast("int")))
+    margins = F.aggregate(each, F.array().cast("array<double>"), lambda done, x: F.concat(
+        done, F.array(x + F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0.0)))))
+    return m.setLeafCol("_leaf").transform(rows).withColumn(out, margins).drop("_leaf")
+
+
+def margin_score(margin: Column) -> Column:
+    """MLlib's probability of class 1 from a boosted margin."""
+    return 1 / (1 + F.exp(-2 * margin))
+
+
+def truncated(model: GBTClassificationModel, n_trees: int) -> GBTClassificationModel:
+    """The model of the first ``n_trees`` trees."""
+    gateway, old = SparkContext._active_spark_context._gateway, model._java_obj.trees()
+    trees = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n_trees)
+    weights = gateway.new_array(gateway.jvm.double, n_trees)
+    for i in range(n_trees):
+        trees[i], weights[i] = old[i], float(model.treeWeights[i])
+    cut = gateway.jvm.org.apache.spark.ml.classification.GBTClassificationModel(f"{model.uid}_{n_trees}", trees, weights)
+    return GBTClassificationModel(cut).setFeaturesCol(model.getFeaturesCol())
+
+
+def staged_auc(staged: DataFrame, label: str, segments: Sequence[str], margins: str = "margins") -> DataFrame:
+    """(segments, iteration, auc): exact AUC of every iteration, in one job."""
+    long = staged.select(*segments, label, F.posexplode(margins).alias("i", "margin"))
+    return auc(long.withColumn("iteration", F.col("i") + 1), "margin", label, [*segments, "iteration"]).select(
+        *segments, "iteration", "auc")
+
+
+def best_iterations(aucs: DataFrame, segments: Sequence[str], patience: int | None = None) -> DataFrame:
+    """(segments, best_iteration, best_auc, stopped_at, last_auc) of a
+    table (segments, iteration, auc): training stops after ``patience``
+    iterations without a new best AUC, the earliest best one counts.  One row
+    per fold and iteration, so windows over a segment are small."""
+    segs = list(segments)
+    so_far = Window.partitionBy(*segs).orderBy("iteration").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    every = Window.partitionBy(*segs)
+    best = F.max(F.struct("auc", (-F.col("iteration")).alias("minus"))).over(so_far)
+    d = aucs.select(*segs, "iteration", "auc", best.alias("b")).select(
+        *segs, "iteration", "auc", F.col("b.auc").alias("top"), (-F.col("b.minus")).alias("at"))
+    wait = F.col("iteration") - F.col("at") >= (patience if patience is not None else 1 << 30)
+    d = d.withColumn("stop", F.coalesce(F.min(F.when(wait, F.col("iteration"))).over(every), F.max("iteration").over(every)))
+    last = F.max(F.when(F.col("iteration") == F.col("stop"), F.struct("at", "top", "auc")))
+    d = d.groupBy(*segs).agg(last.alias("x"), F.max("stop").alias("stopped_at"))
+    return d.select(*segs, F.col("x.at").alias("best_iteration"), F.col("x.top").alias("best_auc"), "stopped_at",
+                    F.col("x.auc").alias("last_auc"))
+
+
+def stopped_scores(parts: dict[int, tuple[DataFrame, DataFrame]], stages: list, make_estimator, label: str,
+                   patience: int | None, segment: str = "fold", parallelism: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Boosting with stopping on AUC.  ``parts``: segment -> (rows to fit,
+    rows to score (id, part, label, features...), of which part 'valid'
+    decides).  Returns (scores of the models truncated at their best
+    iteration: id, part, segment, score, label; report per segment)."""
+    def run(k: int) -> DataFrame:
+        fit_rows, score_rows = parts[k]
+        model = Pipeline(stages=[*stages, make_estimator()]).fit(fit_rows)
+        ready = score_rows
+        for stage in model.stages[:-1]:
+            ready = stage.transform(ready)
+        staged = staged_margins(model.stages[-1], ready)
+        return cut_lineage(staged.select("id", "part", F.lit(k).alias(segment), label, "margins"), "margins")
+
+    staged = None
+    for d in in_parallel([lambda k=k: run(k) for k in parts], parallelism):
+        staged = d if staged is None else staged.unionByName(d)
+    aucs = staged_auc(staged.filter(F.col("part") == "valid"), label, [segment])
+    report = cut_lineage(best_iterations(aucs, [segment], patience), "best-iterations")
+    best = report.select(F.col(segment).alias("_s"), "best_iteration")  # one row per segment
+    scores = staged.join(F.broadcast(best), F.col(segment) == F.col("_s")).select(
+        "id", "part", segment, margin_score(F.get("margins", F.col("best_iteration") - 1)).alias("score"), label)
+    return scores, report
+
+
+def in_parallel(jobs: Sequence[Callable], parallelism: int) -> list:
+    """Results of jobs that run ``parallelism`` at a time: while one fit
+    waits for its last tasks, another's fill the cluster."""
+    with ThreadPool(max(1, min(parallelism, len(jobs)))) as pool:
+        return pool.map(inheritable_thread_target(SparkSession.active())(lambda job: job()), list(jobs), chunksize=1)
+
+
+# ------------------------------------------------------- categories in trees
+
+def categorical_stages(categories: Sequence[str], numbers: Sequence[str]) -> list:
+    """Categories enter as nominal attributes (codes that trees split as
+    sets, not as numbers); a category that the fit rows don't have is one of
+    its own.  A column needs fewer levels than the estimator's maxBins."""
+    codes = [f"_code_{c}" for c in categories]
+    return [StringIndexer(inputCols=list(categories), outputCols=codes, stringOrderType="alphabetAsc", handleInvalid="keep"),
+            VectorAssembler(inputCols=[*codes, *numbers], outputCol="features", handleInvalid="keep")]
+
+
+# ------------------------------------------------------------- many models
+
+def scored_by(models: dict[tuple, Callable[[], DataFrame]], names: Sequence[str], path: str, spark, parallelism: int) -> DataFrame:
+    """Runs every model's job (fit, then rows (id, score, label...)) and
+    stores its scores under its own key; returns all rows with the keys as
+    columns.  The jobs run ``parallelism`` at a time."""
+    def run(key):
+        folder = "/".join(f"{n}={v}" for n, v in zip(names, key))
+        models[key]().write.mode("overwrite").parquet(f"{path}/{folder}")
+
+    in_parallel([lambda key=key: run(key) for key in models], parallelism)
+    return spark.read.option("basePath", path).parquet(path)

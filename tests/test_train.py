@@ -80,3 +80,82 @@ def test_fold_report(spark):
     rep = C.q_gbt_fold_report(spark, SF_SMALL).toPandas()
     assert sorted(rep.fold) == list(range(C.MODEL_FOLDS)) and (rep.model_size > 0).all() and (rep.auc > 0.55).all()
     assert auc(spark.createDataFrame([(0.2, 0), (0.8, 1)], "s double, y int"), "s", "y").first().auc == 1.0
+
+
+# best iteration, categories, sweeps with fits ------------------------------------
+
+def test_margins_of_all_iterations(spark):
+    """The last margin is the model's; each earlier one is the truncated model's."""
+    tr, te = C._model_frame(spark, SF_SMALL)
+    asm = TR.VectorAssembler(inputCols=C.MODEL_FEATURES, outputCol="features", handleInvalid="keep")
+    x = asm.transform(tr)
+    model = TR.gbt("y", 6, 4, 0.3).fit(x)
+    staged = TR.staged_margins(model, x.select("id", "features"))
+    assert staged.columns == ["id", "features", "margins"]
+    for n in (1, 3, 6):
+        cut = TR.truncated(model, n)
+        assert cut.getNumTrees == n
+        j = TR._prob(cut.transform(x)).select("id", "score").join(staged.select("id", TR.margin_score(F.col("margins")[n - 1]).alias("s")), "id")
+        assert j.filter(F.abs(F.col("score") - F.col("s")) > 1e-12).count() == 0
+    assert staged.filter(F.size("margins") != 6).count() == 0
+
+
+def test_best_iterations_by_hand(spark):
+    rows = [("a", i, v) for i, v in enumerate([.5, .7, .7, .6, .65, .9], 1)] + [("b", i, v) for i, v in enumerate([.9, .8], 1)]
+    d = spark.createDataFrame(rows, "k string, iteration int, auc double")
+
+    def best(patience):
+        return {r.k: tuple(r)[1:] for r in TR.best_iterations(d, ["k"], patience).collect()}
+
+    assert best(None) == {"a": (6, .9, 6, .9), "b": (1, .9, 2, .8)}
+    assert best(3) == {"a": (2, .7, 5, .65), "b": (1, .9, 2, .8)}
+    assert best(1) == {"a": (2, .7, 3, .7), "b": (1, .9, 2, .8)}
+
+
+def test_stopping_on_encoded_folds(spark, ids):
+    got = C.q_gbt_stopped_oof(spark, SF_SMALL).toPandas()
+    assert check_scores(got, ids, "score") > 0.58
+    rep = C.q_gbt_best_iteration(spark, SF_SMALL).toPandas()
+    assert len(rep) == 2 * C.MODEL_FOLDS and (rep.best_auc >= rep.last_auc).all()
+    assert ((1 <= rep.best_iteration) & (rep.best_iteration <= rep.stopped_at)).all()
+    assert (rep.stopped_at - rep.best_iteration <= C.PATIENCE).all()
+
+
+def test_categories_are_no_numbers(spark, ids):
+    scores, report = C._rebalanced_models(spark, SF_SMALL)
+    rep = report.toPandas()
+    assert sorted(rep.set_id) == [1, 2, 3, 4, 5] and (rep.best_auc > 0.6).all()
+    pdf = scores.toPandas()
+    test, valid = pdf[pdf.part == "test"], pdf[pdf.part == "valid"]
+    assert all(sorted(g.id) == sorted(ids["test"].id) for _, g in test.groupby("set_id")) and pdf.score.between(0, 1).all()
+    for s, g in valid.groupby("set_id"):  # scores are those of the best iteration
+        r, pos = g.score.rank().to_numpy(), g.y.sum()
+        a = (r[g.y == 1].sum() - pos * (pos + 1) / 2) / (pos * (len(g) - pos))
+        assert abs(a - rep.set_index("set_id").best_auc[s]) < 1e-9
+    mean = C.q_rebalanced_gbt(spark, SF_SMALL).toPandas()
+    assert sorted(mean.id) == sorted(ids["test"].id)
+    a = C.T.scored(spark, SF_SMALL).filter("role = 'train'")
+    ready = TR.Pipeline(stages=TR.categorical_stages(C.CAT_FEATURES, C.CAT_NUMBERS)).fit(a).transform(a)
+    attrs = ready.schema["features"].metadata["ml_attr"]["attrs"]
+    assert len(attrs["nominal"]) == len(C.CAT_FEATURES) and len(attrs["numeric"]) == len(C.CAT_NUMBERS)
+
+
+def test_kept_rounds_scores(spark, ids):
+    got = C.q_pseudo_gbt_scores(spark, SF_SMALL).toPandas()
+    assert check_scores(got, ids, "score") > 0.6
+    scores, by = C._pseudo_rounds(spark, SF_SMALL)
+    kept = {r.fold: 2 if r.keep_pseudo else 1 for r in by.collect()}
+    every = scores.filter("part = 'oof'").toPandas()
+    want = every[every["round"] == every.fold.map(kept)].set_index("id").score
+    assert np.allclose(got[got.part == "oof"].set_index("id").score.sort_index(), want.sort_index())
+
+
+def test_sweeps_with_fits(spark):
+    rep = C.q_threshold_refits(spark, SF_SMALL).toPandas().sort_values("threshold")
+    assert list(rep.threshold) == C.REFIT_THRESHOLDS and (np.diff(rep.n_pseudo) <= 0).all() and rep.n_pseudo.max() > 0
+    assert rep.oof_auc.isna().equals(rep.n_pseudo == 0) and (rep.base_auc > 0.6).all()
+    assert np.allclose((rep.oof_auc - rep.base_auc).dropna(), rep.improvement.dropna())
+    fits = C.q_param_sweep_fits(spark, SF_SMALL).toPandas()
+    assert len(fits.drop_duplicates(["m", "keep_original", "feature_set"])) == 20 == len(fits)
+    assert fits.oof_auc.between(0.5, 1).all()
+    assert fits[fits.keep_original == 1].oof_auc.mean() > fits[fits.keep_original == 0].oof_auc.mean()
