@@ -13,20 +13,22 @@ runs as one task over them: at most SAMPLE rows of at most BUCKETS counts.
 The model is BUCKETS x DIM numbers, whatever the corpus.
 
 Scoring reads every whole text once and moves nothing.  As the softmax of two
-classes depends on one dot product, each bucket comes down to one number; a
-worker adds up a word's buckets once and remembers a bounded number of words.
+classes depends on one dot product, each bucket comes down to one number.  A
+task holds CHARS characters of texts at a time (or one text): it hashes their
+distinct words once and forms all pairs and n-grams in arrays.
 
 Defined results: null and empty texts have no features and get the bias's
 score; a null doc_id has no label; several labels of one document count as
 good if any is; with no labelled rows, or only one class, training sees none
 or that class alone and scores are still between 0 and 1; repeated rows get
-equal scores; an empty table gives an empty result.
+equal scores; a column named like an added one is replaced; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import documents, text_of
+from .common import Numbers, documents, slices, spread, text_of
 
 BUCKETS = 1 << 16
 DIM = 16
@@ -46,8 +48,12 @@ EPOCHS = 5
 RATE = 0.5
 THRESHOLD = 0.7
 HELD_OUT = 2
-#: words whose sums a worker remembers
-REMEMBERED = 300_000
+#: characters and rows that are scored at a time
+CHARS, ROWS = 2 << 20, 2000
+U = np.uint64
+ODD = U(0x9E3779B97F4A7C15)
+#: the bucket of a word that stands twice in a row, whichever it is
+AGAIN = 0
 
 
 def held_out(doc_id: Column) -> Column:
@@ -55,41 +61,64 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == HELD_OUT, F.lit(False))
 
 
-def _bucket(data: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(data) % BUCKETS
-
-
-@lru_cache(50_000)
-def word_features(word: bytes) -> list[int]:
-    """Buckets of a word: itself and its character n-grams."""
-    marked = "<" + word.decode() + ">"
-    out = [_bucket(b"w" + word)]
-    for n in NGRAMS:
-        out += [_bucket(b"c" + marked[i:i + n].encode()) for i in range(len(marked) - n + 1)]
-    return out
-
-
-AGAIN = _bucket(b"2=")
-
-
-def bigram_feature(first: bytes, second: bytes) -> int:
-    return AGAIN if first == second else _bucket(b"2" + first + b" " + second)
+def _buckets(h: np.ndarray, kind: int) -> np.ndarray:
+    """Buckets of the hashes of one kind of feature."""
+    return (spread(h + U(kind * int(ODD) % (1 << 64))) % U(BUCKETS)).astype(np.int64)
+
+
+class Features:
+    """The features of some texts.  Every distinct word is hashed once;
+    neighbours and character n-grams mix hashes and code points in numpy.
+
+    ``word``, ``doc``: number of the word and of the text, per token;
+    ``pair``, ``pair_doc``: bucket and text of every two neighbours;
+    ``owner``, ``bucket``: number and bucket per feature of a distinct word."""
+
+    def __init__(self, texts: list[str]):
+        number = Numbers()
+        rows = [t.encode().split() for t in texts]
+        lengths = [len(r) for r in rows]
+        self.word = np.fromiter(map(number.__getitem__, chain.from_iterable(rows)), np.int64, sum(lengths))
+        self.doc = np.repeat(np.arange(len(texts)), lengths)
+        words = list(number)
+        self.n_words = len(words)
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), U, len(words))
+        inside = self.doc[1:] == self.doc[:-1] if len(self.doc) else np.zeros(0, bool)
+        first, second = self.word[:-1][inside], self.word[1:][inside]
+        self.pair_doc = self.doc[1:][inside]
+        self.pair = np.where(first == second, AGAIN, _buckets(hashes[first] * ODD ^ spread(hashes[second]), 2))
+        marked = [f"<{w.decode()}>" for w in words]
+        sizes = np.fromiter(map(len, marked), np.int64, len(words))
+        code = np.frombuffer("".join(marked).encode("utf-32-le"), "<u4").astype(U)
+        owner = np.repeat(np.arange(len(words)), sizes)
+        left = np.cumsum(sizes)[owner] - np.arange(len(code))  # code points of the word from here on
+        owners, buckets = [np.arange(len(words))], [_buckets(hashes, 1)]
+        for n in NGRAMS:
+            start = np.flatnonzero(left >= n)
+            h = np.zeros(len(start), U)
+            for k in range(n):
+                h = h * ODD + spread(code[start + k])
+            owners.append(owner[start])
+            buckets.append(_buckets(h, n))
+        self.owner, self.bucket = np.concatenate(owners), np.concatenate(buckets)
+
+    def counts(self) -> np.ndarray:
+        """How often each bucket occurs, over all texts."""
+        of_word = np.bincount(self.word, minlength=self.n_words)
+        return np.bincount(self.bucket, of_word[self.owner], BUCKETS) + np.bincount(self.pair, minlength=BUCKETS)
+
+    def means(self, weights: np.ndarray, n_texts: int) -> np.ndarray:
+        """The mean weight of every text's features, 0 without any."""
+        total = np.bincount(self.owner, weights[self.bucket], self.n_words)
+        many = np.bincount(self.owner, minlength=self.n_words)
+        total = np.bincount(self.doc, total[self.word], n_texts) + np.bincount(self.pair_doc, weights[self.pair], n_texts)
+        many = np.bincount(self.doc, many[self.word], n_texts) + np.bincount(self.pair_doc, minlength=n_texts)
+        return total / np.maximum(many, 1)
 
 
 def text_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, counts) of a text."""
-    words = text.encode().split()
-    counts: dict[bytes, int] = {}
-    for w in words:
-        counts[w] = counts.get(w, 0) + 1
-    every: list[int] = []
-    times: list[int] = []
-    for w, n in counts.items():
-        at = word_features(w)
-        every += at
-        times += [n] * len(at)
-    pairs = [bigram_feature(a, b) for a, b in zip(words, words[1:])]
-    total = np.bincount(every + pairs, times + [1] * len(pairs), BUCKETS) if words else np.zeros(BUCKETS)
+    total = Features([text]).counts()
     at = np.flatnonzero(total)
     return at.astype(np.int32), total[at].astype(np.int64)
 
@@ -170,51 +199,31 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(parts[0].reshape(BUCKETS, DIM), parts[1].reshape(DIM, 2), parts[2])
 
 
-class _WordSums(dict):
-    """word -> (sum of its buckets' weights, how many)."""
+def log_odds(texts: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
+    """The model's log odds of label 1 for every text."""
+    return Features(texts).means(weights, len(texts)) + bias
 
-    def __init__(self, weights: np.ndarray):
-        self.weights, self.numbers = weights, weights.tolist()
 
-    def __missing__(self, word: bytes):
-        if len(self) > REMEMBERED:
-            self.clear()
-        at = word_features.__wrapped__(word)
-        self[word] = out = (float(self.weights[at].sum()), len(at))
-        return out
-
-
-def log_odds(text: str, sums: _WordSums, bias: float) -> float:
-    """The model's log odds of label 1 for a text."""
-    words = text.encode().split()
-    if not words:
-        return bias
-    total = n = 0
-    for s, k in map(sums.__getitem__, words):
-        total += s
-        n += k
-    one = sums.numbers
-    for a, b in zip(words, words[1:]):
-        total += one[bigram_feature(a, b)]
-    return total / (n + len(words) - 1) + bias
-
-
-def predict(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with score and predicted (1 if the score reaches threshold)."""
+def predict(docs: DataFrame, model: Model, threshold: float = THRESHOLD, score: str = "score",
+            predicted: str = "predicted") -> DataFrame:
+    """``docs`` with the columns ``score`` and ``predicted`` (1 if the score
+    reaches threshold), in the place of columns of these names."""
     weights, bias = model.weights()
     shipped = docs.sparkSession.sparkContext.broadcast((weights.tolist(), bias))  # BUCKETS numbers
+    docs = docs.drop(score, predicted)
 
     def run(batches):
         numbers, bias = shipped.value
-        sums = _WordSums(np.array(numbers))
+        weights = np.array(numbers)
         for b in batches:
-            odds = np.array([log_odds(t or "", sums, bias) for t in b.column("text").to_pylist()], float)
-            score = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))],
-                names=[*b.schema.names, "score", "predicted"])
-
-    schema = docs.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
+            for part in slices(b, "text", CHARS, ROWS):
+                odds = log_odds([t or "" for t in part.column("text").to_pylist()], weights, bias)
+                p = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))],
+                    names=[*part.schema.names, score, predicted])
+
+    schema = docs.withColumns({score: F.lit(0.0), predicted: F.lit(0)}).schema
     return docs.mapInArrow(run, schema)
 
 
