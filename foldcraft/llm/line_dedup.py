@@ -129,6 +129,7 @@ def delete_later_copies(docs: DataFrame, min_lines: int = MIN_LINES, min_words:
     columns: a filter pushed down would compute them per line."""
     if min_lines < 1 or min_lines & (min_lines - 1):
         raise ValueError("min_lines must be a power of two")
+    docs = docs.drop("line_dedup")
     lines = cut_lineage(line_table(docs), "lines")
     gone = cut_lineage(later_copies(lines, min_lines, min_words), "line-copies").select(
         F.col("doc_id").alias("_g_doc"), F.col("tkey").alias("_g_key"), F.struct("gone", "longest").alias("_g"))
