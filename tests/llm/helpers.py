@@ -5,7 +5,8 @@ from __future__ import annotations
 import random
 
 #: columns whose names operators use themselves
-EXTRA = ("tkey", "part", "s", "w", "h", "size", "range", "label", "digest", "ids", "spans", "fp", "_row", "_text")
+EXTRA = ("tkey", "part", "s", "w", "h", "size", "range", "label", "digest", "ids", "spans", "fp", "_row", "_text",
+         "score", "predicted", "bytes", "line_dedup")
 
 
 def frame(spark, rows, extra: bool = True):

@@ -143,8 +143,9 @@ def test_bpe_like_the_library(spark):
     rows = awkward() + [(300 + i, t) for i, t in enumerate([
         "a" * 700, "ab" * 400 + " <|endoftext|> x", "日本語テキスト" * 30, "\U0001f600‍" * 50, "x" * 255, "y" * 257,
         "".join(r.choice("abcdeé \n") for _ in range(3000)), "".join(r.choice("etaoin") for _ in range(2000)), "it's we'LL\r\n "])]
-    d = frame(spark, rows, extra=False).select("doc_id", "text")
+    d = frame(spark, rows).select("doc_id", "text", F.lit("x").alias("ids_le"), F.lit("x").alias("ids"), F.lit("x").alias("bytes"))
     e = bpe.encode(d, path, pattern)
+    assert e.columns == ["doc_id", "bytes", "ids", "ids_le"]
     got = e.collect()
     assert all(bytes(x.ids_le) == np.array(x.ids, "<u4").tobytes() for x in got)
     got = sorted([(x.doc_id, tuple(x.ids)) for x in got], key=key)
@@ -152,6 +153,38 @@ def test_bpe_like_the_library(spark):
     back = sorted([(x.doc_id, bytes(x.bytes)) for x in bpe.decode(e, path, pattern).collect()], key=key)
     assert back == sorted([(i, (t or "").encode()) for i, t in rows], key=key)
     assert bpe.decode(bpe.encode(d.limit(0), path, pattern), path, pattern).collect() == []
+    both = bpe.encode(d, path, pattern, packed=None, data="bytes")
+    assert both.columns == ["doc_id", "ids_le", "ids", "bytes"]
+    assert sorted([(x.doc_id, tuple(x.ids), bytes(x.bytes)) for x in both.collect()], key=key) == sorted(
+        [(i, tuple(library.encode_ordinary(t or "")), (t or "").encode()) for i, t in rows], key=key)
+
+
+def test_bpe_query_digests(spark, monkeypatch):
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(f.read()), special_tokens={})
+    rows = awkward()
+    monkeypatch.setattr(bpe, "documents", lambda spark, sf_dir: frame(spark, rows))
+    got = sorted(map(tuple, bpe.op5_bpe(spark, "").collect()), key=key)
+    want = []
+    for i, t in rows:
+        ids = library.encode_ordinary(t or "")
+        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert got == sorted(want, key=key)
+
+
+def test_long_pieces_by_both_ways():
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        codec = bpe.Codec(f.read(), public_tokenizers.PATTERN)
+    r = random.Random(3)
+    pieces = ["".join(r.choice("etaoin") for _ in range(n)) for n in (5, 255, 256, 257, 900)] + ["=" * 3000, "日本" * 400]
+    codec.learn(set(pieces))
+    for p in pieces:
+        assert codec.known[p] == np.array(bpe.contract(p.encode(), codec.ranks), "<u4").tobytes()
 
 
 # mixing ------------------------------------------------------------------
@@ -209,7 +242,8 @@ def test_mixed_documents(spark):
 
 def test_mix_of_nothing(spark):
     assert mixing.mix_report(frame(spark, [])).collect() == []
-    assert [tuple(r) for r in mixing.mix_report(frame(spark, [(1, None), (2, "")])).collect()] == [(1, 0, 0, 0.0, 0), (2, 0, 0, 0.0, 0)]
+    got = mixing.mix_report(frame(spark, [(1, None), (2, "")])).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 0, 0, 0.0, 0), (2, 0, 0, 0.0, 0)]
 
 
 # quality -----------------------------------------------------------------
@@ -244,20 +278,94 @@ def test_classifier_on_awkward_rows(spark):
     none = quality_model.fit(d, spark.createDataFrame([], "doc_id bigint, label int"))
     one = quality_model.fit(d, spark.createDataFrame([(1, 1), (1, 0), (2, 1), (None, 0), (3, None)], "doc_id bigint, label int"))
     for model in (none, one):
-        got = quality_model.predict(d, model).collect()
+        got = quality_model.predict(d, model)
+        assert sorted(got.columns) == sorted(d.columns)  # two of them are replaced
+        got = got.collect()
         assert len(got) == len(awkward()) and all(0 <= r.score <= 1 for r in got)
     assert quality_model.predict(frame(spark, []), none).collect() == []
 
 
+MASK = (1 << 64) - 1
+ODD = 0x9E3779B97F4A7C15
+
+
+def mixed(x):
+    for _ in range(2):
+        x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 & MASK
+    return x ^ x >> 32
+
+
+def brute_features(text):
+    """Buckets of a text's words, character n-grams and neighbours."""
+    def bucket(x, kind):
+        return mixed(x + kind * ODD & MASK) % quality_model.BUCKETS
+
+    out, seq = Counter(), [w.encode() for w in words(text)]
+    for w in seq:
+        out[bucket(xxhash.xxh3_64_intdigest(w), 1)] += 1
+        marked = f"<{w.decode()}>"
+        for n in quality_model.NGRAMS:
+            for i in range(len(marked) - n + 1):
+                x = 0
+                for c in marked[i:i + n]:
+                    x = (x * ODD + mixed(ord(c))) & MASK
+                out[bucket(x, n)] += 1
+    for a, b in zip(seq, seq[1:]):
+        x = xxhash.xxh3_64_intdigest(a) * ODD & MASK ^ mixed(xxhash.xxh3_64_intdigest(b))
+        out[quality_model.AGAIN if a == b else bucket(x, 2)] += 1
+    return out
+
+
+def test_features_like_brute_force():
+    for _, text in awkward(4):
+        at, n = quality_model.text_features(text or "")
+        assert dict(zip(at.tolist(), n.tolist())) == dict(brute_features(text))
+
+
+def test_training_like_brute_force(monkeypatch):
+    """The same descent with plain numbers, document by document."""
+    monkeypatch.setattr(quality_model, "BUCKETS", 64)
+    monkeypatch.setattr(quality_model, "DIM", 3)
+    texts = [t or "" for _, t in awkward(4)][:12]
+    labels = [i % 2 for i in range(len(texts))]
+    features = [quality_model.text_features(t) for t in texts]
+    got = quality_model.train(features, np.array(labels), epochs=2, rate=0.4, seed=5)
+    rng = np.random.default_rng(5)
+    vectors = rng.uniform(-1 / 3, 1 / 3, (64, 3)).tolist()
+    layer, bias, done = [[0.0, 0.0] for _ in range(3)], [0.0, 0.0], 0
+    for _ in range(2):
+        for i in rng.permutation(len(texts)):
+            now = 0.4 * (1 - done / (2 * len(texts)))
+            done += 1
+            at, n = (x.tolist() for x in features[i])
+            share = [x / max(1, sum(n)) for x in n]
+            mean = [sum(s * vectors[b][d] for s, b in zip(share, at)) for d in range(3)]
+            z = [sum(mean[d] * layer[d][k] for d in range(3)) + bias[k] for k in (0, 1)]
+            p = [math.exp(z[k]) / (math.exp(z[0]) + math.exp(z[1])) - (k == labels[i]) for k in (0, 1)]
+            back = [layer[d][0] * p[0] + layer[d][1] * p[1] for d in range(3)]
+            for d in range(3):
+                for k in (0, 1):
+                    layer[d][k] -= now * mean[d] * p[k]
+            bias = [bias[k] - now * p[k] for k in (0, 1)]
+            scale = max(1e-9, sum(s * s for s in share))
+            for s, b in zip(share, at):
+                for d in range(3):
+                    vectors[b][d] -= now * s / scale * back[d]
+    assert np.allclose(got.vectors, vectors) and np.allclose(got.layer, layer) and np.allclose(got.bias, bias)
+
+
 def test_scores_are_those_of_the_averaged_vectors():
     r = np.random.default_rng(0)
     model = quality_model.Model(r.normal(size=(quality_model.BUCKETS, quality_model.DIM)), r.normal(size=(quality_model.DIM, 2)), r.normal(size=2))
     w, bias = model.weights()
-    for text in ("a", "one two two three", "éa " * 50, ""):
-        at, n = quality_model.text_features(text)
-        mean = (model.vectors[at] * (n / max(1, n.sum()))[:, None]).sum(0)
+    texts = ["a", "", "one two two three", "éa " * 50, "", *[t or "" for _, t in awkward()]]
+    got = quality_model.log_odds(texts, w, bias)
+    for text, odds in zip(texts, got):
+        n = brute_features(text)
+        mean = sum((model.vectors[b] * k for b, k in n.items()), np.zeros(quality_model.DIM)) / max(1, sum(n.values()))
         z = mean @ model.layer + model.bias
-        assert math.isclose(quality_model.log_odds(text, quality_model._WordSums(w), bias), z[1] - z[0], rel_tol=1e-9)
+        assert math.isclose(odds, z[1] - z[0], rel_tol=1e-9)
+    assert quality_model.log_odds([], w, bias).tolist() == []
 
 
 def signed_hash(*parts):
@@ -437,8 +545,12 @@ def test_pipeline_on_awkward_rows(spark):
 
     for rows in (awkward(), []):
         docs = frame(spark, rows)
-        for name, stage in p.STAGES[1:]:
+        for name, stage in p.STAGES:
             out = stage(spark, docs, SMALL)
+            if name == "quality_classifier":  # rejects what it likes; the other stages get all rows
+                assert out.columns == list(p.COLUMNS)
+                assert {(r.doc_id, r.text) for r in out.collect()} <= set(rows)
+                continue
             if name != "bpe":
                 assert out.columns == list(p.COLUMNS)
                 path = scratch_path(spark, name)
