@@ -68,8 +68,8 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     d = docs.select("doc_id", "source", text_of(F.col("text")).alias("text"))
-    d = bpe.encode(d.withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256)), path, pattern)
-    d = bpe.decode(d.drop("ids_le"), path, pattern, keep_ids=True)
+    d = d.withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256))
+    d = bpe.encode(d, path, pattern, packed=None, data="bytes")
     return d.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
                     (F.sha2("bytes", 256) == F.col("text_sha256")).alias("round_trip"))
 
