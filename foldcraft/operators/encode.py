@@ -21,6 +21,9 @@ from __future__ import annotations
 from itertools import combinations
 from typing import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.feature import StringIndexer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -294,16 +297,155 @@ def logit_powers(c: Column, eps: float = 1e-5) -> list[Column]:
     return [z, z * z, z * z * z]
 
 
-def one_hot(train: DataFrame, rows: DataFrame, cols: Sequence[str],
-            prefix_sep: str = "_") -> DataFrame:
+#: cells (fit sets x pairs x code pairs) whose encodings are held by every
+#: task as arrays: 24 bytes each
+MAX_CELLS = 4_000_000
+
+
+def pair_logits(train: DataFrame, test: DataFrame, cols: Sequence[str], k_outer: int, k_inner: int, m: float = 20,
+                seed: int = 42, label: str = "y", null_text: str = "nan", max_cells: int = MAX_CELLS) -> tuple[DataFrame, list[str]]:
+    """I8 (+ E14, D12, D13): every pair of ``cols`` as one category, nested
+    out-of-fold encoding smoothed by ``m``, its logit z, z^2 and z^3,
+    standardised by mean and population deviation over each outer fold's
+    training rows.  Returns (ofold, id, part, z1_a___b, z2_.., z3_..) and the
+    names.
+
+    * Levels are coded per column, a pair is the number code_a * n_b + code_b
+      (its cell); one aggregate counts (n, s) per (outer, inner, pair, cell).
+    * Encodings, powers, and their moments follow from that table: a training
+      row's value depends on its cell and inner fold alone, so the mean over
+      rows is a mean over cells weighted by n.  The rows are read twice, to
+      count and to look up; nothing row-sized is stored beyond the folds.
+    * The standardised cells (at most ``max_cells``) go to every task as
+      arrays, and a row takes its values by index: no join per pair and no
+      shuffle.  With more cells, the cells are joined instead: rows unfold
+      to (row, pair), meet the stored table once and fold up again.
+    """
+    names = [f"{a}___{b}" for a, b in combinations(cols, 2)]
+    out = [f"z{p}_{n}" for n in names for p in (1, 2, 3)]
+    text = [F.coalesce(F.col(c).cast("string"), F.lit(null_text)).alias(c) for c in cols]
+    train = train.select("id", label, "fold", *text)
+    rows = nested_folds(train, k_outer, k_inner, seed, label, keep_own=True)
+    rows = cut_lineage(rows.select("id", F.col(label).cast("double").alias("_y"), "ofold", "ifold", *cols), "nested")
+    # levels of the training rows; unseen ones get a code of their own
+    known = rows.filter((F.col("ofold") == 0))
+    codes = [f"_k{i}" for i in range(len(cols))]
+    sizes_of = known.agg(*[F.count_distinct(c).alias(c) for c in cols]).first()  # one row
+    sizes = [sizes_of[c] + 1 for c in cols]
+    pairs = list(combinations(range(len(cols)), 2))
+    starts, n_cells = [], 0
+    for a, b in pairs:
+        starts.append(n_cells)
+        n_cells += sizes[a] * sizes[b]
+    n_sets = k_outer * (k_inner + 1)
+    outers = train.sparkSession.createDataFrame([(i,) for i in range(k_outer)], ["ofold"])
+    test = test.select("id", *text).crossJoin(F.broadcast(outers)).withColumn("ifold", F.lit(-1))  # k_outer rows
+    part = F.when(F.col("ifold") >= 0, "fit").otherwise("valid")
+    every = rows.withColumn("part", part).unionByName(test.withColumn("part", F.lit("test")), allowMissingColumns=True)
+    indexer = StringIndexer(inputCols=list(cols), outputCols=codes, stringOrderType="alphabetAsc", handleInvalid="keep").fit(known)
+
+    def cells(d: DataFrame) -> Column:
+        """A row's cell of every pair, counted through."""
+        return F.array(*[(F.col(codes[a]) * sizes[b] + F.col(codes[b]) + s).cast("int") for (a, b), s in zip(pairs, starts)])
+
+    fit_rows = indexer.transform(rows.filter("ifold >= 0"))
+    st = fit_rows.select("ofold", "ifold", "_y", F.explode(cells(fit_rows)).alias("cell")).groupBy("ofold", "ifold", "cell").agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.sum("_y").alias("s"))
+    st = cut_lineage(st, "pair-counts")
+    total = st.groupBy("ofold", "cell").agg(F.sum("n").alias("tn"), F.sum("s").alias("ts"))
+    inner = st.join(total, ["ofold", "cell"]).select("ofold", "ifold", "cell", "n", (F.col("tn") - F.col("n")).alias("fn"),
+                                                     (F.col("ts") - F.col("s")).alias("fs"))
+    # inner folds without a row in the cell: the fit set has the whole of it
+    folds = train.sparkSession.createDataFrame([(i,) for i in range(-1, k_inner)], ["ifold"])
+    grid = total.crossJoin(F.broadcast(folds))  # k_inner + 1 rows
+    prior = rows.filter("ifold >= 0").groupBy(F.col("ofold").alias("p_ofold")).agg(
+        F.avg("_y").alias("prior"), F.count(F.lit(1)).cast("double").alias("rows"))
+    own = inner.select(*[F.col(c).alias(f"o_{c}") for c in inner.columns])
+    t = grid.join(own, (F.col("ofold") == F.col("o_ofold")) & (F.col("ifold") == F.col("o_ifold")) & (F.col("cell") == F.col("o_cell")), "left")
+    t = t.join(F.broadcast(prior), F.col("ofold") == F.col("p_ofold"))  # a row per outer fold
+    enc = (F.coalesce("o_fs", "ts") + F.lit(float(m)) * F.col("prior")) / (F.coalesce("o_fn", "tn") + F.lit(float(m)))
+    z = [x.alias(f"z{p}") for p, x in enumerate(logit_powers(enc), 1)]
+    at = F.array_max(F.filter(F.array(*[F.lit(s) for s in starts]), lambda x: x <= F.col("cell")))
+    t = cut_lineage(t.select("ofold", "ifold", "cell", at.alias("start"), F.coalesce("o_n", F.lit(0.0)).alias("n"), "rows", "prior", *z), "pair-cells")
+    mean = t.groupBy("ofold", "start").agg(*[(F.sum(F.col("n") * F.col(f"z{p}")) / F.max("rows")).alias(f"mu{p}") for p in (1, 2, 3)])
+    mean = mean.select(F.col("ofold").alias("m_ofold"), F.col("start").alias("m_start"), "mu1", "mu2", "mu3")
+    joined = t.join(mean, (F.col("ofold") == F.col("m_ofold")) & (F.col("start") == F.col("m_start")))
+    dev = joined.groupBy("ofold", "start").agg(*[F.sqrt(F.sum(F.col("n") * (F.col(f"z{p}") - F.col(f"mu{p}")) ** 2) / F.max("rows"))
+                                                 .alias(f"d{p}") for p in (1, 2, 3)],
+                                               *[F.max(f"mu{p}").alias(f"mu{p}") for p in (1, 2, 3)], F.max("prior").alias("prior"))
+    scale = {p: F.when(F.col(f"d{p}") == 0, F.lit(1.0)).otherwise(F.col(f"d{p}")) for p in (1, 2, 3)}
+    dev = cut_lineage(dev.select("ofold", "start", *[F.col(f"mu{p}") for p in (1, 2, 3)], *[scale[p].alias(f"d{p}") for p in (1, 2, 3)],
+                                 *[x.alias(f"u{p}") for p, x in enumerate(logit_powers(F.col("prior")), 1)]), "pair-moments")
+    by = dev.select(F.col("ofold").alias("m_ofold"), F.col("start").alias("m_start"), "mu1", "mu2", "mu3", "d1", "d2", "d3")
+    std = t.join(F.broadcast(by), (F.col("ofold") == F.col("m_ofold")) & (F.col("start") == F.col("m_start"))).select(  # pairs x k_outer rows
+        "ofold", "ifold", "cell", "start", *[((F.col(f"z{p}") - F.col(f"mu{p}")) / F.col(f"d{p}")).alias(f"z{p}") for p in (1, 2, 3)])
+    # a cell that the outer fold's training rows don't have: the prior
+    unseen = dev.select("ofold", "start", *[((F.col(f"u{p}") - F.col(f"mu{p}")) / F.col(f"d{p}")).alias(f"z{p}") for p in (1, 2, 3)])
+    coded = indexer.transform(every)
+    coded = coded.select("ofold", "ifold", "id", "part", cells(coded).alias("cells"))
+    if n_cells * n_sets > max_cells:
+        return _pairs_by_join(coded, std, unseen, starts, names).select("ofold", "id", "part", *out), out
+    return _pairs_by_index(coded, std, unseen, starts, n_cells, k_inner, n_sets, out), out
+
+
+def _pairs_by_index(coded: DataFrame, std: DataFrame, unseen: DataFrame, starts: list[int], n_cells: int, k_inner: int,
+                    n_sets: int, out: list[str]) -> DataFrame:
+    """Looks rows' cells up in arrays that every task holds."""
+    values = np.empty((n_sets, n_cells, 3))
+    place = {s: i for i, s in enumerate(starts)}
+    ends = [*starts[1:], n_cells]
+    for r in unseen.toPandas().itertuples():  # a row per outer fold and pair
+        i = place[r.start]
+        values[r.ofold * (k_inner + 1):(r.ofold + 1) * (k_inner + 1), starts[i]:ends[i]] = (r.z1, r.z2, r.z3)
+    cells = std.select("ofold", "ifold", "cell", "z1", "z2", "z3").toPandas()  # at most MAX_CELLS rows
+    values[cells.ofold * (k_inner + 1) + cells.ifold + 1, cells.cell] = cells[["z1", "z2", "z3"]]
+    shipped = coded.sparkSession.sparkContext.broadcast(values)
+
+    def look_up(batches):
+        table = shipped.value
+        for b in batches:
+            sets = b.column("ofold").to_numpy().astype(np.int64) * (k_inner + 1) + b.column("ifold").to_numpy() + 1
+            at = b.column("cells").flatten().to_numpy().reshape(b.num_rows, len(starts))
+            found = table[sets[:, None], at].reshape(b.num_rows, 3 * len(starts))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("ofold", "id", "part")), *(pa.array(x) for x in found.T.copy())],
+                                             names=["ofold", "id", "part", *out])
+
+    schema = coded.select("ofold", "id", "part").schema
+    for name in out:
+        schema = schema.add(name, "double")
+    return coded.mapInArrow(look_up, schema)
+
+
+def _pairs_by_join(coded: DataFrame, std: DataFrame, unseen: DataFrame, starts: list[int], names: list[str]) -> DataFrame:
+    """Joins the cells of all pairs in one go."""
+    std = cut_lineage(std.drop("start"), "pair-values").toDF("v_ofold", "v_ifold", "v_cell", "z1", "z2", "z3")
+    long = coded.select("ofold", "ifold", "id", "part", F.posexplode("cells").alias("pair", "cell"))
+    j = long.join(std, (F.col("ofold") == F.col("v_ofold")) & (F.col("ifold") == F.col("v_ifold")) & (F.col("cell") == F.col("v_cell")), "left")
+    number = F.array(*[F.lit(s) for s in starts])
+    no = unseen.select(F.col("ofold").alias("n_ofold"), (F.array_position(number, F.col("start")) - 1).cast("int").alias("n_pair"),
+                       *[F.col(f"z{p}").alias(f"n{p}") for p in (1, 2, 3)])
+    j = j.join(F.broadcast(no), (F.col("ofold") == F.col("n_ofold")) & (F.col("pair") == F.col("n_pair")))  # k_outer x pairs rows
+    return j.groupBy("ofold", "ifold", "id", "part").agg(*[
+        F.max(F.when(F.col("pair") == i, F.coalesce(f"z{p}", f"n{p}"))).alias(f"z{p}_{n}") for i, n in enumerate(names) for p in (1, 2, 3)])
+
+
+#: levels per column that one-hot columns are made for, without a list given
+MAX_LEVELS = 1000
+
+
+def one_hot(train: DataFrame, rows: DataFrame, cols: Sequence[str], prefix_sep: str = "_",
+            levels: dict[str, Sequence[str]] | None = None, max_levels: int = MAX_LEVELS) -> DataFrame:
     """0/1 columns for the sorted train levels without the first;
-    unseen levels get all zeros.  Level lists (category metadata, bounded
-    by cardinality) are needed to name the columns."""
-    lv = unpivot(train, cols, []).distinct().collect()
-    levels: dict[str, list[str]] = {c: [] for c in cols}
-    for r in lv:
-        if r["value"] is not None:
-            levels[r["col"]].append(r["value"])
+    unseen levels get all zeros.  The ``levels`` name the columns; without
+    them they are read from ``train``, at most ``max_levels`` a column (more
+    are an error, none is left out)."""
+    if levels is None:
+        counts = train.agg(*[F.count_distinct(c).alias(c) for c in cols]).first()  # one row
+        for c in cols:
+            if counts[c] > max_levels:
+                raise ValueError(f"{c} has {counts[c]} levels, more than {max_levels}: name those wanted")
+        found = unpivot(train, cols, []).distinct().filter("value is not null").collect()  # bounded by max_levels
+        levels = {c: [r["value"] for r in found if r["col"] == c] for c in cols}
     exprs = []
     for c in cols:
         for v in sorted(levels[c])[1:]:

@@ -102,7 +102,8 @@ def rebalanced_sets(df: DataFrame, parts: int = 5, per_other_part: float = 20000
     part + all minority rows.
 
     The sample is an exact top-n per (set, part) computed with the bucketed
-    row number, not a window over a whole part.  Output (set_id, id, part).
+    row number: only buckets with sampled rows are shuffled.  Output (set_id,
+    id, part).
     """
     counts = df.groupBy(label).count()
     # majority label: a 2-row aggregate
@@ -120,9 +121,11 @@ def rebalanced_sets(df: DataFrame, parts: int = 5, per_other_part: float = 20000
     other = ex.filter(F.col("part") != F.col("set_id"))
     key = seeded_key(F.concat_ws(":", F.lit(str(seed)), F.col("set_id").cast("string"),
                                  F.col("part").cast("string")), id_col)
-    ranked = row_number_by_hash(other, key, ["set_id", "part"], out="_rn", tiebreak=id_col)
-    wanted = F.lit(per_other_part) if per_other_part >= 1 else F.ceil(F.col("_rn_n") * F.lit(float(per_other_part)))
-    sampled = ranked.filter(F.col("_rn") < wanted).drop("_rn", "_rn_n")
+
+    def wanted(n):
+        return F.lit(per_other_part) if per_other_part >= 1 else F.ceil(n * F.lit(float(per_other_part)))
+
+    sampled = row_number_by_hash(other, key, ["set_id", "part"], out="_rn", tiebreak=id_col, wanted=wanted).drop("_rn", "_rn_n")
     pos = minor.withColumn("set_id", sets).withColumn("part", F.lit(0))
     cols = ["set_id", id_col, "part"]
     return own.select(*cols).unionByName(sampled.select(*cols)).unionByName(pos.select(*cols))

@@ -21,7 +21,7 @@ executor or an AQE re-plan yields the same buckets.
 from __future__ import annotations
 
 import math
-from typing import Sequence
+from typing import Callable, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -182,12 +182,15 @@ def running_counts(hist: DataFrame, value: str, counts: Sequence[str],
 
 def row_number_by_hash(df: DataFrame, key: Column, segments: Sequence[str] = (),
                        out: str = "rn", hex_digits: int = DEFAULT_HEX_DIGITS,
-                       tiebreak: str | None = None, required: str | None = None) -> DataFrame:
+                       tiebreak: str | None = None, required: str | None = None,
+                       wanted: Callable[[Column], Column] | None = None) -> DataFrame:
     """0-based row number ordered by an md5 hex ``key`` inside ``segments``,
     plus ``<out>_n`` = segment size.  Equals
     ``row_number() over (partition by segments order by key) - 1``; nulls of
     a segment column form a segment, or are an error that gives their number
-    if the column is ``required``."""
+    if the column is ``required``.  ``wanted`` (segment size -> count) keeps
+    the first so many rows of each segment: buckets that begin behind them are
+    dropped before the numbering, so they are not shuffled."""
     segments = list(segments)
     b = df.withColumn("_key", key).withColumn("_bkt", hash_bucket(F.col("_key"), hex_digits))
     offs = _offsets(b, segments, {"r": F.count(F.lit(1))}, "_bkt")
@@ -197,9 +200,27 @@ def row_number_by_hash(df: DataFrame, key: Column, segments: Sequence[str] = (),
     order = [F.col("_key")] + ([F.col(tiebreak)] if tiebreak else [])
     w = Window.partitionBy(*segments, "_bkt").orderBy(*order)
     j = _with_offsets(b, offs, segments)
-    return j.select(*df.columns,
-                    (F.row_number().over(w) - 1 + F.col("_off_r")).cast("long").alias(out),
-                    F.col("_tot_r").cast("long").alias(f"{out}_n"))
+    if wanted is not None:
+        j = j.filter(F.col("_off_r") < wanted(F.col("_tot_r")))
+    j = j.select(*df.columns,
+                 (F.row_number().over(w) - 1 + F.col("_off_r")).cast("long").alias(out),
+                 F.col("_tot_r").cast("long").alias(f"{out}_n"))
+    return j if wanted is None else j.filter(F.col(out) < wanted(F.col(f"{out}_n")))
+
+
+def row_number_in_order(df: DataFrame, segment: str, order: Sequence[str], out: str = "rn") -> DataFrame:
+    """0-based row number inside ``segment`` by columns of any type (strings
+    have no literal boundaries), nulls first, plus ``<out>_n`` = segment size.
+
+    Rows are cut into ranges of (segment, order), stored, and numbered inside
+    them; a range's offset comes from the counts, of which there is at most
+    one per range and segment more.  ``df`` is read twice: store it first."""
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = cut_lineage(df.repartitionByRange(ranges, segment, *order).withColumn("_bkt", F.spark_partition_id()), "ranges")
+    offs = _offsets(d, [segment], {"r": F.count(F.lit(1))}, "_bkt")
+    place = F.row_number().over(Window.partitionBy(segment, "_bkt").orderBy(*order)) - 1
+    j = _with_offsets(d.withColumn("_place", place), offs, [segment])
+    return j.select(*df.columns, (F.col("_off_r") + F.col("_place")).alias(out), F.col("_tot_r").alias(f"{out}_n"))
 
 
 def row_number_by_value(df: DataFrame, order_col: str, segments: Sequence[str] = (),

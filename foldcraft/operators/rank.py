@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .prefix import running_counts, values_at_quantiles
+from .prefix import row_number_in_order, running_counts, values_at_quantiles
 
 
 def unpivot_numeric(df: DataFrame, cols: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -107,16 +107,14 @@ def reference_rank(rows: DataFrame, ref: DataFrame, cols: Sequence[str],
 def sorted_codes(fit: DataFrame, rows: DataFrame, cols: Sequence[str],
                  out_fmt: str = "code_{col}") -> DataFrame:
     """G2r: code = position of the value among the sorted distinct values
-    of ``fit``; null (or a value absent from ``fit``) -> -1."""
+    of ``fit``; null (or a value absent from ``fit``) -> -1.  The distinct
+    strings are numbered in ranges, so a column with as many values as rows
+    is many tasks."""
     long = fit.select(*[F.col(c).cast("string").alias(c) for c in cols])
     arr = F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("value")) for c in cols])
     d = long.select(F.explode(arr).alias("kv")).select("kv.col", "kv.value").filter(
         F.col("value").isNotNull()).distinct()
-    # distinct strings: order by the value itself inside its column; the
-    # distinct table is bounded by cardinality, numbered per column
-    from pyspark.sql import Window
-    w = Window.partitionBy("col").orderBy("value")
-    codes = d.select("col", "value", (F.row_number().over(w) - 1).alias("code"))
+    codes = cut_lineage(row_number_in_order(cut_lineage(d, "dictionary"), "col", ["value"], "code"), "codes")
     out = rows
     for c in cols:
         t = codes.filter(F.col("col") == c).select(F.col("value").alias("_v"),
@@ -164,6 +162,19 @@ def auc(df: DataFrame, score: str, label: str, segments: Sequence[str] = (),
             .groupBy(*segs, "_s")
             .agg(F.sum(F.when(F.col("_y") == 1, F.col("_w")).otherwise(0.0)).alias("pos"),
                  F.sum(F.when(F.col("_y") == 1, 0.0).otherwise(F.col("_w"))).alias("neg")))
+    return _auc_of_histogram(hist, segs)
+
+
+def auc_of_counts(counts: DataFrame, score: str, pos: str, neg: str, segments: Sequence[str] = ()) -> DataFrame:
+    """N1 from rows (segments, score, positives, negatives): for scores that
+    are functions of a value, computed once per value."""
+    segs = list(segments)
+    hist = counts.select(*segs, number_key(F.col(score).cast("double")).alias("_s"), pos, neg).filter(F.col("_s").isNotNull())
+    return _auc_of_histogram(hist.groupBy(*segs, "_s").agg(
+        F.sum(F.col(pos).cast("double")).alias("pos"), F.sum(F.col(neg).cast("double")).alias("neg")), segs)
+
+
+def _auc_of_histogram(hist: DataFrame, segs: list[str]) -> DataFrame:
     rc = running_counts(hist, "_s", ["neg"], segs)
     agg = rc.groupBy(*segs).agg(
         F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0)).alias("_num"),

@@ -430,18 +430,53 @@ def q_te_pairs_logit(spark, sf):
     encoding with m=20, logit and its square / cube, then standardised with
     mean / population std fitted on each outer fold's training rows."""
     tr, te = _train_folds(spark, sf, crosses=True)
-    enc = E.encode_nested(tr, te, PAIR_COLS, K_OUTER, K_INNER, {"te": E.smoothed(20)}, SEED)
-    zcols = []
-    for c in PAIR_COLS:
-        z1, z2, z3 = E.logit_powers(F.col(f"te_{c}"))
-        zcols += [z1.alias(f"z1_{c}"), z2.alias(f"z2_{c}"), z3.alias(f"z3_{c}")]
-    # z feeds the fit-row statistics and the final projection: materialise
-    # it once instead of running the 15-join chain twice
-    z = cut_lineage(enc.select("ofold", "id", "part", *zcols), "pairs_z")
-    names = [f"z{p}_{c}" for c in PAIR_COLS for p in (1, 2, 3)]
-    std = ST.standardize(z, names, "ofold", F.col("part") == "fit")
-    # rounding reads the standardised columns by name, so each is computed once
-    return std.select(L("ofold").alias("ofold"), L("id").alias("id"), "part", *[R(n).alias(n) for n in names])
+    z, names = E.pair_logits(tr, te, PAIR_BASE, K_OUTER, K_INNER, 20, SEED)
+    return z.select(L("ofold").alias("ofold"), L("id").alias("id"), "part", *[R(n).alias(n) for n in names])
+
+
+#: 15 categories: the wide ones, the services, and three small numbers
+ALL_BASE = ["pri_u", "seg", "nation", "region", *T.SERVICES, "month", "year", "n_items"]
+ALL_PAIRS = [(a, b) for i, a in enumerate(ALL_BASE) for b in ALL_BASE[i + 1:]]
+
+
+def _all_pairs_sql():
+    """105 pairs in long form: one aggregate, one join, one fold-up."""
+    base = ("te_base as (select id, role, y, case when role = 'test' and id % 97 = 0 then 'ZZZ' else pri end as pri_u, seg, nation, region, "
+            + ", ".join(T.SERVICES) + ", cast(((tenure % 12) + 12) % 12 as varchar) as month, cast(cast(floor(tenure / 12.0) as bigint) as varchar) as year, "
+            "cast(n_items as varchar) as n_items from accounts)")
+    keys = "[" + ", ".join(f"concat({a}, '___', {b})" for a, b in ALL_PAIRS) + "]"
+    clip = "least(greatest(e, 1e-5), 1 - 1e-5)"
+    ctes = [base, FOLDS_SQL, NESTED_SQL,
+            f"rows_ as (select ofold, ifold, id, 'fit' as part, y, {keys} as ks from nested "
+            f"union all select fold, -1, id, 'valid', y, {keys} from folds "
+            f"union all select o, -1, id, 'test', null, {keys} from te_base, range(5) r(o) where role = 'test')",
+            "long as (select ofold, ifold, id, part, y, unnest(ks) as v, unnest(range(1, 106)) as p from rows_)",
+            "st as (select ofold, ifold, p, v, count(*) as n, sum(y) as s from long where part = 'fit' group by all)",
+            "tot as (select ofold, p, v, sum(n) as n, sum(s) as s from st group by all)",
+            "prior as (select ofold, avg(y) as q from nested group by ofold)",
+            "enc as (select t.ofold, i.i as ifold, t.p, t.v, (t.s - coalesce(x.s, 0) + 20 * q) / (t.n - coalesce(x.n, 0) + 20) as e "
+            "from tot t cross join range(-1, 5) i(i) join prior on prior.ofold = t.ofold "
+            "left join st x on x.ofold = t.ofold and x.ifold = i.i and x.p = t.p and x.v = t.v)",
+            f"zz as (select l.ofold, l.id, l.part, l.p, ln({clip} / (1 - {clip})) as z from (select l.*, coalesce(c.e, q) as e "
+            "from long l join prior on prior.ofold = l.ofold left join enc c on c.ofold = l.ofold and c.ifold = l.ifold and c.p = l.p and c.v = l.v) l)",
+            "mom as (select ofold, p, " + ", ".join(f"avg(power(z, {k})) as mu{k}, stddev_pop(power(z, {k})) as sd{k}" for k in (1, 2, 3))
+            + " from zz where part = 'fit' group by ofold, p)",
+            "std as (select zz.ofold, id, part, zz.p, " + ", ".join(
+                f"(power(z, {k}) - mu{k}) / case when sd{k} = 0 then 1 else sd{k} end as z{k}" for k in (1, 2, 3))
+            + " from zz join mom on mom.ofold = zz.ofold and mom.p = zz.p)"]
+    sel = ", ".join(f'round(max(z{k}) filter (p = {i}), 6) as "z{k}_{a}___{b}"' for i, (a, b) in enumerate(ALL_PAIRS, 1) for k in (1, 2, 3))
+    return with_base(f"select cast(ofold as bigint) as ofold, cast(id as bigint) as id, part, {sel} from std group by ofold, id, part", ",\n".join(ctes))
+
+
+@query("te_all_pairs", _all_pairs_sql())
+def q_te_all_pairs(spark, sf):
+    """I8 (+E14, D12, D13) whole: all 105 pairs of 15 categories, three
+    standardised powers of each pair's nested encoding: 315 columns."""
+    a = T.accounts_once(spark, sf, columns=["id", "role", "y", "pri", "seg", "nation", "region", *T.SERVICES, "tenure", "n_items"])
+    a = a.withColumns({"pri_u": T.unseen_category(), "month": F.pmod("tenure", F.lit(12)), "year": F.floor(F.col("tenure") / 12)})
+    tr = K.stratified_folds(a.filter(F.col("role") == "train"), K_OUTER, SEED)
+    z, names = E.pair_logits(tr, a.filter(F.col("role") == "test"), ALL_BASE, K_OUTER, K_INNER, 20, SEED)
+    return z.select(L("ofold").alias("ofold"), L("id").alias("id"), "part", *[R(n).alias(n) for n in names])
 
 
 PSEUDO_T = 0.95
@@ -1120,11 +1155,15 @@ def q_ref_segment_resid(spark, sf):
 
 # single-feature strength ------------------------------------------------------
 
+#: fixed values: the reference's nine groups
 FEATURE_GROUPS = {
     "single_rate": [f"orig_{c}" for c in REF_COLS],
     "cross_rate": [f"orig_{a}_{b}" for a, b in REF_PAIRS],
+    **{f"{c}_rank": [f"{p}_{c}" for p in ("pct_ch", "pct_nc", "pct_all", "pctgap")] for c in NUM_REF},
+    "total_quantile_distance": [f"{p}_total" for q in (25, 50, 75) for p in (f"qd{q}_ch", f"qd{q}_nc", f"qdgap{q}")],
     "digit": ["tenure_mod12", "tenure_last_digit"],
     "arithmetic": ["charges_deviation", "avg_monthly_charges"],
+    "frequency": [f"freq_{c}" for c in NUM_REF],
 }
 DIGIT_SQL = {"tenure_mod12": "cast(((tenure % 12) + 12) % 12 as double)",
              "tenure_last_digit": "cast(cast(right(cast(tenure as varchar), 1) as int) as double)",
@@ -1132,30 +1171,76 @@ DIGIT_SQL = {"tenure_mod12": "cast(((tenure % 12) + 12) % 12 as double)",
 
 
 def _strength_frame(spark, sf):
-    o = _orig_frame(spark, sf).filter(F.col("role") == "train")
-    o = o.withColumn("tenure_mod12", F.pmod("tenure", F.lit(12)).cast("double")).withColumn(
-        "tenure_last_digit", F.expr("right(cast(tenure as string), 1)").cast("int").cast("double")).withColumn(
-        "charges_deviation", F.col("total") - F.col("tenure") * F.col("monthly")).withColumn(
-        "avg_monthly_charges", F.try_divide(F.col("total"), F.col("tenure") + 1))
-    arr = F.array(*[F.struct(F.lit(g).alias("grp"), F.lit(f).alias("feature"), F.col(f).cast("double").alias("s"))
-                    for g, fs in FEATURE_GROUPS.items() for f in fs])
-    long = o.select("y_sig", F.explode(arr).alias("r")).select("r.*", F.col("y_sig").alias("y"))
-    a = G.auc(long, "s", "y", ["grp", "feature"])
-    return a.withColumn("auc_adj", F.greatest(F.col("auc"), 1 - F.col("auc")))
+    """AUC of every single feature on the train rows.  All but the arithmetic
+    ones are functions of a value (or pair), so they are computed once per
+    value, with the value's counts: by role and label, of all rows and of the
+    reference."""
+    s, _ = _ref_frames(spark, sf)
+    train, ref, pos = F.col("role") == "train", F.col("role") == "ref", F.col("y_sig") == 1
+
+    def n(cond):
+        return F.sum(cond.cast("long"))
+
+    counts = {"pos": n(train & pos), "neg": n(train & ~pos), "ch": n(ref & pos), "nc": n(ref & ~pos), "n": F.count(F.lit(1))}
+    keys = {f"orig_{c}": F.col(c).cast("string") for c in REF_COLS} | {
+        f"orig_{a}_{b}": F.concat_ws("|", a, b) for a, b in REF_PAIRS}
+    cells = s.select("role", "y_sig", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), k.alias("value")) for f, k in keys.items()]))
+                     .alias("r")).select("role", "y_sig", "r.*").groupBy("feature", "value").agg(*[e.alias(k) for k, e in counts.items()])
+    rate = F.coalesce(F.try_divide(F.col("ch"), F.col("ch") + F.col("nc")), F.lit(0.5))
+    rates = cells.select("feature", rate.alias("s"), "pos", "neg")
+
+    values = G.unpivot_numeric(s, NUM_REF, ["role", "y_sig"]).filter(F.col("value").isNotNull()).groupBy("col", "value").agg(
+        *[e.alias(k) for k, e in counts.items()])
+    values = cut_lineage(values.withColumn("all", F.col("ch") + F.col("nc")), "value-counts")
+    quart = G.values_at_quantiles  # of the reference's churners and others, by value
+    of = [values.filter(F.col("col") == "total").select(F.lit(k).alias("k"), "value", F.col(k).alias("c")).filter("c > 0") for k in ("ch", "nc")]
+    q = quart(cut_lineage(of[0].unionByName(of[1]), "quartile-counts"), "value", "c", [0.25, 0.5, 0.75], ["k"])
+    q = q.select("k", "p", (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("pos") - F.floor(F.col("pos")))).alias("q"))
+    q = q.agg(*[F.max(F.when((F.col("k") == k) & (F.col("p") == p), F.col("q"))).alias(f"q{int(100 * p)}_{k}")
+                for k in ("ch", "nc") for p in (0.25, 0.5, 0.75)])
+    rc = G.running_counts(values, "value", ["ch", "nc", "all", "n"], ["col"]).crossJoin(F.broadcast(q))  # one row
+    x = F.col("value")
+    below = {k: F.try_divide(F.col(f"{k}_before"), F.col(f"{k}_total")) for k in ("ch", "nc", "all")}
+    dist = {(k, t): F.abs(x - F.col(f"q{t}_{k}")) for k in ("ch", "nc") for t in (25, 50, 75)}
+    shared = {"pct_ch": below["ch"], "pct_nc": below["nc"], "pct_all": below["all"], "pctgap": below["ch"] - below["nc"],
+              "freq": F.col("n") / F.col("n_total")}
+    own = {"total": {f"qd{t}_{k}_total": d for (k, t), d in dist.items()} | {
+               f"qdgap{t}_total": dist["nc", t] - dist["ch", t] for t in (25, 50, 75)},
+           "tenure": {"tenure_mod12": F.pmod(x, F.lit(12.0)),
+                      "tenure_last_digit": F.expr("right(cast(cast(value as bigint) as string), 1)").cast("double")}}
+    by_value = [F.when(F.col("col") == c, F.struct(F.lit(f).alias("feature"), e.cast("double").alias("s")))
+                for c in NUM_REF for f, e in ({f"{k}_{c}": e for k, e in shared.items()} | own.get(c, {})).items()]
+    numbers = rc.select("pos", "neg", F.explode(F.array_compact(F.array(*by_value))).alias("r")).select("r.*", "pos", "neg")
+
+    arith = {"charges_deviation": F.col("total") - F.col("tenure") * F.col("monthly"),
+             "avg_monthly_charges": F.try_divide(F.col("total"), F.col("tenure") + 1)}
+    rows = s.filter(train).select("y_sig", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), e.alias("s")) for f, e in arith.items()]))
+                                  .alias("r")).select("r.*", F.col("y_sig").cast("long").alias("pos"), (1 - F.col("y_sig")).cast("long").alias("neg"))
+    every = rates.unionByName(numbers).unionByName(rows).filter((F.col("pos") > 0) | (F.col("neg") > 0))
+    a = G.auc_of_counts(every, "s", "pos", "neg", ["feature"])
+    group = F.create_map(*[F.lit(v) for g, fs in FEATURE_GROUPS.items() for f in fs for v in (f, g)])
+    return a.withColumn("grp", group[F.col("feature")]).withColumn("auc_adj", F.greatest(F.col("auc"), 1 - F.col("auc")))
 
 
 def _strength_sql_src():
     s1, p1 = _orig_sql_cols()
-    cols = ", ".join(s1 + p1 + [f"{v} as {k}" for k, v in DIGIT_SQL.items()])
+    ranks = [f"{_pct_sql(k, c)} as pct_{k}_{c}" for c in NUM_REF for k in SUBSET_SQL]
+    ranks += [f"{_pct_sql('ch', c)} - {_pct_sql('nc', c)} as pctgap_{c}" for c in NUM_REF]
+    quart = "(select quantile_cont(total, {p}) from scored r where r.role = 'ref' and r.y_sig = {v})"
+    dist = {(k, t): f"abs(total - {quart.format(p=t / 100, v=v)})" for k, v in (("ch", 1), ("nc", 0)) for t in (25, 50, 75)}
+    dists = [f"{e} as qd{t}_{k}_total" for (k, t), e in dist.items()]
+    dists += [f"{dist['nc', t]} - {dist['ch', t]} as qdgap{t}_total" for t in (25, 50, 75)]
+    freqs = [f"(select count(*) from scored r where r.{c} = a.{c}) / (select count({c}) from scored) as freq_{c}" for c in NUM_REF]
+    cols = ", ".join(s1 + p1 + ranks + dists + freqs + [f"{v} as {k}" for k, v in DIGIT_SQL.items()])
     feats = " union all ".join(f"select '{g}' as grp, '{f}' as feature, cast({f} as double) as s, y_sig as y from fx"
                                for g, fs in FEATURE_GROUPS.items() for f in fs)
-    return [f"fx as (select y_sig, {cols} from scored a where role = 'train')", f"lg as ({feats})"]
+    return [f"fx as materialized (select y_sig, {cols} from scored a where role = 'train')", f"lg as ({feats})"]
 
 
 def _auc_named_sql():
     return ("select grp, feature, (sum(case when y = 1 then ra else 0 end) - sum(y) * (sum(y) + 1) / 2.0) / "
             "(sum(y) * (count(*) - sum(y))) as auc from (select grp, feature, y, cast(rank() over (partition by grp, feature "
-            "order by s) as double) + (cast(count(*) over (partition by grp, feature, s) as double) - 1) / 2 as ra from lg) r "
+            "order by s) as double) + (cast(count(*) over (partition by grp, feature, s) as double) - 1) / 2 as ra from lg where s is not null) r "
             "group by grp, feature")
 
 
@@ -1163,19 +1248,19 @@ def _auc_named_sql():
     "select grp, feature, round(auc, 6) as auc, round(greatest(auc, 1 - auc), 6) as auc_adj from au",
     ",\n".join(_strength_sql_src() + [f"au as ({_auc_named_sql()})"])))
 def q_single_feature_auc(spark, sf):
-    """AUC of every single feature (reference rates, digits, arithmetic)
-    on the train rows, max(a, 1 - a); one AUC job grouped by feature."""
+    """AUC of every single feature of the nine groups on the train rows,
+    max(a, 1 - a); one AUC job grouped by feature."""
     a = _strength_frame(spark, sf)
     return a.select("grp", "feature", R("auc").alias("auc"), R("auc_adj").alias("auc_adj"))
 
 
 @query("feature_group_strength", with_base(
-    "select grp, arg_max(feature, greatest(auc, 1 - auc)) as best_feature, round(max(greatest(auc, 1 - auc)), 6) as best_auc "
-    "from au group by grp", ",\n".join(_strength_sql_src() + [f"au as ({_auc_named_sql()})"])))
+    "select grp, arg_max(feature, (round(greatest(auc, 1 - auc), 9), feature)) as best_feature, "
+    "round(max(greatest(auc, 1 - auc)), 6) as best_auc from au group by grp", ",\n".join(_strength_sql_src() + [f"au as ({_auc_named_sql()})"])))
 def q_feature_group_strength(spark, sf):
     """Best single-feature AUC per feature group."""
     a = _strength_frame(spark, sf)
-    g = a.groupBy("grp").agg(F.max_by("feature", "auc_adj").alias("best_feature"),
+    g = a.groupBy("grp").agg(F.max_by("feature", F.struct(F.round("auc_adj", 9), "feature")).alias("best_feature"),
                              F.max("auc_adj").alias("best_auc"))
     return g.select("grp", "best_feature", R("best_auc").alias("best_auc"))
 
@@ -1350,6 +1435,38 @@ def q_blend_refine(spark, sf):
     return g.select(R("w").alias("w"), R("auc").alias("auc"))
 
 
+SEARCH_STEPS = 20  # golden-section steps from [0, 1] to 1e-4
+
+
+def _search_sql():
+    """The same golden section, one CTE per step."""
+    g = f"{N.GOLDEN!r}e0"
+
+    def auc_at(cte, w):
+        return (f"(select round((sum(case when y = 1 then ra else 0 end) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))), 9) "
+                f"from (select y, cast(rank() over (order by s) as double) + (cast(count(*) over (partition by s) as double) - 1) / 2 as ra "
+                f"from (select t.y, c.{w} * t.s_a + (1.0e0 - c.{w}) * t.s_b as s from ts t, {cte} c) b) r)")
+
+    ctes = [TRAIN_SCORED, f"p0 as materialized (select 0e0 as lo, 1e0 as hi, 1e0 - (1e0 - 0e0) * {g} as x, 0e0 + (1e0 - 0e0) * {g} as y)",
+            f"s0 as materialized (select *, {auc_at('p0', 'x')} as fx, {auc_at('p0', 'y')} as fy from p0)"]
+    for k in range(SEARCH_STEPS):
+        ctes.append(f"n{k} as materialized (select *, case when l then hi - (hi - lo) * {g} else lo + (hi - lo) * {g} end as w from ("
+                    f"select fx >= fy as l, case when fx >= fy then lo else x end as lo, case when fx >= fy then y else hi end as hi, "
+                    f"case when fx >= fy then x else y end as kw, case when fx >= fy then fx else fy end as kf from s{k}) z)")
+        ctes.append(f"s{k + 1} as materialized (select lo, hi, case when l then w else kw end as x, case when l then kw else w end as y, "
+                    f"case when l then f else kf end as fx, case when l then kf else f end as fy from (select *, {auc_at(f'n{k}', 'w')} as f from n{k}) z)")
+    return with_base(f"select round(case when fx >= fy then x else y end, 6) as w, round(greatest(fx, fy), 6) as auc from s{SEARCH_STEPS}",
+                     ",\n".join(ctes))
+
+
+@query("blend_search", _search_sql())
+def q_blend_search(spark, sf):
+    """M3: bounded search for the blend weight to 1e-4 by golden section over
+    stored scores."""
+    w, best = N.search_weight(_train_scored(spark, sf), "s_a", "s_b", "y")
+    return spark.createDataFrame([(w, best)], "w double, auc double").select(R("w").alias("w"), R("auc").alias("auc"))
+
+
 def _fold_scores(df):
     """Deterministic per-(seed, fold) test scores standing in for the
     models of a 3-seed x 5-fold run."""

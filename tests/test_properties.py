@@ -86,3 +86,58 @@ def test_blend_weight_one_is_model_a(spark):
     g = N.weight_grid_auc(t, "s_a", "s_b", "y_sig", [1.0]).first()["auc"]
     a = G.auc(t, "s_a", "y_sig").first()["auc"]
     assert abs(g - a) < 1e-12
+
+
+def test_pairs_by_index_equal_pairs_by_join(spark):
+    """The arrays and the join beyond their bound give the same table."""
+    a = T.accounts(spark, SF_SMALL).withColumn("pri", T.padded_category()).select("id", "role", "y", "pri", "seg", "svc_return", "svc_open")
+    a = a.withColumn("seg", F.when((F.col("role") == "test") & (F.col("id") % 5 == 0), F.lit("new")).otherwise(F.col("seg")))
+    tr = K.stratified_folds(a.filter(F.col("role") == "train"), 3, 42)
+    te = a.filter(F.col("role") == "test")
+    cols = ["pri", "seg", "svc_return", "svc_open"]
+    one, names = E.pair_logits(tr, te, cols, 3, 2)
+    two, _ = E.pair_logits(tr, te, cols, 3, 2, max_cells=0)
+    assert one.columns == two.columns and len(names) == 18
+    key = ["ofold", "id", "part"]
+    x, y = (d.toPandas().sort_values(key).reset_index(drop=True) for d in (one, two))
+    assert len(x) == 3 * a.filter("role <> 'ref'").count() and x[key].equals(y[key])
+    assert abs(x[names] - y[names]).max().max() < 1e-12
+    fit = x[x.part == "fit"].groupby("ofold")[names]
+    assert abs(fit.mean()).max().max() < 1e-9 and abs(fit.std(ddof=0) - 1).max().max() < 1e-9
+
+
+def test_one_hot_levels_are_bounded(spark):
+    import pytest
+    tr, te = (spark.createDataFrame([(i, str(i)) for i in range(n)], "id int, c string") for n in (5, 7))
+    with pytest.raises(ValueError, match="5 levels"):
+        E.one_hot(tr, te, ["c"], max_levels=4)
+    assert E.one_hot(tr, te, ["c"]).columns == ["id", "c", "c_1", "c_2", "c_3", "c_4"]
+    named = E.one_hot(tr, te, ["c"], levels={"c": ["6", "5"]}, max_levels=1)
+    assert named.columns == ["id", "c", "c_6"] and named.filter("c_6 = 1").count() == 1
+
+
+def test_golden_section_finds_the_best_weight(spark):
+    """Not below a fine grid around the best, on scores with a mixed optimum."""
+    t = _train(spark).select("y_sig", "s_b", ((F.col("id") * 7 % 11) / 11.0 + F.col("y_sig") * 0.4).alias("s_c"))
+    w, best = N.search_weight(t, "s_b", "s_c", "y_sig", tolerance=1e-3)
+    grid = N.weight_grid_auc(t, "s_b", "s_c", "y_sig", [i / 20 for i in range(21)]).agg(F.max("auc")).first()[0]
+    assert 0 < w < 1 and best > grid - 1e-3
+    assert abs(N.weight_grid_auc(t, "s_b", "s_c", "y_sig", [w]).first()["auc"] - best) < 1e-9
+
+
+def test_strings_are_numbered_in_ranges(spark):
+    from foldcraft.operators.prefix import row_number_in_order
+    rows = [(g, f"{(i * 37) % 101:03d}") for g, n in (("a", 90), (None, 30), ("b", 1)) for i in range(n)]
+    d = spark.createDataFrame(rows, "g string, v string")
+    got = {(r.g, r.v): (r.rn, r.rn_n) for r in row_number_in_order(d, "g", ["v"]).collect()}
+    for g in ("a", None, "b"):
+        own = sorted(v for h, v in rows if h == g)
+        assert [got[g, v] for v in own] == [(i, len(own)) for i in range(len(own))]
+
+
+def test_sampled_rows_alone_are_numbered(spark):
+    from foldcraft.operators.prefix import row_number_by_hash
+    d = spark.range(3000).withColumn("g", F.col("id") % 3)
+    every = row_number_by_hash(d, F.md5(F.col("id").cast("string")), ["g"])
+    some = row_number_by_hash(d, F.md5(F.col("id").cast("string")), ["g"], wanted=lambda n: F.ceil(n * 0.1))
+    assert some.exceptAll(every.filter("rn < 100")).count() == 0 and some.count() == 300
