@@ -5,8 +5,10 @@ Nothing here moves row-sized data to the driver.
 
 from __future__ import annotations
 
+import io
 import os
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +61,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application, so that
+    functions which run there import it wherever the driver was started: an
+    archive of its modules in the shared folder, which Spark adds to the
+    workers' import path."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for folder, _, files in sorted(os.walk(os.path.join(root, "foldcraft"))):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.writestr(os.path.relpath(path, root), open(path, "rb").read())
+    path = sc._jvm.org.apache.hadoop.fs.Path(ensure_checkpoint_dir(spark), f"package-{sc.applicationId}/foldcraft.zip")
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+    sc.addPyFile(path.toString())
+    _SHIPPED.add(sc.applicationId)
+
+
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Materialise ``df`` as a parquet table in the shared checkpoint
     folder and continue from the files.
