@@ -6,8 +6,9 @@ a lost executor costs no more than the running stage.  All stages but the
 last return the columns of documents.
 
 1. quality_classifier: documents that the trained classifier rejects go.
-2. line_dedup: later copies of line runs are cut from the texts; a document
-   whose every word was in later copies goes.
+2. line_dedup: later copies of line runs are cut from the texts, and of single
+   lines with MIN_WORDS words or more, so that a clean text keeps its "Yes.";
+   a document whose every word was in later copies goes.
 3. simhash_near_dedup: of each group of linked documents one row stays, the
    first by (doc_id, nulls last; hash of the text); of rows that share both,
    the first by (lang, source, n_chars).
@@ -28,6 +29,7 @@ from foldcraft.llm import bpe, line_dedup, mixing, quality_model, simhash
 from foldcraft.llm.common import documents, has_word, text_key, text_of
 from foldcraft.session import cut_lineage
 
+MIN_WORDS = 5
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -39,7 +41,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # stored before it is filtered: a filter would be pushed into the text's
     # making, and split every text anew for each of its lines
-    d = cut_lineage(line_dedup.delete_later_copies(docs.select(*COLUMNS)), "line-dedup")
+    d = line_dedup.delete_later_copies(docs.select(*COLUMNS), min_words=MIN_WORDS, exact=False)
+    d = cut_lineage(d, "line-dedup")
     emptied = (F.col("line_dedup.n_removed") > 0) & ~has_word(text_of(F.col("text")))
     return d.filter(~emptied).withColumn("n_chars", F.when(
         F.col("line_dedup.n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
