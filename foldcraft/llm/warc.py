@@ -17,9 +17,10 @@ reader gives them; one task parses one archive at a time.  Which record is the
 response is decided on (digest, key), with map-side aggregation; payloads are
 shuffled once, to meet the decision of their digest, in a join whose hot keys
 adaptive execution splits (both sides are read from a shuffle).  WARC files
-are written by Spark's text writer, one row per record, gzipped, into the
-shared folder, with a bounded number of records per file; they are read back
-as binary files, a file at a time, record by record by the declared lengths.
+are written into the shared folder, every record as a gzip member, a file of
+about FILE_BYTES whatever the pages' sizes; the files that count stand in a
+manifest that Spark commits.  They are read back member by member, so a task
+holds a record at a time.
 
 Defined results: a null payload is empty; null keys lose against any other
 key, and a group with null keys alone has them all as responses; records
@@ -37,9 +38,11 @@ import gzip
 import hashlib
 import re
 import uuid
+import zlib
 from datetime import datetime, timezone
 
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,7 +55,9 @@ FIELDS = {
 }
 #: bytes of payload in one archive, about
 ARCHIVE_BYTES = 4 << 20
-RECORDS_PER_FILE = 2000
+#: bytes of one WARC file, about; payload and rows that a reader passes on at a time
+FILE_BYTES = 64 << 20
+BATCH_BYTES, BATCH_ROWS = 16 << 20, 2000
 MIN_REVISIT = 0
 VERSION = "WARC/1.1"
 
@@ -129,38 +134,42 @@ def arc_records(archives: DataFrame) -> DataFrame:
 # WARC ----------------------------------------------------------------------
 
 def convert(records: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """WARC fields of rows (key, url, date, type, payload, digest): adds
+    """WARC fields of rows RECORD: adds
     record_id, warc_date, record_type, refers_to (a key) and refers_to_id;
     a revisit's payload is empty, payload_bytes stays."""
     big = F.octet_length("payload") >= min_revisit
-    best = records.filter(big).groupBy("digest").agg(F.max("key").alias("best")).select(
-        F.col("digest").alias("b_digest"), "best")
+    # repeated rows have places of their own
+    here = F.md5(F.concat_ws(":", "archive", F.col("place").cast("string"), F.col("key").cast("string"), "digest"))
+    records = records.withColumn("_id", here)
+    best = records.filter(big).groupBy("digest").agg(F.max(F.struct("key", "_id")).alias("b")).select(
+        F.col("digest").alias("b_digest"), F.col("b.key").alias("best"), F.col("b._id").alias("best_id"))
     j = records.withColumn("payload_bytes", F.octet_length("payload").cast("long")).join(
         best.repartition("b_digest").hint("merge"), F.col("digest") == F.col("b_digest"), "left")
     again = (F.col("payload_bytes") >= min_revisit) & F.col("best").isNotNull() & ~F.col("key").eqNullSafe(F.col("best"))
 
-    def record_id(key):
+    def record_id(h):
         # the record's identity in 128 bits, written as a UUID
-        h = F.md5(F.concat_ws(":", key.cast("string"), "digest"))
         return F.concat(F.lit("urn:uuid:"), F.regexp_replace(h, "^(.{8})(.{4}).(.{3}).(.{3})(.{12})$", "$1-$2-8$3-8$4-$5"))
 
     d = F.col("date")
     iso = F.concat(F.substring(d, 1, 4), F.lit("-"), F.substring(d, 5, 2), F.lit("-"), F.substring(d, 7, 2), F.lit("T"),
                    F.substring(d, 9, 2), F.lit(":"), F.substring(d, 11, 2), F.lit(":"), F.substring(d, 13, 2), F.lit("Z"))
     return j.select(
-        "key", "url", "type", "digest", "payload_bytes", record_id(F.col("key")).alias("record_id"), iso.alias("warc_date"),
+        "key", "url", "type", "digest", "payload_bytes", record_id(F.col("_id")).alias("record_id"), iso.alias("warc_date"),
         F.when(again, "revisit").otherwise("response").alias("record_type"),
-        F.when(again, F.col("best")).alias("refers_to"), F.when(again, record_id(F.col("best"))).alias("refers_to_id"),
+        F.when(again, F.col("best")).alias("refers_to"), F.when(again, record_id(F.col("best_id"))).alias("refers_to_id"),
         F.when(again, F.lit(b"")).otherwise(F.col("payload")).alias("payload"))
 
 
-def write_warc(records: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Writes rows of convert() as gzipped WARC files into the folder."""
+def write_warc(records: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Writes rows of convert() as WARC files into the folder, every record a
+    gzip member of its own, a file of about ``file_bytes`` (one record more at
+    most).  Returns the manifest (file, n_records, n_bytes), which is stored in
+    the folder: a file that isn't in it is what a lost task left behind."""
     def field(name, value):
         return F.when(value.isNull(), "").otherwise(F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n")))
 
-    # a record ends in \r\n\r\n, whose last byte is the writer's line end
-    text = F.concat(
+    head = F.concat(
         F.lit(f"{VERSION}\r\n"), field("WARC-Type", F.col("record_type")), field("WARC-Record-ID", F.concat(F.lit("<"), "record_id", F.lit(">"))),
         field("WARC-Date", F.col("warc_date")), field("WARC-Target-URI", F.col("url")),
         field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
@@ -169,10 +178,45 @@ def write_warc(records: DataFrame, path: str, records_per_file: int = RECORDS_PE
                                      "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         field("X-Key", F.col("key")), field("X-Refers-To-Key", F.col("refers_to")),
         field("X-Payload-Length", F.col("payload_bytes")), field("Content-Type", F.col("type")),
-        field("Content-Length", F.octet_length("payload")),
-        F.lit("\r\n"), F.col("payload").cast("string"), F.lit("\r\n\r"))
-    (records.select(text.alias("value")).write.option("compression", "gzip").option("lineSep", "\n")
-     .option("maxRecordsPerFile", records_per_file).mode("overwrite").text(path))
+        field("Content-Length", F.octet_length("payload")), F.lit("\r\n"))
+
+    def run(batches):
+        files, base = pafs.FileSystem.from_uri(path)
+        files.create_dir(base, recursive=True)
+        out = name = None
+        n = size = 0
+        for b in batches:
+            for head, payload in zip(b.column("head").to_pylist(), b.column("payload").to_pylist()):
+                if out is None:
+                    name = f"{uuid.uuid4().hex}.warc.gz"
+                    out, n, size = files.open_output_stream(f"{base}/{name}", compression=None), 0, 0
+                member = gzip.compress(b"".join((head.encode(), payload, b"\r\n\r\n")), 6, mtime=0)
+                out.write(member)
+                n, size = n + 1, size + len(member)
+                if size >= file_bytes:
+                    out.close()
+                    out = None
+                    yield pa.RecordBatch.from_pydict({"file": [f"{path}/{name}"], "n_records": [n], "n_bytes": [size]})
+        if out is not None:
+            out.close()
+            yield pa.RecordBatch.from_pydict({"file": [f"{path}/{name}"], "n_records": [n], "n_bytes": [size]})
+
+    rows = records.select(head.alias("head"), "payload").mapInArrow(run, "file string, n_records bigint, n_bytes bigint")
+    rows.write.mode("overwrite").parquet(f"{path}/manifest")
+    return records.sparkSession.read.parquet(f"{path}/manifest")
+
+
+def members(source, chunk: int = 1 << 20):
+    """The gzip members of a file, one at a time."""
+    left = b""
+    while left or (left := source.read(chunk)):
+        one, parts = zlib.decompressobj(31), []
+        while not one.eof:
+            if not left and not (left := source.read(chunk)):
+                raise ValueError("a gzip member is cut off")
+            parts.append(one.decompress(left))
+            left = one.unused_data
+        yield b"".join(parts)
 
 
 def parse_warc(name: str, data: bytes):
@@ -198,27 +242,39 @@ READ = {"key": "X-Key", "url": "WARC-Target-URI", "record_id": "WARC-Record-ID",
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The header fields (strings) and payload of the records in a folder; a
-    response's payload is held against its digest."""
+    """The header fields (strings) and payload of the records in a folder of
+    write_warc(); a task holds one record at a time, and a response's payload
+    is held against its digest."""
     names = [*READ, "payload"]
 
+    def batch(rows):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, pa.binary() if n == "payload" else pa.string()) for n, c in zip(names, zip(*rows))], names=names)
+
     def run(batches):
         for b in batches:
-            for name, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-                rows = []
-                for fields, payload in parse_warc(name, gzip.decompress(content)):
-                    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if fields["WARC-Type"] == "response" and digest != base64.b32encode(hashlib.sha1(payload).digest()).decode():
-                        raise ValueError(f"{name}: a payload does not have its digest")
-                    row = [fields.get(f) for f in READ.values()]
-                    row[names.index("digest")] = digest
-                    rows.append((*row, payload))
+            for name in b.column("file").to_pylist():
+                files, at = pafs.FileSystem.from_uri(name)
+                rows, size = [], 0
+                with files.open_input_stream(at, compression=None) as source:
+                    for data in members(source):
+                        for fields, payload in parse_warc(name, data):
+                            digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+                            if fields["WARC-Type"] == "response" and digest != base64.b32encode(hashlib.sha1(payload).digest()).decode():
+                                raise ValueError(f"{name}: a payload does not have its digest")
+                            row = [fields.get(f) for f in READ.values()]
+                            row[names.index("digest")] = digest
+                            rows.append((*row, payload))
+                            size += len(payload)
+                        if size >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
+                            yield batch(rows)
+                            rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, pa.binary() if n == "payload" else pa.string()) for n, c in zip(names, zip(*rows))],
-                        names=names)
+                    yield batch(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
+    files = spark.read.parquet(f"{path}/manifest").select("file")
+    n = min(files.count(), 16 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    files = files.repartition(max(1, n), "file")
     return files.mapInArrow(run, ", ".join(f"{n} {'binary' if n == 'payload' else 'string'}" for n in names))
 
 
