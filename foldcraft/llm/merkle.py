@@ -41,8 +41,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.prefix import row_number_in_order
 from ..session import cut_lineage
-from .common import documents, numbered
+from .common import documents
 
 FAN = 8
 #: places of one window partition, a multiple of FAN
@@ -148,13 +149,18 @@ def proof_digest(path: Column) -> Column:
     return digest(F.array_join(F.transform(path, lambda x: F.concat(x["left"], x["right"])), ""))
 
 
+def _placed(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Stored rows with their place ``pos`` in their group and its size ``n``."""
+    return row_number_in_order(rows, "grp", order, "pos").withColumnRenamed("pos_n", "n")
+
+
 def manifest(leaves: DataFrame) -> DataFrame:
     """For ``leaves`` (doc_id, grp, leaf, ...), stored: every row with its
     subroot, the root, and its path to the root."""
-    rows = cut_lineage(numbered(leaves, "grp", ["doc_id", "leaf"]), "merkle-leaves")
+    rows = cut_lineage(_placed(leaves, ["doc_id", "leaf"]), "merkle-leaves")
     levels = tree_levels(rows.select("grp", "pos", "n", F.col("leaf").alias("node")))
     tops = subroots(levels).withColumnRenamed("grp", "name").withColumn("grp", F.lit(""))
-    tops = cut_lineage(numbered(tops, "grp", ["name"]), "merkle-subroots")
+    tops = cut_lineage(_placed(tops, ["name"]), "merkle-subroots")
     upper = tree_levels(tops.select("grp", "pos", "n", "node"))
     over = proofs(upper).withColumnsRenamed({"pos": "p_pos", "top": "root", "path": "a_path"}).drop("grp")
     over = cut_lineage(tops.join(over, F.col("pos") == F.col("p_pos")).select(

@@ -118,7 +118,10 @@ def cut_at_budget(queue: DataFrame, budget: Column | float, n_rows: int) -> Data
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_repeat: int = MAX_REPEAT,
         seed: str = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Mixes ``docs`` (doc_id, text, source).
+    """Mixes ``docs`` (doc_id, text, source).  A source's taken words are
+    within one of its documents, and one of any other source, of its target:
+    a document is taken whole or not, so a source of few long documents can
+    be far from a small target.
 
     Returns (sizes, targets, taken): the (doc_id, source, size) of every row,
     the target of every source, and one row per taken copy (doc_id, source,
@@ -157,9 +160,10 @@ def mixed_documents(docs: DataFrame, **params) -> DataFrame:
         F.count(F.lit(1)).alias("copies")).select(*[F.col(c).alias(f"_t_{c}") for c in ("doc_id", "source", "size", "copies")])
     d = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"),
                     F.size(words_of(text_of(docs["text"]))).cast("long").alias("_size"))
-    # equal rows share the copies: row j of r takes the copies j, j + r, ...
+    # equal rows share the copies: row j of r takes the copies j, j + r, ..., in
+    # the order of their texts, so that reruns agree
     equal = Window.partitionBy("_row.doc_id", "_row.source", "_size")
-    d = d.select("_row", "_size", (F.row_number().over(equal.orderBy(F.lit(1))) - 1).alias("_j"),
+    d = d.select("_row", "_size", (F.row_number().over(equal.orderBy(F.xxhash64("_row.text"))) - 1).alias("_j"),
                  F.count(F.lit(1)).over(equal).alias("_rows"))
     j = d.join(taken, F.col("_row.doc_id").eqNullSafe(F.col("_t_doc_id"))
                & F.col("_row.source").eqNullSafe(F.col("_t_source")) & (F.col("_size") == F.col("_t_size")))

@@ -42,9 +42,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.prefix import row_number_in_order
 from ..session import cut_lineage, scratch_path
 from .arrays import open_arrays, pack, store_arrays, unpack
-from .common import Numbers, documents, numbered, slices, spread
+from .common import Numbers, documents, slices, spread
 
 MIN_COUNT, TOP, COVER = 10, 2000, 50
 #: characters and rows of a batch; slots of a merging task, about
@@ -242,8 +243,8 @@ def frequent_words(parts: DataFrame, min_count: int) -> DataFrame:
     numbered from 1 to last in their language; stored."""
     each = parts.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("x"))
     f = each.groupBy("lang", F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("f")).filter(F.col("f") >= min_count)
-    d = numbered(cut_lineage(f, "phrase-words"), "lang", ["word"])
-    return cut_lineage(d.select("lang", "word", "f", (F.col("pos") + 1).alias("id"), F.col("n").alias("last")), "phrase-numbers")
+    d = row_number_in_order(cut_lineage(f, "phrase-words"), "lang", ["word"], "place")
+    return cut_lineage(d.select("lang", "word", "f", (F.col("place") + 1).alias("id"), F.col("place_n").alias("last")), "phrase-numbers")
 
 
 def count_ngrams(parts: DataFrame, words: DataFrame, folder: str, min_count: int, sizes=(2, 3)) -> DataFrame:

@@ -110,7 +110,7 @@ def brute_lines(rows, min_lines, min_words):
                 gone[r].add(s)
             if n == min_lines:
                 gone[r] |= set(range(s, s + n))
-        n *= 2
+        n += 1
     out = []
     for r in rows:
         kept, s = [], 0
@@ -130,11 +130,31 @@ def brute_lines(rows, min_lines, min_words):
 def test_lines_like_brute_force(spark, min_lines, min_words):
     rows = awkward(9)
     d = line_dedup.delete_later_copies(frame(spark, rows), min_lines, min_words)
-    assert d.columns[:-1] == frame(spark, rows).columns
+    assert d.columns == [*[c for c in frame(spark, rows).columns if c != "line_dedup"], "line_dedup"]
     got = [(r.doc_id, r.text, *r.line_dedup) for r in d.collect()]
     assert sorted(got, key=key) == sorted(brute_lines(rows, min_lines, min_words), key=key)
 
 
+def test_lengths_of_copied_runs(spark, monkeypatch):
+    """Runs of all lengths, of several earlier texts, that end at different lines."""
+    monkeypatch.setattr(line_dedup, "WIDTH", 2)
+    monkeypatch.setattr(line_dedup, "RANGES", 2)
+    r = random.Random(11)
+    base = [f"line {i}" for i in range(40)]
+    rows = [(0, "\n".join(base)), (1, "\n".join([*base[:21], "x", *base[10:]]))]
+    for i in range(2, 40):
+        lines = []
+        for _ in range(r.randint(1, 4)):
+            a = r.randrange(40)
+            lines += base[a:a + r.randint(1, 19)] + [f"own {r.randrange(6)}"] * r.randint(0, 2)
+        rows.append((i, "\n".join(lines)))
+    d = line_dedup.delete_later_copies(frame(spark, rows))
+    assert sorted([(x.doc_id, x.text, *x.line_dedup) for x in d.collect()], key=key) == sorted(brute_lines(rows, 2, 1), key=key)
+    coarse = line_dedup.delete_later_copies(frame(spark, rows), exact=False).collect()
+    exact = {x.doc_id: x.line_dedup.longest for x in d.collect()}
+    assert all(x.line_dedup.longest == (1 << exact[x.doc_id].bit_length() >> 1) for x in coarse)
+
+
 def test_lines_of_nothing(spark):
     assert line_dedup.delete_later_copies(frame(spark, [])).collect() == []
     with pytest.raises(ValueError):
@@ -282,6 +302,18 @@ def test_golay_code_is_perfect():
     assert (errors >= 0).all() and max(int(e).bit_count() for e in errors) == 3
 
 
+def test_simhash_query_columns(spark, monkeypatch):
+    rows = [(i, t) for i, t in awkward() if i is not None]
+    monkeypatch.setattr(simhash, "documents", lambda spark, sf_dir: frame(spark, rows))
+    fps = [brute_fingerprint(t) for _, t in rows]
+    groups = brute_components(range(len(rows)), fps, 4)
+    first = {}
+    for g, (doc, _) in zip(groups, rows):
+        first[g] = min(first.get(g, doc), doc)
+    want = sorted((doc, f"{fp:016x}", first[g]) for (doc, _), fp, g in zip(rows, fps, groups))
+    assert sorted(map(tuple, simhash.op10_simhash(spark, "").collect())) == want
+
+
 def test_simhash_of_nothing(spark):
     assert simhash.near_duplicates(frame(spark, [])).collect() == []
 
