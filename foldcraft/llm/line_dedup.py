@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import documents, has_word, text_key, text_of, words_of
+from .common import documents, text_key, text_of, words_of
 
 MIN_LINES = 2
 MIN_WORDS = 1
@@ -56,15 +56,20 @@ MIN_WORDS = 1
 RANGES, WIDTH = 4096, 1024
 
 
-def line_table(docs: DataFrame) -> DataFrame:
+def _has_word(line):
+    """Whether a line holds a word; looks at it up to its first character only."""
+    return line.rlike(r"[^ \t\n\x0B\f\r]")
+
+
+def line_table(docs: DataFrame, count_words: bool = True) -> DataFrame:
     """(doc_id, tkey, s, w, lid): word-holding lines, their place s in the
-    document, word count and hash."""
+    document, word count (1 unless they are counted) and hash."""
     text = text_of(F.col("text"))
-    lines = F.filter(F.split(text, "\n"), has_word)
+    lines = F.filter(F.split(text, "\n"), _has_word)
     rows = docs.select("doc_id", text_key(text).alias("tkey"), lines.alias("lines")).select(
         "doc_id", "tkey", F.posexplode("lines").alias("s", "line"))
-    return rows.select("doc_id", "tkey", "s", F.size(words_of(F.col("line"))).alias("w"),
-                       F.xxhash64("line").alias("lid"))
+    w = F.size(words_of(F.col("line"))) if count_words else F.lit(1)
+    return rows.select("doc_id", "tkey", "s", w.alias("w"), F.xxhash64("line").alias("lid"))
 
 
 def _start():
@@ -216,7 +221,7 @@ def delete_later_copies(docs: DataFrame, min_lines: int = MIN_LINES, min_words:
     if min_lines < 1 or min_lines & (min_lines - 1):
         raise ValueError("min_lines must be a power of two")
     docs = docs.drop("line_dedup")
-    lines = cut_lineage(line_table(docs), "lines")
+    lines = cut_lineage(line_table(docs, min_words > 1), "lines")
     gone = cut_lineage(later_copies(lines, min_lines, min_words, exact), "line-copies").select(
         F.col("doc_id").alias("_g_doc"), F.col("tkey").alias("_g_key"), F.struct("gone", "longest").alias("_g"))
     others = [c for c in docs.columns if c != "text"]
@@ -226,7 +231,7 @@ def delete_later_copies(docs: DataFrame, min_lines: int = MIN_LINES, min_words:
     j = j.select("_row", "_text", "_g", F.split(text_of(F.col("_text")), "\n").alias("_lines"))
     # places among all lines of the lines that hold a word
     j = j.select("_row", "_text", "_g", "_lines", F.filter(
-        F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: has_word(F.get("_lines", i))).alias("_places"))
+        F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: _has_word(F.get("_lines", i))).alias("_places"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1),
                           F.transform("_g.gone", lambda s: F.get("_places", s)))
     text = F.when(F.size("_g.gone") > 0, F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n")
