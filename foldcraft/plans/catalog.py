@@ -650,7 +650,8 @@ def _gs_sql():
 def q_group_stats(spark, sf):
     """Group mean, difference and normalised difference (sample
     std, single-row group -> std 0) for 5 (category, number) pairs."""
-    a = T.accounts(spark, sf)
+    # stored: every category's statistics and the rows read it
+    a = T.accounts_once(spark, sf, columns=list(dict.fromkeys(["id", *[c for pair in GS_PAIRS for c in pair]])))
     out = ST.group_stats(a, GS_PAIRS)
     names = [f"{c}_{n}_{s}" for c, n in GS_PAIRS for s in ("mean", "diff", "norm")]
     return out.select(L("id").alias("id"), *[R(n).alias(n) for n in names])
@@ -2022,6 +2023,16 @@ def q_prediction_sink_roundtrip(spark, sf):
     return spark.read.parquet(path)
 
 
+@query("oof_sink_roundtrip", with_base(
+    "select cast(id as bigint) as id, round(s_a, 6) as xgb, round(s_b, 6) as lgb, round((s_a + s_b) / 2, 6) as blend from ts",
+    TRAIN_SCORED))
+def q_oof_sink_roundtrip(spark, sf):
+    """A5: keyed OOF table of two models and their blend written and re-read."""
+    t = _train_scored(spark, sf).withColumn("mean", (F.col("s_a") + F.col("s_b")) / 2)
+    path = SK.write_scores(t, scratch_path(spark, "oof"), {"s_a": "xgb", "s_b": "lgb", "mean": "blend"})
+    return spark.read.parquet(path).select(L("id").alias("id"), *[R(c).alias(c) for c in ("xgb", "lgb", "blend")])
+
+
 @query("conditional_update", with_base(
     "select cast(id as bigint) as id, round(s_a * (case when tenure > 60 then 0.5 else 1.0 end) "
     "* (case when svc_return = 'No' then 0.5 else 1.0 end), 6) as p from scored where role = 'test'"))
