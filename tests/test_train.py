@@ -20,6 +20,12 @@ def ids(spark):
     return {role: g for role, g in s.groupby("role")}
 
 
+@pytest.fixture(scope="module")
+def rounds(spark):
+    """Both pseudo-label rounds of all folds, fitted once."""
+    return C._pseudo_rounds(spark, SF_SMALL)
+
+
 def check_scores(pdf, ids, column):
     oof, test = pdf[pdf.part == "oof"], pdf[pdf.part == "test"]
     assert sorted(oof.id) == sorted(ids["train"].id) and sorted(test.id) == sorted(ids["test"].id)
@@ -53,9 +59,10 @@ def test_same_seed_same_scores(spark):
     assert np.array_equal(one, two)
 
 
-def test_every_fold_is_validated(spark):
+def test_every_fold_is_validated(spark, rounds, monkeypatch):
     got = C.q_gbt_variants(spark, SF_SMALL).toPandas()
     assert len(got) == 4 * C.MODEL_FOLDS and set(got.fold) == set(range(C.MODEL_FOLDS))
+    monkeypatch.setattr(C, "_pseudo_rounds", lambda *_: rounds)
     kept = C.q_pseudo_gbt(spark, SF_SMALL).toPandas()
     assert sorted(kept.fold) == list(range(C.MODEL_FOLDS))
     assert all(r.auc_kept == (r.auc_round2 if r.keep_pseudo else r.auc_round1) for r in kept.itertuples())
@@ -121,8 +128,9 @@ def test_stopping_on_encoded_folds(spark, ids):
     assert (rep.stopped_at - rep.best_iteration <= C.PATIENCE).all()
 
 
-def test_categories_are_no_numbers(spark, ids):
-    scores, report = C._rebalanced_models(spark, SF_SMALL)
+def test_categories_are_no_numbers(spark, ids, monkeypatch):
+    scores, report = models = C._rebalanced_models(spark, SF_SMALL)
+    monkeypatch.setattr(C, "_rebalanced_models", lambda *_: models)
     rep = report.toPandas()
     assert sorted(rep.set_id) == [1, 2, 3, 4, 5] and (rep.best_auc > 0.6).all()
     pdf = scores.toPandas()
@@ -140,10 +148,11 @@ def test_categories_are_no_numbers(spark, ids):
     assert len(attrs["nominal"]) == len(C.CAT_FEATURES) and len(attrs["numeric"]) == len(C.CAT_NUMBERS)
 
 
-def test_kept_rounds_scores(spark, ids):
+def test_kept_rounds_scores(spark, ids, rounds, monkeypatch):
+    monkeypatch.setattr(C, "_pseudo_rounds", lambda *_: rounds)
     got = C.q_pseudo_gbt_scores(spark, SF_SMALL).toPandas()
     assert check_scores(got, ids, "score") > 0.6
-    scores, by = C._pseudo_rounds(spark, SF_SMALL)
+    scores, by = rounds
     kept = {r.fold: 2 if r.keep_pseudo else 1 for r in by.collect()}
     every = scores.filter("part = 'oof'").toPandas()
     want = every[every["round"] == every.fold.map(kept)].set_index("id").score
