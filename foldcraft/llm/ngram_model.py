@@ -169,6 +169,13 @@ def _paths(batches):
         yield from b.column("batch").to_pylist()
 
 
+def _spread_out(batches: DataFrame) -> DataFrame:
+    """The batches' paths, a few to a task: the table of paths is small, the
+    work behind each is not."""
+    tasks = 16 * int(batches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return batches.select("batch").repartition(max(1, min(batches.count(), tasks)), "batch")
+
+
 def _merge(folder: str, kind: str):
     """A shard's task: merges what the batches ask with, stores the sums and
     answers from the mapped arrays."""
@@ -305,7 +312,7 @@ def fit(batches: DataFrame) -> tuple[Model, DataFrame]:
     spark = batches.sparkSession
     n_tokens, n_words = batches.agg(F.sum("n_tokens"), F.sum("n_words")).first()  # two numbers
     sizes = [max(1, -(-(n or 0) // SHARD)) for n in (n_tokens, n_words)]
-    asked = batches.select("batch").mapInArrow(_ask_pairs(sizes[0]), ASK)
+    asked = _spread_out(batches).mapInArrow(_ask_pairs(sizes[0]), ASK)
     pairs = cut_lineage(asked.groupBy("shard").applyInArrow(
         _merge(scratch_path(spark, "pair-model"), "pair"), ANSWER), "pair-answers")
     asked = pairs.filter("kind = 'pair'").groupBy("batch").applyInArrow(_ask_words(sizes[1]), ASK)
@@ -345,7 +352,7 @@ def ask(batches: DataFrame, model: Model) -> DataFrame:
     model_shards = (model.n_pair_shards, model.n_word_shards)
     found = None
     for kind, run in (("pair", pairs), ("word", words)):
-        asked = batches.select("batch").mapInArrow(run, ASK)
+        asked = _spread_out(batches).mapInArrow(run, ASK)
         own = model.shards.filter(F.col("kind") == f"{kind} model").select(F.col("shard").alias("m_shard"), "path")
         part = asked.join(own, F.col("shard") == F.col("m_shard")).groupBy("shard").applyInArrow(
             answer, "kind string, batch string, shard int, blobs array<binary>")
