@@ -9,6 +9,7 @@ parameter), so every grid point is computed in the same job.
 from __future__ import annotations
 
 import math
+from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -30,13 +31,28 @@ def blend_tables(preds: Sequence[tuple[DataFrame, float]], id_col: str = "id",
     return u.groupBy(id_col).agg((F.sum(F.col("_w") * F.col("_p")) / F.sum("_w")).alias("blend"))
 
 
-def weight_grid_auc(df: DataFrame, a: str, b: str, label: str, weights: Sequence[float]) -> DataFrame:
-    """M2 / M3: AUC of w*a + (1-w)*b for every w in one job."""
+#: (row, weight) pairs whose histogram one job makes: it has about as many rows
+#: when scores are all different, and a task holds its share of them
+PAIRS_AT_ONCE = 32_000_000
+
+
+def weight_grid_auc(df: DataFrame, a: str, b: str, label: str, weights: Sequence[float], at_once: int = PAIRS_AT_ONCE) -> DataFrame:
+    """M2 / M3: AUC of w*a + (1-w)*b for every w: in one job while rows x
+    weights stay within ``at_once``, else as many weights at a time as do (one
+    at least), each job's few rows being stored.  So a task's memory grows with
+    the rows, not with rows x weights."""
     spark = df.sparkSession
-    wt = spark.createDataFrame([(float(w),) for w in weights], ["w"])
-    x = df.select(a, b, label).crossJoin(F.broadcast(wt))  # |weights| rows
-    x = x.withColumn("_s", F.col("w") * F.col(a) + (F.lit(1.0) - F.col("w")) * F.col(b))
-    return auc(x, "_s", label, ["w"])
+
+    def some(part: Sequence[float]) -> DataFrame:
+        wt = spark.createDataFrame([(float(w),) for w in part], "w double")
+        x = df.select(a, b, label).crossJoin(F.broadcast(wt))  # |weights| rows
+        x = x.withColumn("_s", F.col("w") * F.col(a) + (F.lit(1.0) - F.col("w")) * F.col(b))
+        return auc(x, "_s", label, ["w"])
+
+    per = max(1, at_once // max(1, df.count()))
+    if per >= len(weights):
+        return some(weights)
+    return reduce(DataFrame.unionByName, [cut_lineage(some(weights[i:i + per]), "grid") for i in range(0, len(weights), per)])
 
 
 #: the golden ratio's inverse, by which each step narrows the bracket
