@@ -131,6 +131,33 @@ def test_pairs_work_on_cells_not_on_rows(spark):
     assert "Generate explode" not in dict(counts)["pair-counts"]
 
 
+def test_weights_in_several_jobs_give_the_same_aucs(spark):
+    d = spark.createDataFrame([(i % 7 / 7.0, i % 5 / 5.0, i % 3 % 2) for i in range(60)], "a double, b double, y int")
+    weights = [i / 10 for i in range(11)]
+    one, some, each = (N.weight_grid_auc(d, "a", "b", "y", weights, **k).orderBy("w").collect()
+                       for k in ({}, {"at_once": 240}, {"at_once": 1}))
+    assert len(one) == 11 and one == some == each
+
+
+def test_computed_columns_are_not_exchanged(spark):
+    """Crosses made where they are read: same encodings, base columns stored."""
+    rows = [(i, ("a", "b", None)[i % 3], str(i % 4), i % 5 % 2) for i in range(120)]
+    tr = K.stratified_folds(spark.createDataFrame(rows, "id long, c string, d string, y int"), 3, 1)
+    te = spark.createDataFrame([(900 + i, ("a", "new")[i % 2], str(i)) for i in range(8)], "id long, c string, d string")
+    cross = F.concat_ws("___", F.coalesce("c", F.lit("nan")), "d")
+    stored = []
+    real = E.cut_lineage
+    E.cut_lineage = lambda df, name="stage": stored.append((name, df.columns)) or real(df, name)
+    try:
+        got = E.encode_nested(tr, te, ["x", "c"], 3, 2, {"te": E.smoothed(2)}, computed={"x": cross})
+    finally:
+        E.cut_lineage = real
+    assert sorted(dict(stored)["nested"]) == ["c", "d", "fold", "id", "ifold", "ofold", "y"]
+    want = E.encode_nested(tr.withColumn("x", cross), te.withColumn("x", cross), ["x", "c"], 3, 2, {"te": E.smoothed(2)})
+    cols = ["ofold", "id", "part", "x", "c", "te_x", "te_c"]
+    assert got.count() == 3 * 128 and got.select(cols).exceptAll(want.select(cols)).count() == 0
+
+
 def test_one_hot_levels_are_bounded(spark):
     import pytest
     tr, te = (spark.createDataFrame([(i, str(i)) for i in range(n)], "id int, c string") for n in (5, 7))
