@@ -168,7 +168,7 @@ def encode_full(fit: DataFrame, rows: DataFrame, cols: Sequence[str],
 def encode_per_fold(train: DataFrame, test: DataFrame, cols: Sequence[str], k: int,
                     outputs: dict[str, EncFn], prior_scope: str = "fold",
                     prefix_fmt: str = "te_{col}", label: str = "y",
-                    extra_fit: DataFrame | None = None) -> DataFrame:
+                    extra_fit: DataFrame | None = None, joined: DataFrame | None = None) -> DataFrame:
     """For each fold f fit on train rows with fold != f (plus
     ``extra_fit`` rows, e.g. pseudo labels, in every fold) and apply to the
     fold's training rows (part='fit', they see their own label), its
@@ -176,6 +176,8 @@ def encode_per_fold(train: DataFrame, test: DataFrame, cols: Sequence[str], k: i
 
     ``prior_scope``: 'fold' = mean of the fold's fit labels (I2);
     'global' = mean over all train labels (I4).
+    ``joined``: further columns by id (the label, if wanted, is one of them),
+    joined to the rows before these are repeated per fold.
     Output: (fold, id, part, encoded columns...).
     """
     train = cut_lineage(train.select("id", label, "fold", *cols), "folds")
@@ -198,12 +200,11 @@ def encode_per_fold(train: DataFrame, test: DataFrame, cols: Sequence[str], k: i
                        (F.col("s") / F.col("n") * (1 - F.col("s") / F.col("n"))).alias("pvar"))
     table = table.join(F.broadcast(pr), "fold")  # k rows
     folds = train.sparkSession.createDataFrame([(i,) for i in range(k)], ["_f"])
-    tr = (train.crossJoin(F.broadcast(folds))
-          .withColumn("part", F.when(F.col("fold") == F.col("_f"), "valid").otherwise("fit"))
-          .drop("fold").withColumnRenamed("_f", "fold"))
-    te = (test.crossJoin(F.broadcast(folds)).withColumn("part", F.lit("test"))
-          .withColumnRenamed("_f", "fold"))
-    rows = tr.unionByName(te, allowMissingColumns=True)
+    rows = train.withColumn("_test", F.lit(False)).unionByName(test.withColumn("_test", F.lit(True)), allowMissingColumns=True)
+    if joined is not None:
+        rows = rows.drop(label).join(joined, "id")
+    part = F.when(F.col("_test"), "test").when(F.col("fold") == F.col("_f"), "valid").otherwise("fit")
+    rows = rows.crossJoin(F.broadcast(folds)).withColumn("part", part).drop("fold", "_test").withColumnRenamed("_f", "fold")
     rows = rows.join(F.broadcast(pr.select("fold", F.col("prior").alias("_prior"))), "fold")
     out = _apply(rows, table, cols, ["fold"], outputs, prefix_fmt,
                  {k_: F.col("_prior") for k_ in outputs})

@@ -1715,14 +1715,13 @@ def q_logreg_oof(spark, sf):
 def _encoded_frame(spark, sf):
     """Fold encodings joined to the plain features: what a model per fold
     fits on and scores."""
-    s = T.scored(spark, sf).select("id", "role", F.col("y_sig").alias("y"), *TE_MODEL_COLS,
-                                   *[F.col(c).cast("double").alias(c) for c in TE_PLAIN])
+    s = cut_lineage(T.scored(spark, sf).select("id", "role", F.col("y_sig").alias("y"), *TE_MODEL_COLS,
+                                               *[F.col(c).cast("double").alias(c) for c in TE_PLAIN]), "model-rows")
     tr = cut_lineage(K.stratified_folds(s.filter(F.col("role") == "train"), MODEL_FOLDS, SEED), "model-train")
     te = s.filter(F.col("role") == "test")
-    enc = E.encode_per_fold(tr.select("id", "y", "fold", *TE_MODEL_COLS), te, TE_MODEL_COLS, MODEL_FOLDS,
-                            {"te": E.smoothed(20)})
     plain = tr.select("id", "y", *TE_PLAIN).unionByName(te.select("id", F.lit(None).cast("int").alias("y"), *TE_PLAIN))
-    return cut_lineage(enc.drop("y").join(plain, "id"), "model-encodings")
+    return cut_lineage(E.encode_per_fold(tr.select("id", "y", "fold", *TE_MODEL_COLS), te, TE_MODEL_COLS, MODEL_FOLDS,
+                                         {"te": E.smoothed(20)}, joined=plain), "model-encodings")
 
 
 TE_MODEL_COLS = ["pri", "seg", "nation", "svc_return", "svc_keep"]

@@ -20,11 +20,12 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 from typing import Callable, Sequence
 
-from pyspark import SparkContext, inheritable_thread_target
-from pyspark.ml import Pipeline
+from pyspark import SparkContext, StorageLevel, inheritable_thread_target
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -60,15 +61,37 @@ def _stages(features: Sequence[str], scale: bool) -> list:
     return [asm] + ([StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)] if scale else [])
 
 
+#: fits that run at a time: one's short passes fill the cores that the other
+#: leaves idle, and two fits' rows are in memory
+FITS_AT_ONCE = 2
+
+
+def fit_ready(estimator, ready: DataFrame, columns: Sequence[str]):
+    """Fits on ``columns`` of rows that have their features' vector.  Before its
+    own compact copy an estimator reads its input three times (size, splits or
+    moments, copy): the vectors are made once and kept until it is fitted."""
+    x = ready.select(*columns).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return estimator.fit(x)
+    finally:
+        x.unpersist()
+
+
 def _fit(fit_rows: DataFrame, stages: list, make_estimator, label: str, balanced: str | None):
     """Fits one model.  ``make_estimator`` gets the number of fit rows if a
     weight column ``balanced`` is asked for: n / (2 n_class) of these rows."""
     if not balanced:
-        return Pipeline(stages=stages + [make_estimator()]).fit(fit_rows)
-    n = {r[label]: r["count"] for r in fit_rows.groupBy(label).count().collect()}  # two classes
-    total = sum(n.values())
-    w = F.when(F.col(label) == 1, total / (2.0 * n.get(1, total))).otherwise(total / (2.0 * n.get(0, total)))
-    return Pipeline(stages=stages + [make_estimator(total)]).fit(fit_rows.withColumn(balanced, w))
+        estimator = make_estimator()
+    else:
+        n = {r[label]: r["count"] for r in fit_rows.groupBy(label).count().collect()}  # two classes
+        total = sum(n.values())
+        w = F.when(F.col(label) == 1, total / (2.0 * n.get(1, total))).otherwise(total / (2.0 * n.get(0, total)))
+        estimator, fit_rows = make_estimator(total), fit_rows.withColumn(balanced, w)
+    assembler, rest = stages[0], stages[1:]
+    extra = [c for c in ("validationIndicatorCol",) if estimator.hasParam(c) and estimator.isSet(c)]
+    columns = [label, assembler.getOutputCol(), *[estimator.getOrDefault(c) for c in extra], *([balanced] if balanced else [])]
+    model = fit_ready(Pipeline(stages=[*rest, estimator]), assembler.transform(fit_rows), columns)
+    return PipelineModel(stages=[assembler, *model.stages])
 
 
 def encoded_scores(rows: DataFrame, features: Sequence[str], label: str, make_estimator, folds: Sequence[int],
@@ -77,14 +100,13 @@ def encoded_scores(rows: DataFrame, features: Sequence[str], label: str, make_es
     and 'test'.  ``rows`` come encoded per fold (operators.encode): a row is
     there once per fold, with that fold's encodings.  Returns (id, part, fold,
     score, label)."""
-    scored = None
-    for f in folds:
+    def one(f):
         own = rows.filter(F.col("fold") == f)
         model = _fit(own.filter(F.col("part") == "fit"), _stages(features, scale), make_estimator, label, balanced)
-        p = _prob(model.transform(own.filter(F.col("part") != "fit"))).select(
+        return _prob(model.transform(own.filter(F.col("part") != "fit"))).select(
             "id", F.when(F.col("part") == "valid", "oof").otherwise("test").alias("part"), "fold", "score", label)
-        scored = p if scored is None else scored.unionByName(p)
-    return cut_lineage(scored, "scores")
+
+    return cut_lineage(reduce(DataFrame.unionByName, in_parallel([lambda f=f: one(f) for f in folds], FITS_AT_ONCE)), "scores")
 
 
 def oof_scores(train: DataFrame, test: DataFrame, features: Sequence[str], label: str,
@@ -97,8 +119,8 @@ def oof_scores(train: DataFrame, test: DataFrame, features: Sequence[str], label
     keep = ["id", label, "fold", *features]
     train = cut_lineage(train.select(*keep))
     test = cut_lineage(test.select("id", *features))
-    scored, report = None, []
-    for f in folds:
+
+    def one(f):
         if early_stop:
             fit_rows = train.withColumn("_is_val", F.col("fold") == f)
         else:
@@ -108,14 +130,15 @@ def oof_scores(train: DataFrame, test: DataFrame, features: Sequence[str], label
             "id", F.lit("oof").alias("part"), F.lit(f).alias("fold"), "score", label)
         tst = _prob(model.transform(test)).select(
             "id", F.lit("test").alias("part"), F.lit(f).alias("fold"), "score", F.lit(None).cast("int").alias(label))
-        part = val.unionByName(tst)
-        scored = part if scored is None else scored.unionByName(part)
         last = model.stages[-1]
         size = getattr(last, "getNumTrees", None)
-        report.append((int(f), int(size) if size is not None else int(last.summary.totalIterations)))
+        return val.unionByName(tst), (int(f), int(size) if size is not None else int(last.summary.totalIterations))
+
+    parts, report = zip(*in_parallel([lambda f=f: one(f) for f in folds], FITS_AT_ONCE))
+    scored = reduce(DataFrame.unionByName, parts)
     scored = cut_lineage(scored)
     aucs = auc(scored.filter(F.col("part") == "oof"), "score", label, ["fold"])
-    rep = train.sparkSession.createDataFrame(report, ["fold", "model_size"]).join(aucs, "fold")
+    rep = train.sparkSession.createDataFrame(list(report), ["fold", "model_size"]).join(aucs, "fold")
     return scored, rep
 
 
@@ -213,18 +236,16 @@ def best_iterations(aucs: DataFrame, segments: Sequence[str], patience: int | No
 
 
 def stopped_scores(parts: dict[int, tuple[DataFrame, DataFrame]], stages: list, make_estimator, label: str,
-                   patience: int | None, segment: str = "fold", parallelism: int = 2) -> tuple[DataFrame, DataFrame]:
+                   patience: int | None, segment: str = "fold", parallelism: int = FITS_AT_ONCE) -> tuple[DataFrame, DataFrame]:
     """Boosting with stopping on AUC.  ``parts``: segment -> (rows to fit,
     rows to score (id, part, label, features...), of which part 'valid'
     decides).  Returns (scores of the models truncated at their best
     iteration: id, part, segment, score, label; report per segment)."""
     def run(k: int) -> DataFrame:
         fit_rows, score_rows = parts[k]
-        model = Pipeline(stages=[*stages, make_estimator()]).fit(fit_rows)
-        ready = score_rows
-        for stage in model.stages[:-1]:
-            ready = stage.transform(ready)
-        staged = staged_margins(model.stages[-1], ready)
+        features = Pipeline(stages=stages).fit(fit_rows)
+        model = fit_ready(make_estimator(), features.transform(fit_rows), [label, "features"])
+        staged = staged_margins(model, features.transform(score_rows))
         return cut_lineage(staged.select("id", "part", F.lit(k).alias(segment), label, "margins"), "margins")
 
     staged = None

@@ -168,3 +168,42 @@ def test_sweeps_with_fits(spark):
     assert len(fits.drop_duplicates(["m", "keep_original", "feature_set"])) == 20 == len(fits)
     assert fits.oof_auc.between(0.5, 1).all()
     assert fits[fits.keep_original == 1].oof_auc.mean() > fits[fits.keep_original == 0].oof_auc.mean()
+
+
+# one read of the tables, one making of the vectors ------------------------------
+
+def test_model_rows_are_stored(spark):
+    """Folds, train and test rows come from stored rows, not from the tables."""
+    mark = scratch_mark()
+    for d in [*C._model_frame(spark, SF_SMALL), C._encoded_frame(spark, SF_SMALL)]:
+        assert d.inputFiles() and not [f for f in d.inputFiles() if "/testdata/" in f]
+    release_scratch(spark, mark)
+
+
+def test_columns_joined_before_folds(spark):
+    """Columns by id given to the encoder are those of a join behind it, repeated ids too."""
+    train = spark.createDataFrame([(i % 25, i % 2, i % 3, "ab"[i % 2 * (i % 5 > 1)], float(i)) for i in range(1, 31)],
+                                  "id long, y int, fold int, c string, x double")
+    test = spark.createDataFrame([(i, "abz"[i % 3], float(i)) for i in range(100, 107)], "id long, c string, x double")
+    more = train.select("id", "y", "x").unionByName(test.select("id", F.lit(None).cast("int").alias("y"), "x"))
+    got = C.E.encode_per_fold(train, test, ["c"], 3, {"te": C.E.smoothed(2)}, joined=more)
+    want = C.E.encode_per_fold(train, test, ["c"], 3, {"te": C.E.smoothed(2)}).drop("y").join(more, "id").select(*got.columns)
+    rows = [sorted(map(str, d.select("id", "fold", "part", "y", "x", F.round("te_c", 9).alias("te_c")).collect())) for d in (got, want)]
+    assert rows[0] == rows[1] and len(rows[0]) == 3 * (20 + 5 * 4 + 7)
+
+
+def test_fits_keep_their_vectors(spark):
+    """An estimator that reads its input again reads kept vectors; they are
+    freed behind it, and the model is the one of the plain fit."""
+    tr, _ = C._model_frame(spark, SF_SMALL)
+    x = C.cut_lineage(TR._stages(C.MODEL_FEATURES, False)[0].transform(tr))
+    seen = []
+
+    class Estimator:
+        def fit(self, rows):
+            seen.append((rows, rows.storageLevel.useMemory, rows.columns))
+            return TR.gbt("y", 3, 3).fit(rows)
+
+    model = TR.fit_ready(Estimator(), x, ["y", "features"])
+    assert seen[0][1:] == (True, ["y", "features"]) and not seen[0][0].storageLevel.useMemory
+    assert model.toDebugString.split("\n", 1)[1] == TR.gbt("y", 3, 3).fit(x).toDebugString.split("\n", 1)[1]
