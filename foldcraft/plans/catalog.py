@@ -1676,7 +1676,8 @@ def _model_frame(spark, sf):
     feats = {f.name: f for g in S.GROUPS.values() for f in g}
     cols = [feats[n].col().cast("double").alias(n) for n in MODEL_FEATURES if n in feats]
     base = [F.col(n).cast("double").alias(n) for n in MODEL_FEATURES if n not in feats]
-    x = s.select("id", "role", F.col("y_sig").alias("y"), *base, *cols)
+    # stored: the folds' offsets, the train and the test rows read it
+    x = cut_lineage(s.select("id", "role", F.col("y_sig").alias("y"), *base, *cols), "model-rows")
     tr = K.stratified_folds(x.filter(F.col("role") == "train"), MODEL_FOLDS, SEED)
     return tr, x.filter(F.col("role") == "test")
 
