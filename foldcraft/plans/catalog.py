@@ -1877,13 +1877,13 @@ def _pseudo_rounds(spark, sf):
             return cut_lineage(TR._prob(model.transform(every)).select(
                 F.lit(n).alias("round"), F.lit(f).alias("fold"), "id", "part", "score", "y"), "round")
 
-        first = score(TR.gbt("y", 8, 4).fit(fit), 1)
+        first = score(TR.fit_ready(TR.gbt("y", 8, 4), fit, ["features", "y"]), 1)
         sure = first.filter((F.col("part") == "test") & ((F.col("score") > PSEUDO_GBT_T) | (F.col("score") < 1 - PSEUDO_GBT_T)))
         if sure.isEmpty():
             return first
         pseudo = te_v.select("id", "features").join(sure.select("id", (F.col("score") > 0.5).cast("int").alias("y")), "id")
         more = fit.select("features", "y").unionByName(pseudo.select("features", "y"))
-        return first.unionByName(score(TR.gbt("y", 8, 4).fit(more), 2))
+        return first.unionByName(score(TR.fit_ready(TR.gbt("y", 8, 4), more, ["features", "y"]), 2))
 
     scores = reduce(DataFrame.unionByName, TR.in_parallel([lambda f=f: both(f) for f in range(MODEL_FOLDS)], 2))
     aucs = G.auc(scores.filter(F.col("part") == "oof"), "score", "y", ["fold", "round"])
