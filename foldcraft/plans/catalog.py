@@ -1925,7 +1925,7 @@ def _threshold_refits(spark, sf):
     te_v = cut_lineage(asm.transform(te).select("id", "features"), "refit-test")
 
     def model(fit):
-        return TR.gbt("y", 6, 4, 0.3).fit(fit.select("y", "features"))
+        return TR.fit_ready(TR.gbt("y", 6, 4, 0.3), fit, ["y", "features"])
 
     def oof(m, f):
         return TR._prob(m.transform(tr_v.filter(F.col("fold") == f))).select("id", "y", "score")
