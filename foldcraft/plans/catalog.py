@@ -1664,6 +1664,7 @@ def q_class_balance(spark, sf):
 
 # ---------------------------------------------------------------- step 9 (rows-only: fitted models)
 
+from . import sweep as SW  # noqa: E402
 from . import train as TR  # noqa: E402
 
 MODEL_FOLDS = 3
@@ -2184,7 +2185,8 @@ def q_param_sweep_fits(spark, sf):
     """O3: the 20 configurations (smoothing x keep originals x feature set)
     with a boosted model fitted for each and fold: every fold's encodings for
     all smoothings are one stored table, whose columns a configuration picks;
-    the fits run four at a time.  OOF AUC per configuration."""
+    its rows are counted in cells once, on which all models grow together
+    (plans.sweep).  OOF AUC per configuration."""
     s = T.accounts_once(spark, sf, scores=True, columns=["id", "role", "pri", "tenure", "monthly", "y_sig", *[
         c for c in TE_COLS if c != "pri_u"]]).withColumn("pri_u", T.unseen_category()).withColumn("y", F.col("y_sig"))
     tr = cut_lineage(K.stratified_folds(s.filter(F.col("role") == "train"), MODEL_FOLDS, SEED), "sweep-train")
@@ -2192,17 +2194,10 @@ def q_param_sweep_fits(spark, sf):
     rows = cut_lineage(E.encode_per_fold(tr, tr.limit(0), TE_COLS, MODEL_FOLDS, {f"m{m}": E.smoothed(m) for m in SWEEP_M},
                                          prefix_fmt="te_{stat}_{col}", joined=tr.select("id", "y", *plain)), "sweep-encodings")
 
-    def one(m, keep, name, f):
-        features = [f"te_m{m}_{c}" for c in SWEEP_SETS[name]] + plain * keep
-        own = rows.filter(F.col("fold") == f)
-        model = TR._fit(own.filter(F.col("part") == "fit").select("y", *features), TR._stages(features, False),
-                        lambda: TR.gbt("y", 4, 3, 0.3), "y", None)
-        return TR._prob(model.transform(own.filter(F.col("part") == "valid"))).select("id", "y", "score")
-
-    jobs = {(m, keep, name, f): (lambda k=(m, keep, name, f): one(*k))
-            for m in SWEEP_M for keep in (0, 1) for name in SWEEP_SETS for f in range(MODEL_FOLDS)}
-    scores = TR.scored_by(jobs, ("m", "keep_original", "feature_set", "fold"), scratch_path(spark, "sweep"), spark, 4)
-    return G.auc(scores, "score", "y", ["m", "keep_original", "feature_set"]).select(
+    scores = SW.sweep_scores(rows, SWEEP_SETS, [f"m{m}" for m in SWEEP_M], plain, "y", range(MODEL_FOLDS), TR.gbt("y", 4, 3, 0.3))
+    scores = scores.select(F.expr("int(substring(encoding, 2))").alias("m"), F.col("keep").alias("keep_original"),
+                           F.col("name").alias("feature_set"), "y", "score", "n")
+    return G.auc(scores, "score", "y", ["m", "keep_original", "feature_set"], weight="n").select(
         L("m").alias("m"), L("keep_original").alias("keep_original"), "feature_set", F.col("auc").alias("oof_auc"))
 
 
