@@ -1,5 +1,7 @@
 """Properties of folds, encodings, ranks, AUC and blends."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from foldcraft.operators import encode as E
@@ -193,3 +195,33 @@ def test_sampled_rows_alone_are_numbered(spark):
     every = row_number_by_hash(d, F.md5(F.col("id").cast("string")), ["g"])
     some = row_number_by_hash(d, F.md5(F.col("id").cast("string")), ["g"], wanted=lambda n: F.ceil(n * 0.1))
     assert some.exceptAll(every.filter("rn < 100")).count() == 0 and some.count() == 300
+
+
+def test_pairs_travel_packed(spark):
+    """Rows carry one number for their codes and come back as one array; more
+    levels than a number holds take a second one."""
+    rng = np.random.default_rng(8)
+    cols = [f"c{i}" for i in range(16)]
+    pdf = pd.DataFrame({"id": range(600), "y": rng.integers(0, 2, 600), "fold": rng.integers(0, 3, 600),
+                        **{c: rng.integers(0, 17, 600).astype(str) for c in cols}})
+    train = spark.createDataFrame(pdf)
+    test = spark.createDataFrame(pdf.drop(columns=["y", "fold"]).assign(id=pdf.id + 1000, c3="new"))
+    every, names = E.pair_logits(train, test, cols, 3, 2)
+    plan = every._jdf.queryExecution().optimizedPlan().toString()
+    assert "_p1" in plan and "_p2" not in plan and "_z[0]" in plan
+    got = every.toPandas().sort_values(["ofold", "id"]).reset_index(drop=True)
+    assert len(names) == 360 and len(got) == 3 * 1200
+    for own in (["c0", "c1"], ["c2", "c3"], ["c7", "c15"], ["c14", "c15"]):
+        one, few = E.pair_logits(train, test, own, 3, 2)
+        want = one.toPandas().sort_values(["ofold", "id"]).reset_index(drop=True)
+        assert np.allclose(got[few], want[few], rtol=0, atol=1e-9), own
+
+
+def test_nested_rows_meet_stored_offsets(spark):
+    """The numbering's offsets are a stored table of known size: rows are not
+    sent to every task in their place, nor shuffled to meet them."""
+    d = spark.createDataFrame([(i, i % 2, i % 5) for i in range(400)], "id long, y int, fold int")
+    n = K.nested_folds(d, 5, 5, 42)
+    assert [f for f in n.inputFiles() if "/offsets-" in f]
+    plan = n._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "BuildRight" in plan and "SortMergeJoin" not in plan
